@@ -119,12 +119,9 @@ def sentence_spans(text: Column) -> Column:
 
 
 def fixed_spans(text: Column, size: int = 20) -> Column:
-    """Spans of ``size`` white-space words."""
-    words = split_words(text)
-    starts = F.when(
-        F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(size))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda at: F.array_join(F.slice(words, at, F.lit(size)), " "))
+    """Spans of ``size`` white-space words, words joined by one blank."""
+    runs = extract_all(text, f"(?:{NON_WS}+{WS}+){{0,{size - 1}}}{NON_WS}+")
+    return F.transform(runs, lambda run: F.regexp_replace(run, f"{WS}+", " "))
 
 
 def marker_pattern(labels: Sequence[str] = fixed.MARKER_LABELS) -> str:
