@@ -20,6 +20,7 @@ from spanalign.functions.similarity import phrase_similarity, token_similar
 from spanalign.operators.fuzzy import similar_tokens
 from spanalign.operators.prefix import row_block, running
 from spanalign.operators.utterances import utterances
+from spanalign.session import written
 
 NO_SOURCE = "no-token-alignment-for-cleaned-utterance"
 LOW_SIMILARITY = "low-cleaned-utterance-token-similarity"
@@ -60,7 +61,7 @@ def alignment_limits(segments: DataFrame, cleaned: DataFrame) -> DataFrame:
         )
         .when((F.col("cleaned_tokens") > side) | (F.col("realtime_tokens") > side), "tokens")
         .when(cells > fixed.MAX_ALIGNMENT_CELLS, "cells")
-        .when(F.col("segments") > fixed.MAX_ALIGNMENT_SEGMENTS, "segments")
+        .when(F.col("segments") > fixed.TRANSCRIPT_MAX_ROWS, "segments")
     )
     return written.join(spoken, "session_id").select(
         "session_id", "cleaned_tokens", "realtime_tokens", cells.alias("cells"),
@@ -288,16 +289,16 @@ def align_utterances(
     ).agg(
         F.count("*").alias("matched"), F.min("segment_idx").alias("lo"), F.max("segment_idx").alias("hi")
     )
-    based = spans.join(sourced, ["session_id", "utterance_id"], "left")
+    based = written(spans.join(sourced, ["session_id", "utterance_id"], "left"), "sourced")
     wanted = based.where("marker_label is not null").select(
         "session_id", "utterance_id", F.col("marker_label").alias("label"),
         F.coalesce("lo", F.lit(0)).cast("bigint").alias("from_idx"),
     )
-    anchored = based.join(
+    anchored = written(based.join(
         first_label_at_or_after(wanted, spoken_labels(segs)), ["session_id", "utterance_id"], "left"
     ).withColumns({
         "first_idx": F.least("lo", "marker_idx"), "last_idx": F.greatest("hi", "marker_idx"),
-    })
+    }), "anchored")
     evidence = _covered(anchored.where("first_idx is not null"), segs)
     whole = segs.groupBy("session_id").agg(
         F.min_by("start_ms", "segment_id").alias("session_start"),
@@ -322,7 +323,7 @@ def align_utterances(
         "end_ms": F.when(has_source, F.col("source_end")).otherwise(F.greatest(edge[1], edge[0])),
         "confidence": confidence,
     })
-    clamped = clamp_forward(placed, "utterance_id")
+    clamped = clamp_forward(written(placed, "placed"), "utterance_id")
     ids = F.when(
         has_source, F.sequence(F.col("first_idx") + 1, F.col("last_idx") + 1)
     ).otherwise(F.array().cast("array<bigint>"))
@@ -430,9 +431,15 @@ def align_fallback(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) ->
 
 
 def align_cleaned(segments: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Final segments of all sessions within the limits: by utterance, else proportionally."""
-    fits = alignment_limits(segments, cleaned).where("limit_broken is null").select("session_id")
-    spans = utterances(cleaned.join(fits, "session_id", "left_semi"))
+    """Final segments of all sessions within the limits: by utterance, else proportionally.
+
+    The steps feed several branches each, so they are written to the shared folder once instead of
+    being computed again per branch.
+    """
+    fits = written(
+        alignment_limits(segments, cleaned).where("limit_broken is null").select("session_id"), "fits"
+    )
+    spans = written(utterances(cleaned.join(fits, "session_id", "left_semi")), "utterances")
     several = spans.groupBy("session_id").agg(F.count("*").alias("n")).where("n >= 2").select("session_id")
     by_utterance = align_utterances(
         spans.join(several, "session_id", "left_semi"), segments, cleaned, several
