@@ -129,16 +129,22 @@ def marker_pattern(labels: Sequence[str] = fixed.MARKER_LABELS) -> str:
     return f"(?i)(?<![A-Za-z0-9])({inner}) marker(?![A-Za-z0-9])"
 
 
+def _may_hold_marker(text: Column) -> Column:
+    """Cheap test that spares most texts the label pattern."""
+    return F.lower(text).contains(" marker")
+
+
 def marker_labels(text: Column, labels: Sequence[str] = fixed.MARKER_LABELS) -> Column:
     """Labels of all markers in text order."""
     found = F.regexp_extract_all(text, F.lit(marker_pattern(labels)), F.lit(1))
-    return F.transform(found, F.lower)
+    none = F.array().cast("array<string>")
+    return F.when(_may_hold_marker(text), F.transform(found, F.lower)).otherwise(none)
 
 
 def marker_pieces(text: Column, labels: Sequence[str] = fixed.MARKER_LABELS) -> Column:
     """Text cut right before every marker; piece 1 is what precedes the first marker."""
     start = f"(?={marker_pattern(labels)[4:]})"
-    return F.split(text, "(?i)" + start)
+    return F.when(_may_hold_marker(text), F.split(text, "(?i)" + start)).otherwise(F.array(text))
 
 
 def label_seen(text: Column, label: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["timeline_queries", "text_queries", "record_queries"]
+MODULES = ["timeline_queries", "text_queries", "record_queries", "quality_queries"]
 
 
 def _merge(name: str) -> dict:

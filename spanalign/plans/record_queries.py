@@ -143,10 +143,11 @@ def lint_jsonl(spark, sf):
 
 
 def audio_chunk_spans(spark, sf):
-    return inv.audio_chunk_spans(src.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("bigint").alias("idx"),
-        F.expr("cast(l_quantity as bigint) * 101 + l_linenumber").alias("bytes"),
-        F.expr("cast(l_linenumber as bigint) * 250").alias("monotonic_offset_ms"),
+    """Orders of a customer as consecutive chunks."""
+    return inv.audio_chunk_spans(src.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("idx"),
+        F.expr("o_orderkey % 4801 + 1").alias("bytes"),
+        F.expr("o_orderkey * 250").alias("monotonic_offset_ms"),
     ))
 
 
@@ -434,8 +435,7 @@ SQL = {
     "audio_chunk_spans": """SELECT session_id, idx, e - bytes AS byte_start, e AS byte_end, (e - bytes) // 2 AS sample_start,
           e // 2 AS sample_end, idx * 250 AS monotonic_offset_ms
         FROM (SELECT *, CAST(sum(bytes) OVER (PARTITION BY session_id ORDER BY idx) AS BIGINT) AS e
-          FROM (SELECT l_orderkey AS session_id, CAST(l_linenumber AS BIGINT) AS idx,
-                  CAST(l_quantity AS BIGINT) * 101 + l_linenumber AS bytes FROM lineitem))""",
+          FROM (SELECT o_custkey AS session_id, o_orderkey AS idx, o_orderkey % 4801 + 1 AS bytes FROM orders))""",
     "merge_chunk_texts": """SELECT session_id, chunks, CASE WHEN size <= 2500 THEN md5(merged) END AS digest, CAST(size > 2500 AS BIGINT) AS oversize
         FROM (SELECT conv_id AS session_id, count(*) AS chunks, sum(strlen(text)) + count(*) AS size,
                 string_agg(text, chr(10) ORDER BY turn) AS merged FROM conversations GROUP BY conv_id)""",
@@ -443,7 +443,7 @@ SQL = {
         f"""SELECT session_id, seq, digest AS actual_hash, CASE WHEN orderkey % 89 = 1 THEN 'previous-hash-mismatch'
           WHEN orderkey % 97 = 0 THEN 'row-hash-mismatch' END AS violation FROM log""", extra=_LOG),
     "continuation": query(
-        """SELECT session_id, seq, CASE WHEN seq > 1 AND orderkey % 31 = 3 THEN 1 ELSE 0 END AS breaks FROM log""",
+        """SELECT session_id, seq, CAST(seq > 1 AND orderkey % 31 = 3 AS BIGINT) AS breaks FROM log""",
         extra=_LOG),
     "transition_failures": f"""SELECT orderkey, {failed({
         "digest-format": "orderkey % 8 <> 0",

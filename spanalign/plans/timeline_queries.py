@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from spanalign import fixed
 from spanalign.functions import instants, text as tx
 from spanalign.operators import segments as sg, timeline as tl
-from spanalign.plans.sql import NON_WS, any_token, band, normalized, query, words
+from spanalign.plans.sql import NON_WS, any_token, band, normalized, query
+from spanalign.session import written
 from spanalign.sources import tables as src
 
 
@@ -16,6 +17,12 @@ def _parts(spark, sf):
     return sg.assemble_segments(events), src.ui_events(spark, sf), src.sessions(spark, sf)
 
 
+def _shared_parts(spark, sf):
+    """The same for queries that read them in several branches: written once per query."""
+    segs, evs, sess = _parts(spark, sf)
+    return written(segs, "segments"), written(evs, "ui-events"), sess
+
+
 def effective_offset(spark, sf):
     return sg.timed_events(src.transcript_events(spark, sf)).select(
         "session_id", "seq", "offset_ms", "timing_source"
@@ -87,7 +94,7 @@ def conflict_warnings(spark, sf):
 
 
 def conflict_event_lists(spark, sf):
-    segs, evs, sess = _parts(spark, sf)
+    segs, evs, sess = _shared_parts(spark, sf)
     warnings = tl.conflict_warnings(segs, evs, sess)
     return tl.conflict_events(warnings, tl.align_events(segs, evs, sess)).select(
         "session_id", "segment_id", F.col("nearby_rank").cast("bigint").alias("nearby_rank"),
@@ -120,11 +127,11 @@ def clock_skew(spark, sf):
 
 
 def alignment_diagnostics(spark, sf):
-    return tl.alignment_diagnostics(*_parts(spark, sf))
+    return tl.alignment_diagnostics(*_shared_parts(spark, sf))
 
 
 def session_counts(spark, sf):
-    return tl.session_counts(*_parts(spark, sf))
+    return tl.session_counts(*_shared_parts(spark, sf))
 
 
 def band_counts(spark, sf):
@@ -139,12 +146,12 @@ def monotonic_policy(spark, sf):
 
 
 def limit_flags(spark, sf):
-    segs, evs, _ = _parts(spark, sf)
+    segs, evs, _ = _shared_parts(spark, sf)
     return sg.limit_flags(src.transcript_events(spark, sf), evs, segs)
 
 
 def temporal_context(spark, sf):
-    segs, evs, sess = _parts(spark, sf)
+    segs, evs, sess = _shared_parts(spark, sf)
     flags = sg.limit_flags(src.transcript_events(spark, sf), evs, segs)
     oversize = flags.where("oversize_session = 1 or oversize_text = 1")
     context = tl.temporal_context(segs, evs, sess, oversize)

@@ -6,8 +6,14 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import spanalign
+
+# The few Python kernels travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(spanalign)
+
 # Settings the operators rely on: integer milliseconds are UTC, joins re-plan at run time, and
 # partitions that hold a hot key are split instead of landing in one task.
 SETTINGS = {
