@@ -17,7 +17,8 @@ def canonical_pair(
 ) -> Column:
     """Directed dictionary of words heard for one another; ``left`` and ``right`` are not equal."""
     table = F.array(*[F.lit(f"{a} {b}") for a, b in pairs])
-    return F.array_contains(table, F.concat_ws(" ", left, right))
+    listed = left.isin(*{a for a, _ in pairs}) & right.isin(*{b for _, b in pairs})
+    return listed & F.array_contains(table, F.concat_ws(" ", left, right))
 
 
 def bounded_edit_distance(left: Column, right: Column, limit: int) -> Column:
@@ -40,18 +41,18 @@ def token_similar(left: Column, right: Column) -> Column:
     return (left == right) | canonical_pair(left, right) | close_spelling(left, right)
 
 
-def phrase_similarity(left: Column, right: Column) -> Column:
-    """Share of the left tokens that have a similar right token.
-
-    Equal tokens are looked up first, so the pairwise test only runs for the others, and against
-    the distinct right tokens only.
-    """
-    candidates = F.array_distinct(right)
-    hits = F.filter(
-        left,
-        lambda token: F.array_contains(candidates, token)
-        | F.exists(candidates, lambda other: token_similar(token, other)),
+def has_similar(token: Column, candidates: Column) -> Column:
+    """Some candidate is similar to the token: equal ones first, and only tokens that are long or
+    in the dictionary are compared with every candidate."""
+    worth = (F.length(token) > LONG_TOKEN) | token.isin(*{a for a, _ in fixed.CANONICAL_PAIRS})
+    return F.array_contains(candidates, token) | (
+        worth & F.exists(candidates, lambda other: token_similar(token, other))
     )
+
+
+def phrase_similarity(left: Column, right: Column) -> Column:
+    """Share of the left tokens that have a similar right token."""
+    hits = F.filter(left, lambda token: has_similar(token, right))
     return (
         F.when((F.size(left) == 0) & (F.size(right) == 0), F.lit(1.0))
         .when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0))

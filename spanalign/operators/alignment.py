@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanalign import fixed
 from spanalign.functions import checks, sensitive, text as tx
-from spanalign.functions.similarity import phrase_similarity, token_similar
+from spanalign.functions.similarity import has_similar, phrase_similarity
 from spanalign.operators.fuzzy import similar_tokens
 from spanalign.operators.prefix import row_block, running
 from spanalign.operators.utterances import utterances
@@ -248,10 +248,12 @@ def _covered(spans: DataFrame, segments: DataFrame) -> DataFrame:
     rows = spans.withColumn(
         "segment_idx", F.explode(F.sequence(F.col("first_idx"), F.col("last_idx")))
     ).join(pieces, ["session_id", "segment_idx"])
+    # the token lists become columns first, so that no lambda tokenizes the text again
     said = tx.tokens_ascii(F.col("text"))
-    candidates = F.array_distinct(said)
-    hits = F.size(F.filter("spoken", lambda t: F.array_contains(candidates, t) | F.exists(
-        candidates, lambda c: token_similar(t, c))))
+    rows = rows.withColumns({
+        "said_tokens": F.size(said), "candidates": F.array_distinct(said),
+    })
+    hits = F.size(F.filter("spoken", lambda t: has_similar(t, F.col("candidates"))))
     label = F.col("marker_label")
     seen = tx.label_seen(F.col("spoken_text"), label) | (
         (label == "papa") & F.coalesce("pop_a", F.lit(False))
@@ -259,7 +261,7 @@ def _covered(spans: DataFrame, segments: DataFrame) -> DataFrame:
     )
     summed = rows.groupBy("session_id", "utterance_id").agg(
         F.sum(hits).alias("hits"), F.sum(F.size("spoken")).alias("spoken_tokens"),
-        F.max(F.size(said)).alias("said_tokens"), F.bool_or(seen).alias("label_found"),
+        F.max("said_tokens").alias("said_tokens"), F.bool_or(seen).alias("label_found"),
         F.min_by("s", "segment_idx").alias("source_start"),
         F.max_by("e", "segment_idx").alias("source_end"),
     )

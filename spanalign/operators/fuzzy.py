@@ -39,25 +39,37 @@ def _left_parts(token: Column) -> Column:
     ))
 
 
+def _shifts() -> list[tuple[int, int, int]]:
+    """(length difference right - left, part, shift of the part) that can occur.
+
+    If no earlier part matched, each earlier part took an edit of its own, which bounds the shift
+    from the left, and the later parts bound it from the right (multi-match-aware selection of
+    partition-based similarity joins).  This leaves 19 of the 75 combinations.
+    """
+    found = []
+    for diff in range(-EDIT_LIMIT, EDIT_LIMIT + 1):
+        for part in range(PARTS):
+            for shift in range(-EDIT_LIMIT, EDIT_LIMIT + 1):
+                if abs(shift) <= part and abs(shift - diff) <= EDIT_LIMIT - part:
+                    found.append((diff, part, shift))
+    return found
+
+
 def _right_probes(token: Column) -> Column:
     """All (assumed left length, part, substring) the left side could have emitted."""
     own = F.length(token)
-    lengths = F.filter(
-        F.array(*[own + d for d in range(-EDIT_LIMIT, EDIT_LIMIT + 1)]), lambda n: n > LONG_TOKEN
-    )
-    shifts = F.array(*[F.lit(d) for d in range(-EDIT_LIMIT, EDIT_LIMIT + 1)])
 
-    def probe(n: Column, p: Column, d: Column) -> Column:
-        size = _part_start(n, p + 1) - _part_start(n, p)
-        at = _part_start(n, p) + d
-        fits = (at >= 0) & (at + size <= own)
+    def probe(diff: int, part: int, shift: int) -> Column:
+        n = own - diff
+        start, end = (_part_start(n, F.lit(k)) for k in (part, part + 1))
+        at = start + shift
+        fits = (n > LONG_TOKEN) & (at >= 0) & (end + shift <= own)
         return F.when(fits, F.struct(
-            n.alias("len"), p.alias("part"), F.substring(token, at + 1, size).alias("piece")
+            n.alias("len"), F.lit(part).alias("part"),
+            F.substring(token, at + 1, end - start).alias("piece"),
         ))
 
-    nested = F.transform(lengths, lambda n: F.flatten(F.transform(
-        _parts(), lambda p: F.transform(shifts, lambda d: probe(n, p, d)))))
-    return F.array_distinct(F.array_compact(F.flatten(nested)))
+    return F.array_distinct(F.array_compact(F.array(*[probe(*s) for s in _shifts()])))
 
 
 def similar_tokens(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["timeline_queries", "text_queries", "record_queries", "quality_queries"]
+MODULES = [
+    "timeline_queries", "text_queries", "record_queries", "quality_queries", "stream_queries",
+]
 
 
 def _merge(name: str) -> dict:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from spanalign import fixed
 from spanalign.functions import instants, text as tx
 from spanalign.operators import segments as sg, timeline as tl
-from spanalign.plans.sql import NON_WS, any_token, band, normalized, query
+from spanalign.plans import redaction_sql as rs
+from spanalign.plans.sql import NON_WS, any_token, band, collapse, mmss, normalized, query
 from spanalign.session import written
 from spanalign.sources import tables as src
 
@@ -169,7 +170,15 @@ def temporal_context(spark, sf):
     )
 
 
+def note_lines(spark, sf):
+    segs, evs, sess = _shared_parts(spark, sf)
+    return tl.note_lines(segs, tl.align_events(segs, evs, sess)).select(
+        "session_id", "segment_id", F.col("line_no").cast("bigint").alias("line_no"), "line"
+    )
+
+
 QUERIES = {
+    "note_lines": note_lines,
     "effective_offset": effective_offset,
     "assemble_segments": assemble_segments,
     "completed_segments": completed_segments,
@@ -238,12 +247,27 @@ FROM (SELECT session_id, count(*) AS transcript_rows,
 LEFT JOIN (SELECT session_id, count(*) AS event_rows FROM ui_events GROUP BY session_id) e USING (session_id)
 LEFT JOIN (SELECT session_id, count(*) AS segment_rows FROM segments GROUP BY session_id) s USING (session_id)"""
 
+_NOTE_TEXTS = """SELECT session_id * 100000 + segment_id AS k, session_id, segment_id, text FROM segments"""
+
+
+def _shown(text: str) -> str:
+    return rf"""regexp_replace({collapse(text)}, '([\\`*_{{}}\[\]<>#|!()+-])', '\\\1', 'g')"""
+
 
 def _count(cte: str) -> str:
     return f"coalesce((SELECT count(*) FROM {cte} x WHERE x.session_id = s.session_id), 0)"
 
 
 SQL = {
+    "note_lines": query(
+        f"""SELECT n.session_id, n.segment_id, 0 AS line_no, '- [' || {mmss('start_ms')} || '-' || {mmss('end_ms')}
+          || '] Transcript segment: [untrusted data] ' || {_shown('red.text')} AS line
+        FROM notes n JOIN red USING (k) JOIN segments s ON s.session_id = n.session_id AND s.segment_id = n.segment_id
+        UNION ALL SELECT session_id, segment_id, nearby_rank, '  - Nearby UI: Event kind: [untrusted data] '
+          || {_shown('kind')} || '; Event app: [untrusted data] ' || {_shown("coalesce(app, 'unknown app')")}
+          || '; Event window: [untrusted data] ' || {_shown("""coalesce("window", 'unknown window')""")}
+        FROM ({_RANKED}) WHERE nearby_rank <= 4""", "pairs",
+        extra={"notes": _NOTE_TEXTS, **rs.redacted_ctes("red", "notes")}),
     "effective_offset": query("SELECT session_id, seq, offset_ms, timing_source FROM timed", "timed"),
     "assemble_segments": query("SELECT * FROM segments", "segments"),
     "completed_segments": query(
