@@ -56,7 +56,7 @@ def _shifts() -> list[tuple[int, int, int]]:
 
 
 def _right_probes(token: Column) -> Column:
-    """All (assumed left length, part, substring) the left side could have emitted."""
+    """All (assumed left length, part, substring) the left side could have emitted, or NULL."""
     own = F.length(token)
 
     def probe(diff: int, part: int, shift: int) -> Column:
@@ -69,7 +69,7 @@ def _right_probes(token: Column) -> Column:
             F.substring(token, at + 1, end - start).alias("piece"),
         ))
 
-    return F.array_distinct(F.array_compact(F.array(*[probe(*s) for s in _shifts()])))
+    return F.array(*[probe(*s) for s in _shifts()])
 
 
 def similar_tokens(
@@ -101,7 +101,7 @@ def similar_tokens(
     ).select(key, "left_token", "k.*")
     probes = rs.where(F.length("right_token") > LONG_TOKEN).select(
         key, "right_token", F.explode(_right_probes(F.col("right_token"))).alias("k")
-    ).select(key, "right_token", "k.*")
+    ).where("k is not null").select(key, "right_token", "k.*")
     spelled = (
         emitted.join(probes, [key, "len", "part", "piece"])
         .where(

@@ -247,7 +247,8 @@ FROM (SELECT session_id, count(*) AS transcript_rows,
 LEFT JOIN (SELECT session_id, count(*) AS event_rows FROM ui_events GROUP BY session_id) e USING (session_id)
 LEFT JOIN (SELECT session_id, count(*) AS segment_rows FROM segments GROUP BY session_id) s USING (session_id)"""
 
-_NOTE_TEXTS = """SELECT session_id * 100000 + segment_id AS k, session_id, segment_id, text FROM segments"""
+_NOTE_TEXTS = """SELECT session_id * 100000 + segment_id AS k, session_id, segment_id,
+  substring(text, 1, 4096) AS text FROM segments"""
 
 
 def _shown(text: str) -> str:
@@ -261,7 +262,8 @@ def _count(cte: str) -> str:
 SQL = {
     "note_lines": query(
         f"""SELECT n.session_id, n.segment_id, 0 AS line_no, '- [' || {mmss('start_ms')} || '-' || {mmss('end_ms')}
-          || '] Transcript segment: [untrusted data] ' || {_shown('red.text')} AS line
+          || '] Transcript segment: [untrusted data] ' || {_shown('red.text')}
+          || CASE WHEN length(s.text) > 4096 THEN '...' ELSE '' END AS line
         FROM notes n JOIN red USING (k) JOIN segments s ON s.session_id = n.session_id AND s.segment_id = n.segment_id
         UNION ALL SELECT session_id, segment_id, nearby_rank, '  - Nearby UI: Event kind: [untrusted data] '
           || {_shown('kind')} || '; Event app: [untrusted data] ' || {_shown("coalesce(app, 'unknown app')")}

@@ -345,7 +345,7 @@ def live_alignment(
 
 # --- running a stream over what is there ---
 
-MAX_BYTES_PER_TRIGGER = "512m"
+MAX_BYTES_PER_TRIGGER = 512 * 1024 * 1024
 
 
 def stream_folder(spark: SparkSession, folder: str, schema, glob: str | None = None) -> DataFrame:
