@@ -9,6 +9,7 @@ Class letters
     A  password assignment          a  password assignment that ends a phrase
     S  separator (``: = -``)        C  is / was / equals      c  the same, ending a phrase
     E  any other token that ends a phrase                     N  any other token
+    e, n  the same for an ordinary word that nothing but the carry rule can touch
 """
 
 from __future__ import annotations
@@ -37,14 +38,17 @@ ASSIGNED_VALUE = (
 SEPARATOR = r"\A[:=-]+\z"
 CONNECTOR = r"(?i)\A[^A-Za-z]*(?:is|was|equals)[^A-Za-z]*\z"
 PHRASE_END = r"[.,;!?]\z"
-PLAIN_WORD = r"\A\p{L}{1,31}[.,;!?]?\z"
+ORDINARY_WORD = (
+    rf"(?i)\A(?!{_EDGE}(?:{_KEYS}){_EDGE}\z)(?![^A-Za-z]*(?:is|was|equals)[^A-Za-z]*\z)"
+    r"\p{L}{1,31}[.,;!?]?\z"
+)
 PHONE = (
     r"(?<![0-9A-Za-z])(?=[0-9+(])(?:[+\-(). \t]*[0-9]){10,15}(?:[+\-(). \t]*\))?"
     r"(?=[ \t+\-(.]*(?:[^0-9A-Za-z+\-(). \t]|\z)|[ \t+\-(.]+[A-Za-z])"
 )
 # Which tokens stand in a secret-carrying position, read on the class string.
 _SEPARATORS_AFTER_KEY = r"(?<=K)S|(?!\A)\GS"
-_CARRIED = r"(?<=[KTP]|P[SCc][NSC]{0,7}|A[NSC]{0,6})[NCEcKP]"
+_CARRIED = r"(?<=[KTP]|P[SCc][NnSC]{0,7}|A[NnSC]{0,6})[NnCEecKP]"
 _CARRIED_MARK = "*"
 # Cheap whole-text test: a document without any of these shapes needs no token work.
 HINT = (
@@ -129,15 +133,13 @@ def keep_edges(token: Column, replacement: str) -> Column:
 
 
 def token_class(token: Column) -> Column:
-    """The class letter of a token (module docstring)."""
-    ending = ends_phrase(token)
+    """The class letter of a token (module docstring); most tokens are settled by one pattern."""
+    ending = F.substring(token, -1, 1).isin(".", ",", ";", "!", "?")
     return (
-        F.when(
-            token.rlike(BARE_KEY), F.when(token.rlike(BARE_PASSWORD), "P").otherwise("K")
-        )
+        F.when(token.rlike(ORDINARY_WORD), F.when(ending, "e").otherwise("n"))
+        .when(token.rlike(BARE_KEY), F.when(token.rlike(BARE_PASSWORD), "P").otherwise("K"))
         .when(is_separator(token), "S")
         .when(is_connector(token), F.when(ending, "c").otherwise("C"))
-        .when(token.rlike(PLAIN_WORD), F.when(ending, "E").otherwise("N"))
         .when(token.rlike(PASSWORD_ASSIGNMENT), F.when(ending, "a").otherwise("A"))
         .when(ending, "E")
         .otherwise("N")
@@ -145,7 +147,7 @@ def token_class(token: Column) -> Column:
 
 
 def carried_flags(tokens: Column) -> Column:
-    """Array with ``*`` where a token follows a secret key and is not a separator."""
+    """Array of class letters, with ``*`` where a token follows a secret key and is no separator."""
     classes = F.array_join(F.transform(tokens, token_class), "")
     marked = F.regexp_replace(
         F.regexp_replace(classes, _SEPARATORS_AFTER_KEY, "T"), _CARRIED, _CARRIED_MARK
@@ -154,16 +156,17 @@ def carried_flags(tokens: Column) -> Column:
 
 
 def _with_flags(tokens: Column, visit) -> Column:
-    """``visit(token, carried)`` over all tokens, each sub-expression computed once per row."""
+    """``visit(token, flag)`` over all tokens, each sub-expression computed once per row."""
     pairs = F.arrays_zip(tokens.alias("token"), carried_flags(tokens).alias("flag"))
     # arrays_zip pads to the longer side: split() may leave one empty entry at the end
     pairs = F.slice(pairs, 1, F.size(tokens))
-    return F.transform(pairs, lambda p: visit(p["token"], p["flag"] == _CARRIED_MARK))
+    return F.transform(pairs, lambda p: visit(p["token"], p["flag"]))
 
 
-def redact_token(token: Column, carried: Column) -> Column:
+def redact_token(token: Column, flag: Column) -> Column:
+    carried = flag == _CARRIED_MARK
     return (
-        F.when(token.rlike(PLAIN_WORD) & ~carried, token)
+        F.when(flag.isin("n", "e"), token)
         .when(token.rlike(ASSIGNMENT), redact_assignments(token))
         .when(token.rlike(BARE_KEY), token)
         .when(
@@ -178,10 +181,11 @@ def redact_token(token: Column, carried: Column) -> Column:
     )
 
 
-def token_category(token: Column, carried: Column) -> Column:
+def token_category(token: Column, flag: Column) -> Column:
+    carried = flag == _CARRIED_MARK
     key_value, secret, email, path, jwt, opaque = _CATEGORIES
     return (
-        F.when(token.rlike(PLAIN_WORD) & ~carried, F.lit(None).cast("string"))
+        F.when(flag.isin("n", "e"), F.lit(None).cast("string"))
         .when(token.rlike(ASSIGNMENT), key_value)
         .when(is_secret_token(token) | is_cloud_access_key(token), secret)
         .when(carried, key_value)

@@ -25,18 +25,20 @@ def _part_start(length: Column, part: Column) -> Column:
     return (base * part + F.greatest(part - short, F.lit(0))).cast("int")
 
 
-def _parts() -> Column:
-    return F.array(*[F.lit(i) for i in range(PARTS)])
-
-
-def _left_parts(token: Column) -> Column:
-    length = F.length(token)
-    return F.transform(_parts(), lambda p: F.struct(
-        length.alias("len"), p.alias("part"),
-        F.substring(
-            token, _part_start(length, p) + 1, _part_start(length, p + 1) - _part_start(length, p)
-        ).alias("piece"),
-    ))
+def _with_piece(tokens: DataFrame, token: str, length: Column, part: Column, shift: Column) -> DataFrame:
+    """Adds ``len``, ``part`` and the piece of ``token`` where that part of an n-letter token lies."""
+    start, end = _part_start(length, part), _part_start(length, part + 1)
+    return tokens.withColumns({"len": length, "part": part, "at": start + shift, "size": end - start}).where(
+        (F.col("len") > LONG_TOKEN) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.length(token))
+    ).withColumn("piece", F.substring(token, F.col("at") + 1, F.col("size")))
+
+
+def _left_pieces(tokens: DataFrame) -> DataFrame:
+    parts = F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("p")
+    placed = _with_piece(
+        tokens.select("*", parts), "left_token", F.length("left_token"), F.col("p"), F.lit(0)
+    )
+    return placed.drop("p", "at", "size")
 
 
 def _shifts() -> list[tuple[int, int, int]]:
@@ -55,21 +57,17 @@ def _shifts() -> list[tuple[int, int, int]]:
     return found
 
 
-def _right_probes(token: Column) -> Column:
-    """All (assumed left length, part, substring) the left side could have emitted, or NULL."""
-    own = F.length(token)
-
-    def probe(diff: int, part: int, shift: int) -> Column:
-        n = own - diff
-        start, end = (_part_start(n, F.lit(k)) for k in (part, part + 1))
-        at = start + shift
-        fits = (n > LONG_TOKEN) & (at >= 0) & (end + shift <= own)
-        return F.when(fits, F.struct(
-            n.alias("len"), F.lit(part).alias("part"),
-            F.substring(token, at + 1, end - start).alias("piece"),
-        ))
-
-    return F.array(*[probe(*s) for s in _shifts()])
+def _right_pieces(tokens: DataFrame) -> DataFrame:
+    """All (assumed left length, part, substring) the left side could have emitted."""
+    options = F.explode(F.array(*[
+        F.struct(F.lit(d).alias("diff"), F.lit(p).alias("part"), F.lit(s).alias("shift"))
+        for d, p, s in _shifts()
+    ])).alias("o")
+    placed = _with_piece(
+        tokens.select("*", options), "right_token", F.length("right_token") - F.col("o.diff"),
+        F.col("o.part"), F.col("o.shift"),
+    )
+    return placed.drop("o", "at", "size")
 
 
 def similar_tokens(
@@ -96,12 +94,8 @@ def similar_tokens(
         key, "left_token", "right_token"
     )
 
-    emitted = ls.where(F.length("left_token") > LONG_TOKEN).select(
-        key, "left_token", F.explode(_left_parts(F.col("left_token"))).alias("k")
-    ).select(key, "left_token", "k.*")
-    probes = rs.where(F.length("right_token") > LONG_TOKEN).select(
-        key, "right_token", F.explode(_right_probes(F.col("right_token"))).alias("k")
-    ).where("k is not null").select(key, "right_token", "k.*")
+    emitted = _left_pieces(ls.where(F.length("left_token") > LONG_TOKEN))
+    probes = _right_pieces(rs.where(F.length("right_token") > LONG_TOKEN))
     spelled = (
         emitted.join(probes, [key, "len", "part", "piece"])
         .where(

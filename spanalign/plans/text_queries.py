@@ -199,7 +199,9 @@ def token_classes(spark, sf):
         "connector": sensitive.is_connector(t),
         "phrase_end": sensitive.ends_phrase(t),
     }
-    return toks.groupBy(sensitive.token_class(t).alias("class")).agg(
+    letter = sensitive.token_class(t)
+    letter = F.when(letter.isin("n", "e"), F.upper(letter)).otherwise(letter)
+    return toks.groupBy(letter.alias("class")).agg(
         F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in flags.items()]
     )
 
