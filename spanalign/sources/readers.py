@@ -52,7 +52,7 @@ def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
     read unsplit and numbered inside one task; many files are read in parallel.
     """
     try:
-        whole = spark.read.option("wholetext", True).text(pattern)
+        whole = spark.read.text(pattern, wholetext=True)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], _LINES)
@@ -170,7 +170,7 @@ def read_session_documents(
 ) -> DataFrame:
     """One JSON document per session; an unreadable one is NULL (or fails when ``strict``)."""
     try:
-        texts = spark.read.option("wholetext", True).text(f"{root}/*/{file}")
+        texts = spark.read.text(f"{root}/*/{file}", wholetext=True)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], "session_id string").withColumn(
