@@ -174,7 +174,7 @@ def _order_log(spark, sf):
         F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("at_ms"),
     )
     numbered = running(
-        rows, ["session_id"], F.floor(F.col("at_ms") / (BLOCK_MS * 24 * 30)).cast("bigint"),
+        rows, ["session_id"], F.floor(F.col("at_ms") / (BLOCK_MS * 24)).cast("bigint"),
         ["at_ms", "orderkey"], sums={"earlier": F.lit(1)},
     )
     return numbered.withColumn("seq", (F.col("earlier") + 1).cast("bigint"))
