@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from spanalign import fixed
-from spanalign.functions.text import NON_WS, WS, collapse, escape_markdown, extract_all
+from spanalign.functions.text import NON_WS, collapse, escape_markdown, extract_all
 
 
 def _alternation(keys: tuple[str, ...]) -> str:

@@ -19,18 +19,6 @@ from spanalign.session import written
 from spanalign.sources import tables as src
 
 
-def _segments(spark, sf):
-    return sg.assemble_segments(src.transcript_events(spark, sf))
-
-
-def _parts(spark, sf):
-    """Derived tables that feed many branches of one query, written once per query."""
-    return (
-        written(_segments(spark, sf), "segments"), written(src.ui_events(spark, sf), "ui-events"),
-        src.sessions(spark, sf),
-    )
-
-
 # --- cleaned text ---
 
 def cleaned_text(segments):
@@ -52,7 +40,7 @@ def cleaned_text(segments):
 
 
 def align_cleaned(spark, sf):
-    segs = written(_segments(spark, sf), "segments")
+    segs = src.shared_segments(spark, sf)
     cleaned = written(cleaned_text(segs), "cleaned")
     final = al.align_cleaned(segs, cleaned)
     return al.final_timeline(final).select(
@@ -64,7 +52,7 @@ def align_cleaned(spark, sf):
 
 def align_fallback(spark, sf):
     """Proportional allocation of the first words of each session's first segment: short texts."""
-    segs = written(_segments(spark, sf), "segments")
+    segs = src.shared_segments(spark, sf)
     short = segs.groupBy("session_id").agg(F.min_by("text", "segment_id").alias("t")).select(
         "session_id", F.element_at(tx.fixed_spans(F.col("t"), 12), 1).alias("cleaned_text"))
     fits = short.select("session_id")
@@ -75,16 +63,16 @@ def align_fallback(spark, sf):
 
 
 def final_status(spark, sf):
-    return al.final_status(_final_like(_segments(spark, sf)))
+    return al.final_status(_final_like(src.shared_segments(spark, sf)))
 
 
 def alignment_limits(spark, sf):
-    segs = written(_segments(spark, sf), "segments")
+    segs = src.shared_segments(spark, sf)
     return al.alignment_limits(segs, cleaned_text(segs))
 
 
 def utterance_spans(spark, sf):
-    segs = written(_segments(spark, sf), "segments")
+    segs = src.shared_segments(spark, sf)
     return utterances(cleaned_text(segs)).select(
         "session_id", "utterance_id", "marker_label", F.md5("text").alias("digest"),
         "token_start", "token_end",
@@ -99,7 +87,7 @@ def document_utterances(spark, sf):
 
 
 def similar_token_pairs(spark, sf):
-    segs = written(_segments(spark, sf), "segments")
+    segs = src.shared_segments(spark, sf)
     cleaned = cleaned_text(segs)
     return similar_tokens(al.cleaned_tokens(cleaned), al.realtime_tokens(segs))
 
@@ -125,7 +113,7 @@ def clamp_forward(spark, sf):
 
 def label_search(spark, sf):
     """First segment at or after each segment's position that carries a spoken label."""
-    segs = written(_segments(spark, sf), "segments")
+    segs = src.shared_segments(spark, sf)
     spoken = al.spoken_labels(segs)
     labels = F.explode(F.array(*[F.lit(x) for x in ("alpha", "bravo", "kilo")])).alias("label")
     wanted = segs.select(
@@ -158,7 +146,7 @@ def validate_cleanup(spark, sf):
 
 def select_authoritative(spark, sf):
     """Sessions whose receipts verify use a marked copy of their segments."""
-    segs = written(_segments(spark, sf), "segments")
+    segs = src.shared_segments(spark, sf)
     sess = src.sessions(spark, sf)
     digest = checks.sha256(F.col("session_id").cast("string"))
     receipts = sess.select("session_id", F.create_map(
@@ -182,12 +170,12 @@ def select_authoritative(spark, sf):
 # --- scores ---
 
 def narration_quality(spark, sf):
-    segs, evs, sess = _parts(spark, sf)
+    segs, evs, sess = src.shared_tables(spark, sf)
     return sc.narration_quality(segs, evs, sess)
 
 
 def marker_recall(spark, sf):
-    return sc.marker_recall(_segments(spark, sf))
+    return sc.marker_recall(src.shared_segments(spark, sf))
 
 
 def start_sync_check(spark, sf):
@@ -272,7 +260,7 @@ def review_scorecard(spark, sf):
 
 
 def evidence_boundary(spark, sf):
-    segs, evs, sess = _parts(spark, sf)
+    segs, evs, sess = src.shared_tables(spark, sf)
     counts = tl.session_counts(segs, evs, sess)
     flags = {n: F.expr(e) for n, e in {
         "provided": "doc_id % 3 <> 0", "exists": "doc_id % 4 <> 0"}.items()}
@@ -285,7 +273,7 @@ def evidence_boundary(spark, sf):
 
 
 def session_summary(spark, sf):
-    segs, evs, sess = _parts(spark, sf)
+    segs, evs, sess = src.shared_tables(spark, sf)
     return sc.session_summary(
         tl.session_counts(segs, evs, sess), sc.narration_quality(segs, evs, sess), vc.voice_bindings(segs)
     )
@@ -304,7 +292,7 @@ def first_latencies(spark, sf):
 
 
 def _evaluated(spark, sf):
-    segs, evs, sess = _parts(spark, sf)
+    segs, evs, sess = src.shared_tables(spark, sf)
     return dl.evaluate_delay(sess, src.transcript_events(spark, sf), _final_like(segs), evs)
 
 
@@ -325,7 +313,7 @@ def compare_delay(spark, sf):
 # --- voice ---
 
 def voice_bindings(spark, sf):
-    return vc.voice_bindings(_segments(spark, sf), "calm", "slow", "high")
+    return vc.voice_bindings(src.shared_segments(spark, sf), "calm", "slow", "high")
 
 
 _VOICE = {
@@ -337,7 +325,7 @@ _VOICE = {
 
 
 def voice_cues(spark, sf):
-    rows = _segments(spark, sf).select(
+    rows = src.shared_segments(spark, sf).select(
         "session_id", "segment_id", "start_ms", *[F.expr(e).alias(n) for n, e in _VOICE.items()])
     valid = vc.is_valid_voice(F.col("style"), F.col("pace"), F.col("emphasis"))
     return vc.voice_cues(rows).join(

@@ -8,7 +8,7 @@ from spanalign import fixed
 from spanalign.functions import checks, instants, sensitive, similarity, text as tx
 from spanalign.plans import redaction_sql as rs
 from spanalign.plans.sql import (
-    NON_WS, TOK, any_token, collapse, mmss, normalized, query, squeeze, tokens, utc_ms, words,
+    NON_WS, any_token, collapse, mmss, normalized, query, squeeze, tokens, utc_ms,
 )
 from spanalign.sources import tables as src
 

@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanalign import fixed
-from spanalign.functions import instants, text as tx
+from spanalign.functions import instants
 from spanalign.operators import segments as sg, timeline as tl
 from spanalign.plans import redaction_sql as rs
 from spanalign.plans.sql import NON_WS, any_token, band, collapse, mmss, normalized, query
-from spanalign.session import written
 from spanalign.sources import tables as src
 
 
-def _parts(spark, sf):
-    events = src.transcript_events(spark, sf)
-    return sg.assemble_segments(events), src.ui_events(spark, sf), src.sessions(spark, sf)
-
-
-def _shared_parts(spark, sf):
-    """The same for queries that read them in several branches: written once per query."""
-    segs, evs, sess = _parts(spark, sf)
-    return written(segs, "segments"), written(evs, "ui-events"), sess
-
-
 def effective_offset(spark, sf):
     return sg.timed_events(src.transcript_events(spark, sf)).select(
         "session_id", "seq", "offset_ms", "timing_source"
@@ -31,17 +19,17 @@ def effective_offset(spark, sf):
 
 
 def assemble_segments(spark, sf):
-    return sg.assemble_segments(src.transcript_events(spark, sf))
+    return sg.assemble_segments(src.shared_transcript(spark, sf))
 
 
 def completed_segments(spark, sf):
-    return sg.completed_segments(src.transcript_events(spark, sf)).select(
+    return sg.completed_segments(src.shared_transcript(spark, sf)).select(
         "session_id", "segment_id", "start_ms", "end_ms"
     )
 
 
 def delta_fallback(spark, sf):
-    return sg.delta_fallback(src.transcript_events(spark, sf))
+    return sg.delta_fallback(src.shared_transcript(spark, sf))
 
 
 def ui_event_fields(spark, sf):
@@ -49,35 +37,35 @@ def ui_event_fields(spark, sf):
 
 
 def segment_anchors(spark, sf):
-    segs, _, sess = _parts(spark, sf)
+    segs, _, sess = src.shared_tables(spark, sf)
     return tl.with_anchor(segs, sess).select("session_id", "segment_id", "audio_started_ms", "mid_ms")
 
 
 def align_events(spark, sf):
-    return tl.align_events(*_parts(spark, sf)).select(
+    return tl.align_events(*src.shared_tables(spark, sf)).select(
         "session_id", "segment_id", "seq", "event_id", "delta_ms", "confidence"
     )
 
 
 def aligned_segments(spark, sf):
-    return tl.aligned_segments(*_parts(spark, sf)).select(
+    return tl.aligned_segments(*src.shared_tables(spark, sf)).select(
         "session_id", "segment_id", "best_confidence", F.col("near_event").alias("closest_ms")
     )
 
 
 def out_of_window_events(spark, sf):
-    return tl.out_of_window_events(*_parts(spark, sf)).select("session_id", "seq", "unix_ms")
+    return tl.out_of_window_events(*src.shared_tables(spark, sf)).select("session_id", "seq", "unix_ms")
 
 
 def nearby_events(spark, sf):
-    return tl.nearby_events(tl.align_events(*_parts(spark, sf))).select(
+    return tl.nearby_events(tl.align_events(*src.shared_tables(spark, sf))).select(
         "session_id", "segment_id", F.col("nearby_rank").cast("bigint").alias("nearby_rank"),
         "event_id", "delta_ms",
     )
 
 
 def nearby_lists(spark, sf):
-    first = tl.nearby_events(tl.align_events(*_parts(spark, sf)))
+    first = tl.nearby_events(tl.align_events(*src.shared_tables(spark, sf)))
     # at most four entries per segment
     listed = first.groupBy("session_id", "segment_id").agg(
         F.array_sort(F.collect_list(F.struct("nearby_rank", "event_id"))).alias("nearby")
@@ -91,11 +79,11 @@ def nearby_lists(spark, sf):
 
 
 def conflict_warnings(spark, sf):
-    return tl.conflict_warnings(*_parts(spark, sf)).select("session_id", "segment_id", "reason")
+    return tl.conflict_warnings(*src.shared_tables(spark, sf)).select("session_id", "segment_id", "reason")
 
 
 def conflict_event_lists(spark, sf):
-    segs, evs, sess = _shared_parts(spark, sf)
+    segs, evs, sess = src.shared_tables(spark, sf)
     warnings = tl.conflict_warnings(segs, evs, sess)
     return tl.conflict_events(warnings, tl.align_events(segs, evs, sess)).select(
         "session_id", "segment_id", F.col("nearby_rank").cast("bigint").alias("nearby_rank"),
@@ -104,7 +92,7 @@ def conflict_event_lists(spark, sf):
 
 
 def duplicate_segments(spark, sf):
-    segs, _, _ = _parts(spark, sf)
+    segs = src.shared_segments(spark, sf)
     return tl.duplicate_segments(segs).select("session_id", "segment_id", "duplicate_of")
 
 
@@ -128,31 +116,31 @@ def clock_skew(spark, sf):
 
 
 def alignment_diagnostics(spark, sf):
-    return tl.alignment_diagnostics(*_shared_parts(spark, sf))
+    return tl.alignment_diagnostics(*src.shared_tables(spark, sf))
 
 
 def session_counts(spark, sf):
-    return tl.session_counts(*_shared_parts(spark, sf))
+    return tl.session_counts(*src.shared_tables(spark, sf))
 
 
 def band_counts(spark, sf):
-    return tl.band_counts(*_parts(spark, sf)).select(
+    return tl.band_counts(*src.shared_tables(spark, sf)).select(
         "session_id", "aligned_segments", "high_segments", "medium_segments", "low_segments"
     )
 
 
 def monotonic_policy(spark, sf):
-    segs, _, _ = _parts(spark, sf)
+    segs = src.shared_segments(spark, sf)
     return sg.monotonic_policy(segs)
 
 
 def limit_flags(spark, sf):
-    segs, evs, _ = _shared_parts(spark, sf)
+    segs, evs, _ = src.shared_tables(spark, sf)
     return sg.limit_flags(src.transcript_events(spark, sf), evs, segs)
 
 
 def temporal_context(spark, sf):
-    segs, evs, sess = _shared_parts(spark, sf)
+    segs, evs, sess = src.shared_tables(spark, sf)
     flags = sg.limit_flags(src.transcript_events(spark, sf), evs, segs)
     oversize = flags.where("oversize_session = 1 or oversize_text = 1")
     context = tl.temporal_context(segs, evs, sess, oversize)
@@ -171,7 +159,7 @@ def temporal_context(spark, sf):
 
 
 def note_lines(spark, sf):
-    segs, evs, sess = _shared_parts(spark, sf)
+    segs, evs, sess = src.shared_tables(spark, sf)
     return tl.note_lines(segs, tl.align_events(segs, evs, sess)).select(
         "session_id", "segment_id", F.col("line_no").cast("bigint").alias("line_no"), "line"
     )

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanalign.functions import instants, text as tx
 from spanalign.operators.prefix import BLOCK_MS, row_block, running
+from spanalign.operators.segments import assemble_segments
+from spanalign.session import written
 
 MS_PER_WORD = 400
 DENSE_STEP_MS = 2_500
@@ -100,8 +102,11 @@ def event_details() -> dict[str, Column]:
     }
 
 
-def ui_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UI events on a dense clock: one every 2.5 s from the first event of the session."""
+def ui_events(spark: SparkSession, sf_dir: str, anchors: DataFrame | None = None) -> DataFrame:
+    """UI events on a dense clock: one every 2.5 s from the first event of the session.
+
+    ``anchors`` is the session table, when it is at hand already.
+    """
     raw = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"),
@@ -111,7 +116,7 @@ def ui_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw, ["session_id"], F.floor(F.col("at_us") / (BLOCK_MS * 1000)).cast("bigint"),
         ["at_us", "event_id"], sums={"earlier": F.lit(1)},
     ).withColumn("seq", (F.col("earlier") + 1).cast("bigint"))
-    base = sessions(spark, sf_dir).select("session_id", "base_ms")
+    base = (anchors or sessions(spark, sf_dir)).select("session_id", "base_ms")
     ms = F.col("base_ms") + (F.col("seq") - 1) * DENSE_STEP_MS + F.col("event_id") % 1000
     raw_ts = (
         F.when(F.col("event_id") % 17 == 0, F.lit(None).cast("string"))
@@ -128,3 +133,23 @@ def ui_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             "app", "window", "ui_hint",
         )
     )
+
+
+# --- tables that feed several branches of one query: written once per query ---
+
+def shared_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(transcript_events(spark, sf_dir), "transcript")
+
+
+def shared_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(assemble_segments(shared_transcript(spark, sf_dir)), "segments")
+
+
+def shared_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, ui events, sessions)."""
+    anchors = written(sessions(spark, sf_dir), "sessions")
+    return (
+        shared_segments(spark, sf_dir),
+        written(ui_events(spark, sf_dir, anchors), "ui-events"),
+        anchors,
+    )
