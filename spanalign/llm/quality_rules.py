@@ -61,7 +61,8 @@ def _gram_ranges(offsets: np.ndarray, gram: int, n: int) -> tuple[np.ndarray, np
 def gram_counts(documents: DataFrame, trusted: DataFrame, gram: int = GRAM, bits: int = BITS) -> DataFrame:
     """``bucket, raw, target``: n-gram counts over all documents and over those in ``trusted`` (``doc_id``)."""
     marked = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("marked", F.lit(1))
-    rows = documents.select("doc_id", "text").join(marked, "doc_id", "left").select("text", "marked")
+    # labels grow with the corpus: one plan at every size, no broadcast for small inputs only
+    rows = documents.select("doc_id", "text").join(marked.hint("merge"), "doc_id", "left").select("text", "marked")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
