@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanalign.llm import best_fit_packing as packing
+from spanalign.llm import ngram_jaccard as jaccard
 from spanalign.llm import quality_rules as quality
 from spanalign.llm import toxicity as toxic
 
@@ -26,6 +27,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five words, a similarity of 0.75 or more."""
+    return jaccard.similar_groups(_read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxic.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -38,6 +44,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
     "op7_quality_rules": op7_quality_rules,
 }
