@@ -34,6 +34,7 @@ OPEN_BINS = 4096
 STREAM_PIECES, RUN_PIECES = 1 << 15, 1 << 13
 #: Ids of distinct words kept by a task before it starts anew (memory only, results are the same).
 CACHED_IDS = 1 << 22
+ENCODED_AT_ONCE = 4096
 
 
 class WordIds:
@@ -49,19 +50,26 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        # hashes of known words in order, and the place of each one's ids
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.bounds, self.used, self.filled = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
 
-    def add(self, keys: list[int], new: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.array([i for ids in coded for i in ids], np.uint32)
-        ends = self.filled + np.cumsum([len(ids) for ids in coded])
+    def add(self, keys: np.ndarray, new: list[str]) -> None:
+        """Encode new words, given with their hashes in order."""
+        parts, sizes = [], []
+        for low in range(0, len(new), ENCODED_AT_ONCE):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new[low:low + ENCODED_AT_ONCE], add_special_tokens=False)]
+            sizes += map(len, coded)
+            parts.append(np.array([i for ids in coded for i in ids], np.uint32))
+        flat, n = np.concatenate(parts), len(new)
         self.ids = _room(self.ids, self.filled + len(flat))
-        self.bounds = _room(self.bounds, self.used + len(new) + 1)
+        self.bounds = _room(self.bounds, self.used + n + 1)
         self.ids[self.filled:self.filled + len(flat)] = flat
-        self.bounds[self.used + 1:self.used + 1 + len(new)] = ends
-        self.place.update(zip(keys, range(self.used, self.used + len(new))))
-        self.used, self.filled = self.used + len(new), self.filled + len(flat)
+        self.bounds[self.used + 1:self.used + 1 + n] = self.filled + np.cumsum(sizes)
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.place = np.insert(self.place, at, np.arange(self.used, self.used + n))
+        self.used, self.filled = self.used + n, self.filled + len(flat)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each text's ids."""
@@ -69,12 +77,12 @@ class WordIds:
             self.clear()
         starts, ends, hashes, first = K.words(data, offsets, self.powers, lower=False)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        missing = [i for i, k in enumerate(listed) if k not in self.place]
-        if missing:
+        at = np.searchsorted(self.known, keys)
+        missing = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != keys) if len(self.known) else np.arange(len(keys))
+        if len(missing):
             raw = data.tobytes()
-            self.add([listed[i] for i in missing], [raw[starts[w]:ends[w]].decode("utf-8", "replace") for w in where[missing].tolist()])
-        at = np.fromiter(map(self.place.__getitem__, listed), np.int64, len(listed))[inverse]
+            self.add(keys[missing], [raw[starts[w]:ends[w]].decode("utf-8", "replace") for w in where[missing].tolist()])
+        at = self.place[np.searchsorted(self.known, keys)][inverse]
         low, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         sums = np.zeros(len(at) + 1, np.int64)
         np.cumsum(sizes, out=sums[1:])
