@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanalign.llm import best_fit_packing as packing
+from spanalign.llm import nearest_vectors as vectors
 from spanalign.llm import ngram_jaccard as jaccard
 from spanalign.llm import quality_rules as quality
 from spanalign.llm import toxicity as toxic
@@ -42,11 +43,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one."""
+    return vectors.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_nearest_vectors": op8_nearest_vectors,
 }
 
 SQL: dict[str, str] = {}
