@@ -192,37 +192,36 @@ def _possible(m: Column, i: Column, n: Column, j: Column, percent: int) -> Colum
     return (F.least(m, n) >= need) & (F.least(m - i, n - j) >= need)
 
 
-def _sets_of(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, shingles`` of the given nodes."""
-    place = F.shiftrightunsigned("node", 64 - FILTER_BITS)
+def _sets_of(documents: DataFrame, facts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``node, shingles`` of the given nodes, each from the first document that has the set."""
+    first = facts.where("kind = 0").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("doc_id"))
+    nodes = written(nodes.join(first, "node"), "nodes")
+    key = F.xxhash64("doc_id")
+    place = F.shiftrightunsigned(key, 64 - FILTER_BITS).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - FILTER_BITS}) & 63 as int))")
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for at, bits in nodes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - FILTER_BITS}) & 63 as int))"))).collect():
+    for at, bits in nodes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit)).collect():
         table[at] = bits
     wanted = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, seen = K.Powers(), set()
+        kept = K.Powers()
         for batch in batches:
-            found, lists = [], []
-            for s in _sets(batch, words, kept):
-                node = _digest(s)
-                if node not in seen and wanted[(node & (1 << 64) - 1) >> (64 - FILTER_BITS)]:
-                    seen.add(node)
-                    found.append(node)
-                    lists.append(K.signed(s))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["node", "shingles"])
+            chosen = batch.filter(pa.array(wanted[batch.column(2).to_numpy()]))
+            found = list(_sets(chosen, words, kept))
+            yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(map(_digest, found), pa.int64()), pa.array(map(K.signed, found), pa.list_(pa.int64()))], ["doc_id", "node", "shingles"])
 
-    every = documents.mapInArrow(emit, "node long, shingles array<long>")
-    return written(every.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    every = documents.select("doc_id", "text", place.alias("place")).mapInArrow(emit, "doc_id long, node long, shingles array<long>")
+    return written(every.join(nodes, ["node", "doc_id"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def _links(documents: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the ``pairs`` (``a, b``) those that are alike enough."""
+def _links(documents: DataFrame, facts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the ``pairs`` (``a, b``) those that are alike enough.  Nodes in many pairs had better be ``b``."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _sets_of(documents, nodes, words)
+    sets = _sets_of(documents, facts, nodes, words)
     a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     overlap = F.size(F.array_intersect("of_a", "of_b"))
-    counted = pairs.join(b, "b").join(a, "a").select("a", "b", overlap.alias("both"), (F.size("of_a") + F.size("of_b") - overlap).alias("either"))
+    counted = pairs.join(a, "a").join(b, "b").select("a", "b", overlap.alias("both"), (F.size("of_a") + F.size("of_b") - overlap).alias("either"))
     return counted.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
 
 
@@ -248,13 +247,15 @@ def similar_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
     Jaccard similarity of at least ``percent`` / 100 have the same component, named by its smallest id."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = written(_facts(documents, words), "facts")
-    shared = written(_shared(_columns(documents, _frequent(facts), words, percent)), "shared")
+    known = documents.where("doc_id is not null")
+    shared = written(_shared(_columns(known, _frequent(facts), words, percent)), "shared")
 
     near_hub = shared.where("node <> hub").where(_possible(F.col("size"), F.col("place"), F.col("hub_size"), F.col("hub_place"), percent))
-    first = written(near_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    links = written(_links(documents, first, words, percent), "links")
-    second = written(_across(shared, connected_components(links), percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    components = connected_components(links.union(_links(documents, second, words, percent)))
+    first = written(near_hub.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    links = written(_links(known, facts, first, words, percent), "links")
+    tried = first.union(first.select("b", "a"))
+    second = written(_across(shared, connected_components(links), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    components = connected_components(links.union(_links(known, facts, second, words, percent)))
 
     rows = facts.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     rows = rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
