@@ -18,6 +18,7 @@ are packed as rows of their own; empty tables give an empty result.  Further col
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -40,10 +41,12 @@ ENCODED_AT_ONCE = 4096
 class WordIds:
     """Ids of white-space separated words, each distinct word encoded once.
 
-    For tokenizers that drop white space and never join across it, so a text's ids are its words' ids.
+    For tokenizers that drop white space and case, never join across white space, and end a run of letters at
+    a full stop or comma: a text's ids are then its words' ids.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.powers = Tokenizer.from_file(path), K.Powers()
@@ -75,7 +78,8 @@ class WordIds:
         """Ids of all texts and the offsets of each text's ids."""
         if self.filled > CACHED_IDS:
             self.clear()
-        starts, ends, hashes, first = K.words(data, offsets, self.powers, lower=False)
+        starts, ends, hashes = _units(data, offsets, self.powers)
+        first = np.searchsorted(starts, offsets)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, keys)
         missing = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != keys) if len(self.known) else np.arange(len(keys))
@@ -89,6 +93,26 @@ class WordIds:
         return self.ids[np.repeat(low - sums[:-1], sizes) + np.arange(sums[-1])], sums[first]
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+def _units(data: np.ndarray, offsets: np.ndarray, powers: K.Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of words; a full stop or comma after a letter is a word of its own, and case
+    counts only in words with a ``<``, which may be special tokens."""
+    starts, ends = K.word_bounds(data, offsets)
+    apart = (ends - starts > 1) & ((data[ends - 1] == 46) | (data[ends - 1] == 44)) & _LETTER[data[np.maximum(ends - 2, 0)]]
+    cuts = ends[apart] - 1
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    hashes = K.hashed_ranges(data, starts, ends, powers)
+    marks = data == 60
+    if marks.any():
+        sums = np.concatenate([[0], np.cumsum(marks)])
+        own = sums[ends] > sums[starts]
+        hashes[own] = K.hashed_ranges(data, starts[own], ends[own], powers, lower=False)
+    return starts, ends, hashes
+
+
 def _room(values: np.ndarray, n: int) -> np.ndarray:
     return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
 

@@ -101,19 +101,24 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kept: Powers, lower: bool = True):
-    """Starts, ends and hashes of all words, and the index of the first word of each text (with the end)."""
-    starts, ends = word_bounds(data, offsets)
+def hashed_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: Powers, lower: bool = True) -> np.ndarray:
+    """Hash of each of the ordered, separate ranges of bytes, ``A-Z`` lower-cased if wanted."""
     table = _BYTE_LOWER if lower else _BYTE
     hashes = np.empty(len(starts), np.uint64)
-    # hash in pieces that end at a word's end, so that one long text stays small
+    # in pieces that end with a range, so that one long text stays small
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + 2 * SLICE_BYTES, "right")))
         low = starts[at]
         hashes[at:to] = range_hashes(table[data[low:ends[to - 1]]], starts[at:to] - low, ends[at:to] - low, kept)
         at = to
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return hashes
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kept: Powers, lower: bool = True):
+    """Starts, ends and hashes of all words, and the index of the first word of each text (with the end)."""
+    starts, ends = word_bounds(data, offsets)
+    return starts, ends, hashed_ranges(data, starts, ends, kept, lower), np.searchsorted(starts, offsets)
 
 
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
