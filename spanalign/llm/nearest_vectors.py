@@ -5,9 +5,9 @@ transform) and assigned to the nearest signed axis.  A table joins ``parts`` suc
 query looks in its own bucket and in those that are next nearest (multiprobe), in each of ``TABLES`` tables.
 The candidates of all tables are compared exactly on the original vectors.
 
-With n rows, ``parts`` grows with log n, so buckets stay small, and the number of probes falls as n to the
-power 0.55 (never below ``LEAST_PROBES``): neighbours come closer as rows get denser.  Probes are no cap on
-candidates: all rows of a probed bucket are compared.
+With n rows, ``parts`` grows with log n, so buckets stay small, and a query looks in as many buckets of a
+table as hold ``PROBED * n ** (1 / 3)`` rows on average: the usual sublinear growth, as neighbours come closer
+when rows get denser.  Probes are no cap on candidates: all rows of a probed bucket are compared.
 
 Shape on a cluster: the index is a scan that gives a row per vector and table; it meets the probes of the
 stated query set in an equi-join on the bucket.  Equal vectors are hashed and compared once; of equal
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from spanalign.session import written
 
-TABLES, ROUNDS = 40, 3
-PROBES, PROBES_AT, LEAST_PROBES = 150, 2000, 16
+TABLES, ROUNDS = 48, 3
+PROBED = 1.5
 NEIGHBOURS, EVERY = 10, 100
 _SEED = 20240921
 
@@ -128,7 +128,8 @@ def nearest(vectors: DataFrame, vector_id: str = "vec_id", vector: str = "embedd
     width = 1 << max(1, (dimension - 1).bit_length())
     parts = max(1, round(math.log(n) / math.log(2 * width)))
     hashing = CrossPolytope(dimension, parts, tables)
-    count = min(max(LEAST_PROBES, math.ceil(PROBES * (PROBES_AT / n) ** 0.55)), (2 * width) ** parts)
+    buckets = (2 * width) ** parts
+    count = min(math.ceil(PROBED * n ** (1 / 3) * buckets / n), buckets)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
