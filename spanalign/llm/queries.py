@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanalign.llm import best_fit_packing as packing
 from spanalign.llm import nearest_vectors as vectors
 from spanalign.llm import ngram_jaccard as jaccard
 from spanalign.llm import quality_rules as quality
+from spanalign.llm import substring_dedup as substrings
 from spanalign.llm import toxicity as toxic
 
 
@@ -22,6 +23,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without sentences in repeated runs of three sentences."""
+    found = substrings.substring_dedup(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.size("removed").alias("n_removed"), "removed", "text")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     parts = packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
@@ -49,6 +56,7 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
