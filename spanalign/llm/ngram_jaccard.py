@@ -9,7 +9,8 @@ sizes m and n with ``J >= t`` share at least ``b = ceil(t (m + n) / (1 + t))`` n
 * a pair met at places i and j can still reach ``1 + min(m - i, n - j)`` (places from 1 count those used
   up): it is discarded if that, or the smaller size, is below ``b``.
 
-The overlap of a remaining pair is then accumulated over all columns and compared exactly.
+The overlap of a remaining pair is accumulated over the block, the pair is discarded if the columns beyond
+cannot make up for what is missing, and else accumulated over all columns and compared exactly.
 
 Groups need no list of all pairs.  Sets that are equal are one node.  In every column the document that comes
 first (fewest rare n-grams before it, so the most central one) is compared with the others; pairs that this
@@ -186,12 +187,29 @@ def _shared(columns: DataFrame) -> DataFrame:
     return ordered.mapInArrow(emit, "gram long, node long, size long, place long, hub long, hub_size long, hub_place long")
 
 
+def _need(m: Column, n: Column, percent: int) -> Column:
+    """N-grams that sets of sizes m and n must share."""
+    return F.floor((percent * (m + n) + (99 + percent)) / (100 + percent))
+
+
 def _possible(m: Column, i: Column, n: Column, j: Column, percent: int) -> Column:
     """Whether sets of sizes m and n that meet at places i and j can share as many n-grams as a link needs."""
-    need = F.floor((percent * (m + n) + (99 + percent)) / (100 + percent))
+    need = _need(m, n, percent)
     return (F.least(m, n) >= need) & (F.least(m - i, n - j) >= need)
 
 
+def _accumulated(shared: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap in the multiplied block leaves a link possible.
+
+    Beyond the block of one of the two, at most its remaining n-grams can be shared.
+    """
+    x = shared.select("gram", F.col("node").alias("a"), F.col("size").alias("m"))
+    y = shared.select("gram", F.col("node").alias("b"), F.col("size").alias("n"))
+    counted = pairs.join(x, "a").join(y, ["gram", "b"]).groupBy("a", "b", "m", "n").agg(F.count("*").alias("both"))
+    rest = F.ceil(percent * F.greatest("m", "n") / 100) - 1
+    return counted.where(F.col("both") + rest >= _need(F.col("m"), F.col("n"), percent)).select("a", "b")
+
+
 def _sets_of(documents: DataFrame, facts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``node, shingles`` of the given nodes, each from the first document that has the set."""
     first = facts.where("kind = 0").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("doc_id"))
@@ -252,10 +270,12 @@ def similar_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
 
     near_hub = shared.where("node <> hub").where(_possible(F.col("size"), F.col("place"), F.col("hub_size"), F.col("hub_place"), percent))
     first = written(near_hub.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = written(_links(known, facts, first, words, percent), "links")
+    likely = written(_accumulated(shared, first, percent), "pairs")
+    links = written(_links(known, facts, likely, words, percent), "links")
     tried = first.union(first.select("b", "a"))
     second = written(_across(shared, connected_components(links), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    components = connected_components(links.union(_links(known, facts, second, words, percent)))
+    likely = written(_accumulated(shared, second, percent), "pairs")
+    components = connected_components(links.union(_links(known, facts, likely, words, percent)))
 
     rows = facts.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     rows = rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
