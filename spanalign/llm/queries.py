@@ -9,6 +9,7 @@ from spanalign.llm import nearest_vectors as vectors
 from spanalign.llm import ngram_jaccard as jaccard
 from spanalign.llm import quality_rules as quality
 from spanalign.llm import substring_dedup as substrings
+from spanalign.llm import suffix_dedup as suffixes
 from spanalign.llm import toxicity as toxic
 
 
@@ -55,6 +56,12 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes of 100-byte strings that start earlier."""
+    found = suffixes.suffix_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -62,6 +69,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_nearest_vectors": op8_nearest_vectors,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {}
