@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanalign.llm import best_fit_packing as packing
+from spanalign.llm import mixing
 from spanalign.llm import nearest_vectors as vectors
 from spanalign.llm import ngram_jaccard as jaccard
 from spanalign.llm import quality_rules as quality
@@ -41,6 +42,12 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_read(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its raked weight and whether it is in a sample of half the tokens."""
+    found = mixing.mixed(_read(spark, sf_dir, "documents"), fraction=0.5)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxic.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -66,6 +73,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_nearest_vectors": op8_nearest_vectors,
