@@ -12,6 +12,7 @@ from spanalign.llm import ngram_jaccard as jaccard
 from spanalign.llm import quality_rules as quality
 from spanalign.llm import substring_dedup as substrings
 from spanalign.llm import suffix_dedup as suffixes
+from spanalign.llm import token_counts as tokens
 from spanalign.llm import toxicity as toxic
 
 
@@ -54,6 +55,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, before and after three edits."""
+    import public_tokenizers
+
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text", tokens.drafted_edits().alias("edits"))
+    found = tokens.edited_counts(documents, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", *tokens.RESULTS)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and hashed n-gram log-likelihood ratio of every document."""
     return quality.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -82,6 +92,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_lm_scoring": op9_lm_scoring,
