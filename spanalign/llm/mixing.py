@@ -66,7 +66,7 @@ def _category(margin: str) -> Column:
 
 def _known(cells: DataFrame, margin: str, most: int) -> DataFrame:
     """The ``most`` categories with most tokens."""
-    totals = cells.groupBy(F.col(f"{margin}_").alias("category")).agg(F.sum("tokens").alias("tokens"))
+    totals = cells.groupBy(F.col(f"__{margin}").alias("category")).agg(F.sum("tokens").alias("tokens"))
     return totals.orderBy(F.desc("tokens"), "category").limit(most)
 
 
@@ -134,18 +134,18 @@ def mixed(documents: DataFrame, fraction: float, targets: dict | None = None, se
     """
     spark, targets = documents.sparkSession, DEFAULT_TARGETS | (targets or {})
     rows = with_tokens(documents.drop(*RESULTS))
-    rows = rows.select("*", *(_category(m).alias(f"{m}_") for m in MARGINS))
-    cells = rows.groupBy(*(f"{m}_" for m in MARGINS)).agg(F.sum("n_tokens").alias("tokens"))
+    rows = rows.select("*", *(_category(m).alias(f"__{m}") for m in MARGINS))
+    cells = rows.groupBy(*(f"__{m}" for m in MARGINS)).agg(F.sum("n_tokens").alias("tokens"))
     cells = written(cells, "cells")
     names, found = {}, cells
     for m in MARGINS:
         names[m] = [r.category for r in _known(cells, m, CATEGORIES).collect()]
-        found = found.withColumn(f"{m}_", F.when(F.col(f"{m}_").isin(names[m]), F.col(f"{m}_")).otherwise(F.lit("(other)")))
+        found = found.withColumn(f"__{m}", F.when(F.col(f"__{m}").isin(names[m]), F.col(f"__{m}")).otherwise(F.lit("(other)")))
         names[m].append("(other)")
     place = {m: {c: k for k, c in enumerate(names[m])} for m in MARGINS}
     tokens = np.zeros([len(names[m]) for m in MARGINS])
-    for r in found.groupBy(*(f"{m}_" for m in MARGINS)).agg(F.sum("tokens").alias("tokens")).collect():
-        tokens[tuple(place[m][r[f"{m}_"]] for m in MARGINS)] = r.tokens
+    for r in found.groupBy(*(f"__{m}" for m in MARGINS)).agg(F.sum("tokens").alias("tokens")).collect():
+        tokens[tuple(place[m][r[f"__{m}"]] for m in MARGINS)] = r.tokens
     shares = []
     for k, m in enumerate(MARGINS):
         own = dict(zip(names[m], tokens.sum(axis=tuple(a for a in range(3) if a != k))))
@@ -159,11 +159,11 @@ def mixed(documents: DataFrame, fraction: float, targets: dict | None = None, se
     at = np.argwhere(~empty)
     table = spark.createDataFrame(
         [(*(names[m][i] for m, i in zip(MARGINS, cell)), float(weights[tuple(cell)])) for cell in at.tolist()],
-        T.StructType([*(T.StructField(f"{m}_", T.StringType()) for m in MARGINS), T.StructField("weight", T.DoubleType())]))
+        T.StructType([*(T.StructField(f"__{m}", T.StringType()) for m in MARGINS), T.StructField("weight", T.DoubleType())]))
     for m in MARGINS:
-        rows = rows.withColumn(f"{m}_", F.when(F.col(f"{m}_").isin(names[m]), F.col(f"{m}_")).otherwise(F.lit("(other)")))
+        rows = rows.withColumn(f"__{m}", F.when(F.col(f"__{m}").isin(names[m]), F.col(f"__{m}")).otherwise(F.lit("(other)")))
     draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    out = rows.join(F.broadcast(table), [f"{m}_" for m in MARGINS], "left").drop(*(f"{m}_" for m in MARGINS))
+    out = rows.join(F.broadcast(table), [f"__{m}" for m in MARGINS], "left").drop(*(f"__{m}" for m in MARGINS))
     out = out.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("probability", F.least(F.lit(1.0), F.lit(c) * F.col("weight")))
     return out.withColumn("sampled", draw < F.col("probability"))
 

@@ -288,6 +288,6 @@ def similar_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
 def one_of_each_group(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without those that have a smaller id in their group; of rows with one id, one stays."""
     own = documents.columns
-    keep = similar_groups(documents, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = documents.join(keep, documents["doc_id"] == keep["kept_id"]).dropDuplicates(["kept_id"]).select(*own)
+    keep = similar_groups(documents, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    known = documents.join(keep, documents["doc_id"] == keep["__kept"]).dropDuplicates(["__kept"]).select(*own)
     return known.unionByName(documents.where("doc_id is null"))

@@ -136,10 +136,10 @@ def substring_dedup(documents: DataFrame, sentences: int = SENTENCES, least_word
     """``documents`` with the texts that are left, ``n_sentences`` and ``removed`` (places of the removed
     sentences).  Columns of these two names in the input are replaced."""
     documents = documents.drop("n_sentences", "removed")
-    spans = (later_runs(documents, sentences, least_words).groupBy(F.col("doc_id").alias("of_id"), F.col("version").alias("of_version"))
+    spans = (later_runs(documents, sentences, least_words).groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
              .agg(F.collect_list("place").alias("removed")))
     joined = documents.withColumn("n_sentences", F.lit(0)).join(
-        spans.hint("merge"), (documents["doc_id"].cast("long") == spans["of_id"]) & (version() == spans["of_version"]), "left").drop("of_id", "of_version")
+        spans.hint("merge"), (documents["doc_id"].cast("long") == spans["__id"]) & (version() == spans["__version"]), "left").drop("__id", "__version")
     place, columns = documents.columns.index("text"), joined.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

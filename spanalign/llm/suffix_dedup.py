@@ -350,8 +350,8 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
 # --- the operator ------------------------------------------------------------------------------------------
 
 def _fetched(documents: DataFrame, lists: DataFrame) -> DataFrame:
-    """Texts of the documents in ``lists`` (``of_id, of_version`` and more)."""
-    table = bit_table(lists, "of_id", "of_version")
+    """Texts of the documents in ``lists`` (``__id, __version`` and more)."""
+    table = bit_table(lists, "__id", "__version")
     rows = documents.select("doc_id", "text", version().alias("version")).withColumn("place", place("doc_id", "version"))
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,11 +359,11 @@ def _fetched(documents: DataFrame, lists: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(table[batch.column(3).to_numpy()])).select([0, 1, 2])
 
     found = rows.mapInArrow(known, "doc_id long, text string, version long")
-    return found.join(lists.hint("merge"), (F.col("doc_id") == F.col("of_id")) & (F.col("version") == F.col("of_version")))
+    return found.join(lists.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("version") == F.col("__version")))
 
 
 def removed_ranges(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """``of_id, of_version, ranges``: starts (upper bits) and further strings (lowest byte) to remove."""
+    """``__id, __version, ranges``: starts (upper bits) and further strings (lowest byte) to remove."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     found = written(repeated_contexts(documents, length, seed), "contexts")
     heads = found.where("not repeated")
@@ -371,7 +371,7 @@ def removed_ranges(documents: DataFrame, length: int = LENGTH, seed: int = SEED)
     heads = heads.join(crowded, "anchor", "left").select(
         "anchor", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "at"), "parts")).otherwise(F.lit(0)).cast("long").alias("part"),
         F.col("parts").isNotNull().alias("several"), "doc_id", "at")
-    lists = written(heads.groupBy(F.col("doc_id").alias("of_id"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFFFF)).alias("of_version"))
+    lists = written(heads.groupBy(F.col("doc_id").alias("__id"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFFFF)).alias("__version"))
                     .agg(F.collect_list(F.struct("anchor", "part", "several", "at")).alias("own")), "heads")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,14 +385,16 @@ def removed_ranges(documents: DataFrame, length: int = LENGTH, seed: int = SEED)
                     [anchor, part, several, pa.repeat(batch.column(0)[k], len(own)), at, pa.array(pieces, pa.binary())],
                     ["anchor", "part", "several", "doc_id", "at", "bytes"])
 
-    contexts = _fetched(documents, lists).select("doc_id", "text", "own").mapInArrow(
+    # rows that are the same document are cut once
+    once = _fetched(documents, lists).dropDuplicates(["doc_id", "version"])
+    contexts = once.select("doc_id", "text", "own").mapInArrow(
         cut, "anchor long, part long, several boolean, doc_id long, at long, bytes binary")
     strings = written(compared(contexts, length), "strings")
     firsts = strings.where("hash is not null")
     least = firsts.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     across = firsts.join(least, "hash").where(F.struct("doc_id", "at") != F.col("least")).select("doc_id", "at")
     every = found.where("repeated").select("doc_id", "at").union(strings.where("hash is null").select("doc_id", "at")).union(across)
-    return every.groupBy(F.col("doc_id").alias("of_id"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFFFF)).alias("of_version")).agg(F.collect_list("at").alias("ranges"))
+    return every.groupBy(F.col("doc_id").alias("__id"), F.shiftright("at", 8).bitwiseAND(F.lit(0xFFFF)).alias("__version")).agg(F.collect_list("at").alias("ranges"))
 
 
 def suffix_dedup(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -402,9 +404,9 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -
     """
     documents = documents.drop("n_bytes", "n_removed", "n_spans", "kept")
     ranges = written(removed_ranges(documents, length, seed), "ranges")
-    table = bit_table(ranges, "of_id", "of_version")
-    keyed = documents.select("*", F.col("doc_id").cast("long").alias("of_id"), version().alias("of_version"))
-    keyed = keyed.withColumn("at_bit", place("of_id", "of_version"))
+    table = bit_table(ranges, "__id", "__version")
+    keyed = documents.select("*", F.col("doc_id").cast("long").alias("__id"), version().alias("__version"))
+    keyed = keyed.withColumn("__bit", place("__id", "__version"))
     n, names = len(documents.columns), documents.columns
     text_at = names.index("text")
 
@@ -415,10 +417,10 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -
                 yield batch.filter(pa.array(hit == chosen)).select(list(range(n + 2)))
         return keyed.mapInArrow(known, T.StructType(keyed.schema.fields[:n + 2]))
 
-    touched = split(True).join(ranges.withColumnRenamed("of_id", "r_id").withColumnRenamed("of_version", "r_version").hint("merge"),
-                               (F.col("of_id") == F.col("r_id")) & (F.col("of_version") == F.col("r_version")), "left").drop("r_id", "r_version")
-    whole = split(False).withColumn("ranges", F.lit(None).cast("array<long>"))
-    both = touched.unionByName(whole).drop("of_id", "of_version")
+    touched = split(True).join(ranges.withColumnRenamed("ranges", "__ranges").withColumnRenamed("__id", "__of_id").withColumnRenamed("__version", "__of_version").hint("merge"),
+                               (F.col("__id") == F.col("__of_id")) & (F.col("__version") == F.col("__of_version")), "left").drop("__of_id", "__of_version")
+    whole = split(False).withColumn("__ranges", F.lit(None).cast("array<long>"))
+    both = touched.unionByName(whole).drop("__id", "__version")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
