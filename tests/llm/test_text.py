@@ -46,8 +46,8 @@ def test_words_of_slices(texts, size):
 # --- quality ---
 
 def _labels(spark, rows):
-    return spark.createDataFrame([(i, k % 5 and 1, k % 6 == 0) for k, (i, t, *_) in enumerate(rows)] + [(None, 1, 1), (10**9, 1, None), (4, None, None)],
-                                 "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    own = [(i, int(k % 5 > 0), int(k % 6 == 0)) for k, (i, *_) in enumerate(rows)]
+    return spark.createDataFrame([*own, (None, 1, 1), (10**9, 1, None), (4, None, None)], LABELS)
 
 
 def test_quality_rules(spark):
