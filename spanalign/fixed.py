@@ -113,3 +113,90 @@ SPARSE = "too-sparse-for-non-toy-replay"
 NEEDS_DISTILLATION = "needs-operator-distillation"
 SUFFICIENT = "sufficient-for-operator-review"
 EMPTY_DIGEST = "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+# --- fixed values: names and dispositions of artifacts ---
+REQUIRED_DIGESTS = (
+    "recording-metadata", "recording-events", "manifest", "capture-status", "capture-clock",
+    "post-commit-drain", "parent-operation-receipt", "temporal-context",
+    "evidence-boundary-report", "packet-inspection", "final-transcript-alignment",
+)
+OVER_BUDGET = "artifact-inspection-budget-exceeded"
+UNRESOLVED = "unresolved-sensitive-content"
+EXPECTED_PATH = "expected-local-artifact-reference"
+EXPECTED_OPAQUE = "expected-local-opaque-token-reference"
+
+# --- fixed values: messages ---
+PACKET_REVIEW_OWED = "real non-toy packet usefulness review still owed"
+STANDING_NOTES = (
+    "real non-toy workflow packet usefulness inspection is still owed",
+    "raw-private leakage inspection is still owed before sharing",
+)
+ATTESTATION_MISSING = "trusted external current-run execution attestation is unavailable"
+OPERATOR_REVIEW = "operator review of generated artifacts is still required"
+COHESION_OWED = (
+    "real non-toy packet product-cohesion review still owed",
+    "replay voice execution receipt still owed",
+)
+SECTIONS = {
+    "has_goal": "Goal: ",
+    "has_capture_artifacts": "## Capture Artifacts",
+    "has_evidence_boundary": "## Evidence Boundary",
+    "has_refinement_instructions": "## Refinement Instructions",
+    "has_alignment_summary": "## Temporal Alignment Summary",
+    "has_review_boundary": "## Transcript Review Boundary",
+}
+DENSITY_WARNINGS = {
+    SPARSE: "Narration is too sparse for confident non-toy replay refinement.",
+    NEEDS_DISTILLATION: "Narration needs operator distillation before durable skill edits.",
+    SUFFICIENT: "No narration-density warning from automated checks.",
+}
+MESSAGES = {
+    "packet-missing": "skill-refinement-packet.md is missing",
+    "notes-missing": "timestamped-notes.md is missing",
+    "thought-missing": "thought-process.md is missing",
+    "temporal-missing": "temporal-context.json is missing",
+    "evidence-missing": "evidence-boundary-report.json is missing",
+    "contract-missing": "review-contract.json is missing",
+    "packet-no-segments": "packet has no transcript segments",
+    "packet-sparse": "narration is too sparse for confident non-toy replay refinement",
+    "packet-no-aligned": "packet has no aligned segments",
+    "conflicts-need-review": "conflict warnings need operator review",
+    "metadata-unusable": "provided recording metadata artifact is missing or empty",
+    "events-unusable": "provided recording events artifact is missing or empty",
+    "conflicts-require-review": "conflict warnings require operator review",
+    "candidates-leak": "generated review candidates contain obvious unredacted sensitive patterns",
+    "not-stopped": "narration helper did not stop cleanly",
+    "not-coordinated": "recording and microphone capture were not started by one coordinated operation",
+    "parent-unverified": "parent operation receipt is missing or mismatches artifacts",
+    "run-id-missing": "trusted current-run receipt id is missing",
+    "proof-invalid": "current-run proof schemas or producer statuses are invalid",
+    "clock-missing": "audio clock anchor is missing or unproven",
+    "no-segments": "no transcript segments are present",
+    "drain-missing": "post-commit transcription drain receipt is missing",
+    "drain-empty": "post-commit transcription drain did not complete any segments",
+    "drain-errors": "post-commit transcription drain recorded errors",
+    "no-events": "no recording events are present",
+    "not-aligned": "final transcript alignment is missing or has unresolved mismatches",
+    "mismatches": "final transcript alignment has unresolved mismatches",
+    "not-inspected": "packet inspection has not been run",
+    "leak-blocked": "generated artifact leak scan is blocked",
+    "privacy-open": "privacy boundary has not been inspected",
+    "digest-unbound": "current-run proof digest binding is missing or changed during verification",
+    "context-missing": "temporal context missing",
+    "card-packet-missing": "skill refinement packet missing",
+    "card-evidence-missing": "evidence boundary report missing",
+    "plan-missing": "replay voice dry-run execution plan missing",
+    "plan-malformed": "replay voice dry-run execution plan is malformed or incomplete",
+    "plan-speaks": "replay voice execution plan is not marked as no-audio dry-run",
+    "inspection-missing": "packet inspection missing",
+    "receipt-missing": "receipt missing for live proof review",
+    "leaks-need-review": "generated artifact leak findings need privacy review",
+    "raw-needs-review": "raw-local transcript artifacts contain sensitive categories requiring privacy review",
+    "density-sparse": "narration density is too sparse for confident packet reuse",
+    "quality-incomplete": "transcript quality pipeline is incomplete or disabled",
+    "proofs-malformed": "review proofs are malformed, stale, self-authored, or unbound",
+    "metadata-path-missing": "recording metadata path is required for live capture proof",
+    "metadata-path-empty": "recording metadata path must exist as a non-empty file",
+    "events-path-missing": "recording events path is required for live capture proof",
+    "events-path-empty": "recording events path must exist as a non-empty file",
+}

@@ -1,9 +1,9 @@
 """Cleaned text back onto timed segments.
 
 Everything except the monotonic token match itself is joins, aggregates and windows.  The match is
-a dynamic program over one session; it runs as a small NumPy kernel on one row per session, and a
-session enters it only within the token and cell limits (`alignment_limits`), so a row has a bound.
-Sessions beyond the limits are refused as a whole and reported with the limit they break.
+a dynamic program over one session; it runs as a small NumPy kernel on one row per session, in memory
+that grows with the session's tokens times their square root, so a recording of many hours is aligned.
+`alignment_limits` reports sessions beyond the usual limits; none is left out.
 """
 
 from __future__ import annotations
@@ -87,47 +87,70 @@ def cleaned_tokens(cleaned: DataFrame) -> DataFrame:
 
 # --- the kernel ---
 
-def monotonic_match(matches: np.ndarray) -> np.ndarray:
+def monotonic_match(left: np.ndarray, right: np.ndarray, alike: list[np.ndarray]) -> np.ndarray:
     """For each left token the right token of a longest monotonic match, or -1.
 
-    ``matches`` is a left x right matrix of booleans.  Rows are filled from the back; within a row
-    the maximum is accumulated from the right, which is exact because neighbouring cells differ by
-    at most one.  Ties move on in the left sequence.
+    Tokens are numbers; ``alike[x]`` holds the right tokens that match the left token ``x``.  Rows are
+    filled from the back; within a row the maximum is accumulated from the right, which is exact
+    because neighbouring cells differ by at most one.  Ties move on in the left sequence.  Only every
+    k-th row is kept; a band of k rows is filled again when the way back reaches it.
     """
-    n, m = matches.shape
-    best = np.zeros((n + 1, m + 1), dtype=np.uint16)
+    n, m = len(left), len(right)
+    flags = np.zeros(1 + max(int(x.max()) for x in (right, *alike, np.zeros(1, dtype=int)) if len(x)), dtype=bool)
+
+    def matches(i: int) -> np.ndarray:
+        own = alike[left[i]]
+        flags[own] = True
+        found = flags[right]
+        flags[own] = False
+        return found
+
+    def before(i: int, below: np.ndarray) -> np.ndarray:
+        row = np.maximum(below[:m], np.where(matches(i), below[1:] + 1, 0))
+        return np.append(np.maximum.accumulate(row[::-1])[::-1], 0).astype(np.int32)
+
+    step = max(1, int(np.sqrt(n)))
+    row, kept = np.zeros(m + 1, dtype=np.int32), {}
     for i in range(n - 1, -1, -1):
-        row = np.maximum(best[i + 1, :m], np.where(matches[i], best[i + 1, 1:] + 1, 0))
-        best[i, :m] = np.maximum.accumulate(row[::-1])[::-1]
+        if (i + 1) % step == 0 or i == n - 1:
+            kept[i + 1] = row
+        row = before(i, row)
     found = np.full(n, -1, dtype=np.int64)
-    i = j = 0
-    while i < n and j < m:
-        if matches[i, j] and best[i, j] == best[i + 1, j + 1] + 1:
-            found[i] = j
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    j = 0
+    for low in range(0, n, step):
+        high = min(low + step, n)
+        band = [kept[high]]
+        for i in range(high - 1, low - 1, -1):
+            band.append(before(i, band[-1]))
+        band.reverse()
+        i = low
+        while i < high and j < m:
+            here, below = band[i - low], band[i - low + 1]
+            if here[j] == below[j + 1] + 1 and right[j] in alike[left[i]]:
+                found[i] = j
+                i, j = i + 1, j + 1
+            elif below[j] >= here[j + 1]:
+                i += 1
+            else:
+                j += 1
     return found
 
 
-def _match_matrix(left: list[str], right: list[str], pairs: list[dict]) -> np.ndarray:
+def _numbered(left: list[str], right: list[str], pairs: list[dict]):
+    """Tokens as numbers, and the matching right tokens of each left one."""
     l_ids, l_at = np.unique(np.asarray(left, dtype=object), return_inverse=True)
     r_ids, r_at = np.unique(np.asarray(right, dtype=object), return_inverse=True)
-    l_of = {t: k for k, t in enumerate(l_ids)}
-    r_of = {t: k for k, t in enumerate(r_ids)}
-    alike = np.zeros((len(l_ids), len(r_ids)), dtype=bool)
+    l_of, r_of = ({t: k for k, t in enumerate(ids)} for ids in (l_ids, r_ids))
+    alike: list[list[int]] = [[] for _ in l_ids]
     for p in pairs:
-        alike[l_of[p["left_token"]], r_of[p["right_token"]]] = True
-    return alike[l_at][:, r_at]
+        alike[l_of[p["left_token"]]].append(r_of[p["right_token"]])
+    return l_at, r_at, [np.array(x, dtype=np.int64) for x in alike]
 
 
 def _match_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            left, right = list(row.cleaned), list(row.realtime)
-            found = monotonic_match(_match_matrix(left, right, list(row.pairs)))
+            found = monotonic_match(*_numbered(list(row.cleaned), list(row.realtime), list(row.pairs)))
             hit = np.flatnonzero(found >= 0)
             yield pd.DataFrame({
                 "session_id": np.repeat(row.session_id, len(hit)),
@@ -140,7 +163,7 @@ def token_alignment(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) ->
     """(session_id, cleaned_idx, segment_idx) of all matched cleaned tokens.
 
     ``segment_idx`` is the 0-based position of the segment; ``fits`` holds the ids of the sessions
-    within the limits, and only those are gathered into rows.
+    to align.
     """
     segs = segments.join(fits, "session_id", "left_semi")
     text = cleaned.join(fits, "session_id", "left_semi")
@@ -341,7 +364,7 @@ def align_utterances(
 # --- proportional fallback ---
 
 def _takes(words: Column, segs: Column, n_segments: Column, total_words: Column) -> Column:
-    """How many words each of the first segments takes (fold over at most twenty segments)."""
+    """How many words each of the first segments takes (fold over the segments that can get words)."""
     n_words = F.size(words)
     total = F.greatest(total_words, F.lit(1))
 
@@ -382,10 +405,10 @@ def _takes(words: Column, segs: Column, n_segments: Column, total_words: Column)
 
 
 def align_fallback(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) -> DataFrame:
-    """Final segments of sessions whose cleaned text is at most one utterance (<= 20 words).
+    """Final segments of sessions whose cleaned text is at most one utterance.
 
-    Every segment takes at least one word until none is left, so only the first twenty segments of
-    a session can receive words; those are folded, all others get empty text without folding.
+    Every segment takes at least one word until none is left, so with n words only the first n
+    segments can receive any; those are folded, all others get empty text without folding.
     """
     t = F.col("text")
     segs = segments.join(fits, "session_id", "left_semi").select(
@@ -399,7 +422,8 @@ def align_fallback(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) ->
     text = cleaned.join(fits, "session_id", "left_semi").select(
         "session_id", tx.split_words(F.col("cleaned_text")).alias("cleaned_words")
     )
-    head = segs.where(F.col("segment_id") <= 20).groupBy("session_id").agg(
+    counted = segs.join(text.select("session_id", F.size("cleaned_words").alias("n_words")), "session_id")
+    head = counted.where(F.col("segment_id") <= F.greatest("n_words", F.lit(1))).groupBy("session_id").agg(
         F.array_sort(F.collect_list(F.struct("segment_id", "tokens", "words"))).alias("head")
     )
     folded = text.join(head, "session_id").join(totals, "session_id").select(
@@ -433,15 +457,13 @@ def align_fallback(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) ->
 
 
 def align_cleaned(segments: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Final segments of all sessions within the limits: by utterance, else proportionally.
+    """Final segments of all sessions: by utterance, else proportionally.
 
     The steps feed several branches each, so they are written to the shared folder once instead of
     being computed again per branch.
     """
-    fits = written(
-        alignment_limits(segments, cleaned).where("limit_broken is null").select("session_id"), "fits"
-    )
-    spans = written(utterances(cleaned.join(fits, "session_id", "left_semi")), "utterances")
+    fits = cleaned.select("session_id").join(segments, "session_id", "left_semi")
+    spans = written(utterances(cleaned.join(segments, "session_id", "left_semi")), "utterances")
     several = spans.groupBy("session_id").agg(F.count("*").alias("n")).where("n >= 2").select("session_id")
     by_utterance = align_utterances(
         spans.join(several, "session_id", "left_semi"), segments, cleaned, several

@@ -64,18 +64,19 @@ def is_conservative(raw: Sequence[str], cleaned: Sequence[str], allowed: frozens
 def validate_cleanup(
     pairs: DataFrame,
     vocabulary: Sequence[str] = fixed.CLEANUP_VOCABULARY,
-    max_tokens: int = fixed.MAX_CLEANUP_TOKENS,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """Verdict and reason per row of ``pairs`` (session_id, raw, cleaned).
 
     Tokens, the empty and the over-long case, and the common case of equal tokens are decided in the
-    JVM; only rows whose tokens differ reach the Python check, each row on its own.
+    JVM; only rows whose tokens differ reach the Python check, each row on its own.  A token bound
+    holds only if one is given.
     """
     raw, cleaned = tx.tokens_unicode(F.col("raw")), tx.tokens_unicode(F.col("cleaned"))
     tokens = pairs.select("session_id", raw.alias("r"), cleaned.alias("c"))
     decided = (
         F.when((F.size("r") == 0) | (F.size("c") == 0), EMPTY)
-        .when((F.size("r") > max_tokens) | (F.size("c") > max_tokens), TOO_LONG)
+        .when(F.lit(False) if max_tokens is None else F.greatest(F.size("r"), F.size("c")) > max_tokens, TOO_LONG)
         .when(F.col("r") == F.col("c"), PRESERVED)
     )
     allowed = frozenset(

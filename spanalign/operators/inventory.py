@@ -7,20 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanalign import fixed
+from spanalign.fixed import EXPECTED_OPAQUE, EXPECTED_PATH, OVER_BUDGET, REQUIRED_DIGESTS, UNRESOLVED
 from spanalign.functions import checks, sensitive, text as tx
 from spanalign.operators.prefix import row_block, running
 from spanalign.session import written
 
-REQUIRED_DIGESTS = (
-    "recording-metadata", "recording-events", "manifest", "capture-status", "capture-clock",
-    "post-commit-drain", "parent-operation-receipt", "temporal-context",
-    "evidence-boundary-report", "packet-inspection", "final-transcript-alignment",
-)
 FOLD_ROWS = 1_000
-OVER_BUDGET = "artifact-inspection-budget-exceeded"
-UNRESOLVED = "unresolved-sensitive-content"
-EXPECTED_PATH = "expected-local-artifact-reference"
-EXPECTED_OPAQUE = "expected-local-opaque-token-reference"
 
 
 def line_count(text: Column) -> Column:
@@ -320,18 +312,13 @@ def merge_chunk_texts(
 ) -> DataFrame:
     """Texts of a session's chunks joined by newline in order, with their count.
 
-    The merged text is one cell; sessions above ``max_bytes`` are refused as a whole (text NULL,
-    ``oversize`` true) and never gathered.
+    The merged text is one cell, whatever its length; ``oversize`` flags those above ``max_bytes``.
     """
-    sizes = chunks.groupBy("session_id").agg(
-        (F.sum(F.octet_length("text")) + F.count("*")).alias("size"), F.count("*").alias("chunks")
-    )
-    fits = sizes.where(F.col("size") <= max_bytes).select("session_id")
-    merged = chunks.join(fits, "session_id", "left_semi").groupBy("session_id").agg(
+    size = F.sum(F.octet_length("text")) + F.count("*")
+    return chunks.groupBy("session_id").agg(
+        F.count("*").alias("chunks"),
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda c: c["text"]
-        ), "\n").alias("text")
-    )
-    return sizes.join(merged, "session_id", "left").select(
-        "session_id", "chunks", "text", (F.col("size") > max_bytes).alias("oversize")
+        ), "\n").alias("text"),
+        (size > max_bytes).alias("oversize"),
     )

@@ -16,19 +16,20 @@ def hash_chain(
 ) -> DataFrame:
     """Recomputed digest of every ledger row and whether the chain holds.
 
-    A row's digest covers ``fields`` (which include ``previous``).  The previous row's *recomputed*
-    digest is carried across blocks, so a log of any length is checked in parallel.
+    A row's digest covers ``fields``; name ``previous`` among them if the log's digests cover it.  The
+    previous row's *recomputed* digest (``expected_previous``) is carried across blocks, so a log of
+    any length is checked in parallel.
     """
     hashed = rows.withColumn("actual_hash", checks.canonical_digest(fields))
     linked = running(
         hashed, [key], row_block("seq"), ["seq"], lags={"expected_previous": F.col("actual_hash")}
     )
     expected = F.coalesce("expected_previous", F.lit(fixed.EMPTY_DIGEST))
-    return linked.withColumn(
+    return linked.withColumn("expected_previous", expected).withColumn(
         "violation",
-        F.when(~F.coalesce(F.col(previous) == expected, F.lit(False)), "previous-hash-mismatch")
+        F.when(~F.coalesce(F.col(previous) == F.col("expected_previous"), F.lit(False)), "previous-hash-mismatch")
         .when(~F.coalesce(F.col(declared) == F.col("actual_hash"), F.lit(False)), "row-hash-mismatch"),
-    ).drop("expected_previous")
+    )
 
 
 def continuation(rows: DataFrame, pairs: dict[str, str], key: str = "session_id") -> DataFrame:

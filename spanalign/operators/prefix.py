@@ -34,11 +34,12 @@ def running(
     """Add columns that look at the rows *before* each row of its group.
 
     ``block`` must not decrease along ``order``.  ``sums`` start at 0; ``maxes`` and ``lags`` are
-    NULL on the first row.
+    NULL on the first row.  NULL keys are a group of their own, NULL orders come first.
     """
     sums, maxes, lags = dict(sums or {}), dict(maxes or {}), dict(lags or {})
-    rows = df.withColumn("_block", block)
-    by = [*keys, "_block"]
+    # one struct as the key: unlike plain columns, it joins rows whose key or block is NULL as well
+    rows = df.withColumn("_group", F.struct(*keys, block.alias("_block")))
+    by = ["_group"]
     position = F.struct(*[F.col(c) for c in order])
 
     inside = Window.partitionBy(*by).orderBy(*order)
@@ -58,7 +59,7 @@ def running(
         + [F.max(v).alias(f"_t_{n}") for n, v in maxes.items()]
         + [F.max_by(v, position).alias(f"_t_{n}") for n, v in lags.items()]
     ))
-    across = Window.partitionBy(*keys).orderBy("_block")
+    across = Window.partitionBy(*[F.col(f"_group.{k}") for k in keys]).orderBy("_group._block")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *by,

@@ -64,21 +64,18 @@ def delta_only_sessions(events: DataFrame) -> DataFrame:
     )
 
 
-def delta_fallback(
-    events: DataFrame, max_bytes: int = fixed.TRANSCRIPT_TEXT_MAX_BYTES
-) -> DataFrame:
+def delta_fallback(events: DataFrame) -> DataFrame:
     """One segment from all deltas of a session that has no completed text.
 
-    The joined text is one cell, so only sessions within the text limit are joined; the others are
-    reported by :func:`oversize_delta_sessions` (such a transcript is refused as a whole).
+    The joined text is one cell, whatever its length; :func:`oversize_delta_sessions` reports the
+    sessions whose text is above the text limit.
     """
-    eligible = delta_only_sessions(events).where(F.col("delta_bytes") <= max_bytes)
+    eligible = delta_only_sessions(events)
     deltas = timed_events(events).where(F.col("kind") == "delta").join(
         eligible.select("session_id"), "session_id", "left_semi"
     )
     piece = F.when(F.col("text") != "", F.struct("seq", "text"))
     joined = deltas.groupBy("session_id").agg(
-        # at most ``max_bytes`` non-empty pieces per session
         F.array_sort(F.collect_list(piece)).alias("pieces"),
         F.max_by(F.struct("offset_ms", "monotonic_offset_ms", "timing_source"), "seq").alias("last"),
     )
@@ -97,6 +94,7 @@ def delta_fallback(
 def oversize_delta_sessions(
     events: DataFrame, max_bytes: int = fixed.TRANSCRIPT_TEXT_MAX_BYTES
 ) -> DataFrame:
+    """Flag only: the sessions are assembled all the same."""
     return delta_only_sessions(events).where(F.col("delta_bytes") > max_bytes)
 
 

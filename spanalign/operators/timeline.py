@@ -294,18 +294,14 @@ def temporal_context(
     segments: DataFrame,
     events: DataFrame,
     sessions: DataFrame,
-    oversize: DataFrame,
 ) -> DataFrame:
     """One nested document per session: anchors, segments, events, alignments, diagnostics, conflicts.
 
-    A document is one row, so it is built for sessions within the size limits only; ``oversize``
-    holds the ids of the others, for which the flat tables above are complete.
+    A document is one row, whatever its size; the flat tables above hold the same rows for sessions
+    that should not be gathered (see `segments.limit_flags`).
     """
-    small = sessions.join(oversize.select("session_id"), "session_id", "left_anti")
-    keep = small.select("session_id")
-    segs = segments.join(keep, "session_id", "left_semi")
-    evs = events.join(keep, "session_id", "left_semi")
-    pairs = align_events(segs, evs, small)
+    segs, evs = segments, events
+    pairs = align_events(segs, evs, sessions)
 
     def packed(df: DataFrame, name: str, fields: Sequence[str], order: Sequence[str]) -> DataFrame:
         entry = F.struct(*order, *[f for f in fields if f not in order])
@@ -320,12 +316,12 @@ def temporal_context(
         ))).alias("nearby"),
         F.min(F.abs("delta_ms")).alias("closest"),
     ).withColumn("confidence", instants.confidence_band(F.col("closest")))
-    warnings = conflict_warnings(segs, evs, small).withColumn(
+    warnings = conflict_warnings(segs, evs, sessions).withColumn(
         "text", sensitive.render_untrusted("Transcript evidence", F.col("text"))
     )
-    diagnostics = alignment_diagnostics(segs, evs, small)
+    diagnostics = alignment_diagnostics(segs, evs, sessions)
     return (
-        small.select(
+        sessions.select(
             "session_id",
             F.struct("audio_started_ms", "rec_started_ms").alias("anchors"),
         )

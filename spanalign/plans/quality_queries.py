@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanalign import fixed
+from spanalign.fixed import MESSAGES
 from spanalign.functions import checks, similarity, text as tx
 from spanalign.operators import (
     alignment as al, cleanup as cu, delay as dl, inventory as inv, scoring as sc, segments as sg,
@@ -22,15 +23,9 @@ from spanalign.sources import tables as src
 # --- cleaned text ---
 
 def cleaned_text(segments):
-    """Every seventh word of each segment dropped; segments joined in order.
-
-    The joined text is one cell per session, so sessions beyond the alignment text limit are left
-    out before anything is gathered (they could not be aligned).
-    """
-    size = segments.groupBy("session_id").agg(F.sum(F.octet_length("text") + 1).alias("size"))
-    fits = size.where(F.col("size") <= fixed.MAX_ALIGNMENT_TEXT_BYTES_PER_SIDE)
+    """Every seventh word of each segment dropped; segments joined in order to one text per session."""
     kept = F.filter(tx.split_words(F.col("text")), lambda w, i: i % 7 != 6)
-    rows = segments.join(fits.select("session_id"), "session_id", "left_semi").select(
+    rows = segments.select(
         "session_id", F.struct("segment_id", F.array_join(kept, " ").alias("t")).alias("part")
     )
     return rows.groupBy("session_id").agg(
@@ -51,10 +46,10 @@ def align_cleaned(spark, sf):
 
 
 def align_fallback(spark, sf):
-    """Proportional allocation of the first words of each session's first segment: short texts."""
+    """Proportional allocation of the words of each session's shortest segment over all its segments."""
     segs = src.shared_segments(spark, sf)
-    short = segs.groupBy("session_id").agg(F.min_by("text", "segment_id").alias("t")).select(
-        "session_id", F.element_at(tx.fixed_spans(F.col("t"), 12), 1).alias("cleaned_text"))
+    short = segs.groupBy("session_id").agg(
+        F.min_by("text", F.struct(F.octet_length("text"), "segment_id")).alias("cleaned_text"))
     fits = short.select("session_id")
     return al.align_fallback(segs, short, fits).select(
         "session_id", "id", "start_ms", "end_ms", "text", F.round("confidence", 6).alias("confidence"),
@@ -185,8 +180,10 @@ def start_sync_check(spark, sf):
 
 
 def _sound_events(spark, sf):
-    """Events of three quarters of the sessions have only valid times (others fail the check)."""
-    return src.ui_events(spark, sf).where("session_id % 4 = 3 OR unix_ms IS NOT NULL")
+    """Missing times of three quarters of the sessions become the recording start (others fail the check)."""
+    started = src.sessions(spark, sf).select("session_id", "rec_started_ms")
+    at = F.when(F.expr("session_id % 4 = 3"), F.col("unix_ms")).otherwise(F.coalesce("unix_ms", "rec_started_ms"))
+    return src.ui_events(spark, sf).join(started, "session_id").withColumn("unix_ms", at).drop("rec_started_ms")
 
 
 _FLAGS = {
@@ -441,87 +438,87 @@ _GATE = {
 }
 _GATE_OK = " AND ".join(f"coalesce({c}, false)" for c in _GATE.values())
 _INSPECT = [
-    ("NOT packet_exists", "skill-refinement-packet.md is missing"),
-    ("NOT temporal_exists", "temporal-context.json is missing"),
-    ("NOT evidence_exists", "evidence-boundary-report.json is missing"),
-    ("NOT contract_exists", "review-contract.json is missing"),
-    ("metadata_provided AND NOT metadata_usable", "provided recording metadata artifact is missing or empty"),
-    ("events_provided AND NOT events_usable", "provided recording events artifact is missing or empty"),
-    ("conflicts > 0", "conflict warnings require operator review"),
-    ("blocking_leaks > 0", "generated review candidates contain obvious unredacted sensitive patterns"),
+    ("NOT packet_exists", MESSAGES["packet-missing"]),
+    ("NOT temporal_exists", MESSAGES["temporal-missing"]),
+    ("NOT evidence_exists", MESSAGES["evidence-missing"]),
+    ("NOT contract_exists", MESSAGES["contract-missing"]),
+    ("metadata_provided AND NOT metadata_usable", MESSAGES["metadata-unusable"]),
+    ("events_provided AND NOT events_usable", MESSAGES["events-unusable"]),
+    ("conflicts > 0", MESSAGES["conflicts-require-review"]),
+    ("blocking_leaks > 0", MESSAGES["candidates-leak"]),
 ]
 _READY = [
-    ("state <> 'stopped'", "narration helper did not stop cleanly"),
-    ("NOT same_operation", "recording and microphone capture were not started by one coordinated operation"),
-    ("NOT parent_verified", "parent operation receipt is missing or mismatches artifacts"),
-    ("trim(run_id) = ''", "trusted current-run receipt id is missing"),
-    (f"NOT ({_GATE_OK})", "current-run proof schemas or producer statuses are invalid"),
+    ("state <> 'stopped'", MESSAGES["not-stopped"]),
+    ("NOT same_operation", MESSAGES["not-coordinated"]),
+    ("NOT parent_verified", MESSAGES["parent-unverified"]),
+    ("trim(run_id) = ''", MESSAGES["run-id-missing"]),
+    (f"NOT ({_GATE_OK})", MESSAGES["proof-invalid"]),
     ("true", sc.ATTESTATION_MISSING),
-    ("NOT metadata_provided", "recording metadata path is required for live capture proof"),
-    ("metadata_provided AND NOT metadata_usable", "recording metadata path must exist as a non-empty file"),
-    ("NOT events_provided", "recording events path is required for live capture proof"),
-    ("events_provided AND NOT events_usable", "recording events path must exist as a non-empty file"),
-    ("NOT audio_clock_present", "audio clock anchor is missing or unproven"),
-    ("segments = 0", "no transcript segments are present"),
-    ("NOT drain_present", "post-commit transcription drain receipt is missing"),
-    ("drain_present AND drained_segments = 0", "post-commit transcription drain did not complete any segments"),
-    ("drain_present AND drain_errors > 0", "post-commit transcription drain recorded errors"),
-    ("events = 0", "no recording events are present"),
-    ("alignment_status <> 'aligned'", "final transcript alignment is missing or has unresolved mismatches"),
-    ("coalesce(mismatches, 1) > 0", "final transcript alignment has unresolved mismatches"),
-    ("inspection_status IS NULL", "packet inspection has not been run"),
-    ("leak_status = 'blocked'", "generated artifact leak scan is blocked"),
-    ("share_without_review", "privacy boundary has not been inspected"),
+    ("NOT metadata_provided", MESSAGES["metadata-path-missing"]),
+    ("metadata_provided AND NOT metadata_usable", MESSAGES["metadata-path-empty"]),
+    ("NOT events_provided", MESSAGES["events-path-missing"]),
+    ("events_provided AND NOT events_usable", MESSAGES["events-path-empty"]),
+    ("NOT audio_clock_present", MESSAGES["clock-missing"]),
+    ("segments = 0", MESSAGES["no-segments"]),
+    ("NOT drain_present", MESSAGES["drain-missing"]),
+    ("drain_present AND drained_segments = 0", MESSAGES["drain-empty"]),
+    ("drain_present AND drain_errors > 0", MESSAGES["drain-errors"]),
+    ("events = 0", MESSAGES["no-events"]),
+    ("alignment_status <> 'aligned'", MESSAGES["not-aligned"]),
+    ("coalesce(mismatches, 1) > 0", MESSAGES["mismatches"]),
+    ("inspection_status IS NULL", MESSAGES["not-inspected"]),
+    ("leak_status = 'blocked'", MESSAGES["leak-blocked"]),
+    ("share_without_review", MESSAGES["privacy-open"]),
     ("true", sc.OPERATOR_REVIEW),
-    ("gaps > 0", "current-run proof digest binding is missing or changed during verification"),
+    ("gaps > 0", MESSAGES["digest-unbound"]),
 ]
 _USEFUL = [
-    ("packet_text IS NULL", "skill-refinement-packet.md is missing"),
-    ("NOT notes_exists", "timestamped-notes.md is missing"),
-    ("NOT thought_exists", "thought-process.md is missing"),
-    ("NOT temporal_exists", "temporal-context.json is missing"),
-    ("NOT evidence_exists", "evidence-boundary-report.json is missing"),
-    ("segments = 0", "packet has no transcript segments"),
-    (_SPARSE_F, "narration is too sparse for confident non-toy replay refinement"),
-    ("aligned_segments = 0", "packet has no aligned segments"),
-    ("conflicts > 0", "conflict warnings need operator review"),
+    ("packet_text IS NULL", MESSAGES["packet-missing"]),
+    ("NOT notes_exists", MESSAGES["notes-missing"]),
+    ("NOT thought_exists", MESSAGES["thought-missing"]),
+    ("NOT temporal_exists", MESSAGES["temporal-missing"]),
+    ("NOT evidence_exists", MESSAGES["evidence-missing"]),
+    ("segments = 0", MESSAGES["packet-no-segments"]),
+    (_SPARSE_F, MESSAGES["packet-sparse"]),
+    ("aligned_segments = 0", MESSAGES["packet-no-aligned"]),
+    ("conflicts > 0", MESSAGES["conflicts-need-review"]),
     ("true", sc.PACKET_REVIEW_OWED),
 ]
 _ACTIONS = [
-    ("NOT context_exists", "generate the packet so that a temporal context exists"),
-    ("NOT evidence_exists", "regenerate the packet so that an evidence report exists"),
-    ("NOT plan_exists", "run the voice preview to create a dry-run plan"),
-    ("plan_speaks", "do not treat a spoken preview as proof"),
-    ("conflicts > 0", "inspect conflict warnings before using action claims"),
-    ("out_of_window_events > 0", "inspect out-of-window events"),
-    ("leaks > 0", "inspect the generated-artifact leak scan before sharing"),
-    ("raw_sensitive > 0", "inspect raw sensitive categories before sharing"),
-    (_SPARSE_F, "record again with denser narration"),
-    (f"NOT ({_DONE})", "regenerate with batch, cleanup and final alignment enabled"),
-    ("NOT receipt_exists", "write a receipt after packet inspection"),
+    ("NOT context_exists", "context"),
+    ("NOT evidence_exists", "evidence-report"),
+    ("NOT plan_exists", "dry-run-plan"),
+    ("plan_speaks", "spoken-preview"),
+    ("conflicts > 0", "conflicts"),
+    ("out_of_window_events > 0", "out-of-window"),
+    ("leaks > 0", "leaks"),
+    ("raw_sensitive > 0", "raw-sensitive"),
+    (_SPARSE_F, "sparse"),
+    (f"NOT ({_DONE})", "quality-chain"),
+    ("NOT receipt_exists", "receipt"),
 ]
 _COHESION = [
-    ("NOT context_exists", "temporal context missing"),
-    ("NOT packet_exists", "skill refinement packet missing"),
-    ("NOT evidence_exists", "evidence boundary report missing"),
-    ("NOT plan_exists", "replay voice dry-run execution plan missing"),
-    ("plan_exists AND NOT plan_valid", "replay voice dry-run execution plan is malformed or incomplete"),
-    ("plan_speaks", "replay voice execution plan is not marked as no-audio dry-run"),
-    ("NOT inspection_exists", "packet inspection missing"),
-    ("NOT receipt_exists", "receipt missing for live proof review"),
-    ("conflicts > 0", "conflict warnings need operator review"),
-    ("leaks > 0", "generated artifact leak findings need privacy review"),
-    ("raw_sensitive > 0", "raw-local transcript artifacts contain sensitive categories requiring privacy review"),
-    (_SPARSE_F, "narration density is too sparse for confident packet reuse"),
-    (f"NOT ({_DONE})", "transcript quality pipeline is incomplete or disabled"),
-    ("NOT proofs_valid", "review proofs are malformed, stale, self-authored, or unbound"),
+    ("NOT context_exists", MESSAGES["context-missing"]),
+    ("NOT packet_exists", MESSAGES["card-packet-missing"]),
+    ("NOT evidence_exists", MESSAGES["card-evidence-missing"]),
+    ("NOT plan_exists", MESSAGES["plan-missing"]),
+    ("plan_exists AND NOT plan_valid", MESSAGES["plan-malformed"]),
+    ("plan_speaks", MESSAGES["plan-speaks"]),
+    ("NOT inspection_exists", MESSAGES["inspection-missing"]),
+    ("NOT receipt_exists", MESSAGES["receipt-missing"]),
+    ("conflicts > 0", MESSAGES["conflicts-need-review"]),
+    ("leaks > 0", MESSAGES["leaks-need-review"]),
+    ("raw_sensitive > 0", MESSAGES["raw-needs-review"]),
+    (_SPARSE_F, MESSAGES["density-sparse"]),
+    (f"NOT ({_DONE})", MESSAGES["quality-incomplete"]),
+    ("NOT proofs_valid", MESSAGES["proofs-malformed"]),
     ("true", sc.COHESION_OWED[0]), ("true", sc.COHESION_OWED[1]),
 ]
-_EVENTS = """SELECT session_id, count(*) AS events, arg_min(unix_ms, seq) AS first_event_ms,
-  arg_max(unix_ms, seq) AS last_event_ms,
-  count(*) FILTER (unix_ms IS NULL OR unix_ms < rec_started_ms OR unix_ms > rec_ended_ms) AS bad
-FROM ui_events e JOIN sessions s USING (session_id)
-WHERE session_id % 4 = 3 OR unix_ms IS NOT NULL GROUP BY session_id"""
+_EVENTS = """SELECT session_id, count(*) AS events, arg_min(at_ms, seq) AS first_event_ms,
+  arg_max(at_ms, seq) AS last_event_ms,
+  count(*) FILTER (at_ms IS NULL OR at_ms < rec_started_ms OR at_ms > rec_ended_ms) AS bad
+FROM (SELECT *, CASE WHEN session_id % 4 = 3 THEN unix_ms ELSE coalesce(unix_ms, rec_started_ms) END AS at_ms
+  FROM ui_events e JOIN sessions s USING (session_id)) GROUP BY session_id"""
 _NAMED = " + ".join(
     f"CAST((session_id + {i}) % 13 = 0 OR (session_id + {i}) % 17 = 1 OR (session_id + {i}) % 19 = 2 AS INT)"
     for i in range(len(inv.REQUIRED_DIGESTS)))
@@ -610,7 +607,7 @@ SQL = {
             OR {_SPARSE_F} OR NOT ({_DONE}) OR NOT proofs_valid THEN 'blocked' ELSE 'requires-operator-review' END AS status,
           'batch=' || coalesce(batch_status, 'not-generated') || ' (' || coalesce(batch_reason, 'not-provided') || ') | cleanup='
             || cleanup_status || ' (' || coalesce(cleanup_reason, 'not-provided') || ') | final-receipt=completed (ok)' AS chain_label,
-          CASE WHEN {reasons(_ACTIONS)} = '' THEN 'inspect the review artifact and the evidence report' ELSE {reasons(_ACTIONS)} END AS actions,
+          CASE WHEN {reasons(_ACTIONS)} = '' THEN 'review' ELSE {reasons(_ACTIONS)} END AS actions,
           {reasons(_COHESION)} AS blockers FROM f""", "sessions", extra=_F),
     "evidence_boundary": query(
         """SELECT c.*, CAST(s.audio_started_ms IS NOT NULL AS BIGINT) AS audio_clock_present,

@@ -16,7 +16,8 @@ from spanalign.plans import redaction_sql as rs
 from spanalign.plans.sql import NON_WS, query
 from spanalign.sources import tables as src
 
-BUDGET, PER_FILE = 20_000, 15_000  # small limits, so that they bind on documents of a few kB
+# limits of the two budget queries, small, so that they bind on documents of a few kB
+BUDGET, PER_FILE = 20_000, 15_000
 
 _TEXT = """concat(text, CASE WHEN doc_id % 5 = 1 THEN concat(' see (/home/user/s', cast({s} as {v}), '/notes.md)')
   WHEN doc_id % 5 = 2 THEN ' see "/home/user/other/notes.md".'
@@ -61,7 +62,7 @@ def scan_budget_by_source(spark, sf):
 
 def _findings(spark, sf):
     full = artifacts(spark, sf)
-    marks = inv.scan_budget(full.select("session_id", "seq", "bytes"), BUDGET, PER_FILE)
+    marks = inv.scan_budget(full.select("session_id", "seq", "bytes"))
     scanned = full.join(marks.select("session_id", "seq", "scanned"), ["session_id", "seq"])
     return inv.leak_findings(scanned, approved_paths(spark, sf))
 
@@ -85,7 +86,7 @@ def session_categories(spark, sf):
 
 def raw_sensitivity(spark, sf):
     full = artifacts(spark, sf)
-    marks = inv.scan_budget(full.select("session_id", "seq", "bytes"), BUDGET, PER_FILE)
+    marks = inv.scan_budget(full.select("session_id", "seq", "bytes"))
     scanned = full.join(marks.select("session_id", "seq", "scanned"), ["session_id", "seq"])
     return inv.raw_sensitivity(scanned).select(
         "session_id", "seq", "bytes", "line_count", "fingerprint",
@@ -154,7 +155,7 @@ def audio_chunk_spans(spark, sf):
 def merge_chunk_texts(spark, sf):
     chunks = src.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), "text")
-    return inv.merge_chunk_texts(chunks, 2_500).select(
+    return inv.merge_chunk_texts(chunks).select(
         "session_id", "chunks", F.md5("text").alias("digest"),
         F.col("oversize").cast("bigint").alias("oversize"),
     )
@@ -194,7 +195,7 @@ def hash_chain(spark, sf):
         .otherwise(F.coalesce("before", F.lit(fixed.EMPTY_DIGEST))).alias("previous_hash"),
     )
     return lg.hash_chain(declared, _ORDER_FIELDS, "previous_hash", "row_hash").select(
-        "session_id", "seq", "actual_hash", "violation"
+        "session_id", "seq", "actual_hash", "expected_previous", "violation"
     )
 
 
@@ -204,7 +205,7 @@ def continuation(spark, sf):
         log, ["session_id"], F.expr("seq div 4096"), ["seq"], lags={"prior": F.col("status")}
     ).withColumn("prior", F.expr("CASE WHEN orderkey % 31 = 3 THEN 'X' ELSE prior END"))
     return lg.continuation(stated, {"prior": "status"}).select(
-        "session_id", "seq", F.size("breaks").cast("bigint").alias("breaks")
+        "session_id", "seq", "prior", F.size("breaks").cast("bigint").alias("breaks")
     )
 
 
@@ -346,16 +347,16 @@ _ART = {"art": f"""
   FROM (SELECT doc_id, {_TEXT.format(s='doc_id // 8', v='varchar')} AS text FROM documents)"""}
 
 
-def _fold(source: str) -> str:
+def _fold(source: str, total: int = BUDGET, per_file: int = PER_FILE) -> str:
     """Budget by recursion over the row number of each session."""
     return f"""
   SELECT * FROM (WITH RECURSIVE items AS (SELECT session_id, seq, bytes,
       row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM {source}),
-    walk AS (SELECT session_id, seq, rn, CAST(bytes <= {PER_FILE} AND bytes <= {BUDGET} AS BIGINT) AS scanned,
-        {BUDGET} - CASE WHEN bytes <= {PER_FILE} AND bytes <= {BUDGET} THEN bytes ELSE 0 END AS remaining
+    walk AS (SELECT session_id, seq, rn, CAST(bytes <= {per_file} AND bytes <= {total} AS BIGINT) AS scanned,
+        {total} - CASE WHEN bytes <= {per_file} AND bytes <= {total} THEN bytes ELSE 0 END AS remaining
       FROM items WHERE rn = 1
-      UNION ALL SELECT i.session_id, i.seq, i.rn, CAST(bytes <= {PER_FILE} AND bytes <= remaining AS BIGINT),
-        remaining - CASE WHEN bytes <= {PER_FILE} AND bytes <= remaining THEN bytes ELSE 0 END
+      UNION ALL SELECT i.session_id, i.seq, i.rn, CAST(bytes <= {per_file} AND bytes <= remaining AS BIGINT),
+        remaining - CASE WHEN bytes <= {per_file} AND bytes <= remaining THEN bytes ELSE 0 END
       FROM walk w JOIN items i ON i.session_id = w.session_id AND i.rn = w.rn + 1)
     SELECT session_id, seq, scanned FROM walk)"""
 
@@ -379,7 +380,8 @@ FROM (SELECT *, path_found AND NOT expected OR len(list_filter(string_split(cats
         OR (a.session_id % 3 = 0 AND p = '/home/user/other/notes.md')))) = 0 AS expected
       FROM art a JOIN cat USING (k) JOIN paths USING (k) JOIN fold f ON f.session_id = a.session_id AND f.seq = a.seq) a
     WHERE cats <> ''))"""
-_LEAK = {**_ART, **rs.category_ctes("cat", "art"), "paths": _PATHS, "fold": _fold("art")}
+_LEAK = {**_ART, **rs.category_ctes("cat", "art"), "paths": _PATHS,
+         "fold": _fold("art", fixed.SCAN_MAX_BYTES_PER_SESSION, fixed.SCAN_MAX_BYTES_PER_FILE)}
 _LOG = {"log": """SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY o_orderdate, orderkey) AS seq,
     'sha256:' || sha256('{"cents":' || cents || ',"custkey":' || session_id || ',"orderkey":' || orderkey
       || ',"status":"' || status || '"}') AS digest
@@ -436,14 +438,18 @@ SQL = {
           e // 2 AS sample_end, idx * 250 AS monotonic_offset_ms
         FROM (SELECT *, CAST(sum(bytes) OVER (PARTITION BY session_id ORDER BY idx) AS BIGINT) AS e
           FROM (SELECT o_custkey AS session_id, o_orderkey AS idx, o_orderkey % 4801 + 1 AS bytes FROM orders))""",
-    "merge_chunk_texts": """SELECT session_id, chunks, CASE WHEN size <= 2500 THEN md5(merged) END AS digest, CAST(size > 2500 AS BIGINT) AS oversize
+    "merge_chunk_texts": """SELECT session_id, chunks, md5(merged) AS digest, CAST(size > 4194304 AS BIGINT) AS oversize
         FROM (SELECT conv_id AS session_id, count(*) AS chunks, sum(strlen(text)) + count(*) AS size,
                 string_agg(text, chr(10) ORDER BY turn) AS merged FROM conversations GROUP BY conv_id)""",
     "hash_chain": query(
-        f"""SELECT session_id, seq, digest AS actual_hash, CASE WHEN orderkey % 89 = 1 THEN 'previous-hash-mismatch'
+        f"""SELECT session_id, seq, digest AS actual_hash,
+          coalesce(lag(digest) OVER (PARTITION BY session_id ORDER BY seq), '{fixed.EMPTY_DIGEST}') AS expected_previous,
+          CASE WHEN orderkey % 89 = 1 THEN 'previous-hash-mismatch'
           WHEN orderkey % 97 = 0 THEN 'row-hash-mismatch' END AS violation FROM log""", extra=_LOG),
     "continuation": query(
-        """SELECT session_id, seq, CAST(seq > 1 AND orderkey % 31 = 3 AS BIGINT) AS breaks FROM log""",
+        """SELECT session_id, seq, prior, CAST(seq > 1 AND prior IS DISTINCT FROM before AS BIGINT) AS breaks
+        FROM (SELECT *, CASE WHEN orderkey % 31 = 3 THEN 'X' ELSE before END AS prior
+          FROM (SELECT *, lag(status) OVER (PARTITION BY session_id ORDER BY seq) AS before FROM log))""",
         extra=_LOG),
     "transition_failures": f"""SELECT orderkey, {failed({
         "digest-format": "orderkey % 8 <> 0",

@@ -92,8 +92,11 @@ def conflict_event_lists(spark, sf):
 
 
 def duplicate_segments(spark, sf):
+    """Every second segment comes again later, with other white space."""
     segs = src.shared_segments(spark, sf)
-    return tl.duplicate_segments(segs).select("session_id", "segment_id", "duplicate_of")
+    again = segs.where("segment_id % 2 = 0").withColumns({
+        "segment_id": F.col("segment_id") + 100000, "text": F.concat(F.lit("  "), "text")})
+    return tl.duplicate_segments(segs.unionByName(again)).select("session_id", "segment_id", "duplicate_of")
 
 
 def duplicate_documents(spark, sf):
@@ -141,9 +144,7 @@ def limit_flags(spark, sf):
 
 def temporal_context(spark, sf):
     segs, evs, sess = src.shared_tables(spark, sf)
-    flags = sg.limit_flags(src.transcript_events(spark, sf), evs, segs)
-    oversize = flags.where("oversize_session = 1 or oversize_text = 1")
-    context = tl.temporal_context(segs, evs, sess, oversize)
+    context = tl.temporal_context(segs, evs, sess)
     return context.select(
         "session_id",
         F.coalesce(F.size("segments"), F.lit(0)).cast("bigint").alias("segments"),
@@ -155,6 +156,14 @@ def temporal_context(spark, sf):
             F.lit(0).cast("bigint"), lambda acc, n: acc + n,
         ), F.lit(0)).alias("pairs"),
         F.col("diagnostics.out_of_window_events").alias("out_of_window_events"),
+        *[F.md5(F.array_join(parts, ",")).alias(name) for name, parts in {
+            "segment_digest": F.transform("segments", lambda s: F.concat_ws(":", s["segment_id"], s["start_ms"], s["end_ms"], s["timing_source"])),
+            "event_digest": F.transform("events", lambda e: F.concat_ws(":", e["seq"], e["event_id"], e["kind"], e["ts_status"], e["unix_ms"])),
+            "pair_digest": F.flatten(F.transform("alignments", lambda a: F.transform(a["nearby"], lambda n: F.concat_ws(
+                ":", a["segment_id"], n["seq"], n["event_id"], n["delta_ms"], n["confidence"])))),
+            "confidence_digest": F.transform("alignments", lambda a: F.concat_ws(":", a["segment_id"], a["confidence"])),
+            "warning_digest": F.transform("warnings", lambda w: F.concat_ws(":", w["segment_id"], w["reason"])),
+        }.items()],
     )
 
 
@@ -247,6 +256,12 @@ def _count(cte: str) -> str:
     return f"coalesce((SELECT count(*) FROM {cte} x WHERE x.session_id = s.session_id), 0)"
 
 
+def _listed(cte: str, *columns: str) -> str:
+    """Digest of a session's rows in the order of the first two columns."""
+    return (f"(SELECT md5(string_agg(concat_ws(':', {', '.join(columns)}), ',' ORDER BY {columns[0]}, {columns[1]})) "
+            f"FROM {cte} x WHERE x.session_id = s.session_id)")
+
+
 SQL = {
     "note_lines": query(
         f"""SELECT n.session_id, n.segment_id, 0 AS line_no, '- [' || {mmss('start_ms')} || '-' || {mmss('end_ms')}
@@ -287,7 +302,9 @@ SQL = {
         FROM ({_RANKED}) r JOIN conflicts c USING (session_id, segment_id)
         WHERE c.reason = 'nearby-ui-label-mismatch' AND r.nearby_rank <= 4""",
         "pairs", extra={"conflicts": _CONFLICTS}),
-    "duplicate_segments": query(_DUPLICATES, "segments"),
+    "duplicate_segments": query(_DUPLICATES.replace("FROM segments", "FROM said"), "segments", extra={
+        "said": "SELECT session_id, segment_id, text FROM segments UNION ALL "
+                "SELECT session_id, segment_id + 100000, '  ' || text FROM segments WHERE segment_id % 2 = 0"}),
     "duplicate_documents": f"""SELECT session_id, segment_id, duplicate_of FROM (
         SELECT source AS session_id, doc_id AS segment_id,
           min(doc_id) OVER (PARTITION BY source, {normalized('text')}) AS duplicate_of FROM documents)
@@ -331,8 +348,10 @@ SQL = {
     "temporal_context": query(
         f"""SELECT s.session_id, {_count('segments')} AS segments, {_count('ui_events')} AS events,
         {_count('best')} AS alignments, {_count('conflicts')} AS warnings, {_count('pairs')} AS pairs,
-        {_count('far')} AS out_of_window_events
-        FROM sessions s WHERE session_id NOT IN (
-          SELECT session_id FROM limits WHERE oversize_session = 1 OR oversize_text = 1)""",
-        "pairs", extra={**_EXTRA, "limits": _LIMITS}),
+        {_count('far')} AS out_of_window_events, {_listed('segments', 'segment_id', 'start_ms', 'end_ms', 'timing_source')} AS segment_digest,
+        {_listed('ui_events', 'seq', 'event_id', 'kind', 'ts_status', 'unix_ms')} AS event_digest,
+        {_listed('pairs', 'segment_id', 'seq', 'event_id', 'delta_ms', 'confidence')} AS pair_digest,
+        {_listed('best', 'segment_id', 'best_confidence')} AS confidence_digest,
+        {_listed('conflicts', 'segment_id', 'reason')} AS warning_digest
+        FROM sessions s""", "pairs", extra=_EXTRA),
 }

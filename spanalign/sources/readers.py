@@ -188,12 +188,12 @@ def read_session_documents(
 def read_artifact_bytes(
     spark: SparkSession, pattern: str, max_bytes: int = fixed.ARTIFACT_MAX_BYTES
 ) -> DataFrame:
-    """(session_id, name, path, length, content); content is read only for files within the bound."""
+    """(session_id, name, path, length, oversize, content); ``oversize`` flags files above the bound."""
     files = spark.read.format("binaryFile").load(pattern)
     return files.select(
         _session_of(F.col("path")).alias("session_id"),
         F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length",
-        F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"),
+        (F.col("length") > max_bytes).alias("oversize"), "content",
     )
 
 

@@ -80,11 +80,14 @@ def test_kernel_equals_plain_dynamic_program():
     for _ in range(60):
         n, m = rng.integers(1, 15, 2)
         grid = rng.random((n, m)) < rng.choice([0.1, 0.3, 0.6])
+        left, right = rng.integers(0, n, n), rng.integers(0, m, m)
+        alike = [np.flatnonzero(row) for row in grid]
+        grid = grid[left][:, right]
         dp = np.zeros((n + 1, m + 1), dtype=int)
         for i in reversed(range(n)):
             for j in reversed(range(m)):
                 dp[i, j] = dp[i + 1, j + 1] + 1 if grid[i, j] else max(dp[i + 1, j], dp[i, j + 1])
-        found = al.monotonic_match(grid)
+        found = al.monotonic_match(left, right, alike)
         hits = [(i, j) for i, j in enumerate(found) if j >= 0]
         assert len(hits) == dp[0, 0]
         assert all(grid[i, j] for i, j in hits)
@@ -116,14 +119,35 @@ def test_fuzzy_join_equals_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_limits_refuse_a_session(spark):
+def test_limits_are_flags(spark):
     segs = spark.createDataFrame([(1, 1, 0, 10, "w " * 2500), (2, 1, 0, 10, "fine"),
                                   (3, 1, 0, 10, "x" * 300)], SEG)
     cleaned = spark.createDataFrame([(1, "w. " * 2500), (2, "fine"), (3, "x. y.")],
                                     "session_id bigint, cleaned_text string")
     rows = {r.session_id: r.limit_broken for r in al.alignment_limits(segs, cleaned).collect()}
     assert rows == {1: "cells", 2: None, 3: "token-bytes"}
-    assert {r.session_id for r in al.align_cleaned(segs, cleaned).collect()} == {2}
+    assert {r.session_id for r in al.align_cleaned(segs, cleaned).collect()} == {1, 2, 3}
+
+
+def test_long_recording_is_matched():
+    rng = np.random.default_rng(1)
+    right = rng.integers(0, 3000, 9000)
+    left = np.delete(right, np.arange(0, 9000, 7))
+    found = al.monotonic_match(left, right, [np.array([k]) for k in range(3000)])
+    assert (found >= 0).all() and (np.diff(found) > 0).all() and (right[found] == left).all()
+
+
+def test_fallback_serves_all_segments(spark):
+    rng = random.Random(2)
+    vocab = ["open", "save", "document", "window", "close", "x", "alpha", "settings"]
+    texts = [" ".join(rng.choices(vocab, k=3)) for _ in range(30)]
+    words = " ".join(w for t in texts for w in t.split())
+    segs = [(k + 1, 1000 * k, 1000 * k + 900, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(1, *s) for s in segs], SEG)
+    cleaned = spark.createDataFrame([(1, words)], "session_id bigint, cleaned_text string")
+    rows = al.align_fallback(df, cleaned, cleaned.select("session_id")).orderBy("id").collect()
+    got = [(r.id, r.start_ms, r.end_ms, r.text, round(r.confidence, 9), list(r.source_segment_ids), r.mismatch) for r in rows]
+    assert got == brute.fallback(segs, words) and len(words.split()) == 90
 
 
 def test_utterance_offsets(spark):

@@ -51,3 +51,11 @@ def test_nearest_points_equals_brute_force(spark):
                 near = [abs(x[1] - r.ms) for x in same if x[k]]
                 assert r[f"near_{flag}"] == (min(near) if near else None)
             assert r.n == sum(x[4] for x in same if x[1] == r.ms)
+
+
+def test_running_keeps_rows_without_key_or_order(spark):
+    rows = [(1, 1, 5), (1, 2, 6), (None, 1, 7), (None, 2, 8), (2, None, 9), (2, 5000, 10)]
+    df = spark.createDataFrame(rows, "session_id bigint, seq bigint, v bigint")
+    found = running(df, ["session_id"], row_block("seq"), ["seq"], sums={"before": F.col("v")}, lags={"last": F.col("v")})
+    got = sorted(((r.session_id, r.seq, r.before, r.last) for r in found.collect()), key=repr)
+    assert got == sorted([(1, 1, 0, None), (1, 2, 5, 5), (None, 1, 0, None), (None, 2, 7, 7), (2, None, 0, None), (2, 5000, 9, 9)], key=repr)

@@ -68,7 +68,7 @@ def test_chunk_spans_and_merge(spark):
     assert got == [(0, 5, 0, 2), (5, 11, 2, 5), (11, 15, 5, 7)]
     texts = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "only"), (3, 1, "x" * 50)], "session_id bigint, idx bigint, text string")
     merged = {r.session_id: (r.chunks, r.text, r.oversize) for r in inv.merge_chunk_texts(texts, 20).collect()}
-    assert merged == {1: (2, "a\nb", False), 2: (1, "only", False), 3: (1, None, True)}
+    assert merged == {1: (2, "a\nb", False), 2: (1, "only", False), 3: (1, "x" * 50, True)}
 
 
 def amendment(seq, previous, before, after, contract, change="strengthens", **over):

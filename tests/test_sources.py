@@ -70,7 +70,7 @@ def test_documents_bytes_and_chunks(spark, tmp_path):
     stats = inv.file_stats(rd.read_artifact_bytes(spark, str(tmp_path / "*" / "raw.bin"))).first()
     assert (stats.session_id, stats.bytes, stats.line_count) == ("s1", 4, 2)
     assert stats.fingerprint == "sha256:" + hashlib.sha256(b"a\nb\xff").hexdigest()
-    assert rd.read_artifact_bytes(spark, str(tmp_path / "*" / "raw.bin"), 3).first().content is None
+    assert rd.read_artifact_bytes(spark, str(tmp_path / "*" / "raw.bin"), 3).first().oversize
     put(tmp_path, "s1", "audio-chunks.jsonl", line(byteStart=0, byteEnd=4, sampleStart=0, sampleEnd=2, monotonicOffsetMs=7))
     chunk = rd.read_audio_chunks(spark, str(tmp_path)).first()
     assert (chunk.idx, chunk.byte_end, chunk.sample_end, chunk.monotonic_offset_ms) == (1, 4, 2, 7)
