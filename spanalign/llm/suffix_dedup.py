@@ -39,7 +39,7 @@ from spanalign.session import written
 
 LENGTH, SEED = 100, 24
 #: Anchors compared within a task before the rest is sent on; contexts of an anchor in one task; bytes of one suffix array.
-BLOCK, GROUP, ARRAY_BYTES = 1 << 20, 4096, 1 << 21
+BLOCK, GROUP, ARRAY_BYTES = 1 << 19, 4096, 1 << 20
 
 
 # --- anchors -----------------------------------------------------------------------------------------------
