@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanalign import fixed
 from spanalign.operators import segments as sg, timeline as tl
 from spanalign.plans.sql import query
 from spanalign.session import scratch_path
@@ -77,7 +78,7 @@ def quota_breaches(spark, sf):
 def live_quota(spark, sf):
     schema = src.table(spark, sf, "conversations").schema
     stream = _turn_bytes(live.stream_table(spark, sf, "conversations", schema))
-    return live.run_appended(live.live_quota(stream, MAX_MESSAGE, MAX_EVENTS, 2_500), "quota")
+    return live.run_appended(live.live_quota(stream, MAX_MESSAGE, MAX_EVENTS, 2_500, first_seq=0), "quota")
 
 
 def event_quota(spark, sf):
@@ -96,20 +97,31 @@ def live_segments(spark, sf):
     path = scratch_path(spark, "transcript")
     rows.unionByName(stops).write.parquet(path)
     stream = live.stream_folder(spark, path, rows.schema)
-    return live.run_appended(live.live_segments(stream), "live-segments")
+    return live.run_appended(live.live_segments(stream, first_seq=0), "live-segments")
+
+
+#: Longer than the events of the test tables are spread; the last row of all comes later still.
+WATERMARK_DAYS = 400
 
 
 def live_commits(spark, sf):
-    """User events as capture rows; the last event of a session is its stop."""
+    """User events as capture rows; the last event of a session is its stop.
+
+    A closing row of no session pushes the watermark over all others, as a heartbeat does.
+    """
     rows = _event_rows(src.table(spark, sf, "events"))
     last = rows.groupBy("session_id").agg(F.max("at_ms").alias("at_ms"))
     stops = last.select("session_id", F.lit(1 << 40).alias("seq"), F.lit("stop").alias("route"),
                         F.lit(0).cast("bigint").alias("bytes"), F.col("at_ms"))
     path = scratch_path(spark, "capture")
     cols = ["session_id", "seq", "route", "bytes", "at_ms"]
-    rows.select(*cols).unionByName(stops.select(*cols)).write.parquet(path)
+    beyond = (2 * WATERMARK_DAYS) * 86_400_000
+    beat = last.agg((F.max("at_ms") + beyond).alias("at_ms")).select(
+        F.lit(-1).cast("bigint").alias("session_id"), F.lit(1).cast("bigint").alias("seq"),
+        F.lit("heartbeat").alias("route"), F.lit(0).cast("bigint").alias("bytes"), "at_ms")
+    rows.select(*cols).unionByName(stops.select(*cols)).unionByName(beat.select(*cols)).write.parquet(path)
     stream = live.stream_folder(spark, path, rows.select(*cols).schema)
-    return live.run_appended(live.live_commits(stream), "commits")
+    return live.run_appended(live.live_commits(stream, watermark=f"{WATERMARK_DAYS} days"), "commits")
 
 
 def live_alignment(spark, sf):
@@ -122,7 +134,7 @@ def live_alignment(spark, sf):
         df.write.parquet(paths[name])
     return live.run_appended(live.live_alignment(
         live.stream_folder(spark, paths["middles"], left.schema),
-        live.stream_folder(spark, paths["events"], right.schema),
+        live.stream_folder(spark, paths["events"], right.schema), watermark=f"{WATERMARK_DAYS} days",
     ), "live-alignment")
 
 
@@ -152,7 +164,38 @@ def _quota(source: str, message: int, events: int, total: int) -> str:
 _TURNS = _quota("(SELECT conv_id AS session_id, turn AS seq, strlen(text) AS bytes FROM conversations)",
                 MAX_MESSAGE, MAX_EVENTS, 2_500)
 
+_NEXT = """SELECT e.session_id, e.rn, e.at_ms,
+    CASE WHEN waits_until IS NOT NULL AND (e.at_ms > waits_until OR e.route = 'error') THEN 'unacknowledged'
+      WHEN waits_until IS NOT NULL AND e.route = 'completed' THEN 'acknowledged'
+      WHEN waits_until IS NOT NULL OR closed THEN NULL
+      WHEN e.route = 'audio' AND held + e.bytes >= {minimum} AND e.at_ms - coalesce(last, e.at_ms) >= {interval} THEN 'commit'
+      WHEN e.route = 'stop' AND held < {minimum} THEN 'not-needed'
+      WHEN e.route = 'stop' THEN 'awaiting-acknowledgement' END AS event,
+    e.route, e.bytes AS size, held, last, waits_until, closed"""
+_COMMITS = f"""SELECT * FROM (WITH RECURSIVE e AS (
+    SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at_ms, seq) AS rn FROM (
+      SELECT session_id, seq, route, bytes, at_ms FROM r
+      UNION ALL SELECT session_id, 1099511627776, 'stop', 0, max(at_ms) FROM r GROUP BY session_id)),
+  walk AS (
+    SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS held, CAST(NULL AS BIGINT) AS last,
+      CAST(NULL AS BIGINT) AS waits_until, false AS closed, CAST(NULL AS BIGINT) AS told_at, CAST(NULL AS VARCHAR) AS event,
+      CAST(0 AS BIGINT) AS bytes FROM e
+    UNION ALL SELECT session_id, rn,
+      CASE WHEN event IN ('commit', 'acknowledged') THEN 0 WHEN waits_until IS NULL AND NOT closed AND route = 'audio' THEN held + size ELSE held END,
+      CASE WHEN event = 'commit' THEN at_ms WHEN waits_until IS NOT NULL OR closed THEN last ELSE coalesce(last, at_ms) END,
+      CASE WHEN event = 'awaiting-acknowledgement' THEN at_ms + {fixed.DRAIN_TIMEOUT_MS}
+        WHEN event IN ('unacknowledged', 'acknowledged') THEN NULL ELSE waits_until END,
+      closed OR (waits_until IS NULL AND route = 'stop'),
+      CASE WHEN event = 'unacknowledged' THEN least(at_ms, waits_until) ELSE at_ms END, event,
+      CASE WHEN event = 'commit' THEN held + size ELSE held END
+    FROM ({_NEXT.format(minimum=fixed.MINIMUM_COMMIT_BYTES, interval=fixed.COMMIT_INTERVAL_MS)}
+      FROM walk w JOIN e ON e.session_id = w.session_id AND e.rn = w.rn + 1))
+  SELECT session_id, told_at AS at_ms, event, CAST(bytes AS BIGINT) AS bytes FROM walk WHERE event IS NOT NULL
+  UNION ALL SELECT session_id, waits_until, 'unacknowledged', CAST(held AS BIGINT) FROM walk
+  WHERE waits_until IS NOT NULL AND rn = (SELECT max(rn) FROM e WHERE e.session_id = walk.session_id))"""
+
 SQL = {
+    "live_commits": query("SELECT * FROM commits", extra={**_ROWS, "commits": _COMMITS}),
     "routed_events": query(
         "SELECT session_id, seq, route, CASE WHEN route IN ('delta', 'completed') THEN props END AS text FROM r", extra=_ROWS),
     "live_stats": _STATS,

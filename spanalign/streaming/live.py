@@ -1,8 +1,10 @@
 """Live capture streams: routing, segments, commits, quotas, clocks, alignment, statistics.
 
-Late rows (behind the watermark) are dropped by Spark and counted in the query progress as
-``numRowsDroppedByWatermark``.  Keyed state is small by construction: counters, one offset, and at
-most one delta buffer of 64 KiB per session.
+Results do not depend on how rows fall into micro-batches.  Where rows carry gapless numbers (lines of a
+log), a session's early rows wait in list state until all before them have come; where they carry only
+times, they wait until the watermark has passed and are then taken in order of time.  Rows behind the
+watermark are dropped by Spark and counted in the query progress as ``numRowsDroppedByWatermark``.
+Besides waiting rows, keyed state is counters and the text of deltas before the first segment.
 """
 
 from __future__ import annotations
@@ -112,23 +114,63 @@ def quota_breaches(
     )
 
 
-class QuotaProcessor(StatefulProcessor):
+class InSequence(StatefulProcessor):
+    """Takes a session's rows by gapless ``seq``; rows that come early wait in list state."""
+
+    #: Columns of a waiting row, ``seq`` among them.
+    ROW = "seq bigint"
+    first_seq = 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.early = handle.getListState("early", self.ROW)
+        self.next_seq = handle.getValueState("next_seq", "seq bigint")
+
+    def ready(self, rows: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        names = [c.split()[0] for c in self.ROW.split(", ")]
+        known = [tuple(_plain(v) for v in row) for batch in rows for row in batch[names].itertuples(index=False, name=None)]
+        known += [tuple(row) for row in self.early.get()] if self.early.exists() else []
+        at = self.next_seq.get()[0] if self.next_seq.exists() else self.first_seq
+        place, waiting = names.index("seq"), []
+        for row in sorted(known, key=lambda r: r[place]):
+            if row[place] == at:
+                at += 1
+                yield dict(zip(names, row))
+            elif row[place] > at:
+                waiting.append(row)
+        self.next_seq.update((at,))
+        if waiting:
+            self.early.put(waiting)
+        elif self.early.exists():
+            self.early.clear()
+
+
+def _plain(value):
+    """A pandas cell as a plain value for state, NULL as None."""
+    if value is None or (not isinstance(value, str) and pd.isna(value)):
+        return None
+    return value.item() if hasattr(value, "item") else value
+
+
+class QuotaProcessor(InSequence):
     """Running counters per session; one row when the first limit breaks, nothing after it."""
 
-    def __init__(self, max_message: int, max_events: int, max_bytes: int):
-        self.limits = (max_message, max_events, max_bytes)
+    ROW = "seq bigint, bytes bigint"
+
+    def __init__(self, max_message: int, max_events: int, max_bytes: int, first_seq: int):
+        self.limits, self.first_seq = (max_message, max_events, max_bytes), first_seq
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.used = handle.getValueState("used", "events bigint, total bigint, failed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events, total, failed = self.used.get() if self.used.exists() else (0, 0, False)
         max_message, max_events, max_bytes = self.limits
         out = []
-        for row in _in_order(rows, "seq"):
+        for row in self.ready(rows):
             if failed:
-                break
-            size = int(row.bytes)
+                continue
+            size = row["bytes"]
             events, total = events + 1, total + size
             reason = (
                 "message-bytes" if size > max_message
@@ -137,7 +179,7 @@ class QuotaProcessor(StatefulProcessor):
             )
             if reason:
                 failed = True
-                out.append((key[0], int(row.seq), reason))
+                out.append((key[0], row["seq"], reason))
         self.used.update((events, total, failed))
         yield pd.DataFrame(out, columns=["session_id", "seq", "reason"])
 
@@ -150,58 +192,51 @@ def live_quota(
     max_message: int = fixed.STREAM_MAX_MESSAGE_BYTES,
     max_events: int = fixed.STREAM_MAX_EVENTS,
     max_bytes: int = fixed.STREAM_MAX_BYTES,
+    first_seq: int = 1,
 ) -> DataFrame:
+    """Streaming twin of `quota_breaches`; ``seq`` numbers a session's rows from ``first_seq`` on."""
     return stream.select("session_id", "seq", "bytes").groupBy("session_id").transformWithStateInPandas(
-        QuotaProcessor(max_message, max_events, max_bytes), BREACH_SCHEMA, "Append", "None"
+        QuotaProcessor(max_message, max_events, max_bytes, first_seq), BREACH_SCHEMA, "Append", "None"
     )
 
 
-def _in_order(rows: Iterator[pd.DataFrame], column: str):
-    """Rows of one key in this micro-batch, ordered."""
-    batch = pd.concat(list(rows), ignore_index=True).sort_values(column, kind="stable")
-    return batch.itertuples(index=False)
-
-
-def _whole(value):
-    return None if pd.isna(value) else int(value)
-
-
 # --- segments ---
 
-class SegmentProcessor(StatefulProcessor):
+class SegmentProcessor(InSequence):
     """Segments as completed rows arrive; a ``stop`` row emits the delta fallback if there is none."""
 
-    def __init__(self, max_bytes: int):
-        self.max_bytes = max_bytes
+    ROW = "seq bigint, kind string, monotonic_offset_ms bigint, offset_ms bigint, timing_source string, text string"
+
+    def __init__(self, first_seq: int):
+        self.first_seq = first_seq
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState(
             "state",
-            "segments bigint, reached bigint, deltas string, size bigint, last_offset bigint, "
-            "last_monotonic bigint",
+            "segments bigint, reached bigint, deltas string, last_offset bigint, last_monotonic bigint",
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get() if self.state.exists() else (0, 0, "", 0, 0, None)
-        count, reached, deltas, size, last, last_mono = known
-        out = []
-        for row in _in_order(rows, "seq"):
-            mono, offset = _whole(row.monotonic_offset_ms), int(row.offset_ms)
-            if row.kind == "completed" and row.text:
+        known = self.state.get() if self.state.exists() else (0, 0, "", 0, None)
+        count, reached, deltas, last, last_mono = known
+        out, pieces = [], [deltas]
+        for row in self.ready(rows):
+            mono, offset = row["monotonic_offset_ms"], row["offset_ms"]
+            deltas = "".join(pieces) if row["kind"] == "stop" else ""
+            if row["kind"] == "completed" and row["text"]:
                 end = max(offset, reached)
                 count += 1
-                out.append((key[0], count, reached, end, mono, row.timing_source, row.text))
-                reached, deltas, size = end, "", 0
-            elif row.kind == "delta" and count == 0:
-                # the buffer only matters until the first segment, and only within the text limit
-                size += len(row.text.encode())
-                deltas = deltas + row.text if size <= self.max_bytes else ""
+                out.append((key[0], count, reached, end, mono, row["timing_source"], row["text"]))
+                reached, pieces = end, []
+            elif row["kind"] == "delta" and count == 0:
+                pieces.append(row["text"])  # they only matter until the first segment
                 last, last_mono = offset, mono
-            elif row.kind == "stop" and count == 0 and deltas.strip():
+            elif row["kind"] == "stop" and count == 0 and deltas.strip():
                 count += 1
                 source = fixed.WALL_CLOCK_SOURCE if last_mono is None else fixed.MONOTONIC_SOURCE
                 out.append((key[0], 1, 0, last, last_mono, source, deltas.strip()))
-        self.state.update((count, reached, deltas, size, last, last_mono))
+        self.state.update((count, reached, "".join(pieces), last, last_mono))
         yield pd.DataFrame(out, columns=[
             "session_id", "segment_id", "start_ms", "end_ms", "monotonic_offset_ms",
             "timing_source", "text",
@@ -211,24 +246,22 @@ class SegmentProcessor(StatefulProcessor):
         pass
 
 
-def live_segments(
-    stream: DataFrame, max_bytes: int = fixed.TRANSCRIPT_TEXT_MAX_BYTES
-) -> DataFrame:
+def live_segments(stream: DataFrame, first_seq: int = 1) -> DataFrame:
     """Streaming twin of segment assembly.
 
-    ``stream``: session_id, seq, kind (``completed``, ``delta``, ``stop``), audio_offset_ms,
-    monotonic_offset_ms, text.  Trimming and blank tests happen in the JVM before the state.
+    ``stream``: session_id, seq (gapless from ``first_seq`` on), kind (``completed``, ``delta``,
+    ``stop``), audio_offset_ms, monotonic_offset_ms, text.  Texts are trimmed before the state.
     """
     completed = F.col("kind") == "completed"
-    rows = stream.where(F.col("kind").isin("delta", "stop") | (completed & ~tx.is_blank(F.col("text"))))
-    rows = rows.select(
+    rows = stream.select(
         "session_id", "seq", "kind", "monotonic_offset_ms",
         instants.effective_offset(F.col("monotonic_offset_ms"), F.col("audio_offset_ms")).alias("offset_ms"),
         instants.timing_source(F.col("monotonic_offset_ms")).alias("timing_source"),
-        F.when(completed, tx.squeeze(F.col("text"))).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
+        F.when(completed & tx.is_blank(F.col("text")), "").when(completed, tx.squeeze(F.col("text")))
+        .otherwise(F.coalesce("text", F.lit(""))).alias("text"),
     )
     return rows.groupBy("session_id").transformWithStateInPandas(
-        SegmentProcessor(max_bytes), SEGMENT_SCHEMA, "Append", "None"
+        SegmentProcessor(first_seq), SEGMENT_SCHEMA, "Append", "None"
     )
 
 
@@ -239,6 +272,7 @@ class CommitProcessor(StatefulProcessor):
 
     Input rows: ``audio`` (bytes), ``completed``, ``error``, ``stop``, ``send-error``.  After a stop
     with enough pending bytes the session waits for a completed row until the event-time timer ends.
+    Rows wait in list state until the watermark has passed them and are taken in order of time.
     """
 
     def __init__(self, minimum: int, interval_ms: int, timeout_ms: int):
@@ -249,50 +283,63 @@ class CommitProcessor(StatefulProcessor):
         self.state = handle.getValueState(
             "state", "buffered bigint, last_commit bigint, waiting_until bigint, closed boolean"
         )
+        self.early = handle.getListState("early", "at_ms bigint, seq bigint, route string, bytes bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = ["at_ms", "seq", "route", "bytes"]
+        new = [tuple(_plain(v) for v in row) for batch in rows for row in batch[names].itertuples(index=False, name=None)]
+        self.early.appendList(new)
+        self.handle.registerTimer(min(row[0] for row in new))
+        yield pd.DataFrame([], columns=["session_id", "at_ms", "event", "bytes"])
+
+    def taken(self, key, reached: int) -> Iterator[tuple]:
+        """Events of the waiting rows up to ``reached``."""
+        waiting = sorted(tuple(row) for row in self.early.get()) if self.early.exists() else []
+        rows, rest = [r for r in waiting if r[0] <= reached], [r for r in waiting if r[0] > reached]
+        if rest:
+            self.early.put(rest)
+            self.handle.registerTimer(rest[0][0])
+        elif waiting:
+            self.early.clear()
         minimum, interval, timeout = self.settings
         buffered, last, until, closed = (
             self.state.get() if self.state.exists() else (0, None, None, False)
         )
-        out = []
-        for row in _in_order(rows, "seq"):
-            at = int(row.at_ms)
+        for at, _, route, size in rows:
             if until is not None:
-                if at > until or row.route == "error":
-                    out.append((key[0], min(at, until), "unacknowledged", buffered))
+                if at > until or route == "error":
+                    yield key[0], min(at, until), "unacknowledged", buffered
                     until = None
-                elif row.route == "completed":
-                    out.append((key[0], at, "acknowledged", buffered))
+                elif route == "completed":
+                    yield key[0], at, "acknowledged", buffered
                     until, buffered = None, 0
                 continue
             if closed:
                 continue
             last = at if last is None else last
-            if row.route == "audio":
-                buffered += int(row.bytes)
+            if route == "audio":
+                buffered += size
                 if buffered >= minimum and at - last >= interval:
-                    out.append((key[0], at, "commit", buffered))
+                    yield key[0], at, "commit", buffered
                     buffered, last = 0, at
-            elif row.route in ("stop", "send-error"):
+            elif route in ("stop", "send-error"):
                 closed = True
                 if buffered < minimum:
-                    out.append((key[0], at, "not-needed", buffered))
-                elif row.route == "send-error":
-                    out.append((key[0], at, "send-failed", buffered))
+                    yield key[0], at, "not-needed", buffered
+                elif route == "send-error":
+                    yield key[0], at, "send-failed", buffered
                 else:
-                    out.append((key[0], at, "awaiting-acknowledgement", buffered))
+                    yield key[0], at, "awaiting-acknowledgement", buffered
                     until = at + timeout
-                    self.handle.registerTimer(until)
+        if until is not None and until <= reached:
+            yield key[0], until, "unacknowledged", buffered
+            until = None
+        elif until is not None:
+            self.handle.registerTimer(until)
         self.state.update((buffered, last, until, closed))
-        yield pd.DataFrame(out, columns=["session_id", "at_ms", "event", "bytes"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        buffered, last, until, closed = self.state.get()
-        out = []
-        if until is not None:
-            out.append((key[0], until, "unacknowledged", buffered))
-            self.state.update((buffered, last, None, closed))
+        out = list(self.taken(key, timerValues.getCurrentWatermarkInMs()))
         yield pd.DataFrame(out, columns=["session_id", "at_ms", "event", "bytes"])
 
     def close(self) -> None:
@@ -306,7 +353,10 @@ def live_commits(
     timeout_ms: int = fixed.DRAIN_TIMEOUT_MS,
     watermark: str = "10 seconds",
 ) -> DataFrame:
-    """``stream``: session_id, seq, route, at_ms, bytes."""
+    """``stream``: session_id, seq, route, at_ms, bytes.
+
+    ``watermark`` is how far rows may come out of order; events are told once it has passed them.
+    """
     timed = stream.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", watermark)
     return timed.groupBy("session_id").transformWithStateInPandas(
         CommitProcessor(minimum, interval_ms, timeout_ms), COMMIT_SCHEMA, "Append", "EventTime"
@@ -348,14 +398,19 @@ def live_alignment(
 MAX_BYTES_PER_TRIGGER = 512 * 1024 * 1024
 
 
-def stream_folder(spark: SparkSession, folder: str, schema, glob: str | None = None) -> DataFrame:
+def stream_folder(
+    spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_trigger: int | None = None
+) -> DataFrame:
     """Stream over the Parquet files of a folder.
 
-    A micro-batch takes a bounded amount of input, so the rows of one session that meet in one task
-    are bounded as well, whatever share of the stream the session has.  Rows of one session must
-    arrive in order across files, as they do in a log partitioned by session.
+    A micro-batch takes a bounded amount of input (or of files), so the rows of one session that meet
+    in one task are bounded as well, whatever share of the stream the session has.
     """
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", MAX_BYTES_PER_TRIGGER)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", MAX_BYTES_PER_TRIGGER)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(folder)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from spanalign.operators import segments as sg
@@ -43,12 +45,51 @@ def test_segments_over_several_batches_equal_batch(spark, tmp_path):
     one = [(1, 1, "completed", 40, None, " a "), (1, 2, "delta", 50, None, "x"), (2, 1, "delta", 10, None, "He"),
            (3, 1, "delta", 5, None, "y" * 70_000)]
     two = [(1, 3, "completed", 30, 20, "b"), (2, 2, "delta", 20, 19, "llo "), (1, 4, "completed", 90, None, " ")]
-    stops = [(s, 9, "stop", None, None, "") for s in (1, 2, 3)]
+    stops = [(s, n, "stop", None, None, "") for s, n in ((1, 5), (2, 3), (3, 2))]
     out = live.run_appended(live.live_segments(stream_of(spark, tmp_path, "tr", TR, one, two, stops)), "segments-test")
     want = sg.assemble_segments(spark.createDataFrame(one + two, TR))
     key = lambda df: sorted(tuple(r) for r in df.select(
         "session_id", "segment_id", "start_ms", "end_ms", "text", "timing_source").collect())
-    assert key(out) == key(want) and len(key(out)) == 3
+    assert key(out) == key(want) and len(key(out)) == 4
+
+
+def shuffled(rows, seed=4):
+    rows = list(rows)
+    random.Random(seed).shuffle(rows)
+    return [rows[k::5] for k in range(5)]
+
+
+def test_segments_do_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(s, n, rng.choice(["completed", "delta", "delta"] if s % 2 else ["delta"]), 10 * n, rng.choice([None, 10 * n - 1]), rng.choice([f" t{n} ", " ", f"u{n}"]))
+            for s in range(6) for n in range(1, 12)]
+    stops = [(s, 12, "stop", None, None, "") for s in range(6)]
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want = key(sg.assemble_segments(spark.createDataFrame(rows, TR)).select("session_id", "segment_id", "start_ms", "end_ms", "text"))
+    for name, batches in (("one", [rows + stops]), ("many", shuffled(rows + stops))):
+        out = live.run_appended(live.live_segments(stream_of(spark, tmp_path, name, TR, *batches)), "any")
+        assert key(out.select("session_id", "segment_id", "start_ms", "end_ms", "text")) == want
+
+
+def test_commits_and_pairs_do_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(s, n, rng.choice(["audio", "audio", "completed", "error"]), 1_000_000 + 700 * n, rng.randint(500, 4000)) for s in range(5) for n in range(1, 40)]
+    rows += [(s, 40, "stop", 1_000_000 + 28_000, 0) for s in range(5)]
+    beat = (-1, 1, "heartbeat", 10**9, 0)
+    found = []
+    for name, batches in (("c1", [[*rows, beat]]), ("c5", [*shuffled(rows), [beat]])):
+        stream = stream_of(spark, tmp_path, name, CAP, *batches)
+        out = live.run_appended(live.live_commits(stream, watermark="1 hour"), "commits-any")
+        found.append(sorted(tuple(r) for r in out.collect()))
+    assert found[0] == found[1] and {r[2] for r in found[0]} > {"commit"}
+    left = [(1, k, 1_000_000 + 9000 * k) for k in range(20)]
+    right = [(1, k, k, 1_000_000 + 2500 * k) for k in range(70)]
+    pairs = []
+    for name, one, two in (("p1", [left], [right]), ("p5", shuffled(left), shuffled(right))):
+        ls = stream_of(spark, tmp_path, name + "l", "session_id bigint, segment_id bigint, mid_ms bigint", *one)
+        rs = stream_of(spark, tmp_path, name + "r", "session_id bigint, seq bigint, event_id bigint, unix_ms bigint", *two)
+        pairs.append(sorted(tuple(r) for r in live.run_appended(live.live_alignment(ls, rs, watermark="1 hour"), "pairs-any").collect()))
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 50
 
 
 def test_quota_over_batches_equals_batch(spark, tmp_path):
