@@ -9,8 +9,9 @@ sizes m and n with ``J >= t`` share at least ``b = ceil(t (m + n) / (1 + t))`` n
 * a pair met at places i and j can still reach ``1 + min(m - i, n - j)`` (places from 1 count those used
   up): it is discarded if that, or the smaller size, is below ``b``.
 
-The overlap of a remaining pair is accumulated over the block, the pair is discarded if the columns beyond
-cannot make up for what is missing, and else accumulated over all columns and compared exactly.
+The overlap of a remaining pair is accumulated over all columns and compared exactly; pairs of different
+components are first accumulated over the block and discarded if the columns beyond cannot make up for what
+is missing (most can't, while most pairs with a hub can).
 
 Groups need no list of all pairs.  Sets that are equal are one node.  In every column the document that comes
 first (fewest rare n-grams before it, so the most central one) is compared with the others; pairs that this
@@ -270,8 +271,7 @@ def similar_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
 
     near_hub = shared.where("node <> hub").where(_possible(F.col("size"), F.col("place"), F.col("hub_size"), F.col("hub_place"), percent))
     first = written(near_hub.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    likely = written(_accumulated(shared, first, percent), "pairs")
-    links = written(_links(known, facts, likely, words, percent), "links")
+    links = written(_links(known, facts, first, words, percent), "links")
     tried = first.union(first.select("b", "a"))
     second = written(_across(shared, connected_components(links), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     likely = written(_accumulated(shared, second, percent), "pairs")
