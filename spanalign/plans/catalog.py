@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "timeline_queries", "text_queries", "record_queries", "quality_queries", "stream_queries",
+    "source_queries",
 ]
 
 
