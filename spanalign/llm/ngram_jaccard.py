@@ -9,9 +9,8 @@ sizes m and n with ``J >= t`` share at least ``b = ceil(t (m + n) / (1 + t))`` n
 * a pair met at places i and j can still reach ``1 + min(m - i, n - j)`` (places from 1 count those used
   up): it is discarded if that, or the smaller size, is below ``b``.
 
-The overlap of a remaining pair is accumulated over all columns and compared exactly; pairs of different
-components are first accumulated over the block and discarded if the columns beyond cannot make up for what
-is missing (most can't, while most pairs with a hub can).
+The overlap of a remaining pair is accumulated over the block, the pair is discarded if the columns beyond
+cannot make up for what is missing, and else accumulated over all columns and compared exactly.
 
 Groups need no list of all pairs.  Sets that are equal are one node.  In every column the document that comes
 first (fewest rare n-grams before it, so the most central one) is compared with the others; pairs that this
@@ -44,7 +43,7 @@ from spanalign.llm.graph import connected_components
 from spanalign.session import written
 
 WORDS, PERCENT = 5, 75
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Shingles whose repetitions are counted together before they are added up by Spark.
 BLOCK = 1 << 22
 FILTER_BITS = 22
@@ -104,19 +103,20 @@ def _frequent(facts: DataFrame) -> np.ndarray:
         least = s
     else:
         least = 0
-    rows = counts.where(step >= least).orderBy("n", "a").select("a").collect() if total else []
-    return np.array([r.a for r in rows][-FREQUENT:], np.int64).view(np.uint64)
+    if not total:
+        return np.zeros(0, np.uint64)
+    rows = counts.where(step >= least).toPandas().sort_values(["n", "a"])
+    return rows["a"].to_numpy(np.int64)[-FREQUENT:].view(np.uint64)
 
 
 def _columns(documents: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """The block of the matrix that is multiplied: ``gram, node, size, place``."""
-    by_value = np.argsort(frequent)
-    sorted_frequent = frequent[by_value]
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, seen = K.Powers(), set()
-        maybe = np.zeros(1 << 20, bool)
-        maybe[K.bucket(frequent, 20)] = True
+        by_value = np.argsort(frequent)
+        sorted_frequent = frequent[by_value]
+        maybe = np.zeros(1 << 22, bool)
+        maybe[K.bucket(frequent, 22)] = True
         for batch in batches:
             grams, nodes, sizes, places = [], [], [], []
             for s in _sets(batch, words, kept):
@@ -124,7 +124,7 @@ def _columns(documents: DataFrame, frequent: np.ndarray, words: int, percent: in
                 if not n or node in seen:
                     continue
                 seen.add(node)
-                look = np.flatnonzero(maybe[K.bucket(s, 20)])
+                look = np.flatnonzero(maybe[K.bucket(s, 22)])
                 if len(look):
                     at = np.minimum(np.searchsorted(sorted_frequent, s[look]), len(frequent) - 1)
                     hit = sorted_frequent[at] == s[look]
@@ -271,7 +271,8 @@ def similar_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
 
     near_hub = shared.where("node <> hub").where(_possible(F.col("size"), F.col("place"), F.col("hub_size"), F.col("hub_place"), percent))
     first = written(near_hub.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = written(_links(known, facts, first, words, percent), "links")
+    likely = written(_accumulated(shared, first, percent), "pairs")
+    links = written(_links(known, facts, likely, words, percent), "links")
     tried = first.union(first.select("b", "a"))
     second = written(_across(shared, connected_components(links), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     likely = written(_accumulated(shared, second, percent), "pairs")
