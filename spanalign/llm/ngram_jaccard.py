@@ -95,18 +95,16 @@ def _frequent(facts: DataFrame) -> np.ndarray:
     """At most ``FREQUENT`` n-grams, the most frequent last."""
     counts = facts.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
     step = F.floor(4 * F.log2("n"))
-    least, total = 0, 0
+    least, total = None, 0
     for s, n in sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True):
         total += n
         if total > FREQUENT:
             break
         least = s
-    else:
-        least = 0
-    if not total:
+    if least is None:
         return np.zeros(0, np.uint64)
     rows = counts.where(step >= least).toPandas().sort_values(["n", "a"])
-    return rows["a"].to_numpy(np.int64)[-FREQUENT:].view(np.uint64)
+    return rows["a"].to_numpy(np.int64).view(np.uint64)
 
 
 def _columns(documents: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
