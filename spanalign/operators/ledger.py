@@ -176,6 +176,31 @@ def ceiling_differences(claims: DataFrame, declared: DataFrame) -> DataFrame:
     ))
 
 
+def claim_audit(
+    claims: DataFrame, backlog: DataFrame, evidence: DataFrame, declared: DataFrame
+) -> DataFrame:
+    """All violations of a claim set as one table (``part, id, detail``); empty means sound.
+
+    Parts: ``claim`` rules, ``backlog`` and ``evidence`` references, the ``ceiling``, and ids given
+    twice (``duplicate-claim``, ``duplicate-evidence``).
+    """
+    listed = lambda df: df.select("id", F.array_join("failures", ",").alias("detail"))
+    repeated = lambda df: duplicate_keys(df, "id").select("id", F.col("n").cast("string").alias("detail"))
+    parts = {
+        "claim": listed(claim_failures(claims).where(F.size("failures") > 0)),
+        "backlog": backlog_violations(claims, backlog).select("id", F.col("backlog_row_id").alias("detail")),
+        "evidence": listed(evidence_violations(evidence, claims)),
+        "ceiling": ceiling_differences(claims, declared).select("id", F.col("difference").alias("detail")),
+        "duplicate-claim": repeated(claims),
+        "duplicate-evidence": repeated(evidence),
+    }
+    labelled = [df.select(F.lit(part).alias("part"), "id", "detail") for part, df in parts.items()]
+    out = labelled[0]
+    for df in labelled[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 # --- metric floors ---
 
 def floor_failures(reports: DataFrame) -> DataFrame:

@@ -296,6 +296,57 @@ def ceiling_differences(spark, sf):
     return lg.ceiling_differences(_claims(spark, sf), declared)
 
 
+def claim_audit(spark, sf):
+    """The whole claim set at once; every fiftieth claim and piece of evidence is given twice."""
+    declared = src.table(spark, sf, "labels").where("quality = 1").select(
+        F.expr("cast(doc_id as string)").alias("id"))
+    twice = lambda df: df.unionByName(df.where(F.expr("try_cast(regexp_replace(id, 'e', '') as bigint) % 50 = 7")))
+    return lg.claim_audit(twice(_claims(spark, sf).drop("doc_id")), _backlog(spark, sf), twice(_evidence(spark, sf)), declared)
+
+
+_AMENDED = {
+    "amendment_id": "concat('a', cast(orderkey as {v}))",
+    "change_class": "CASE orderkey % 5 WHEN 0 THEN 'strengthens' WHEN 1 THEN 'clarifies' WHEN 2 THEN 'evidence_refresh' ELSE 'strengthens' END",
+    "monotonicity": "CASE WHEN orderkey % 14 = 0 THEN 'weakens' ELSE 'preserves_or_strengthens' END",
+    "delta_matches": "orderkey % 12 <> 5",
+    "approval_required": "orderkey % 16 = 0",
+    "approval_status": "CASE WHEN orderkey % 18 = 0 THEN 'pending' ELSE 'not_required' END",
+    "created_at": "CASE WHEN orderkey % 37 <> 4 THEN cast(seq as {v}) END",
+}
+_HELD = "CASE ({s}) % 4 WHEN 0 THEN {a}('c1') WHEN 1 THEN {a}('c1', 'c2') WHEN 2 THEN {a}('c1', 'c2', 'c3') ELSE {a}('c1', 'c2', 'c3', 'c4') END"
+
+
+def ledger_audit(spark, sf):
+    """Order logs as amendment ledgers.
+
+    The first row of a log links to the empty digest and the second to the first one's digest (damaged
+    for some keys); later rows name a digest of their own, so both outcomes occur.
+    """
+    none = F.expr("slice(array('c1'), 1, 0)")
+    step = lambda e: checks.sha256(F.concat(F.lit("k"), F.expr(e).cast("string")))
+    rows = _order_log(spark, sf).select(
+        "session_id", "seq", "orderkey", *[F.expr(e.format(v="string")).alias(n) for n, e in _AMENDED.items()],
+        F.when(F.expr("seq = 1"), none).when(F.expr("orderkey % 31 = 3"), F.array(F.lit("x")))
+        .otherwise(F.expr(_HELD.format(s="seq - 1", a="array"))).alias("before"),
+        F.expr(_HELD.format(s="seq", a="array")).alias("after"),
+        F.when(F.expr("orderkey % 10 = 0"), F.array(F.lit("c9"))).otherwise(none).alias("removed"),
+        none.alias("derived_removed"),
+        F.when(F.expr("seq = 1"), F.lit(fixed.EMPTY_DIGEST)).otherwise(step("seq - 1")).alias("previous_contract_hash"),
+        F.when(F.expr("orderkey % 29 = 1"), F.lit("sha256:00")).otherwise(step("seq")).alias("new_contract_hash"),
+    )
+    fields = list(lg.AMENDMENT_FIELDS)
+    first = rows.withColumn("previous_amendment_hash", F.when(F.expr("seq = 1"), F.lit(fixed.EMPTY_DIGEST)))
+    before = running(first.withColumn("own", checks.canonical_digest(fields)), ["session_id"], F.expr("seq div 4096"), ["seq"],
+                     lags={"linked": F.col("own")})
+    linked = before.withColumn("previous_amendment_hash", F.when(F.expr("seq = 1"), F.lit(fixed.EMPTY_DIGEST)).when(
+        F.expr("orderkey % 23 <> 0"), F.when(F.expr("seq = 2"), F.col("linked")).otherwise(step("orderkey"))))
+    declared = linked.withColumn("amendment_hash", checks.canonical_digest(fields)).withColumn(
+        "amendment_hash", F.when(F.expr("orderkey % 41 = 5"), F.upper("amendment_hash")).otherwise(F.col("amendment_hash")))
+    return lg.ledger_audit(declared, ["c1", "c2", "c3", "c4", "c9"]).select(
+        "session_id", "seq", F.coalesce("violation", F.lit("")).alias("violation"),
+        *[F.array_join(c, ",").alias(c) for c in ("missing", "breaks", "failures")])
+
+
 def duplicate_keys(spark, sf):
     docs = src.table(spark, sf, "documents").select(F.sha2("text", 256).alias("digest"))
     return lg.duplicate_keys(docs, "digest")
@@ -327,7 +378,7 @@ QUERIES = {f.__name__: f for f in (
     scan_budget, scan_budget_by_source, leak_findings, leak_status, session_categories,
     raw_sensitivity, file_stats, union_inventories, missing_digests, snapshot_fingerprint, lint_jsonl,
     audio_chunk_spans, merge_chunk_texts, hash_chain, continuation, transition_failures,
-    claim_failures, backlog_violations, evidence_violations, ceiling_differences, duplicate_keys,
+    ledger_audit, claim_audit, claim_failures, backlog_violations, evidence_violations, ceiling_differences, duplicate_keys,
     floor_failures,
 )}
 
@@ -497,3 +548,64 @@ SQL = {
         "exclusions": "reason IS NOT NULL AND NOT counted",
         })} AS failures FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in _REPORT.items())} FROM part)""",
 }
+
+
+# --- audits as a whole ---
+
+def _amendment_json(previous: str) -> str:
+    """Canonical JSON of an amendment: fields by name, none that is NULL."""
+    fields = {n: f"""'"{n}":"' || {n} || '"'""" for n in (*_AMENDED, "previous_contract_hash", "new_contract_hash")}
+    fields |= {n: f"""'"{n}":' || {n}""" for n in ("delta_matches", "approval_required")}
+    fields |= {n: f"""'"{n}":' || CAST(to_json("{n}") AS VARCHAR)""" for n in ("before", "after", "removed")}
+    fields |= {"derived_removed": "'\"derived_removed\":[]'", "previous_amendment_hash": f"""'"previous_amendment_hash":"' || {previous} || '"'"""}
+    return "'{' || concat_ws(',', " + ", ".join(fields[n] for n in sorted(fields)) + ") || '}'"
+
+
+_AUDIT = {
+    "a0": f"""SELECT session_id, seq, orderkey, {', '.join(f'{e.format(v="varchar")} AS {n}' for n, e in _AMENDED.items())},
+        CASE WHEN seq = 1 THEN [] WHEN orderkey % 31 = 3 THEN ['x'] ELSE {_HELD.format(s='seq - 1', a='list_value')} END AS "before",
+        {_HELD.format(s='seq', a='list_value')} AS "after", CASE WHEN orderkey % 10 = 0 THEN ['c9'] ELSE [] END AS removed,
+        CASE WHEN seq = 1 THEN '{fixed.EMPTY_DIGEST}' ELSE 'sha256:' || sha256('k' || (seq - 1)) END AS previous_contract_hash,
+        CASE WHEN orderkey % 29 = 1 THEN 'sha256:00' ELSE 'sha256:' || sha256('k' || seq) END AS new_contract_hash
+      FROM log""",
+    "a1": f"""SELECT *, CASE WHEN seq = 1 THEN '{fixed.EMPTY_DIGEST}' WHEN orderkey % 23 = 0 THEN NULL
+          WHEN seq > 2 THEN 'sha256:' || sha256('k' || orderkey)
+          ELSE lag('sha256:' || sha256({_amendment_json(f"'{fixed.EMPTY_DIGEST}'")})) OVER (PARTITION BY session_id ORDER BY seq)
+        END AS previous_amendment_hash FROM a0""",
+    "a2": f"SELECT *, 'sha256:' || sha256({_amendment_json('previous_amendment_hash')}) AS actual FROM a1",
+    "a3": """SELECT *, lag(actual) OVER w AS linked, lag("after") OVER w AS held, lag(new_contract_hash) OVER w AS contract
+      FROM a2 WINDOW w AS (PARTITION BY session_id ORDER BY seq)""",
+}
+_CHANGED = f"""CASE change_class WHEN 'strengthens' THEN {_GROWS} AND new_contract_hash <> previous_contract_hash
+  WHEN 'clarifies' THEN {_SAME} ELSE {_SAME} AND new_contract_hash = previous_contract_hash END"""
+_AMENDMENT_RULES = {
+    "digest-format": "orderkey % 29 <> 1", "genesis": "true", "delta-flag": "delta_matches", "monotonicity": "orderkey % 14 <> 0",
+    "duplicate-claims": "true",
+    "removed-claims": 'len(list_filter("before", lambda b: NOT list_contains("after", b))) = 0 AND orderkey % 10 <> 0',
+    "change-class": _CHANGED, "approval": "NOT approval_required AND approval_status = 'not_required'",
+    "known-claims": """NOT list_contains("before", 'x')""",
+}
+SQL["ledger_audit"] = query(
+    f"""SELECT session_id, seq,
+      CASE WHEN previous_amendment_hash IS DISTINCT FROM coalesce(linked, '{fixed.EMPTY_DIGEST}') THEN 'previous-hash-mismatch'
+        WHEN orderkey % 41 = 5 THEN 'row-hash-mismatch' ELSE '' END AS violation,
+      concat_ws(',', CASE WHEN previous_amendment_hash IS NULL THEN 'previous_amendment_hash' END, CASE WHEN created_at IS NULL THEN 'created_at' END) AS missing,
+      concat_ws(',', CASE WHEN seq > 1 AND "before" IS DISTINCT FROM held THEN 'before does not continue the prior state' END,
+        CASE WHEN seq > 1 AND previous_contract_hash IS DISTINCT FROM contract THEN 'previous_contract_hash does not continue the prior state' END) AS breaks,
+      {failed(_AMENDMENT_RULES)} AS failures FROM a3""", extra={**_LOG, **_AUDIT})
+
+
+def _times(part: str, name: str, detail: str, copies: int) -> str:
+    """Violations of one part; ids that are given twice break a rule as often as they meet."""
+    key = "CAST(replace(id, 'e', '') AS BIGINT)"
+    return (f"SELECT '{part}' AS part, id, {detail} AS detail FROM ({SQL[name]}), "
+            f"LATERAL (SELECT unnest(range(CASE WHEN {key} % 50 = 7 THEN {copies} ELSE 1 END))) WHERE {detail} <> ''")
+
+
+SQL["claim_audit"] = "\nUNION ALL ".join([
+    _times("claim", "claim_failures", "failures", 2), _times("backlog", "backlog_violations", "backlog_row_id", 2),
+    _times("evidence", "evidence_violations", "failures", 4),
+    f"SELECT 'ceiling' AS part, id, difference AS detail FROM ({SQL['ceiling_differences']})",
+    "SELECT 'duplicate-claim', CAST(doc_id AS VARCHAR), '2' FROM documents WHERE doc_id % 50 = 7",
+    "SELECT 'duplicate-evidence', 'e' || doc_id, '2' FROM documents WHERE doc_id % 50 = 7",
+])
