@@ -193,12 +193,24 @@ def token_alignment(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) ->
 # --- marker anchors ---
 
 def spoken_labels(segments: DataFrame) -> DataFrame:
-    """(session_id, segment_idx, label) for every marker label a segment carries or hints at."""
-    t = F.col("text")
-    labels = F.array(*[F.lit(x) for x in fixed.MARKER_LABELS])
-    return segments.select(
+    """(session_id, segment_idx, label) for every marker label a segment carries or hints at.
+
+    A label is always a token of its own, also in front of the word marker, so each text is cut into
+    tokens once and the list of labels is intersected with them (see `text.label_seen` for one label).
+    """
+    said = segments.select(
         "session_id", (F.col("segment_id") - 1).alias("segment_idx"),
-        F.explode(F.filter(labels, lambda label: tx.label_seen(t, label))).alias("label"),
+        F.explode(F.array(tx.tokens_ascii(F.col("text")))).alias("tokens"),
+    )
+    tokens = F.col("tokens")
+    padded = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    aliases = F.array_compact(F.array(
+        F.when(F.array_contains(tokens, "keyhole"), "kilo"), F.when(F.array_contains(tokens, "mic"), "mike"),
+        F.when(padded.contains(" pop a "), "papa"),
+    ))
+    labels = F.array(*[F.lit(x) for x in fixed.MARKER_LABELS])
+    return said.select(
+        "session_id", "segment_idx", F.explode(F.array_union(F.array_intersect(labels, tokens), aliases)).alias("label"),
     )
 
 

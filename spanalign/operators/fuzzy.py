@@ -90,7 +90,7 @@ def similar_tokens(
 
     # a dictionary of fixed, small size (the pairs given by the caller)
     table = spark.createDataFrame(list(pairs), "left_token string, right_token string")
-    spoken = ls.join(F.broadcast(table), "left_token").join(rs, [key, "right_token"]).select(
+    spoken = ls.join(table, "left_token").join(rs, [key, "right_token"]).select(
         key, "left_token", "right_token"
     )
 

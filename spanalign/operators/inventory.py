@@ -159,11 +159,11 @@ def leak_findings(artifacts: DataFrame, approved: DataFrame) -> DataFrame:
     bad_paths = unexpected_paths(artifacts.where("scanned"), approved).withColumn(
         "unexpected", F.lit(True)
     )
-    found = artifacts.withColumn(
-        "categories",
+    # the generator keeps the classifier at one place of the plan: nothing after it repeats it
+    found = artifacts.withColumn("categories", F.explode(F.array(
         F.when(F.col("scanned"), sensitive.sensitive_categories(F.col("text")))
-        .otherwise(F.array(F.lit("unsafe-artifact-content"))),
-    )
+        .otherwise(F.array(F.lit("unsafe-artifact-content")))
+    )))
     # a path may hide behind another category of the same word, so it is looked for on its own
     hidden = F.col("scanned") & (F.size(private_paths(F.col("text"))) > 0) & ~F.array_contains(
         "categories", "private-path"
