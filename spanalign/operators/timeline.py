@@ -116,6 +116,21 @@ def nearby_events(pairs: DataFrame, limit: int = fixed.NEARBY_LIMIT) -> DataFram
     )
 
 
+def _conflict_reason(
+    window_ms: int, commit_words: Sequence[str] = fixed.COMMIT_WORDS
+) -> Column:
+    """Why the nearest events of an action segment do not support it (NULL if they do)."""
+    unseen = ~F.coalesce(F.col("near_event") <= window_ms, F.lit(False))
+    contradicted = tx.claims_commit(F.col("text"), commit_words) & (
+        F.col("near_cancel") <= window_ms
+    )
+    return (
+        F.when(F.col("audio_started_ms").isNull(), "missing-audio-anchor")
+        .when(unseen, "no-nearby-event")
+        .when(contradicted, "nearby-ui-label-mismatch")
+    )
+
+
 def conflict_warnings(
     segments: DataFrame,
     events: DataFrame,
@@ -127,16 +142,7 @@ def conflict_warnings(
     """Action segments that no nearby event supports, or that a cancel-like event contradicts."""
     acting = segments.where(tx.mentions_action(F.col("text"), action_words))
     near = segment_neighbours(acting, events, sessions)
-    unseen = ~F.coalesce(F.col("near_event") <= window_ms, F.lit(False))
-    contradicted = tx.claims_commit(F.col("text"), commit_words) & (
-        F.col("near_cancel") <= window_ms
-    )
-    reason = (
-        F.when(F.col("audio_started_ms").isNull(), "missing-audio-anchor")
-        .when(unseen, "no-nearby-event")
-        .when(contradicted, "nearby-ui-label-mismatch")
-    )
-    return near.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
+    return near.withColumn("reason", _conflict_reason(window_ms, commit_words)).where(F.col("reason").isNotNull()).select(
         "session_id", "segment_id", "start_ms", "end_ms", "text", "reason",
         F.lit("needs-ui-evidence").alias("severity"),
     )
@@ -243,20 +249,16 @@ def alignment_diagnostics(
 
 
 def session_counts(segments: DataFrame, events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Segments, events, aligned segments and conflict warnings per session."""
-    zero = F.lit(0)
+    """Segments, events, aligned segments and conflict warnings per session (one time line for all)."""
+    zero, window_ms = F.lit(0), fixed.ALIGNMENT_WINDOW_MS
+    conflict = F.when(tx.mentions_action(F.col("text"), fixed.ACTION_WORDS), _conflict_reason(window_ms))
+    spoken = segment_neighbours(segments, events, sessions).groupBy("session_id").agg(
+        F.count("*").alias("segments"), F.count_if(F.col("near_event") <= window_ms).alias("aligned_segments"),
+        F.count(conflict).alias("conflicts"),
+    )
     return (
-        sessions.select("session_id")
-        .join(segments.groupBy("session_id").agg(F.count("*").alias("segments")),
-              "session_id", "left")
+        sessions.select("session_id").join(spoken, "session_id", "left")
         .join(events.groupBy("session_id").agg(F.count("*").alias("events")), "session_id", "left")
-        .join(band_counts(segments, events, sessions).select("session_id", "aligned_segments"),
-              "session_id", "left")
-        .join(
-            conflict_warnings(segments, events, sessions).groupBy("session_id")
-            .agg(F.count("*").alias("conflicts")),
-            "session_id", "left",
-        )
         .select("session_id", *[
             F.coalesce(c, zero).alias(c)
             for c in ("segments", "events", "aligned_segments", "conflicts")

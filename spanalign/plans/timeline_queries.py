@@ -9,6 +9,7 @@ from spanalign.functions import instants
 from spanalign.operators import segments as sg, timeline as tl
 from spanalign.plans import redaction_sql as rs
 from spanalign.plans.sql import NON_WS, any_token, band, collapse, mmss, normalized, query
+from spanalign.session import written
 from spanalign.sources import tables as src
 
 
@@ -84,8 +85,10 @@ def conflict_warnings(spark, sf):
 
 def conflict_event_lists(spark, sf):
     segs, evs, sess = src.shared_tables(spark, sf)
-    warnings = tl.conflict_warnings(segs, evs, sess)
-    return tl.conflict_events(warnings, tl.align_events(segs, evs, sess)).select(
+    warnings = written(tl.conflict_warnings(segs, evs, sess), "warnings")
+    # only segments with such a warning meet their events
+    shown = segs.join(warnings.where("reason = 'nearby-ui-label-mismatch'"), ["session_id", "segment_id"], "left_semi")
+    return tl.conflict_events(warnings, tl.align_events(shown, evs, sess)).select(
         "session_id", "segment_id", F.col("nearby_rank").cast("bigint").alias("nearby_rank"),
         "event_id", "window", "ui_hint",
     )
