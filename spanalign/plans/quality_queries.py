@@ -15,7 +15,7 @@ from spanalign.operators.fuzzy import similar_tokens
 from spanalign.operators.utterances import utterances
 from spanalign.plans.record_queries import _inventory, failed as _failed
 from spanalign.plans.sql import NON_WS, query, squeeze, tokens, words
-from spanalign.plans.timeline_queries import _BEST, _CONFLICTS
+from spanalign.plans.timeline_queries import _BEST, _CONFLICTS, _FAR
 from spanalign.session import written
 from spanalign.sources import tables as src
 
@@ -196,19 +196,14 @@ _FLAGS = {
     "plan_valid": "session_id % 6 <> 5", "plan_speaks": "session_id % 12 = 7",
     "inspection_exists": "session_id % 9 <> 1", "receipt_exists": "session_id % 10 <> 2",
     "proofs_valid": "session_id % 13 <> 3", "same_operation": "session_id % 5 <> 4",
-    "parent_verified": "session_id % 7 <> 5", "audio_clock_present": "session_id % 11 <> 5",
+    "parent_verified": "session_id % 7 <> 5",
     "drain_present": "session_id % 8 <> 1", "share_without_review": "session_id % 14 = 0",
-    "conflicts": "session_id % 3", "blocking_leaks": "session_id % 2", "leaks": "session_id % 4 - 1",
-    "raw_sensitive": "session_id % 3 - 1", "out_of_window_events": "session_id % 5",
-    "segments": "session_id % 6", "aligned_segments": "session_id % 4", "events": "session_id % 9",
-    "drained_segments": "session_id % 5", "drain_errors": "CASE WHEN session_id % 9 = 0 THEN 1 ELSE 0 END",
+    "blocking_leaks": "session_id % 2", "leaks": "session_id % 4 - 1", "raw_sensitive": "session_id % 3 - 1",
     "mismatches": "CASE WHEN session_id % 8 <> 0 THEN session_id % 3 END",
     "run_id": "CASE WHEN session_id % 6 <> 1 THEN concat('run-', cast(session_id as {v})) ELSE ' ' END",
-    "state": "CASE WHEN session_id % 5 <> 0 THEN 'stopped' ELSE 'recording' END",
     "alignment_status": "CASE WHEN session_id % 4 <> 0 THEN 'aligned' ELSE 'aligned-with-review-warnings' END",
     "inspection_status": "CASE session_id % 4 WHEN 0 THEN 'requires-operator-review' WHEN 1 THEN 'requires-real-packet-review' WHEN 2 THEN 'requires-real-packet-review' END",
     "leak_status": "CASE session_id % 3 WHEN 0 THEN 'blocked' WHEN 1 THEN 'expected-local-references-only' ELSE 'no-obvious-sensitive-patterns-detected' END",
-    "density_status": "CASE session_id % 3 WHEN 0 THEN 'too-sparse-for-non-toy-replay' WHEN 1 THEN 'needs-operator-distillation' ELSE 'sufficient-for-operator-review' END",
     "batch_status": "CASE WHEN session_id % 5 <> 3 THEN 'completed' END",
     "batch_reason": "CASE WHEN session_id % 2 = 0 THEN 'ok' END",
     "cleanup_status": "CASE WHEN session_id % 6 <> 3 THEN 'completed' ELSE 'disabled' END",
@@ -219,8 +214,18 @@ _FLAGS = {
 
 
 def _flagged(spark, sf):
-    return src.sessions(spark, sf).select(
-        "session_id", *[F.expr(e.format(v="string")).alias(n) for n, e in _FLAGS.items()])
+    """What the reviews look at: counts, density, clocks and drain of the session's own rows; only what
+    the tables have no word of (files that exist, receipts) follows from the id."""
+    segs, evs, sess = src.shared_tables(spark, sf)
+    counts = tl.session_counts(segs, evs, sess)
+    density = sc.narration_quality(segs, evs, sess).select("session_id", "density_status")
+    far = tl.alignment_diagnostics(segs, evs, sess).select("session_id", "out_of_window_events")
+    facts = sess.select(
+        "session_id", "state", F.col("audio_started_ms").isNotNull().alias("audio_clock_present"),
+        F.coalesce("drain_completed", F.lit(0)).alias("drained_segments"), "drain_errors")
+    for part in (counts, density, far):
+        facts = facts.join(part, "session_id")
+    return written(facts.select("*", *[F.expr(e.format(v="string")).alias(n) for n, e in _FLAGS.items()]), "facts")
 
 
 def usefulness_review(spark, sf):
@@ -345,8 +350,6 @@ def reasons(rules) -> str:
     return f"coalesce(array_to_string(list_filter([{parts}], lambda z: z IS NOT NULL), '|'), '')"
 
 
-_F = {"f": "SELECT session_id, " + ", ".join(f"{e.format(v='varchar')} AS {n}" for n, e in _FLAGS.items())
-      + " FROM sessions"}
 _CLEANED = {"cleaned": f"""SELECT session_id, string_agg(t, ' ' ORDER BY segment_id) AS cleaned_text FROM (
   SELECT session_id, segment_id, array_to_string(list_filter(regexp_extract_all(text, '{NON_WS}+'),
     lambda w, i: (i - 1) % 7 <> 6), ' ') AS t FROM segments) GROUP BY session_id"""}
@@ -427,6 +430,12 @@ def _count(cte: str) -> str:
 _COUNTS = f"""SELECT s.session_id, {_count('segments')} AS segments, {_count('ui_events')} AS events,
   {_count('best')} AS aligned_segments, {_count('conflicts')} AS conflicts FROM sessions s"""
 _COUNT_CTES = {"best": _BEST, "conflicts": _CONFLICTS, "counts": _COUNTS}
+_F = {**_COUNT_CTES, "far": _FAR, "q": _QUALITY,
+      "f": "SELECT s.session_id, s.state, s.audio_started_ms IS NOT NULL AS audio_clock_present, "
+           "coalesce(s.drain_completed, 0) AS drained_segments, s.drain_errors, c.segments, c.events, c.aligned_segments, c.conflicts, "
+           f"q.density_status, {_count('far')} AS out_of_window_events, "
+           + ", ".join(f"{e.format(v='varchar').replace('session_id', 's.session_id')} AS {n}" for n, e in _FLAGS.items())
+           + " FROM sessions s JOIN counts c USING (session_id) JOIN q USING (session_id)"}
 _SPARSE_F = "density_status = 'too-sparse-for-non-toy-replay'"
 _DONE = "coalesce(batch_status = 'completed', false) AND cleanup_status = 'completed'"
 _GATE = {
@@ -591,16 +600,16 @@ SQL = {
     "usefulness_review": query(
         f"""SELECT session_id, {', '.join(f"CAST(contains(coalesce(packet_text, ''), '{t}') AS BIGINT) AS {n}" for n, t in sc.SECTIONS.items())},
         CAST(NOT contains(coalesce(packet_text, ''), '## Timestamped Transcript') AS BIGINT) AS raw_transcript_avoided,
-        {reasons(_USEFUL)} AS blockers FROM f""", "sessions", extra=_F),
+        {reasons(_USEFUL)} AS blockers FROM f""", "pairs", extra=_F),
     "inspection_blockers": query(
         f"""SELECT session_id, 'requires-operator-review' AS status,
-        {reasons(_INSPECT + [('true', n) for n in sc.STANDING_NOTES])} AS blockers FROM f""", "sessions", extra=_F),
+        {reasons(_INSPECT + [('true', n) for n in sc.STANDING_NOTES])} AS blockers FROM f""", "pairs", extra=_F),
     "inspection_without_notes": query(
         f"""SELECT *, CASE WHEN blockers = '' THEN 'requires-real-packet-review' ELSE 'requires-operator-review' END AS status
-        FROM (SELECT session_id, {reasons(_INSPECT)} AS blockers FROM f)""", "sessions", extra=_F),
+        FROM (SELECT session_id, {reasons(_INSPECT)} AS blockers FROM f)""", "pairs", extra=_F),
     "readiness_receipt": query(
         f"""SELECT session_id, 'blocked' AS status, {_failed(_GATE)} AS failed_checks, {reasons(_READY)} AS blockers
-        FROM (SELECT *, {_NAMED} AS gaps FROM f)""", "sessions", extra=_F),
+        FROM (SELECT *, {_NAMED} AS gaps FROM f)""", "pairs", extra=_F),
     "review_scorecard": query(
         f"""SELECT session_id, CASE WHEN NOT context_exists THEN 'blocked-missing-temporal-context'
           WHEN leaks > 0 OR raw_sensitive > 0 OR NOT receipt_exists OR NOT plan_exists OR NOT plan_valid OR plan_speaks
@@ -608,7 +617,7 @@ SQL = {
           'batch=' || coalesce(batch_status, 'not-generated') || ' (' || coalesce(batch_reason, 'not-provided') || ') | cleanup='
             || cleanup_status || ' (' || coalesce(cleanup_reason, 'not-provided') || ') | final-receipt=completed (ok)' AS chain_label,
           CASE WHEN {reasons(_ACTIONS)} = '' THEN 'review' ELSE {reasons(_ACTIONS)} END AS actions,
-          {reasons(_COHESION)} AS blockers FROM f""", "sessions", extra=_F),
+          {reasons(_COHESION)} AS blockers FROM f""", "pairs", extra=_F),
     "evidence_boundary": query(
         """SELECT c.*, CAST(s.audio_started_ms IS NOT NULL AS BIGINT) AS audio_clock_present,
           coalesce(provided_artifacts, 0) AS provided_artifacts, coalesce(exists_artifacts, 0) AS exists_artifacts,
