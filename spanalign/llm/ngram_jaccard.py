@@ -43,7 +43,7 @@ from spanalign.llm.graph import connected_components
 from spanalign.session import written
 
 WORDS, PERCENT = 5, 75
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 #: Shingles whose repetitions are counted together before they are added up by Spark.
 BLOCK = 1 << 22
 FILTER_BITS = 22
@@ -103,8 +103,15 @@ def _frequent(facts: DataFrame) -> np.ndarray:
         least = s
     if least is None:
         return np.zeros(0, np.uint64)
-    rows = counts.where(step >= least).toPandas().sort_values(["n", "a"])
-    return rows["a"].to_numpy(np.int64).view(np.uint64)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            yield pa.record_batch({"rows": pa.array([both.tobytes()], pa.binary())})
+
+    parts = counts.where(step >= least).select("a", "n").mapInArrow(packed, "rows binary").collect()
+    grams, n = np.concatenate([np.frombuffer(r.rows, np.int64).reshape(2, -1) for r in parts], axis=1)
+    return grams[np.lexsort((grams, n))].view(np.uint64)
 
 
 def _columns(documents: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
