@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from spanalign import fixed
 from spanalign.functions import instants, sensitive, text as tx
+from spanalign.operators.prefix import running
 
 TRANSCRIPT_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),
@@ -48,20 +49,23 @@ def _session_of(path: Column) -> Column:
 def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """(session_id, seq, value): lines of all matching files, numbered within their file.
 
-    One file is one session and is bounded by the transcript and event limits of a session, so it is
-    read unsplit and numbered inside one task; many files are read in parallel.
+    Large files are read in splits like any text; a line's number is its place in its split plus the
+    lines of the splits before it, so no task holds a file.
     """
     try:
-        whole = spark.read.text(pattern, wholetext=True)
+        lines = spark.read.text(pattern)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], _LINES)
         raise
-    ended = F.regexp_replace("value", r"\r?\n\z", "")
-    return whole.where(F.col("value") != "").select(
-        _session_of(F.col("_metadata.file_path")).alias("session_id"),
-        F.posexplode(F.split(ended, r"\r?\n")).alias("pos", "value"),
-    ).select("session_id", (F.col("pos") + 1).cast("bigint").alias("seq"), "value")
+    placed = lines.select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),  # in order within a split
+    )
+    numbered = running(placed, ["path"], F.col("split"), ["split", "line"], sums={"before": F.lit(1)})
+    return numbered.select(
+        _session_of(F.col("path")).alias("session_id"), (F.col("before") + 1).cast("bigint").alias("seq"), "value"
+    )
 
 
 def _parsed(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, Column]:

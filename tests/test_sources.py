@@ -113,3 +113,20 @@ def test_capture_stream_routes(spark, tmp_path):
     out = live.run_appended(live.routed(rd.read_capture_stream(spark, str(folder))), "capture-test")
     got = sorted((r.route, r.text or "") for r in out.where("session_id = 's1'").collect())
     assert got == [("completed", "done"), ("delta", "checking"), ("error", ""), ("other", ""), ("other", "")]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    texts = {f"s{k}": [f"line {n} " + "x" * (n % 7) for n in range(60 + 5 * k)] for k in range(3)}
+    for name, lines in texts.items():
+        put(tmp_path, name, "events.txt", "\n".join(lines) + ("\n" if name == "s1" else ""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("134217728", "100"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            found = rd.read_lines(spark, str(tmp_path / "*" / "events.txt")).collect()
+            assert sorted((r.session_id, r.seq, r.value) for r in found) == sorted(
+                (name, n, line) for name, lines in texts.items() for n, line in enumerate(lines, 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
