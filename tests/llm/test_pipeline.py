@@ -41,6 +41,16 @@ def test_registered(spark):
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
+def test_groups_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sorted(con.sql(queries.SQL["op3_ngram_jaccard"]).fetchall())
+    found = queries.QUERIES["op3_ngram_jaccard"](spark, SF)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == want
+
+
 def test_lm_scores_equal_sql(spark):
     import duckdb
 
