@@ -43,7 +43,7 @@ from spanalign.llm.graph import connected_components
 from spanalign.session import written
 
 WORDS, PERCENT = 5, 75
-FREQUENT = 1 << 19
+FREQUENT = 1 << 20
 #: Shingles whose repetitions are counted together before they are added up by Spark.
 BLOCK = 1 << 22
 FILTER_BITS = 22
@@ -95,23 +95,23 @@ def _frequent(facts: DataFrame) -> np.ndarray:
     """At most ``FREQUENT`` n-grams, the most frequent last."""
     counts = facts.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
     step = F.floor(4 * F.log2("n"))
-    least, total = None, 0
+    chosen, total = F.lit(False), 0
     for s, n in sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True):
-        total += n
-        if total > FREQUENT:
+        if total + n > FREQUENT:
+            # a part of those that are equally frequent, by the upper bits of their hashes
+            part = int((FREQUENT - total) / n * (1 << 16))
+            chosen = chosen | ((step == s) & (F.shiftrightunsigned("a", 48) < part))
             break
-        least = s
-    if least is None:
-        return np.zeros(0, np.uint64)
+        total, chosen = total + n, step >= s
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
             yield pa.record_batch({"rows": pa.array([both.tobytes()], pa.binary())})
 
-    parts = counts.where(step >= least).select("a", "n").mapInArrow(packed, "rows binary").collect()
-    grams, n = np.concatenate([np.frombuffer(r.rows, np.int64).reshape(2, -1) for r in parts], axis=1)
-    return grams[np.lexsort((grams, n))].view(np.uint64)
+    parts = counts.where(chosen).select("a", "n").mapInArrow(packed, "rows binary").collect()
+    grams, n = np.concatenate([np.zeros((2, 0), np.int64), *(np.frombuffer(r.rows, np.int64).reshape(2, -1) for r in parts)], axis=1)
+    return grams[np.lexsort((grams, n))][-FREQUENT:].view(np.uint64)
 
 
 def _columns(documents: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
