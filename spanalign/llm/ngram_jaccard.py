@@ -211,7 +211,8 @@ def _accumulated(shared: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
     """
     x = shared.select("gram", F.col("node").alias("a"), F.col("size").alias("m"))
     y = shared.select("gram", F.col("node").alias("b"), F.col("size").alias("n"))
-    counted = pairs.join(x, "a").join(y, ["gram", "b"]).groupBy("a", "b", "m", "n").agg(F.count("*").alias("both"))
+    # pairs grow with the corpus: one plan at every size, no broadcast for small inputs only
+    counted = pairs.hint("merge").join(x, "a").join(y.hint("merge"), ["gram", "b"]).groupBy("a", "b", "m", "n").agg(F.count("*").alias("both"))
     rest = F.ceil(percent * F.greatest("m", "n") / 100) - 1
     return counted.where(F.col("both") + rest >= _need(F.col("m"), F.col("n"), percent)).select("a", "b")
 
