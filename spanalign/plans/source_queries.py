@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanalign.functions import checks
 from spanalign.operators import inventory as inv, ledger as lg, timeline as tl
@@ -27,7 +27,9 @@ def _texts(rows: DataFrame, name: str) -> str:
     return path
 
 
-_SESSION = F.substring_index("session_id", "=", -1).cast("bigint").alias("session_id")
+def _session() -> Column:
+    """The id behind ``session_id=`` in a folder's name."""
+    return F.substring_index("session_id", "=", -1).cast("bigint").alias("session_id")
 
 
 def read_transcripts(spark, sf):
@@ -36,7 +38,7 @@ def read_transcripts(spark, sf):
         "session_id", "seq", "kind", F.col("audio_offset_ms").alias("audioOffsetMs"),
         F.col("monotonic_offset_ms").alias("monotonicOffsetMs"), "text")
     found = rd.read_transcript_events(spark, _folders(rows, "transcripts", "seq"), "*.json")
-    return found.select(_SESSION, "seq", "kind", "audio_offset_ms", "monotonic_offset_ms", F.md5("text").alias("digest"))
+    return found.select(_session(), "seq", "kind", "audio_offset_ms", "monotonic_offset_ms", F.md5("text").alias("digest"))
 
 
 def read_events(spark, sf):
@@ -46,7 +48,7 @@ def read_events(spark, sf):
         F.struct(F.col("app").alias("name")).alias("app"), F.struct(F.col("window").alias("title")).alias("window"),
         F.struct(F.col("ui_hint").alias("selectedText")).alias("selection"))
     found = rd.read_ui_events(spark, _folders(rows, "events", "seq"), "*.json")
-    return found.select(_SESSION, "seq", "event_id", "kind", "unix_ms", "ts_status", "app")
+    return found.select(_session(), "seq", "event_id", "kind", "unix_ms", "ts_status", "app")
 
 
 def read_capture(spark, sf):
@@ -60,7 +62,7 @@ def read_capture(spark, sf):
     )
     path = _texts(src.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), message.alias("value")), "capture")
     rows = live.run_appended(live.routed(rd.read_capture_stream(spark, path)), "captured")
-    return rows.groupBy(_SESSION, "route").agg(
+    return rows.groupBy(_session(), "route").agg(
         F.count("*").alias("messages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
 
 
@@ -73,13 +75,13 @@ def _clocks(spark, sf) -> str:
 def read_documents(spark, sf):
     """One JSON document per session, some unreadable."""
     found = rd.read_session_documents(spark, _clocks(spark, sf), "*.txt", "audioStartedAtUnixMs bigint")
-    return found.select(_SESSION, F.col("document.audioStartedAtUnixMs").alias("started_ms"))
+    return found.select(_session(), F.col("document.audioStartedAtUnixMs").alias("started_ms"))
 
 
 def read_artifacts(spark, sf):
     """The same files as bytes, with their statistics."""
     files = inv.file_stats(rd.read_artifact_bytes(spark, f"{_clocks(spark, sf)}/*/*.txt"))
-    return files.select(_SESSION, "bytes", "line_count", "fingerprint", F.col("oversize").cast("bigint").alias("oversize"))
+    return files.select(_session(), "bytes", "line_count", "fingerprint", F.col("oversize").cast("bigint").alias("oversize"))
 
 
 def read_chunks(spark, sf):
@@ -90,7 +92,7 @@ def read_chunks(spark, sf):
         (start + 6).alias("byteEnd"), F.expr("o_orderkey * 5").alias("sampleStart"), F.expr("o_orderkey * 5 + 3").alias("sampleEnd"),
         F.when(F.expr("o_orderkey % 3 <> 0"), F.expr("o_orderkey * 250")).alias("monotonicOffsetMs"))
     found = rd.read_audio_chunks(spark, _folders(rows, "chunks", "seq"), "*.json")
-    return found.select(_SESSION, "idx", "byte_start", "byte_end", "sample_start", "sample_end", "monotonic_offset_ms")
+    return found.select(_session(), "idx", "byte_start", "byte_end", "sample_start", "sample_end", "monotonic_offset_ms")
 
 
 def metric_report(spark, sf):

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -39,5 +43,12 @@ def test_query_equals_sql(spark, con, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == rows
 
 
+def test_catalog_needs_no_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()) - len(e.oracle_sql()) >= 0)"
+    folder = os.path.dirname(os.path.abspath(entry.__file__))
+    found = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True)
+    assert found.stdout.strip().endswith("True"), found.stderr
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
