@@ -123,7 +123,7 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, with_ids:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordIds(tokenizer)
         for batch in batches:
-            for first, data, offsets in K.slices(batch.column(1)):
+            for first, data, offsets in K.slices(batch.column(1), 1 << 20):
                 ids, bounds = encoder.encode(data, offsets)
                 at, piece, start, size, crc, lists = [], [], [], [], [], []
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):

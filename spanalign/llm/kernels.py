@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Documents are handled together up to this many bytes; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _RNG = np.random.Generator(np.random.PCG64(20240917))
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -36,12 +36,13 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[starts[0]:starts[-1]], (starts - starts[0]).astype(np.int64)
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts as (index of the first, bytes, offsets)."""
+def slices(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about ``size`` bytes as (index of the first, bytes, offsets)."""
+    size = size or SLICE_BYTES
     every, starts = texts(column)
     first, n = 0, len(column)
     while first < n:
-        last = int(np.searchsorted(starts, starts[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(starts, starts[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         yield first, every[starts[first]:starts[last]], starts[first:last + 1] - starts[first]
         first = last

@@ -43,7 +43,7 @@ from spanalign.llm.graph import connected_components
 from spanalign.session import written
 
 WORDS, PERCENT = 5, 75
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 #: Shingles whose repetitions are counted together before they are added up by Spark.
 BLOCK = 1 << 22
 FILTER_BITS = 22
