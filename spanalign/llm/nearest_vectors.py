@@ -5,9 +5,11 @@ transform) and assigned to the nearest signed axis.  A table joins ``parts`` suc
 query looks in its own bucket and in those that are next nearest (multiprobe), in each of ``TABLES`` tables.
 The candidates of all tables are compared exactly on the original vectors.
 
-With n rows, ``parts`` grows with log n, so buckets stay small, and a query looks in as many buckets of a
-table as hold ``PROBED * n ** (1 / 3)`` rows on average: the usual sublinear growth, as neighbours come closer
-when rows get denser.  Probes are no cap on candidates: all rows of a probed bucket are compared.
+With n rows, ``parts`` grows with log n, so buckets stay small, and a query looks at first in as many buckets
+of a table as hold ``PROBED * n ** (1 / 3)`` rows on average.  How many it takes depends on the data, so the
+exact neighbours of ``SAMPLE`` queries are found by comparing them with all rows (a scan), and probes are
+added until the hashes find the share ``RECALL`` of them, up to all buckets of a table, which is an exact
+search.  Probes are no cap on candidates: all rows of a probed bucket are compared.
 
 Shape on a cluster: the index is a scan that gives a row per vector and table; it meets the probes of the
 stated query set in an equi-join on the bucket.  Equal vectors are hashed and compared once; of equal
@@ -33,6 +35,8 @@ from spanalign.session import written
 
 TABLES, ROUNDS = 48, 3
 PROBED = 1.5
+#: Queries with known neighbours, the share of those to be found, and the step by which probes are added.
+SAMPLE, RECALL, WIDER = 200, 0.95, 1.25
 NEIGHBOURS, EVERY = 10, 100
 _SEED = 20240921
 
@@ -89,11 +93,14 @@ class CrossPolytope:
         total, codes = cost[:, :, 0], order[:, :, 0, :, None]
         for part in range(1, self.parts):
             # the cheapest sums so far with every choice of the next part
-            both = (total[..., :, None] + cost[:, :, part, None, :]).reshape(*total.shape[:2], -1)
+            # (both are sorted: of the a-th sum with the b-th choice, a * b others are no dearer)
+            a, b = (np.concatenate(x) for x in zip(*((np.full(m, k), np.arange(m)) for k in range(total.shape[-1])
+                                                     for m in [min(count // (k + 1), cost.shape[-1])])))
+            both = total[..., a] + cost[:, :, part][..., b]
             best = np.argsort(both, axis=-1, kind="stable")[..., :count]
-            total, n = np.take_along_axis(both, best, -1), cost.shape[-1]
-            earlier = np.take_along_axis(codes, (best // n)[..., None], 2)
-            codes = np.concatenate([earlier, np.take_along_axis(order[:, :, part], best % n, -1)[..., None]], axis=-1)
+            total = np.take_along_axis(both, best, -1)
+            earlier = np.take_along_axis(codes, a[best][..., None], 2)
+            codes = np.concatenate([earlier, np.take_along_axis(order[:, :, part], b[best], -1)[..., None]], axis=-1)
         return self._keys(codes)
 
 
@@ -110,6 +117,55 @@ def valid_vectors(vectors: DataFrame, vector_id: str, vector: str) -> DataFrame:
     return rows.where(finite).where(F.exists("v", lambda x: x != 0))
 
 
+def known_neighbours(classes: DataFrame, queries: DataFrame, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``SAMPLE`` of the queries, and the vectors nearest to them by comparison with all classes, without the
+    query's own: the index of the query, the vector."""
+    drawn = [r.v for r in queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    sample = np.array(drawn, float)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, rows = np.full((len(sample), 0), 0.0), np.zeros((len(sample), 0, sample.shape[1]))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                v = _matrix(batch.column(0).slice(low, 256))
+                apart = (v ** 2).sum(axis=1) - 2 * sample @ v.T  # less the query's own square
+                best, rows = np.concatenate([best, apart], axis=1), np.concatenate([rows, np.broadcast_to(v, (len(sample), *v.shape))], axis=1)
+                near = np.argsort(best, axis=1, kind="stable")[:, :neighbours + 1]
+                best, rows = np.take_along_axis(best, near, 1), np.take_along_axis(rows, near[..., None], 1)
+        if best.size:
+            yield pa.record_batch({"k": np.repeat(np.arange(len(sample)), best.shape[1]), "apart": best.ravel(),
+                                   "v": pa.array(list(rows.reshape(-1, sample.shape[1])), pa.list_(pa.float64()))})
+
+    if not drawn:
+        return sample, np.zeros(0, np.int64), sample
+    near = Window.partitionBy("k").orderBy("apart")
+    found = classes.select("v").mapInArrow(compare, "k long, apart double, v array<double>")
+    rows = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= neighbours + 1).select("k", "v").collect()
+    rows = [r for r in rows if r.v != drawn[r.k]]
+    return sample, np.array([r.k for r in rows], np.int64), np.array([r.v for r in rows], float).reshape(len(rows), -1)
+
+
+def found_share(hashing: CrossPolytope, queries: np.ndarray, of: np.ndarray, near: np.ndarray, count: int) -> float:
+    """Share of the neighbours ``near`` of ``queries[of]`` that are in a bucket of ``count`` probes a table."""
+    found, order = 0, np.argsort(of, kind="stable")
+    step = max(1, 512 // count)
+    for low in range(0, len(queries), step):
+        probes = hashing.probes(queries[low:low + step], count)
+        for k in range(len(probes)):
+            own = near[order[slice(*np.searchsorted(of[order], [low + k, low + k + 1]))]]
+            if len(own):
+                found += int((probes[k] == hashing.buckets(own)[..., None]).any(axis=(1, 2)).sum())
+    return found / len(near)
+
+
+def enough_probes(hashing: CrossPolytope, queries: np.ndarray, of: np.ndarray, near: np.ndarray, count: int) -> int:
+    """``count`` or the larger number of probes a table that finds the share ``RECALL`` of the neighbours."""
+    buckets = (2 * hashing.width) ** hashing.parts
+    while len(near) and count < buckets and found_share(hashing, queries, of, near, count) < RECALL:
+        count = min(math.ceil(WIDER * count), buckets)
+    return count
+
+
 def nearest(vectors: DataFrame, vector_id: str = "vec_id", vector: str = "embedding", every: int = EVERY,
             neighbours: int = NEIGHBOURS, tables: int = TABLES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest rows found of each row whose id ``every`` divides."""
@@ -130,6 +186,9 @@ def nearest(vectors: DataFrame, vector_id: str = "vec_id", vector: str = "embedd
     hashing = CrossPolytope(dimension, parts, tables)
     buckets = (2 * width) ** parts
     count = min(math.ceil(PROBED * n ** (1 / 3) * buckets / n), buckets)
+    if count < buckets:
+        count = enough_probes(hashing, *known_neighbours(classes, queries, neighbours), count)
+    step = max(1, min(64, 2048 // count))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +199,8 @@ def nearest(vectors: DataFrame, vector_id: str = "vec_id", vector: str = "embedd
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
                 found = hashing.probes(_matrix(part.column(1)), count).reshape(part.num_rows, -1)
                 yield pa.record_batch({"bucket": found.ravel(), "query_id": np.repeat(part.column(0).to_numpy(), found.shape[1])})
 

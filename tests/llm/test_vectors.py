@@ -46,6 +46,33 @@ def test_recall_on_the_given_table(spark):
     assert sum((q, i) in own for q, near in want.items() for _, i in near) >= 0.9 * 10 * len(want)
 
 
+def test_probes_are_added_until_neighbours_are_found():
+    """Vectors without any structure, just below the size at which buckets get another part."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def known(ids):
+        apart = -x[ids] @ x.T
+        apart[np.arange(len(ids)), ids] = 9
+        near = np.argpartition(apart, 10, axis=1)[:, :10]
+        return x[ids].astype(float), np.repeat(np.arange(len(ids)), 10), x[near.ravel()].astype(float)
+
+    hashing = V.CrossPolytope(64, 2, V.TABLES)
+    first, others = 9, known(np.arange(1000, 1100))
+    assert V.found_share(hashing, *others, first) < 0.9
+    assert V.found_share(hashing, *others, V.enough_probes(hashing, *known(np.arange(100)), first)) >= 0.93
+
+
+def test_first_probes_are_measured(spark, monkeypatch):
+    monkeypatch.setattr(V, "PROBED", 1e-9)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(1500)]
+    found = {(r.query_id, r.vec_id) for r in V.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, tables=6).collect()}
+    want = _exact(rows, 20, 10)
+    assert sum((q, i) in found for q, near in want.items() for _, i in near) >= 0.93 * 10 * len(want)
+
+
 def test_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert V.nearest(spark.createDataFrame([], schema)).count() == 0
