@@ -59,3 +59,15 @@ def test_lm_scores_equal_sql(spark):
     want = {r[0]: r[1:] for r in con.sql(queries.SQL["op9_lm_scoring"]).fetchall()}
     got = {r.doc_id: (r.n_words, r.score, r.mean_score) for r in queries.QUERIES["op9_lm_scoring"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(g[0] == w[0] and abs(g[1] - w[1]) < 2e-6 for g, w in ((got[k], want[k]) for k in want))
+
+
+def test_lm_scores_with_all_counts_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(queries.SQL["op9_lm_scoring_all_counts"]).fetchall()}
+    got = {r.doc_id: (r.n_words, r.score, r.mean_score) for r in queries.QUERIES["op9_lm_scoring_all_counts"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(g[0] == w[0] and abs(g[1] - w[1]) < 2e-6 for g, w in ((got[k], want[k]) for k in want))
+    cut = {r.doc_id: r.score for r in queries.QUERIES["op9_lm_scoring"](spark, SF).collect()}
+    assert any(abs(cut[k] - got[k][1]) > 1 for k in got)
