@@ -6,9 +6,9 @@ sampled with the probability ``min(1, c * weight of its cell)``; ``c`` makes the
 the wanted fraction of all tokens.  Draws are a hash of the id and a seed, so a run can be repeated.
 
 Shape on a cluster: one scan counts cells (added up before the shuffle), a second one decides; no text is
-shuffled.  A margin has at most ``CATEGORIES`` values, the rarer ones are one category ``(other)``, so the
-cell table that the driver rakes and the scan gets as a broadcast has a fixed bound
-(``(CATEGORIES + 1) ** 2 * (TOPICS + 1)``).
+shuffled.  Every source and language is a category of its own.  The driver rakes the cells that have tokens, as
+numbers: its memory grows with the distinct cells, not with documents.  The scan gets the weights as a
+broadcast if each margin has at most ``CATEGORIES`` values, otherwise by a join that shuffles the documents.
 
 Edge cases: a null source or language is the category ``(none)``; a null or empty text has no tokens, its
 topic is -1, and it is sampled with the weight of its cell (1 if the cell has no tokens at all); targets are
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanalign.llm import kernels as K
-from spanalign.session import written
 
 TOPICS, TOPIC_WORD_BYTES = 8, 6
+#: With more categories in a margin the weights are not broadcast.
 CATEGORIES = 128
 ROUNDS, TOLERANCE = 500, 1e-10
 MARGINS = ("source", "lang", "topic")
@@ -64,12 +64,6 @@ def _category(margin: str) -> Column:
     return F.coalesce(F.col(margin).cast("string"), F.lit("(none)"))
 
 
-def _known(cells: DataFrame, margin: str, most: int) -> DataFrame:
-    """The ``most`` categories with most tokens."""
-    totals = cells.groupBy(F.col(f"__{margin}").alias("category")).agg(F.sum("tokens").alias("tokens"))
-    return totals.orderBy(F.desc("tokens"), "category").limit(most)
-
-
 def tempered(power: float):
     """Targets proportional to a power of the tokens there are: 1 leaves the shares, 0 makes them equal."""
     return lambda tokens: {k: v ** power for k, v in tokens.items() if v > 0}
@@ -84,33 +78,30 @@ def level_topics(tokens: dict) -> dict:
 DEFAULT_TARGETS = {"source": tempered(0.5), "lang": tempered(0.7), "topic": level_topics}
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
-    """Weights of cells (a dense array, one axis per margin) whose weighted tokens have the target shares."""
-    factors = [np.ones(n) for n in tokens.shape]
-    axes = range(tokens.ndim)
+def rake(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
+    """Weights of cells whose weighted tokens have the target shares; ``places`` has the category of each cell
+    in each margin."""
+    factors = [np.ones(len(t)) for t in targets]
 
-    def weighted() -> np.ndarray:
-        out = tokens.astype(float)
-        for k, f in enumerate(factors):
-            out = out * f.reshape([-1 if a == k else 1 for a in axes])
+    def weights() -> np.ndarray:
+        out = np.ones(len(tokens))
+        for f, at in zip(factors, places):
+            out *= f[at]
         return out
 
     for _ in range(ROUNDS):
         worst = 0.0
         for k, target in enumerate(targets):
-            now = weighted().sum(axis=tuple(a for a in axes if a != k))
+            now = np.bincount(places[k], tokens * weights(), len(target))
             total = now.sum()
             if not total:
-                return np.ones(tokens.shape)
+                return np.ones(len(tokens))
             step = np.divide(target * total, now, out=np.zeros(len(now)), where=now > 0)
             worst = max(worst, np.abs(now / total - target).max())
             factors[k] *= step
         if worst < TOLERANCE:
             break
-    out = np.ones(tokens.shape)
-    for k, f in enumerate(factors):
-        out = out * f.reshape([-1 if a == k else 1 for a in axes])
-    return out
+    return weights()
 
 
 def scale(tokens: np.ndarray, weights: np.ndarray, fraction: float) -> float:
@@ -136,34 +127,25 @@ def mixed(documents: DataFrame, fraction: float, targets: dict | None = None, se
     rows = with_tokens(documents.drop(*RESULTS))
     rows = rows.select("*", *(_category(m).alias(f"__{m}") for m in MARGINS))
     cells = rows.groupBy(*(f"__{m}" for m in MARGINS)).agg(F.sum("n_tokens").alias("tokens"))
-    cells = written(cells, "cells")
-    names, found = {}, cells
+    # only cells that have tokens count; others weigh 1
+    cells = cells.where("tokens > 0").toArrow().sort_by([(f"__{m}", "ascending") for m in MARGINS])
+    tokens = cells.column("tokens").to_numpy().astype(float)
+    places, shares = [], []
     for m in MARGINS:
-        names[m] = [r.category for r in _known(cells, m, CATEGORIES).collect()]
-        found = found.withColumn(f"__{m}", F.when(F.col(f"__{m}").isin(names[m]), F.col(f"__{m}")).otherwise(F.lit("(other)")))
-        names[m].append("(other)")
-    place = {m: {c: k for k, c in enumerate(names[m])} for m in MARGINS}
-    tokens = np.zeros([len(names[m]) for m in MARGINS])
-    for r in found.groupBy(*(f"__{m}" for m in MARGINS)).agg(F.sum("tokens").alias("tokens")).collect():
-        tokens[tuple(place[m][r[f"__{m}"]] for m in MARGINS)] = r.tokens
-    shares = []
-    for k, m in enumerate(MARGINS):
-        own = dict(zip(names[m], tokens.sum(axis=tuple(a for a in range(3) if a != k))))
+        coded = cells.column(f"__{m}").combine_chunks().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        own = dict(zip(names, np.bincount(at, tokens, len(names))))
         wanted = targets[m](own) if callable(targets[m]) else {str(c): s for c, s in targets[m].items()}
-        share = np.array([wanted.get(c, 0.0) if own[c] > 0 else 0.0 for c in names[m]])
+        share = np.array([wanted.get(c, 0.0) for c in names], float)
+        places.append(at)
         shares.append(share / share.sum() if share.sum() else share)
-    weights = rake(tokens, shares)
+    weights = rake(tokens, places, shares)
     c = scale(tokens, weights, fraction)
-    empty = tokens == 0
-    # only cells that have tokens go out; others weigh 1
-    at = np.argwhere(~empty)
-    table = spark.createDataFrame(
-        [(*(names[m][i] for m, i in zip(MARGINS, cell)), float(weights[tuple(cell)])) for cell in at.tolist()],
-        T.StructType([*(T.StructField(f"__{m}", T.StringType()) for m in MARGINS), T.StructField("weight", T.DoubleType())]))
-    for m in MARGINS:
-        rows = rows.withColumn(f"__{m}", F.when(F.col(f"__{m}").isin(names[m]), F.col(f"__{m}")).otherwise(F.lit("(other)")))
+    table = spark.createDataFrame(cells.drop_columns(["tokens"]).append_column("weight", pa.array(weights, pa.float64())))
+    if max(map(len, shares)) <= CATEGORIES:
+        table = F.broadcast(table)
     draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    out = rows.join(F.broadcast(table), [f"__{m}" for m in MARGINS], "left").drop(*(f"__{m}" for m in MARGINS))
+    out = rows.join(table, [f"__{m}" for m in MARGINS], "left").drop(*(f"__{m}" for m in MARGINS))
     out = out.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("probability", F.least(F.lit(1.0), F.lit(c) * F.col("weight")))
     return out.withColumn("sampled", draw < F.col("probability"))
 

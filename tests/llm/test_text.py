@@ -281,6 +281,19 @@ def test_mixing_many_categories_and_nothing(spark, monkeypatch):
     assert mixing.mixed(X.frame(spark, [(1, None, None, None, None)]), 0.5).first().weight == 1.0
 
 
+def test_mixing_keeps_every_category(spark):
+    """More sources than are broadcast, with targets for the rarest ones, and by default."""
+    rows = [(k, "some words stand here", "en", f"s{k % 200}" if k < 2000 else f"s{k % 100}", 0) for k in range(3000)]
+    found = mixing.mixed(X.frame(spark, rows), 0.5, {"source": {f"s{k}": 1 + k % 2 for k in range(200)}}).collect()
+    shares = collections.Counter()
+    for r in found:
+        shares[r.source] += r.n_tokens * r.weight
+    total = sum(shares.values())
+    assert len(shares) == 200 and all(abs(shares[f"s{k}"] / total - (1 + k % 2) / 300) < 1e-6 for k in range(200))
+    weights = {r.source: r.weight for r in mixing.mixed(X.frame(spark, rows), 0.5).collect()}
+    assert all(abs(weights["s150"] / weights[f"s{k}"] - (2 if k < 100 else 1) ** 0.5) < 1e-6 for k in range(200))
+
+
 def test_sampling_follows_the_probabilities(spark):
     rows = [(k, "one two three", "en", "a" if k % 4 else "b", 0) for k in range(4000)]
     found = mixing.mixed(X.frame(spark, rows), 0.5, {"source": {"a": 1, "b": 1}}).collect()
