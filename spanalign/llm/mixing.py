@@ -13,7 +13,7 @@ broadcast if each margin has at most ``CATEGORIES`` values, otherwise by a join
 Edge cases: a null source or language is the category ``(none)``; a null or empty text has no tokens, its
 topic is -1, and it is sampled with the weight of its cell (1 if the cell has no tokens at all); targets are
 scaled to the categories that have tokens; categories without a target get weight 0; rows with one id are
-drawn alike, null ids count as one id; empty tables give an empty result.  Further columns pass through,
+drawn alike, rows without an id by a hash of their text, source and language; empty tables give an empty result.  Further columns pass through,
 those named like the results are replaced.
 """
 
@@ -144,10 +144,11 @@ def mixed(documents: DataFrame, fraction: float, targets: dict | None = None, se
     table = spark.createDataFrame(cells.drop_columns(["tokens"]).append_column("weight", pa.array(weights, pa.float64())))
     if max(map(len, shares)) <= CATEGORIES:
         table = F.broadcast(table)
-    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    out = rows.join(table, [f"__{m}" for m in MARGINS], "left").drop(*(f"__{m}" for m in MARGINS))
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text", *(f"__{m}" for m in MARGINS))).otherwise(F.col("doc_id").cast("long"))
+    out = rows.join(table, [f"__{m}" for m in MARGINS], "left")
+    out = out.withColumn("__draw", F.shiftrightunsigned(F.xxhash64(own, F.lit(seed)), 11) / F.lit(float(1 << 53))).drop(*(f"__{m}" for m in MARGINS))
     out = out.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("probability", F.least(F.lit(1.0), F.lit(c) * F.col("weight")))
-    return out.withColumn("sampled", draw < F.col("probability"))
+    return out.withColumn("sampled", F.col("__draw") < F.col("probability")).drop("__draw")
 
 
 def sample(documents: DataFrame, fraction: float, targets: dict | None = None, seed: int = 1) -> DataFrame:

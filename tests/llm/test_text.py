@@ -294,6 +294,12 @@ def test_mixing_keeps_every_category(spark):
     assert all(abs(weights["s150"] / weights[f"s{k}"] - (2 if k < 100 else 1) ** 0.5) < 1e-6 for k in range(200))
 
 
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"some words stand here {k}", "en", "a", 0) for k in range(2000)]
+    found = mixing.mixed(X.frame(spark, rows), 0.5).collect()
+    assert abs(sum(r.sampled for r in found) / len(found) - 0.5) < 0.06
+
+
 def test_sampling_follows_the_probabilities(spark):
     rows = [(k, "one two three", "en", "a" if k % 4 else "b", 0) for k in range(4000)]
     found = mixing.mixed(X.frame(spark, rows), 0.5, {"source": {"a": 1, "b": 1}}).collect()
