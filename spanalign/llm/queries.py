@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanalign.llm import best_fit_packing as packing
+from spanalign.llm import centroids
+from spanalign.llm import conversation_repair as conversations
 from spanalign.llm import lm_scoring as lm
 from spanalign.llm import mixing
 from spanalign.llm import nearest_vectors as vectors
 from spanalign.llm import ngram_jaccard as jaccard
 from spanalign.llm import quality_rules as quality
+from spanalign.llm import sentence_pieces as pieces
 from spanalign.llm import substring_dedup as substrings
 from spanalign.llm import suffix_dedup as suffixes
 from spanalign.llm import token_counts as tokens
@@ -92,6 +95,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after the stated damage."""
+    found = conversations.repair(_read(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of all vectors after five rounds."""
+    return centroids.clustered(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded."""
+    found = pieces.encoded(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -104,6 +124,9 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op9_lm_scoring_all_counts": op9_lm_scoring_all_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 # doc_id is a key in the given tables
@@ -176,8 +199,42 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesc
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN (SELECT a, min(b) AS least FROM r GROUP BY a) m ON m.a = t.doc_id
 """
 
+
+
+def _clusters(centroids: int = 40, rounds: int = 5) -> str:
+    nearest = """n{k} AS MATERIALIZED (
+  SELECT v.row, v.vec_id, arg_min(c.cluster, (c.distance, c.cluster)) AS cluster, min(c.distance) AS distance FROM (
+    SELECT p.row, m.cluster, sum((p.x - m.x) * (p.x - m.x))::BIGINT AS distance FROM p JOIN m{k} AS m USING (d) GROUP BY ALL) c
+  JOIN v USING (row) GROUP BY ALL)"""
+    moved = """m{n} AS MATERIALIZED (
+  SELECT cluster, d, coalesce(x, old) AS x FROM (
+    SELECT m.cluster, m.d, any_value(m.x) AS old, floor_div(sum(p.x)::BIGINT, count(p.x)) AS x
+    FROM m{k} AS m LEFT JOIN n{k} AS n USING (cluster) LEFT JOIN p ON p.row = n.row AND p.d = m.d GROUP BY ALL))"""
+    moved = moved.replace("floor_div(sum(p.x)::BIGINT, count(p.x))",
+                          "((sum(p.x)::BIGINT - ((sum(p.x)::BIGINT % count(p.x)) + count(p.x)) % count(p.x)) // nullif(count(p.x), 0))")
+    steps = [nearest.format(k=0)]
+    for k in range(rounds):
+        steps += [moved.format(k=k, n=k + 1), nearest.format(k=k + 1)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), p AS MATERIALIZED (
+  SELECT row, generate_subscripts(embedding, 1) AS d, unnest(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS x FROM v
+), s AS (
+  SELECT row, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster FROM v QUALIFY cluster < {centroids}
+), m0 AS MATERIALIZED (SELECT cluster, d, x FROM s JOIN p USING (row)),
+{", ".join(steps)},
+h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM m{rounds} GROUP BY cluster)
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM n{rounds} JOIN h USING (cluster)
+"""
+
+
 SQL: dict[str, str] = {
     "op3_ngram_jaccard": _GROUPS,
     "op9_lm_scoring": _LM,
     "op9_lm_scoring_all_counts": _LM_ALL_COUNTS,
+    "op12_centroid_clustering": _clusters(),
 }
