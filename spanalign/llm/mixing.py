@@ -13,8 +13,8 @@ broadcast if each margin has at most ``CATEGORIES`` values, otherwise by a join
 Edge cases: a null source or language is the category ``(none)``; a null or empty text has no tokens, its
 topic is -1, and it is sampled with the weight of its cell (1 if the cell has no tokens at all); targets are
 scaled to the categories that have tokens; categories without a target get weight 0; rows with one id are
-drawn alike, rows without an id by a hash of their text, source and language; empty tables give an empty result.  Further columns pass through,
-those named like the results are replaced.
+drawn alike, rows without an id by a hash of their text, source and language; empty tables give an empty result.
+Further columns pass through; names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -36,9 +36,8 @@ RESULTS = ("topic", "n_tokens", "weight", "probability", "sampled")
 
 
 def with_tokens(documents: DataFrame) -> DataFrame:
-    """Adds ``n_tokens`` (words) and ``topic``: the part of the hashed vocabulary that holds most of the
+    """Adds ``__n_tokens`` (words) and ``__topic``: the part of the hashed vocabulary that holds most of the
     text's longer words (ties to the smaller number)."""
-    documents = documents.drop("topic", "n_tokens")
     place = documents.columns.index("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,9 +54,9 @@ def with_tokens(documents: DataFrame) -> DataFrame:
                 topics.append(np.where(votes.any(axis=1), votes.argmax(axis=1), -1).astype(np.int32))
                 tokens.append(first[1:] - first[:-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(topics)), pa.array(np.concatenate(tokens))],
-                                             [*batch.schema.names, "topic", "n_tokens"])
+                                             [*batch.schema.names, "__topic", "__n_tokens"])
 
-    return documents.mapInArrow(count, T.StructType([*documents.schema.fields, T.StructField("topic", T.IntegerType()), T.StructField("n_tokens", T.LongType())]))
+    return documents.mapInArrow(count, T.StructType([*documents.schema.fields, T.StructField("__topic", T.IntegerType()), T.StructField("__n_tokens", T.LongType())]))
 
 
 def _category(margin: str) -> Column:
@@ -118,21 +117,20 @@ def scale(tokens: np.ndarray, weights: np.ndarray, fraction: float) -> float:
     return high
 
 
-def mixed(documents: DataFrame, fraction: float, targets: dict | None = None, seed: int = 1) -> DataFrame:
-    """``documents`` with ``topic, n_tokens, weight, probability, sampled``.
-
-    ``targets`` maps a margin to ``{category: share}`` or to a function from tokens per category to that.
-    """
+def _weighed(documents: DataFrame, fraction: float, targets: dict | None, seed: int) -> DataFrame:
+    """``documents`` with the results under names that begin with ``__``."""
     spark, targets = documents.sparkSession, DEFAULT_TARGETS | (targets or {})
-    rows = with_tokens(documents.drop(*RESULTS))
-    rows = rows.select("*", *(_category(m).alias(f"__{m}") for m in MARGINS))
-    cells = rows.groupBy(*(f"__{m}" for m in MARGINS)).agg(F.sum("n_tokens").alias("tokens"))
+    rows = with_tokens(documents)
+    margins = {m: f"__of_{m}" for m in MARGINS}
+    # a topic that the documents have counts, otherwise that of their words
+    rows = rows.select("*", *(_category(m if m in documents.columns else "__topic").alias(name) for m, name in margins.items()))
+    cells = rows.groupBy(*margins.values()).agg(F.sum("__n_tokens").alias("tokens"))
     # only cells that have tokens count; others weigh 1
-    cells = cells.where("tokens > 0").toArrow().sort_by([(f"__{m}", "ascending") for m in MARGINS])
+    cells = cells.where("tokens > 0").toArrow().sort_by([(name, "ascending") for name in margins.values()])
     tokens = cells.column("tokens").to_numpy().astype(float)
     places, shares = [], []
-    for m in MARGINS:
-        coded = cells.column(f"__{m}").combine_chunks().dictionary_encode()
+    for m, name in margins.items():
+        coded = cells.column(name).combine_chunks().dictionary_encode()
         names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         own = dict(zip(names, np.bincount(at, tokens, len(names))))
         wanted = targets[m](own) if callable(targets[m]) else {str(c): s for c, s in targets[m].items()}
@@ -141,17 +139,27 @@ def mixed(documents: DataFrame, fraction: float, targets: dict | None = None, se
         shares.append(share / share.sum() if share.sum() else share)
     weights = rake(tokens, places, shares)
     c = scale(tokens, weights, fraction)
-    table = spark.createDataFrame(cells.drop_columns(["tokens"]).append_column("weight", pa.array(weights, pa.float64())))
+    table = spark.createDataFrame(cells.drop_columns(["tokens"]).append_column("__weight", pa.array(weights, pa.float64())))
     if max(map(len, shares)) <= CATEGORIES:
         table = F.broadcast(table)
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text", *(f"__{m}" for m in MARGINS))).otherwise(F.col("doc_id").cast("long"))
-    out = rows.join(table, [f"__{m}" for m in MARGINS], "left")
-    out = out.withColumn("__draw", F.shiftrightunsigned(F.xxhash64(own, F.lit(seed)), 11) / F.lit(float(1 << 53))).drop(*(f"__{m}" for m in MARGINS))
-    out = out.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("probability", F.least(F.lit(1.0), F.lit(c) * F.col("weight")))
-    return out.withColumn("sampled", F.col("__draw") < F.col("probability")).drop("__draw")
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text", *margins.values())).otherwise(F.col("doc_id").cast("long"))
+    out = rows.join(table, list(margins.values()), "left")
+    out = out.withColumn("__draw", F.shiftrightunsigned(F.xxhash64(own, F.lit(seed)), 11) / F.lit(float(1 << 53)))
+    out = out.withColumn("__weight", F.coalesce("__weight", F.lit(1.0))).withColumn("__probability", F.least(F.lit(1.0), F.lit(c) * F.col("__weight")))
+    return out.withColumn("__sampled", F.col("__draw") < F.col("__probability"))
+
+
+def mixed(documents: DataFrame, fraction: float, targets: dict | None = None, seed: int = 1) -> DataFrame:
+    """``documents`` with ``topic, n_tokens, weight, probability, sampled``.
+
+    ``targets`` maps a margin to ``{category: share}`` or to a function from tokens per category to that.
+    Input columns named like the results are replaced, but a ``topic`` stays and is the margin.
+    """
+    found = _weighed(documents, fraction, targets, seed)
+    topic = "topic" if "topic" in documents.columns else "__topic"
+    return found.select(*(c for c in documents.columns if c not in RESULTS), F.col(topic).alias("topic"), *(F.col(f"__{r}").alias(r) for r in RESULTS[1:]))
 
 
 def sample(documents: DataFrame, fraction: float, targets: dict | None = None, seed: int = 1) -> DataFrame:
-    """The sampled documents with their own columns."""
-    own = documents.columns
-    return mixed(documents, fraction, targets, seed).where("sampled").select(*own)
+    """The sampled documents with their own columns, values untouched."""
+    return _weighed(documents, fraction, targets, seed).where("__sampled").select(*documents.columns)

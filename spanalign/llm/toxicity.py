@@ -180,12 +180,12 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     return Model(float(weights[-1]), buckets, weights[:-1])
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``documents`` and a double ``toxic_score`` from 0 to 1 for every row.
+def score(documents: DataFrame, model: Model, result: str = "toxic_score") -> DataFrame:
+    """All columns of ``documents`` and a double ``result`` from 0 to 1 for every row.
 
     A column of that name in the input is replaced.
     """
-    documents = documents.drop("toxic_score")
+    documents = documents.drop(result)
     weight, mask = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
     weight[model.buckets], mask[model.buckets] = model.weights, True
     place, bias = documents.columns.index("text"), model.bias
@@ -197,9 +197,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 text, bucket = _present(data, offsets, mask)
                 found[first:first + len(offsets) - 1] += np.bincount(text, weight[bucket], len(offsets) - 1)
             odds = 1 / (1 + np.exp(-np.clip(found, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds)], [*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds)], [*batch.schema.names, result])
 
-    return documents.mapInArrow(each, T.StructType([*documents.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+    return documents.mapInArrow(each, T.StructType([*documents.schema.fields, T.StructField(result, T.DoubleType())]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,6 +211,6 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not call toxic, with their own columns."""
-    own = documents.columns
-    return score(documents, train(documents, labels)).where(F.col("toxic_score") < CUT).select(*own)
+    """The documents that the classifier does not call toxic, with their own columns, values untouched."""
+    found = score(documents, train(documents, labels), "__toxic_score")
+    return found.where(F.col("__toxic_score") < CUT).select(*documents.columns)
