@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,18 @@ def test_cleanup_equals_full_search():
             assert cu.within_edits(a, b, limit) == (edits(a, b) <= limit)
 
 
+def test_long_cleanup_is_checked_in_seconds():
+    rng = random.Random(4)
+    raw = [f"word{rng.randrange(30_000)}" for _ in range(100_000)]
+    cleaned = [w + "s" if k % 997 == 3 else w for k, w in enumerate(raw)]
+    cleaned[50_000:50_002] = ["".join(cleaned[50_000:50_002])]
+    began = time.perf_counter()
+    assert cu.is_conservative(raw, cleaned, frozenset())
+    assert not cu.is_conservative(raw, [*cleaned[:70_000], "something", *cleaned[70_000:]], frozenset())
+    assert cu.is_conservative(["a"] * 2000, ["a"] * 1500 + ["aa"] * 250, frozenset())
+    assert time.perf_counter() - began < 60
+
+
 def test_density_and_recall(spark):
     df = spark.createDataFrame([(9, 5, 0), (30, 1, 10), (29, 3, 10), (30, 2, 10), (49, 2, 3), (50, 2, 3)],
                                "w bigint, s bigint, e bigint")
