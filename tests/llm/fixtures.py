@@ -8,6 +8,10 @@ import math
 import random
 import re
 
+import numpy as np
+
+from spanalign.llm import kernels as K
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns that the operators use themselves; inputs may have them too.
@@ -64,32 +68,46 @@ def frame(spark, rows=None, clashes=False):
     return df
 
 
+def _cuts(word):
+    """Whether a long sentence is cut after the word (the operator's own hash of a word)."""
+    raw = np.frombuffer(word.encode(), np.uint8)
+    own = K.words(raw, np.array([0, len(raw)]), K.Powers())[2]
+    return int(K.mix(own)[0]) % 6 == 0
+
+
 def sentences(text):
-    """Word matches of each sentence."""
+    """Word matches of each unit: sentences, those of more than 12 words cut after some words."""
     found, out, own = list(WORD.finditer(text or "")), [], []
     for k, m in enumerate(found):
         own.append(m)
         if m.group()[-1] in ".!?" or k + 1 == len(found) or "\n" in text[m.end():found[k + 1].start()]:
-            out.append(own)
+            part = []
+            for x in own:
+                part.append(x)
+                if len(own) > 12 and x is not own[-1] and _cuts(x.group()):
+                    out.append(part)
+                    part = []
+            out.append(part)
             own = []
     return out
 
 
-def without_repeated_spans(rows, span=3, least=8):
-    """``(id, text) -> (number of sentences, removed places, text left)``."""
+def without_repeated_spans(rows, span=2, least=12):
+    """``(id, text) -> (number of units, removed places, text left)``."""
     known = sorted({(i, t) for i, t, *_ in rows if i is not None and t is not None})
     runs = collections.defaultdict(list)
     for i, t in known:
         keys = [tuple(m.group().translate(LOWER) for m in s) for s in sentences(t)]
-        for k in range(len(keys) - span + 1):
-            if sum(map(len, keys[k:k + span])) >= least:
-                runs[tuple(keys[k:k + span])].append((i, k, t))
+        for k in range(len(keys)):
+            end = next((e for e in range(k + span, len(keys) + 1) if sum(map(len, keys[k:e])) >= least), None)
+            if end:
+                runs[tuple(keys[k:end])].append((i, k, t, end))
     gone = collections.defaultdict(set)
     for places in runs.values():
-        first = min(places)[:2]
-        for i, k, t in places:
+        first = min(p[:2] for p in places)
+        for i, k, t, end in places:
             if (i, k) != first:
-                gone[i, t].update(range(k, k + span))
+                gone[i, t].update(range(k, end))
     out = {}
     for i, t, *_ in rows:
         own, drop = sentences(t), gone.get((i, t), set())
@@ -139,7 +157,7 @@ def base_rules(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), lines, len(covered)
 
 
-def backoff_scores(rows, order=3, alpha=0.4, least=2):
+def backoff_scores(rows, order=3, alpha=0.4, least=1):
     """``(id, text) -> (words, score)``."""
     texts = [words(t) for _, t, *_ in rows]
     counts = [collections.Counter(tuple(w[k:k + n]) for w in texts for k in range(len(w) - n + 1)) for n in range(1, order + 1)]

@@ -1,6 +1,7 @@
 """Sentence spans, n-gram Jaccard join, suffix arrays, components."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -23,10 +24,29 @@ def test_sentence_spans(spark, monkeypatch, block):
     assert sum(bool(w[2]) for w in want) >= 10
 
 
+def test_passages_anywhere_are_found(spark):
+    """Passages of 50 to 70 words, between sentences and inside one, with and without full stops."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        passage = X.prose(rng, rng.randint(50, 70)).strip()
+        if k % 3 == 0:
+            passage = re.sub("[.!?]", "", passage).replace("\n", " ")
+        for side in range(2):
+            before, behind = X.prose(rng, rng.randint(5, 80)).strip(), X.prose(rng, rng.randint(5, 80))
+            rows.append((2 * k + side, f"{before}{' ' if k % 2 else '. '}{passage} {behind}", None, None, None))
+        rows.append((1000 + k, X.prose(rng, 90), None, None, None))
+    found = {r.doc_id: len(r.removed) for r in substring_dedup.substring_dedup(X.frame(spark, rows)).collect()}
+    assert all(found[2 * k + 1] and not found[2 * k] for k in range(60)) and not any(found[1000 + k] for k in range(60))
+
+
 def test_sentence_spans_edges(spark):
     df = X.frame(spark, clashes=True)
     found = substring_dedup.substring_dedup(df)
     assert set(found.columns) == set(df.columns) | {"n_sentences", "removed"} and found.count() == df.count()
+    kept = substring_dedup.without_repeats(df).select(df.columns)
+    others = [c for c in df.columns if c != "text"]
+    assert sorted(map(str, kept.select(others).collect())) == sorted(map(str, df.select(others).collect()))
     assert substring_dedup.substring_dedup(X.frame(spark, [])).count() == 0
 
 
