@@ -28,11 +28,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without sentences of repeated runs; ``n_chars`` follows the text."""
-    own = docs.columns
-    found = substring_dedup.substring_dedup(docs)
-    if "n_chars" in own:
-        found = found.withColumn("n_chars", F.when(F.col("removed").isNotNull() & (F.size("removed") > 0), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*own)
+    found = substring_dedup.without_repeats(docs)
+    if "n_chars" in docs.columns:
+        cut = F.col("__removed").isNotNull() & (F.size("__removed") > 0)
+        found = found.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
