@@ -1,9 +1,9 @@
 """Cleaned text back onto timed segments.
 
 Everything except the monotonic token match itself is joins, aggregates and windows.  The match is
-a dynamic program over one session; it runs as a small NumPy kernel on one row per session, in memory
-that grows with the session's tokens times their square root, so a recording of many hours is aligned.
-`alignment_limits` reports sessions beyond the usual limits; none is left out.
+a dynamic program, a small NumPy kernel on one row per session; a session beyond the usual number of
+cells is cut at anchors first and has a row per stretch, so recordings of any length are aligned in
+bounded memory.  `alignment_limits` reports sessions beyond the usual limits; none is left out.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanalign import fixed
 from spanalign.functions import checks, sensitive, text as tx
-from spanalign.functions.similarity import has_similar, phrase_similarity
-from spanalign.operators.fuzzy import similar_tokens
+from spanalign.functions.similarity import phrase_similarity
+from spanalign.operators import anchors
+from spanalign.operators.allocation import allocate
+from spanalign.operators.fuzzy import dictionary_pairs, similar_tokens, symmetric_pairs
 from spanalign.operators.prefix import row_block, running
 from spanalign.operators.utterances import utterances
 from spanalign.session import written
@@ -154,22 +156,13 @@ def _match_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hit = np.flatnonzero(found >= 0)
             yield pd.DataFrame({
                 "session_id": np.repeat(row.session_id, len(hit)),
-                "cleaned_idx": hit,
+                "cleaned_idx": row.base + hit,
                 "segment_idx": np.asarray(row.segment_of, dtype=np.int64)[found[hit]],
             })
 
 
-def token_alignment(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) -> DataFrame:
-    """(session_id, cleaned_idx, segment_idx) of all matched cleaned tokens.
-
-    ``segment_idx`` is the 0-based position of the segment; ``fits`` holds the ids of the sessions
-    to align.
-    """
-    segs = segments.join(fits, "session_id", "left_semi")
-    text = cleaned.join(fits, "session_id", "left_semi")
-    pairs = similar_tokens(cleaned_tokens(text), realtime_tokens(segs)).groupBy("session_id").agg(
-        F.collect_list(F.struct("left_token", "right_token")).alias("pairs")
-    )
+def _whole(text: DataFrame, segs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Both token lists of a session and its similar pairs in one row."""
     spoken = segs.groupBy("session_id").agg(
         F.array_sort(F.collect_list(
             F.struct("segment_id", tx.tokens_ascii(F.col("text")).alias("tokens"))
@@ -181,13 +174,66 @@ def token_alignment(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) ->
             "segs", lambda s, i: F.transform(s["tokens"], lambda t: i)
         )).alias("segment_of"),
     )
-    rows = (
-        text.select("session_id", tx.tokens_ascii(F.col("cleaned_text")).alias("cleaned"))
-        .join(spoken, "session_id").join(pairs, "session_id")
-    )
-    return rows.mapInPandas(
-        _match_batches, "session_id bigint, cleaned_idx bigint, segment_idx bigint"
+    of_session = pairs.groupBy("session_id").agg(
+        F.collect_list(F.struct("left_token", "right_token")).alias("pairs")
     )
+    rows = text.select(
+        "session_id", F.lit(0).cast("bigint").alias("base"),
+        tx.tokens_ascii(F.col("cleaned_text")).alias("cleaned"),
+    )
+    return rows.join(spoken, "session_id").join(of_session, "session_id")
+
+
+def _in_stretches(text: DataFrame, segs: DataFrame, pairs: DataFrame, spacing: int) -> DataFrame:
+    """The same for each stretch between two anchors of a session."""
+    left = text.select("session_id", tx.tokens_ascii(F.col("cleaned_text")).alias("tokens"))
+    spoken = segs.select(
+        "session_id", (F.col("segment_id") - 1).cast("bigint").alias("segment_of"),
+        tx.tokens_ascii(F.col("text")).alias("tokens"),
+    )
+    spoken = written(running(
+        spoken, ["session_id"], row_block("segment_of"), ["segment_of"], sums={"base": F.size("tokens")}
+    ), "spoken")
+    cut = written(anchors.cuts(left, spoken, spacing=spacing), "cuts")
+    lefts = written(anchors.left_stretches(left, cut), "stretches")
+    rights = written(anchors.right_stretches(spoken, cut, "segment_of"), "stretches")
+    at = ["session_id", "stretch"]
+    said = lefts.select(*at, F.explode(F.array_distinct("tokens")).alias("left_token"))
+    heard = rights.select(*at, F.explode(F.array_distinct("tokens")).alias("right_token"))
+    own = said.join(pairs, ["session_id", "left_token"]).join(heard, [*at, "right_token"], "left_semi")
+    own = own.groupBy(*at).agg(F.collect_list(F.struct("left_token", "right_token")).alias("pairs"))
+    rows = lefts.withColumnRenamed("tokens", "cleaned").join(rights.withColumnRenamed("tokens", "realtime"), at)
+    return rows.join(own, at).select("session_id", "base", "cleaned", "realtime", "segment_of", "pairs")
+
+
+def token_alignment(
+    segments: DataFrame, cleaned: DataFrame, fits: DataFrame, pairs: DataFrame | None = None,
+    most_cells: int = fixed.MAX_ALIGNMENT_CELLS, spacing: int = anchors.SPACING,
+) -> DataFrame:
+    """(session_id, cleaned_idx, segment_idx) of all matched cleaned tokens.
+
+    ``segment_idx`` is the 0-based position of the segment; ``fits`` holds the ids of the sessions
+    to align, ``pairs`` their similar tokens if they are known.  A session whose two sides multiply to
+    more than ``most_cells`` is cut at anchors (`operators.anchors`) and its stretches are matched as
+    rows of their own; smaller ones are matched whole, so their match is a longest one.
+    """
+    segs = segments.join(fits, "session_id", "left_semi")
+    text = cleaned.join(fits, "session_id", "left_semi")
+    if pairs is None:
+        pairs = similar_tokens(cleaned_tokens(text), realtime_tokens(segs))
+    sides = segs.groupBy("session_id").agg(F.sum(tx.token_count(F.col("text"))).alias("m")).join(
+        text.select("session_id", tx.token_count(F.col("cleaned_text")).cast("bigint").alias("n")), "session_id"
+    )
+    long = written(sides.where((F.col("n") + 1) * (F.col("m") + 1) > most_cells).select("session_id"), "long")
+    schema = "session_id bigint, cleaned_idx bigint, segment_idx bigint"
+    if long.isEmpty():
+        return _whole(text, segs, pairs).mapInPandas(_match_batches, schema)
+    whole, cut = ({
+        "text": text.join(long, "session_id", how), "segs": segs.join(long, "session_id", how),
+        "pairs": pairs.join(long, "session_id", how),
+    } for how in ("left_anti", "left_semi"))
+    rows = _whole(**whole).unionByName(_in_stretches(**cut, spacing=spacing))
+    return rows.mapInPandas(_match_batches, schema)
 
 
 # --- marker anchors ---
@@ -267,46 +313,98 @@ def clamp_forward(rows: DataFrame, order: str) -> DataFrame:
     }).drop("reached")
 
 
-def _covered(spans: DataFrame, segments: DataFrame) -> DataFrame:
-    """Phrase evidence of each utterance over all segments between its first and last source."""
-    crossing = Window.partitionBy("session_id").orderBy("segment_idx")
-    tokens = tx.tokens_ascii(F.col("text"))
-    pieces = segments.select(
-        "session_id", (F.col("segment_id") - 1).alias("segment_idx"), tokens.alias("spoken"),
-        F.col("text").alias("spoken_text"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"),
-    )
-    pieces = pieces.withColumn(
-        "pop_a",
-        (F.try_element_at("spoken", F.lit(-1)) == "pop")
-        & (F.lead(F.try_element_at("spoken", F.lit(1))).over(crossing) == "a"),
-    )
-    rows = spans.withColumn(
-        "segment_idx", F.explode(F.sequence(F.col("first_idx"), F.col("last_idx")))
-    ).join(pieces, ["session_id", "segment_idx"])
-    # the token lists become columns first, so that no lambda tokenizes the text again
-    said = tx.tokens_ascii(F.col("text"))
-    rows = rows.withColumns({
-        "said_tokens": F.size(said), "candidates": F.array_distinct(said),
+def _range_hits(spans: DataFrame, said: DataFrame, heard: DataFrame) -> DataFrame:
+    """(session_id, utterance_id, hits): how many spoken tokens of each utterance's range resemble one of its own.
+
+    ``said`` holds the spoken tokens that would count (``session_id, utterance_id, token``), ``heard`` the spoken
+    ones (``session_id, segment_idx, token``).  Every token has one line of counts per segment with the edges of
+    the ranges between; two running counts answer a range, however many segments it has.
+    """
+    counted = heard.groupBy("session_id", "token", "segment_idx").agg(F.count("*").alias("n"))
+    edges = said.join(spans.select("session_id", "utterance_id", "first_idx", "last_idx"), ["session_id", "utterance_id"]).select(
+        "session_id", "token", "utterance_id",
+        F.explode(F.array(
+            F.struct((F.col("first_idx") - 1).alias("segment_idx"), F.lit(-1).alias("sign")),
+            F.struct(F.col("last_idx").alias("segment_idx"), F.lit(1).alias("sign")),
+        )).alias("edge"),
+    ).select("session_id", "token", "utterance_id", "edge.segment_idx", "edge.sign", F.lit(0).cast("bigint").alias("n"))
+    line = edges.unionByName(counted, allowMissingColumns=True)
+    # counts of a segment come before the edges behind it
+    up_to = running(
+        line, ["session_id", "token"], row_block("segment_idx"),
+        ["segment_idx", F.col("sign").isNotNull(), "utterance_id", "sign"], sums={"before": F.col("n")},
+    )
+    return up_to.where("sign is not null").groupBy("session_id", "utterance_id").agg(
+        F.sum(F.col("before") * F.col("sign")).alias("hits")
+    )
+
+
+def _labels_in_range(spans: DataFrame, segments: DataFrame) -> DataFrame:
+    """(session_id, utterance_id) of the utterances whose label is heard within their range."""
+    tokens = segments.select(
+        "session_id", (F.col("segment_id") - 1).alias("segment_idx"), tx.tokens_ascii(F.col("text")).alias("t"),
+    ).where(F.size("t") > 0)
+    # "pop" at the end of one segment and "a" at the start of the next one that has tokens
+    lined = running(tokens, ["session_id"], row_block("segment_idx"), ["segment_idx"], lags={
+        "last_token": F.element_at("t", -1), "last_segment": F.col("segment_idx"),
     })
-    hits = F.size(F.filter("spoken", lambda t: has_similar(t, F.col("candidates"))))
-    label = F.col("marker_label")
-    seen = tx.label_seen(F.col("spoken_text"), label) | (
-        (label == "papa") & F.coalesce("pop_a", F.lit(False))
-        & (F.col("segment_idx") < F.col("last_idx"))
-    )
-    summed = rows.groupBy("session_id", "utterance_id").agg(
-        F.sum(hits).alias("hits"), F.sum(F.size("spoken")).alias("spoken_tokens"),
-        F.max("said_tokens").alias("said_tokens"), F.bool_or(seen).alias("label_found"),
-        F.min_by("s", "segment_idx").alias("source_start"),
-        F.max_by("e", "segment_idx").alias("source_end"),
+    crossing = lined.where((F.col("last_token") == "pop") & (F.element_at("t", 1) == "a")).select(
+        "session_id", "segment_idx", F.lit("pop a").alias("label")
+    )
+    wanted = spans.where("marker_label is not null").select(
+        "session_id", (F.col("utterance_id") * 2).alias("utterance_id"), F.col("marker_label").alias("label"),
+        F.col("first_idx").alias("from_idx"),
+    )
+    # a crossing counts only if both of its segments are in the range
+    split = spans.where("marker_label = 'papa'").select(
+        "session_id", (F.col("utterance_id") * 2 + 1).alias("utterance_id"), F.lit("pop a").alias("label"),
+        (F.col("first_idx") + 1).alias("from_idx"),
+    )
+    found = first_label_at_or_after(wanted.unionByName(split), spoken_labels(segments).unionByName(crossing))
+    found = found.withColumn("utterance_id", F.call_function("div", F.col("utterance_id"), F.lit(2).cast("bigint")))
+    return found.join(spans.select("session_id", "utterance_id", "last_idx"), ["session_id", "utterance_id"]).where(
+        F.col("marker_idx") <= F.col("last_idx")
+    ).select("session_id", "utterance_id").distinct()
+
+
+def _covered(spans: DataFrame, segments: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Phrase evidence of each utterance over all segments between its first and last source.
+
+    ``pairs`` holds the similar pairs (``session_id, left_token, right_token``) from spoken to cleaned tokens.
+    No utterance is spread over its segments: counts and edges of a range are looked up at its two ends.
+    """
+    spans = written(spans, "ranges")
+    at = ["session_id", "utterance_id"]
+    own = tx.tokens_ascii(F.col("text"))
+    said = spans.select(*at, F.explode(F.array_distinct(own)).alias("right_token")).join(
+        pairs, ["session_id", "right_token"]
+    ).select(*at, F.col("left_token").alias("token")).distinct()
+    heard = realtime_tokens(segments).select("session_id", (F.col("segment_id") - 1).alias("segment_idx"), "token")
+    counts = segments.select(
+        "session_id", (F.col("segment_id") - 1).alias("segment_idx"), "start_ms", "end_ms",
+        tx.token_count(F.col("text")).cast("bigint").alias("n"),
+    )
+    counts = written(running(
+        counts, ["session_id"], row_block("segment_idx"), ["segment_idx"], sums={"before": F.col("n")}
+    ), "counts")
+    first = counts.select("session_id", F.col("segment_idx").alias("first_idx"), F.col("before").alias("from_token"),
+                          F.col("start_ms").alias("source_start"))
+    last = counts.select("session_id", F.col("segment_idx").alias("last_idx"), (F.col("before") + F.col("n")).alias("to_token"),
+                         F.col("end_ms").alias("source_end"))
+    labelled = _labels_in_range(spans, segments).withColumn("label_found", F.lit(True))
+    rows = (
+        spans.select(*at, "first_idx", "last_idx", F.size(own).alias("said_tokens"))
+        .join(first, ["session_id", "first_idx"]).join(last, ["session_id", "last_idx"])
+        .join(_range_hits(spans, said, heard), at, "left").join(labelled, at, "left")
+        .withColumn("spoken_tokens", F.col("to_token") - F.col("from_token"))
     )
     phrase = (
         F.when((F.col("spoken_tokens") == 0) & (F.col("said_tokens") == 0), F.lit(1.0))
         .when((F.col("spoken_tokens") == 0) | (F.col("said_tokens") == 0), F.lit(0.0))
-        .otherwise(F.col("hits") / F.col("spoken_tokens"))
+        .otherwise(F.coalesce("hits", F.lit(0)) / F.col("spoken_tokens"))
     )
-    return summed.select(
-        "session_id", "utterance_id", "label_found", "source_start", "source_end",
+    return rows.select(
+        *at, F.coalesce("label_found", F.lit(False)).alias("label_found"), "source_start", "source_end",
         phrase.alias("phrase_confidence"),
     )
 
@@ -316,7 +414,13 @@ def align_utterances(
 ) -> DataFrame:
     """Final segments of sessions with two utterances or more."""
     segs = segments.join(fits, "session_id", "left_semi")
-    matched = token_alignment(segments, cleaned, fits)
+    text = cleaned.join(fits, "session_id", "left_semi")
+    alike = written(symmetric_pairs(cleaned_tokens(text), realtime_tokens(segs)), "alike")
+    listed = written(dictionary_pairs(cleaned_tokens(text), realtime_tokens(segs)), "listed")
+    matched = token_alignment(segments, cleaned, fits, alike.unionByName(listed.select(*alike.columns)).distinct())
+    # the dictionary is directed, so it is asked once more from the spoken side
+    spoken_pairs = alike.select("session_id", F.col("right_token").alias("left_token"), F.col("left_token").alias("right_token")).unionByName(
+        dictionary_pairs(realtime_tokens(segs), cleaned_tokens(text)))
     places = spans.where("token_end > token_start").select(
         "session_id", "utterance_id",
         F.explode(F.sequence(F.col("token_start"), F.col("token_end") - 1)).alias("cleaned_idx"),
@@ -336,7 +440,7 @@ def align_utterances(
     ).withColumns({
         "first_idx": F.least("lo", "marker_idx"), "last_idx": F.greatest("hi", "marker_idx"),
     }), "anchored")
-    evidence = _covered(anchored.where("first_idx is not null"), segs)
+    evidence = _covered(anchored.where("first_idx is not null"), segs, spoken_pairs)
     whole = segs.groupBy("session_id").agg(
         F.min_by("start_ms", "segment_id").alias("session_start"),
         F.max_by("end_ms", "segment_id").alias("session_end"),
@@ -375,81 +479,24 @@ def align_utterances(
 
 # --- proportional fallback ---
 
-def _takes(words: Column, segs: Column, n_segments: Column, total_words: Column) -> Column:
-    """How many words each of the first segments takes (fold over the segments that can get words)."""
-    n_words = F.size(words)
-    total = F.greatest(total_words, F.lit(1))
-
-    def step(state: Column, seg: Column) -> Column:
-        cursor = state["cursor"]
-        left = n_words - cursor
-        later = (n_segments - seg["segment_id"]).cast("int")
-        share = F.greatest(seg["words"], F.lit(1))
-        expected = F.greatest(
-            F.call_function("div", n_words * share + F.call_function("div", total, F.lit(2)), total),
-            F.lit(1),
-        ).cast("int")
-        most = F.greatest(F.least(left - later, expected * 2 + 8), F.lit(1))
-        options = F.transform(F.sequence(F.lit(1), most), lambda take: F.struct(
-            phrase_similarity(
-                seg["tokens"],
-                tx.tokens_ascii(F.array_join(F.slice(words, cursor + 1, take), " ")),
-            ).alias("similarity"),
-            (-F.abs(take - expected)).alias("closeness"),
-            (-take).alias("shortness"),
-        ))
-        take = (
-            F.when(left <= 0, F.lit(0)).when(later <= 0, left)
-            .when(left <= later, F.lit(1)).otherwise(-F.array_max(options)["shortness"])
-        ).cast("int")
-        return F.struct(
-            (cursor + take).cast("int").alias("cursor"),
-            F.concat(state["takes"], F.array(F.struct(
-                seg["segment_id"].alias("segment_id"), cursor.alias("at"), take.alias("take")
-            ))).alias("takes"),
-        )
-
-    start = F.struct(
-        F.lit(0).alias("cursor"),
-        F.array().cast("array<struct<segment_id:bigint,at:int,take:int>>").alias("takes"),
-    )
-    return F.aggregate(segs, start, step)
-
-
 def align_fallback(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) -> DataFrame:
     """Final segments of sessions whose cleaned text is at most one utterance.
 
-    Every segment takes at least one word until none is left, so with n words only the first n
-    segments can receive any; those are folded, all others get empty text without folding.
+    The words are dealt block by block (`operators.allocation`); segments behind the last word get
+    empty text.
     """
     t = F.col("text")
-    segs = segments.join(fits, "session_id", "left_semi").select(
+    segs = written(segments.join(fits, "session_id", "left_semi").select(
         "session_id", "segment_id", "start_ms", "end_ms", tx.tokens_ascii(t).alias("tokens"),
         tx.semantic_word_count(t).alias("words"),
-    )
-    totals = segs.groupBy("session_id").agg(
-        F.sum("words").alias("total_words"), F.count("*").alias("n_segments"),
-        F.max("end_ms").alias("last_end"),
-    )
-    text = cleaned.join(fits, "session_id", "left_semi").select(
+    ), "segments")
+    text = cleaned.join(segs, "session_id", "left_semi").select(
         "session_id", tx.split_words(F.col("cleaned_text")).alias("cleaned_words")
     )
-    counted = segs.join(text.select("session_id", F.size("cleaned_words").alias("n_words")), "session_id")
-    head = counted.where(F.col("segment_id") <= F.greatest("n_words", F.lit(1))).groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("segment_id", "tokens", "words"))).alias("head")
-    )
-    folded = text.join(head, "session_id").join(totals, "session_id").select(
-        "session_id", "cleaned_words", "n_segments", "last_end",
-        _takes(F.col("cleaned_words"), F.col("head"), F.col("n_segments"), F.col("total_words"))
-        .alias("fold"),
-    )
-    given = folded.select("session_id", "cleaned_words", F.explode("fold.takes").alias("t")).select(
-        "session_id", "t.segment_id",
-        F.array_join(F.slice("cleaned_words", F.col("t.at") + 1, F.col("t.take")), " ").alias("text"),
-    )
-    filled = segs.join(given, ["session_id", "segment_id"], "left").withColumn(
-        "text", F.coalesce("text", F.lit(""))
-    )
+    given, ends = allocate(segs, text)
+    filled = segs.join(text.select("session_id"), "session_id", "left_semi").join(
+        given, ["session_id", "segment_id"], "left"
+    ).withColumn("text", F.coalesce("text", F.lit("")))
     confidence = phrase_similarity(F.col("tokens"), tx.tokens_ascii(F.col("text")))
     floor = F.when(F.greatest("words", F.lit(1)) <= 3, 0.25).otherwise(0.35)
     placed = filled.withColumn("confidence", confidence).select(
@@ -457,10 +504,12 @@ def align_fallback(segments: DataFrame, cleaned: DataFrame, fits: DataFrame) ->
         F.array("segment_id").alias("source_segment_ids"),
         F.when(F.col("confidence") < floor, LOW_FALLBACK).alias("mismatch"),
     )
-    trailing = folded.where(F.col("fold.cursor") < F.size("cleaned_words")).select(
+    edges = segs.groupBy("session_id").agg(F.count("*").alias("n_segments"), F.max("end_ms").alias("last_end"))
+    rest = text.join(ends, "session_id").where(F.col("end") < F.size("cleaned_words")).join(edges, "session_id")
+    trailing = rest.select(
         "session_id", (F.col("n_segments") + 1).alias("id"), F.col("last_end").alias("start_ms"),
         F.col("last_end").alias("end_ms"),
-        F.array_join(F.slice("cleaned_words", F.col("fold.cursor") + 1, F.size("cleaned_words")), " ")
+        F.array_join(F.slice("cleaned_words", (F.col("end") + 1).cast("int"), F.size("cleaned_words")), " ")
         .alias("text"),
         F.lit(0.0).alias("confidence"), F.array("n_segments").alias("source_segment_ids"),
         F.lit(TRAILING).alias("mismatch"),

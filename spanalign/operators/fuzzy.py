@@ -70,30 +70,16 @@ def _right_pieces(tokens: DataFrame) -> DataFrame:
     return placed.drop("o", "at", "size")
 
 
-def similar_tokens(
-    left: DataFrame,
-    right: DataFrame,
-    pairs: Sequence[tuple[str, str]] = fixed.CANONICAL_PAIRS,
-    key: str = "session_id",
-) -> DataFrame:
-    """Distinct (key, left_token, right_token) that are equal, in the dictionary, or spelled alike.
+def _distinct(tokens: DataFrame, key: str, name: str) -> DataFrame:
+    return tokens.select(key, F.col("token").alias(name)).distinct()
 
-    ``left`` and ``right`` hold ``key, token``; the dictionary is directed from left to right.
-    """
-    spark = left.sparkSession
-    ls = left.select(key, F.col("token").alias("left_token")).distinct()
-    rs = right.select(key, F.col("token").alias("right_token")).distinct()
 
+def symmetric_pairs(left: DataFrame, right: DataFrame, key: str = "session_id") -> DataFrame:
+    """Distinct (key, left_token, right_token) that are equal or spelled alike, which holds in both directions."""
+    ls, rs = _distinct(left, key, "left_token"), _distinct(right, key, "right_token")
     equal = ls.join(
         rs, (ls[key] == rs[key]) & (F.col("left_token") == F.col("right_token")), "left_semi"
     ).select(key, "left_token", F.col("left_token").alias("right_token"))
-
-    # a dictionary of fixed, small size (the pairs given by the caller)
-    table = spark.createDataFrame(list(pairs), "left_token string, right_token string")
-    spoken = ls.join(table, "left_token").join(rs, [key, "right_token"]).select(
-        key, "left_token", "right_token"
-    )
-
     emitted = _left_pieces(ls.where(F.length("left_token") > LONG_TOKEN))
     probes = _right_pieces(rs.where(F.length("right_token") > LONG_TOKEN))
     spelled = (
@@ -104,4 +90,28 @@ def similar_tokens(
         )
         .select(key, "left_token", "right_token")
     )
-    return equal.unionByName(spoken.unionByName(spelled).distinct())
+    return equal.unionByName(spelled.distinct())
+
+
+def dictionary_pairs(
+    left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]] = fixed.CANONICAL_PAIRS, key: str = "session_id",
+) -> DataFrame:
+    """Distinct (key, left_token, right_token) of a dictionary that is directed from left to right."""
+    # a dictionary of fixed, small size (the pairs given by the caller)
+    table = left.sparkSession.createDataFrame(list(pairs), "left_token string, right_token string")
+    ls, rs = _distinct(left, key, "left_token"), _distinct(right, key, "right_token")
+    return ls.join(table, "left_token").join(rs, [key, "right_token"]).select(key, "left_token", "right_token").distinct()
+
+
+def similar_tokens(
+    left: DataFrame,
+    right: DataFrame,
+    pairs: Sequence[tuple[str, str]] = fixed.CANONICAL_PAIRS,
+    key: str = "session_id",
+) -> DataFrame:
+    """Distinct (key, left_token, right_token) that are equal, in the dictionary, or spelled alike.
+
+    ``left`` and ``right`` hold ``key, token``; the dictionary is directed from left to right.
+    """
+    alike, listed = symmetric_pairs(left, right, key), dictionary_pairs(left, right, pairs, key)
+    return alike.unionByName(listed.join(alike, [key, "left_token", "right_token"], "left_anti"))

@@ -26,7 +26,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     block: Column,
-    order: Sequence[str],
+    order: Sequence[str | Column],
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
@@ -40,7 +40,7 @@ def running(
     # one struct as the key: unlike plain columns, it joins rows whose key or block is NULL as well
     rows = df.withColumn("_group", F.struct(*keys, block.alias("_block")))
     by = ["_group"]
-    position = F.struct(*[F.col(c) for c in order])
+    position = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
 
     inside = Window.partitionBy(*by).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)

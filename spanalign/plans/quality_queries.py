@@ -46,12 +46,10 @@ def align_cleaned(spark, sf):
 
 
 def align_fallback(spark, sf):
-    """Proportional allocation of the words of each session's shortest segment over all its segments."""
+    """Proportional allocation of the cleaned words of each session over all its segments."""
     segs = src.shared_segments(spark, sf)
-    short = segs.groupBy("session_id").agg(
-        F.min_by("text", F.struct(F.octet_length("text"), "segment_id")).alias("cleaned_text"))
-    fits = short.select("session_id")
-    return al.align_fallback(segs, short, fits).select(
+    cleaned = written(cleaned_text(segs), "cleaned")
+    return al.align_fallback(segs, cleaned, cleaned.select("session_id")).select(
         "session_id", "id", "start_ms", "end_ms", "text", F.round("confidence", 6).alias("confidence"),
         "mismatch",
     )

@@ -1,10 +1,12 @@
+import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spanalign.functions import similarity
-from spanalign.operators import alignment as al
+from spanalign.operators import alignment as al, allocation, anchors
 from spanalign.operators.fuzzy import similar_tokens
 from spanalign.operators.utterances import utterances
 from tests import brute
@@ -137,6 +139,63 @@ def test_long_recording_is_matched():
     assert (found >= 0).all() and (np.diff(found) > 0).all() and (right[found] == left).all()
 
 
+def _session(rng, sid, n, vocabulary, per_segment=10):
+    """Segments of random words and a cleaned text without some of them and with some new ones."""
+    words = [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+    segs = [(sid, k + 1, 1000 * k, 1000 * k + 900, " ".join(words[per_segment * k:per_segment * (k + 1)])) for k in range(n // per_segment)]
+    cleaned, truth = [], []
+    for k, w in enumerate(words):
+        if k % 13 == 5:
+            cleaned.append(f"n{rng.randrange(vocabulary)}")
+        if k % 7 != 3:
+            truth.append((len(cleaned), k // per_segment))
+            cleaned.append(w)
+    return segs, (sid, " ".join(cleaned)), truth
+
+
+def test_stretches_between_anchors_give_the_match_of_the_whole(spark):
+    rng = random.Random(12)
+    parts = [_session(rng, sid, 10 * rng.randint(2, 40), 10 ** 6) for sid in range(12)]
+    segs = spark.createDataFrame([s for own, _, _ in parts for s in own] + [(99, 1, 0, 5, "one"), (98, 1, 0, 5, "été")], SEG)
+    text = spark.createDataFrame([c for _, c, _ in parts] + [(99, "nothing alike"), (98, "one")], "session_id bigint, cleaned_text string")
+    fits = text.select("session_id")
+    whole = sorted(map(tuple, al.token_alignment(segs, text, fits).collect()))
+    cut = sorted(map(tuple, al.token_alignment(segs, text, fits, most_cells=0, spacing=16).collect()))
+    assert cut == whole and len(whole) > 1000
+    assert sorted({r[0] for r in cut}) == list(range(12))
+
+
+def test_chain_passes_over_moved_anchors():
+    assert anchors.longest_chain([1, 2, 3, 4, 5, 6], [10, 900, 20, 30, 5, 40]) == [0, 2, 3, 5]
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randint(0, 9)
+        right = rng.sample(range(30), n)
+        best = max((c for size in range(n + 1) for c in itertools.combinations(range(n), size)
+                    if all(right[a] < right[b] for a, b in zip(c, c[1:]))), key=len)
+        found = anchors.longest_chain(list(range(n)), right)
+        assert len(found) == len(best) and all(right[a] < right[b] and a < b for a, b in zip(found, found[1:]))
+
+
+def test_a_session_of_200_000_words_is_aligned(spark):
+    rng = random.Random(13)
+    segs, text, truth = _session(rng, 1, 200_000, 9_999)
+    small, small_text, small_truth = _session(rng, 2, 200, 9_999)
+    frame = spark.createDataFrame(segs + small, SEG).repartition(8)
+    cleaned = spark.createDataFrame([text, small_text], "session_id bigint, cleaned_text string")
+    found = {(r.session_id, r.cleaned_idx): r.segment_idx for r in al.token_alignment(frame, cleaned, cleaned.select("session_id")).collect()}
+    right = sum(found.get((1, i)) == s for i, s in truth)
+    assert right > 0.999 * len(truth) and sum(found.get((2, i)) == s for i, s in small_truth) > 0.95 * len(small_truth)
+
+
+def test_evidence_of_ranges_that_all_reach_the_end(spark):
+    """Every marker is heard in the last segment only: ranges overlap, look-ups stay two a token."""
+    texts = [f"step {k} open window" for k in range(60)] + ["alpha bravo charlie delta echo pop", "a last word"]
+    cleaned = " ".join(f"{m} marker step {k} open." for k, m in enumerate(["alpha", "bravo", "charlie", "delta", "echo", "papa"]))
+    got, expected = run(spark, {1: (texts, cleaned)})
+    assert got == expected
+
+
 def test_fallback_serves_all_segments(spark):
     rng = random.Random(2)
     vocab = ["open", "save", "document", "window", "close", "x", "alpha", "settings"]
@@ -150,6 +209,35 @@ def test_fallback_serves_all_segments(spark):
     assert got == brute.fallback(segs, words) and len(words.split()) == 90
 
 
+@pytest.mark.parametrize("block,words", [(1, 2), (3, 5), (1024, 1024)])
+def test_blocks_of_the_allocation_chain_to_the_fold(spark, monkeypatch, block, words):
+    monkeypatch.setattr(allocation, "SEGMENTS", block)
+    monkeypatch.setattr(allocation, "WORDS", words)
+    rng = random.Random(31)
+    vocab = ["open", "save", "document", "documents", "window", "chat", "g", "p", "t", "x", "tinga", "tinka", "settings", "été", "a-b"]
+    segs, texts, want = [], [], {}
+    for sid in range(12):
+        own = [(k + 1, 1000 * k, 1000 * k + 900, " ".join(rng.choices(vocab, k=rng.randint(0, 6)))) for k in range(rng.randint(1, 25))]
+        said = [w for s in own for w in s[3].split() if rng.random() > 0.25] + rng.choices(["...", *vocab], k=rng.choice([0, 1, 40]))
+        segs += [(sid, *s) for s in own]
+        texts.append((sid, " ".join(said)))
+        want[sid] = brute.fallback(own, " ".join(said))
+    cleaned = spark.createDataFrame(texts, "session_id bigint, cleaned_text string")
+    found = {sid: [] for sid in want}
+    for r in al.align_fallback(spark.createDataFrame(segs, SEG), cleaned, cleaned.select("session_id")).orderBy("session_id", "id").collect():
+        found[r.session_id].append((r.id, r.start_ms, r.end_ms, r.text, round(r.confidence, 9), list(r.source_segment_ids), r.mismatch))
+    assert found == want
+
+
+def test_a_session_of_100_000_segments_gets_its_words(spark):
+    rng = random.Random(32)
+    segs = [(1, k + 1, 1000 * k, 1000 * k + 900, " ".join(f"w{rng.randrange(5000)}" for _ in range(6))) for k in range(100_000)]
+    cleaned = spark.createDataFrame([(1, " ".join(w for s in segs for w in s[4].split() if rng.random() > 0.1))], "session_id bigint, cleaned_text string")
+    rows = al.align_fallback(spark.createDataFrame(segs, SEG).repartition(8), cleaned, cleaned.select("session_id")).select("id", "text").collect()
+    rows = sorted(map(tuple, rows))
+    assert len(rows) == 100_000 and " ".join(t for _, t in rows if t) == cleaned.first().cleaned_text
+
+
 def test_utterance_offsets(spark):
     text = "Before words. Alpha marker: one two. bravo marker three"
     rows = utterances(spark.createDataFrame([(1, text)], "session_id bigint, cleaned_text string"))
