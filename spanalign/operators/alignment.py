@@ -304,7 +304,7 @@ def proportional_edge(start: Column, end: Column, at: Column, total: Column) ->
 def clamp_forward(rows: DataFrame, order: str) -> DataFrame:
     """Make (start_ms, end_ms) run forwards: no start before the end of any earlier row."""
     ordered = running(
-        rows, ["session_id"], row_block(order), [order],
+        rows, ["session_id"], None, [order],
         maxes={"reached": F.greatest("start_ms", "end_ms")},
     )
     start = F.greatest("start_ms", F.coalesce("reached", F.lit(0)))
@@ -464,7 +464,7 @@ def align_utterances(
         "end_ms": F.when(has_source, F.col("source_end")).otherwise(F.greatest(edge[1], edge[0])),
         "confidence": confidence,
     })
-    clamped = clamp_forward(written(placed, "placed"), "utterance_id")
+    clamped = clamp_forward(placed, "utterance_id")
     ids = F.when(
         has_source, F.sequence(F.col("first_idx") + 1, F.col("last_idx") + 1)
     ).otherwise(F.array().cast("array<bigint>"))

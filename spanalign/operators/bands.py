@@ -4,7 +4,9 @@ Two different questions get two different plans.
 
 *Which pairs are within W milliseconds?* (:func:`band_pairs`) is an equi join on a time bucket: the
 right side is looked up in its own bucket and both neighbours, so every pair meets exactly once.
-Buckets with very many right rows are salted, so no single bucket decides the run time.
+Buckets with very many rows are cut into a grid: their left and their right rows are dealt to salts whose
+numbers follow from both counts, and every pair of salts is a cell of its own, so no single bucket decides
+the run time whichever side is large.
 
 *Is there anything within W, and how close?* (:func:`nearest_points`) needs no pairs at all: equal
 instants are first merged by a partial aggregate and the rest is a running maximum and minimum over
@@ -41,33 +43,29 @@ def band_pairs(
     Left and right must not share column names other than ``key``.
     """
     width = max(window_ms, 1)
-    points = right.where(F.col(right_ms).isNotNull()).withColumn(
-        "_bucket", _bucket(F.col(right_ms), width)
-    )
-    # Size of each bucket, counted with a map-side combine; only the hot ones are kept.
-    hot = (
-        points.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(key, "_bucket", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    spread = points.join(hot, [key, "_bucket"], "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*right.columns), salts).cast("int")
-    ).drop("_salts")
+    at = [key, "_bucket"]
+    points = right.where(F.col(right_ms).isNotNull()).withColumn("_bucket", _bucket(F.col(right_ms), width))
     home = _bucket(F.col(left_ms), width)
-    probes = (
-        left.where(F.col(left_ms).isNotNull())
-        .withColumn("_bucket", F.explode(F.array(home - 1, home, home + 1)))
-        .join(hot, [key, "_bucket"], "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
+    probes = left.where(F.col(left_ms).isNotNull()).withColumn("_bucket", F.explode(F.array(home - 1, home, home + 1)))
+    # Sizes of the buckets, counted with a map-side combine; only the hot ones are kept.
+    sizes = probes.groupBy(*at).agg(F.count("*").alias("_nl")).join(points.groupBy(*at).agg(F.count("*").alias("_nr")), at)
+    salts = lambda n: F.ceil(F.col(n) / hot_rows).cast("int")
+    hot = sizes.where(F.greatest("_nl", "_nr") > hot_rows).select(*at, salts("_nl").alias("_ls"), salts("_nr").alias("_rs"))
+
+    def celled(rows: DataFrame, columns: Sequence[str], own: str, own_salts: str, other: str, other_salts: str) -> DataFrame:
+        """A row has one salt of its own side and goes to every salt of the other side."""
+        spread = F.pmod(F.xxhash64(*columns), F.coalesce(F.col(own_salts), F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_salts), F.lit(1)) - 1))
+        return rows.join(hot, at, "left").withColumn(own, spread).withColumn(other, every).drop("_ls", "_rs")
+
+    probes = celled(probes, left.columns, "_l", "_ls", "_r", "_rs")
+    points = celled(points, right.columns, "_r", "_rs", "_l", "_ls")
     delta = F.col(right_ms) - F.col(left_ms)
     return (
-        probes.join(spread, [key, "_bucket", "_salt"])
+        probes.join(points, [*at, "_l", "_r"])
         .where(F.abs(delta) <= window_ms)
         .withColumn("delta_ms", delta)
-        .drop("_bucket", "_salt")
+        .drop("_bucket", "_l", "_r")
     )
 
 

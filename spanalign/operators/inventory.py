@@ -296,7 +296,7 @@ def external_artifact(provided: Column, exists: Column, size: Column) -> dict[st
 def audio_chunk_spans(chunks: DataFrame) -> DataFrame:
     """Byte and sample spans of consecutive audio chunks (session_id, idx, bytes, ...)."""
     placed = running(
-        chunks, ["session_id"], row_block("idx"), ["idx"], sums={"byte_start": F.col("bytes")}
+        chunks, ["session_id"], None, ["idx"], sums={"byte_start": F.col("bytes")}
     )
     end = F.col("byte_start") + F.col("bytes")
     half = lambda c: F.call_function("div", c, F.lit(fixed.BYTES_PER_SAMPLE))

@@ -4,6 +4,10 @@ A plain window over ``session_id`` sorts one session in one task, which stops wo
 session holds a large share of the rows.  Here a group is split into ordered blocks: windows run
 inside a block, block totals (one row per block) are carried forward, and both are joined.  The
 rows are shuffled once, on ``keys + block``; the carried side is small.
+
+Blocks follow from the order column where it is a row number or an instant.  Where its values may lie anywhere
+(ids spread over a wide range), :func:`ranged` cuts at range-partition bounds, which Spark samples from the rows:
+blocks hold about equally many rows, and a group never has more of them than there are partitions.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanalign.session import written
+
 BLOCK_ROWS = 4096
 BLOCK_MS = 3_600_000
 
@@ -22,10 +28,19 @@ def row_block(seq: str | Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(col / rows).cast("bigint")
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_ranked``, the number of the range of (keys, order) that holds the row.
+
+    The rows are written, as bounds that were sampled twice need not be the same.
+    """
+    parts = df.repartitionByRange(*keys, *order).withColumn("_ranked", F.spark_partition_id().cast("bigint"))
+    return written(parts, "ranged")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    block: Column | None,
     order: Sequence[str | Column],
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
@@ -33,10 +48,13 @@ def running(
 ) -> DataFrame:
     """Add columns that look at the rows *before* each row of its group.
 
-    ``block`` must not decrease along ``order``.  ``sums`` start at 0; ``maxes`` and ``lags`` are
+    ``block`` must not decrease along ``order``; without one the blocks are ranges of rows.  ``sums`` start at 0; ``maxes`` and ``lags`` are
     NULL on the first row.  NULL keys are a group of their own, NULL orders come first.
     """
     sums, maxes, lags = dict(sums or {}), dict(maxes or {}), dict(lags or {})
+    own = df.columns
+    if block is None:
+        df, block = ranged(df, keys, order), F.col("_ranked")
     # one struct as the key: unlike plain columns, it joins rows whose key or block is NULL as well
     rows = df.withColumn("_group", F.struct(*keys, block.alias("_block")))
     by = ["_group"]
@@ -71,4 +89,4 @@ def running(
     done = {n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in sums}
     done |= {n: F.greatest(f"_l_{n}", f"_c_{n}") for n in maxes}
     done |= {n: F.when(F.col("_first"), F.col(f"_c_{n}")).otherwise(F.col(f"_l_{n}")) for n in lags}
-    return joined.select(*df.columns, *[c.alias(n) for n, c in done.items()])
+    return joined.select(*own, *[c.alias(n) for n, c in done.items()])

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from spanalign import fixed
 from spanalign.functions import instants, text as tx
 from spanalign.operators.delay import capture_stats
-from spanalign.operators.prefix import row_block, running
+from spanalign.operators.prefix import running
 from spanalign.session import scratch_path
 
 DELTA_TYPE = "conversation.item.input_audio_transcription.delta"
@@ -101,7 +101,7 @@ def quota_breaches(
 ) -> DataFrame:
     """First row per session that breaks a message, event or byte limit (batch)."""
     summed = running(
-        rows.select("session_id", "seq", "bytes"), ["session_id"], row_block("seq"), ["seq"],
+        rows.select("session_id", "seq", "bytes"), ["session_id"], None, ["seq"],
         sums={"events": F.lit(1), "total": F.col("bytes")},
     )
     reason = quota_reason(
