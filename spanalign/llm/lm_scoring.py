@@ -1,12 +1,12 @@
 """LM scoring: stupid-backoff scores from n-gram count tables of the whole corpus.
 
-Words are lower-cased (``A-Z``).  The tables hold every single word and all longer n-grams up to ``ORDER`` that
-occur at least ``LEAST_COUNT`` times.  A word scores ``count(n-gram) / count(context)`` for the longest
+Words are lower-cased (``A-Z``).  The tables hold every n-gram of 1 to ``ORDER`` words (a caller may leave out
+longer ones that occur fewer than ``least_count`` times).  A word scores ``count(n-gram) / count(context)`` for the longest
 n-gram in the tables that ends with it, times ``BACKOFF`` per shortening; a single word scores its share of
 all words.  A document's score is the sum of the logarithms.
 
-The tables of longer n-grams are counted after those of shorter ones: an n-gram can only occur often enough
-if both shorter n-grams in it do, so only such ones are sent.
+The tables of longer n-grams are counted after those of shorter ones: with a least count an n-gram can only
+occur often enough if both shorter n-grams in it do, and only such ones are sent.
 
 Shape on a cluster: this is an aggregate and a join on the hash of n-grams, with the rows of a block of
 documents packed.  Documents are dealt by a hash to blocks of about ``BLOCK_CHARS`` characters.  A block
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanalign.llm import kernels as K
 
-ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
+ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 1
 BLOCK_CHARS, PART_CHARS = 12 << 20, 16 << 20
 SPARE_BITS, COUNT_BYTES = 28, 6
 

@@ -31,7 +31,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without sentences in repeated runs of three sentences."""
+    """All documents without sentences in repeated runs of sentences."""
     found = substrings.substring_dedup(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", F.size("removed").alias("n_removed"), "removed", "text")
 
@@ -83,12 +83,6 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
-def op9_lm_scoring_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with every n-gram of the documents in the model, those that occur once too."""
-    found = lm.lm_scores(_read(spark, sf_dir, "documents"), least_count=1)
-    return found.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
-
-
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without bytes of 100-byte strings that start earlier."""
     found = suffixes.suffix_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -122,7 +116,6 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_lm_scoring": op9_lm_scoring,
-    "op9_lm_scoring_all_counts": op9_lm_scoring_all_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_centroid_clustering": op12_centroid_clustering,
@@ -139,32 +132,6 @@ WITH t AS (
 ), y AS (
   SELECT *, lag(w, 1) OVER p AS p1, lag(w, 2) OVER p AS p2 FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)
 ), c1 AS (SELECT w, count(*)::DOUBLE AS n FROM y GROUP BY w),
-c2 AS (SELECT p1, w, count(*)::DOUBLE AS n FROM y WHERE p1 IS NOT NULL GROUP BY p1, w HAVING count(*) >= 2),
-c3 AS (SELECT p2, p1, w, count(*)::DOUBLE AS n FROM y WHERE p2 IS NOT NULL GROUP BY p2, p1, w HAVING count(*) >= 2),
-s AS (
-  SELECT y.doc_id, sum(CASE
-    WHEN c3.n IS NOT NULL THEN ln(c3.n / ctx.n)
-    WHEN c2.n IS NOT NULL THEN ln(c2.n / before.n) + CASE WHEN y.i > 2 THEN ln(0.4) ELSE 0 END
-    ELSE ln(c1.n / (SELECT count(*) FROM y)) + least(y.i - 1, 2) * ln(0.4) END) AS score
-  FROM y JOIN c1 ON c1.w = y.w LEFT JOIN c1 AS before ON before.w = y.p1
-  LEFT JOIN c2 ON c2.p1 = y.p1 AND c2.w = y.w LEFT JOIN c2 AS ctx ON ctx.p1 = y.p2 AND ctx.w = y.p1
-  LEFT JOIN c3 ON c3.p2 = y.p2 AND c3.p1 = y.p1 AND c3.w = y.w
-  GROUP BY y.doc_id
-)
-SELECT t.doc_id, len(t.ws)::BIGINT AS n_words, round(coalesce(s.score, 0), 6) AS score,
-       round(s.score / nullif(len(t.ws), 0), 6) AS mean_score
-FROM t LEFT JOIN s ON s.doc_id = t.doc_id
-"""
-
-_LM_ALL_COUNTS = """
-WITH t AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
-), x AS (
-  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t
-), y AS (
-  SELECT *, lag(w, 1) OVER p AS p1, lag(w, 2) OVER p AS p2 FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)
-), c1 AS (SELECT w, count(*)::DOUBLE AS n FROM y GROUP BY w),
 c2 AS (SELECT p1, w, count(*)::DOUBLE AS n FROM y WHERE p1 IS NOT NULL GROUP BY p1, w),
 c3 AS (SELECT p2, p1, w, count(*)::DOUBLE AS n FROM y WHERE p2 IS NOT NULL GROUP BY p2, p1, w),
 s AS (
@@ -235,6 +202,5 @@ FROM n{rounds} JOIN h USING (cluster)
 SQL: dict[str, str] = {
     "op3_ngram_jaccard": _GROUPS,
     "op9_lm_scoring": _LM,
-    "op9_lm_scoring_all_counts": _LM_ALL_COUNTS,
     "op12_centroid_clustering": _clusters(),
 }
