@@ -42,13 +42,13 @@ def test_missing_input_is_empty(spark, tmp_path):
 
 
 def test_ui_events(spark, tmp_path):
-    rows = line(id=1, kind="click", timestamp="2026-06-20T01:32:03.456789Z", app={"name": "App"},
+    rows = line(id=1, kind="click", timestamp="2031-05-17T06:07:08.912345Z", app={"name": "App"},
                 window={"title": "see /home/me/x.md"}, selection={"selectedText": "mail a@b.co"})
     rows += line(timestamp="bad-date", window={"title": ""}, selection={"target": {"value": "v" * 260}})
     rows += line(ax={"mode": "AXButton"})
     put(tmp_path, "s1", "events.jsonl", rows)
     a, b, c = rd.read_ui_events(spark, str(tmp_path)).orderBy("seq").collect()
-    assert (a.event_id, a.unix_ms, a.ts_status) == (1, 1781919123456, "valid")
+    assert (a.event_id, a.unix_ms, a.ts_status) == (1, 1936764428912, "valid")
     assert (a.window, a.ui_hint) == ("see \\[REDACTED\\_PATH\\]", "mail \\[REDACTED\\_EMAIL\\]")
     assert (b.kind, b.ts_raw, b.ts_status, b.window) == ("unknown", None, "invalid", None)
     assert b.ui_hint == "v" * 240 + "..."
