@@ -200,3 +200,22 @@ MESSAGES = {
     "events-path-missing": "recording events path is required for live capture proof",
     "events-path-empty": "recording events path must exist as a non-empty file",
 }
+
+# Labels and reasons of alignment, cleanup check and latency comparison.
+NO_SOURCE = "no-token-alignment-for-cleaned-utterance"
+LOW_SIMILARITY = "low-cleaned-utterance-token-similarity"
+MARKER_UNSEEN = "optional-marker-anchor-not-found-low-confidence-window"
+LOW_FALLBACK = "low-token-similarity"
+TRAILING = "cleaned-trailing-words-without-realtime-window"
+VERIFIED = "verified-conservative-transform"
+UNTRUSTED = "untrusted-model-output"
+PRESERVED = "token order and semantic content preserved"
+EMPTY = "empty transcript or cleanup output"
+TOO_LONG = "cleanup validation token bound exceeded"
+CHANGED = "cleanup output added, removed, reordered, or materially changed words"
+INCOMPLETE = "required comparison metrics are missing"
+IMPROVED = (
+    "candidate latency improved without worse machine alignment metrics; "
+    "transcript/action usefulness review is still required"
+)
+NOT_IMPROVED = "candidate did not improve latency while preserving machine alignment metrics"

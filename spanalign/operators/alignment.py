@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanalign import fixed
+from spanalign.fixed import LOW_FALLBACK, LOW_SIMILARITY, MARKER_UNSEEN, NO_SOURCE, TRAILING
 from spanalign.functions import checks, sensitive, text as tx
 from spanalign.functions.similarity import phrase_similarity
 from spanalign.operators import anchors
@@ -24,11 +25,6 @@ from spanalign.operators.prefix import row_block, running
 from spanalign.operators.utterances import utterances
 from spanalign.session import written
 
-NO_SOURCE = "no-token-alignment-for-cleaned-utterance"
-LOW_SIMILARITY = "low-cleaned-utterance-token-similarity"
-MARKER_UNSEEN = "optional-marker-anchor-not-found-low-confidence-window"
-LOW_FALLBACK = "low-token-similarity"
-TRAILING = "cleaned-trailing-words-without-realtime-window"
 FINAL_SCHEMA = (
     "session_id", "id", "start_ms", "end_ms", "text", "confidence", "source_segment_ids", "mismatch",
 )
@@ -416,8 +412,8 @@ def align_utterances(
     segs = segments.join(fits, "session_id", "left_semi")
     text = cleaned.join(fits, "session_id", "left_semi")
     alike = written(symmetric_pairs(cleaned_tokens(text), realtime_tokens(segs)), "alike")
-    listed = written(dictionary_pairs(cleaned_tokens(text), realtime_tokens(segs)), "listed")
-    matched = token_alignment(segments, cleaned, fits, alike.unionByName(listed.select(*alike.columns)).distinct())
+    listed = dictionary_pairs(cleaned_tokens(text), realtime_tokens(segs))
+    matched = token_alignment(segments, cleaned, fits, alike.unionByName(listed).distinct())
     # the dictionary is directed, so it is asked once more from the spoken side
     spoken_pairs = alike.select("session_id", F.col("right_token").alias("left_token"), F.col("left_token").alias("right_token")).unionByName(
         dictionary_pairs(realtime_tokens(segs), cleaned_tokens(text)))

@@ -9,14 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spanalign import fixed
+from spanalign.fixed import CHANGED, EMPTY, PRESERVED, TOO_LONG, UNTRUSTED, VERIFIED
 from spanalign.functions import text as tx
 
-VERIFIED = "verified-conservative-transform"
-UNTRUSTED = "untrusted-model-output"
-PRESERVED = "token order and semantic content preserved"
-EMPTY = "empty transcript or cleanup output"
-TOO_LONG = "cleanup validation token bound exceeded"
-CHANGED = "cleanup output added, removed, reordered, or materially changed words"
 GROUP = 4
 #: Positions kept as a set.
 FEW = 16

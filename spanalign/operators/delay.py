@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from spanalign.fixed import IMPROVED, INCOMPLETE, NOT_IMPROVED
 from spanalign.functions import instants
 from spanalign.operators.scoring import marker_recall
 
@@ -11,12 +12,6 @@ REQUIRED = ("mismatches", "utterances", "first_delta_ms", "first_completed_ms")
 METRICS = (
     "first_audio_ms", "first_delta_ms", "first_completed_ms", "utterances", "mismatches", "recall",
 )
-INCOMPLETE = "required comparison metrics are missing"
-IMPROVED = (
-    "candidate latency improved without worse machine alignment metrics; "
-    "transcript/action usefulness review is still required"
-)
-NOT_IMPROVED = "candidate did not improve latency while preserving machine alignment metrics"
 _LOWEST = -(2**63)
 
 

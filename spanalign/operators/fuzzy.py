@@ -99,7 +99,9 @@ def dictionary_pairs(
     """Distinct (key, left_token, right_token) of a dictionary that is directed from left to right."""
     # a dictionary of fixed, small size (the pairs given by the caller)
     table = left.sparkSession.createDataFrame(list(pairs), "left_token string, right_token string")
-    ls, rs = _distinct(left, key, "left_token"), _distinct(right, key, "right_token")
+    # few tokens are in the dictionary at all, so the others go before they are made distinct
+    ls = _distinct(left.where(F.col("token").isin(*{a for a, _ in pairs})), key, "left_token")
+    rs = _distinct(right.where(F.col("token").isin(*{b for _, b in pairs})), key, "right_token")
     return ls.join(table, "left_token").join(rs, [key, "right_token"]).select(key, "left_token", "right_token").distinct()
 
 
