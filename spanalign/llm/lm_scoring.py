@@ -14,7 +14,7 @@ sends its distinct n-grams with their counts to the partitions of the count tabl
 partition with the sorted hashes in a binary column; a partition adds them up and answers with the global
 counts in the same order (mostly zeros, which compress to little); block and answers meet in a cogroup and
 scores are summed per document.  The number of blocks and of partitions follows the input, so each task
-holds about as much at every size.  Texts are shuffled once, n-grams once; a frequent n-gram comes once per
+holds about as much at every size.  Texts are shuffled once, compressed, n-grams once; a frequent n-gram comes once per
 block.  Packing is what keeps the shuffle at the size of the hashes, where a row per n-gram would take four
 times as much.
 
@@ -39,6 +39,8 @@ from spanalign.llm import kernels as K
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 1
 BLOCK_CHARS, PART_CHARS = 12 << 20, 16 << 20
 SPARE_BITS, COUNT_BYTES = 28, 6
+#: Texts travel compressed, as many bytes of them at a time as this.
+HELD_BYTES = 32 << 20
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:
@@ -54,12 +56,59 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
+def _packed_steps(values: np.ndarray, width: int) -> bytes:
+    """Ascending numbers as their steps: most steps need few bytes, and those of equal weight compress well."""
+    raw = _packed(np.diff(values, prepend=np.uint64(0)), width)
+    return len(raw).to_bytes(8, "little") + _codec().compress(raw, asbytes=True)
+
+
+def _unpacked_steps(raw: bytes, width: int) -> np.ndarray:
+    return np.cumsum(_unpacked(_codec().decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True), width), dtype=np.uint64)
+
+
+def _packs(blocks_of_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``doc_id, text, block`` as one row per block of what a task holds at a time: ids, sizes, packed texts."""
+    held, size, codec = [], 0, _codec()
+
+    def flush() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("block")
+        block, ids = table.column("block").to_numpy(), table.column("doc_id").combine_chunks()
+        data, offsets = K.texts(table.column("text").combine_chunks().cast(pa.large_string()))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).tolist()
+        rows = [{"block": int(block[a]), "doc_ids": ids[a:b].to_pylist(), "sizes": np.diff(offsets[a:b + 1]),
+                 "packed": codec.compress(data[offsets[a]:offsets[b]].tobytes(), asbytes=True)} for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+                                                           ("sizes", pa.list_(pa.int64())), ("packed", pa.binary())]))
+
+    for batch in blocks_of_rows:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > HELD_BYTES:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _ids(table: pa.Table) -> pa.Array:
+    """Ids of a block's documents, in the order of ``_grams``."""
+    return pa.chunked_array([c.flatten() for c in table.column("doc_ids").chunks], pa.int64())
+
+
 def _grams(table: pa.Table, order: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes (``width`` bytes) of the n-grams of 1 to ``order`` words that start at each word of the block
     (windows that cross texts included), and the bounds of texts in words."""
-    kept, hashes, bounds, n = K.Powers(), [], [np.zeros(1, np.int64)], 0
-    for chunk in table.column("text").chunks:
-        for _, data, offsets in K.slices(chunk):
+    kept, codec, hashes, bounds, n = K.Powers(), _codec(), [], [np.zeros(1, np.int64)], 0
+    for sizes, packed in zip(table.column("sizes"), table.column("packed")):
+        offsets = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])
+        data = codec.decompress(packed.as_py(), int(offsets[-1]), asbytes=True)
+        texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        for _, data, offsets in K.slices(texts):
             own = K.words(data, offsets, kept)
             hashes.append(own[2])
             bounds.append(own[3][1:] + n)
@@ -118,7 +167,7 @@ def lm_scores(documents: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     edges = np.array([-(-(k << 8 * width) // parts) for k in range(1, parts)], np.uint64)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                             F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long").alias("block"))
-    by_block = rows.groupBy("block")
+    by_block = rows.mapInArrow(_packs, "block long, doc_ids array<long>, sizes array<long>, packed binary").groupBy("block")
 
     def sent(block: int, sized: list[tuple]) -> pa.Table:
         """A row per size and partition of the tables."""
@@ -127,7 +176,7 @@ def lm_scores(documents: DataFrame, order: int = ORDER, backoff: float = BACKOFF
             cuts = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
             for part in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[part], cuts[part + 1]
-                for x, value in zip(out, (part, k, block, _packed(values[a:b], width), _packed(counts[a:b], COUNT_BYTES))):
+                for x, value in zip(out, (part, k, block, _packed_steps(values[a:b], width), _packed(counts[a:b], COUNT_BYTES))):
                     x.append(value)
         kinds = {"part": pa.int64(), "size": pa.int32(), "block": pa.int64(), "grams": pa.binary(), "counts": pa.binary()}
         return pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), out)})
@@ -143,7 +192,7 @@ def lm_scores(documents: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         return ask_longer
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        grams = [_unpacked(x.as_py(), width) for x in table.column("grams")]
+        grams = [_unpacked_steps(x.as_py(), width) for x in table.column("grams")]
         counts = np.concatenate([_unpacked(x.as_py(), COUNT_BYTES) for x in table.column("counts")])
         values, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         summed = np.bincount(inverse, counts, len(values))
@@ -168,7 +217,7 @@ def lm_scores(documents: DataFrame, order: int = ORDER, backoff: float = BACKOFF
             logs[hit] = np.log(counts[k - 1][hit]) - np.log(context) + (longest[hit] - k) * math.log(backoff)
             open_[hit] = False
             alone = hit  # at last: words that score by their share of all words
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": np.diff(bounds), "logs": np.bincount(text, logs, len(bounds) - 1).astype(float),
+        return pa.table({"doc_id": _ids(table), "n_words": np.diff(bounds), "logs": np.bincount(text, logs, len(bounds) - 1).astype(float),
                          "alone": np.bincount(text[alone], minlength=len(bounds) - 1)})
 
     packed, told = "part long, size int, block long, grams binary, counts binary", "block long, size int, part long, known binary"
