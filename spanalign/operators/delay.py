@@ -120,3 +120,29 @@ def capture_stats(stream: DataFrame) -> DataFrame:
     )
 
 
+
+
+#: Events that close a capture, and those that tell what became of its last bytes, the latest first.
+CLOSING = ("not-needed", "send-failed", "awaiting-acknowledgement")
+OUTCOMES = ("unacknowledged", "acknowledged", "not-needed", "send-failed", "awaiting-acknowledgement")
+
+
+def capture_totals(stats: DataFrame, commits: DataFrame) -> DataFrame:
+    """`capture_stats` with the number of commits, the bytes pending at the end and the final status.
+
+    ``commits``: events of `streaming.live.live_commits`.  A capture that has not closed is ``open`` and
+    has all bytes pending that no commit sent.
+    """
+    event, size = F.col("event"), F.col("bytes")
+    told = commits.groupBy("session_id").agg(
+        F.count_if(event == "commit").alias("audio_commits"),
+        F.sum(F.when(event == "commit", size)).alias("sent"),
+        F.max(F.when(event.isin(*CLOSING), size)).alias("pending"),
+        *[F.max(F.when(event == name, name)).alias(f"e_{i}") for i, name in enumerate(OUTCOMES)],
+    )
+    zero = F.lit(0).cast("bigint")
+    return stats.join(told, "session_id", "left").select(
+        *stats.columns, F.coalesce("audio_commits", zero).alias("audio_commits"),
+        F.coalesce("pending", F.col("audio_bytes") - F.coalesce("sent", zero)).alias("pending_bytes"),
+        F.coalesce(*[F.col(f"e_{i}") for i in range(len(OUTCOMES))], F.lit("open")).alias("final_commit"),
+    )

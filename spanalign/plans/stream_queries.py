@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanalign import fixed
-from spanalign.operators import segments as sg, timeline as tl
-from spanalign.plans.sql import query
-from spanalign.session import scratch_path
+from spanalign.operators import delay as dl, segments as sg, timeline as tl
+from spanalign.plans.sql import CTES, query
+from spanalign.session import scratch_path, written
 from spanalign.sources import tables as src
 from spanalign.streaming import live
 
@@ -78,7 +78,8 @@ def quota_breaches(spark, sf):
 def live_quota(spark, sf):
     schema = src.table(spark, sf, "conversations").schema
     stream = _turn_bytes(live.stream_table(spark, sf, "conversations", schema))
-    return live.run_appended(live.live_quota(stream, MAX_MESSAGE, MAX_EVENTS, 2_500, first_seq=0), "quota")
+    found = live.run_appended(live.live_quota(stream, MAX_MESSAGE, MAX_EVENTS, 2_500, first_seq=0), "quota")
+    return found.where("fault is null").select("session_id", "seq", "reason")
 
 
 def event_quota(spark, sf):
@@ -87,71 +88,124 @@ def event_quota(spark, sf):
     return live.quota_breaches(rows, 4_990, MAX_EVENTS, 200_000)
 
 
-def live_segments(spark, sf):
-    """Transcript rows as a stream, closed by one stop row per session."""
+def _closed_transcript(spark, sf):
+    """Transcript rows, closed by one stop row per session."""
     rows = src.transcript_events(spark, sf)
     stops = rows.groupBy("session_id").agg((F.max("seq") + 1).alias("seq")).select(
         "session_id", "seq", F.lit("stop").alias("kind"),
         F.lit(None).cast("bigint").alias("audio_offset_ms"),
         F.lit(None).cast("bigint").alias("monotonic_offset_ms"), F.lit("").alias("text"))
+    return rows.unionByName(stops)
+
+
+_SEGMENT = ("session_id", "segment_id", "start_ms", "end_ms", "monotonic_offset_ms", "timing_source", "text")
+
+
+def live_segments(spark, sf):
+    """Transcript rows as a stream that loses nothing."""
+    rows = _closed_transcript(spark, sf)
     path = scratch_path(spark, "transcript")
-    rows.unionByName(stops).write.parquet(path)
+    rows.write.parquet(path)
     stream = live.stream_folder(spark, path, rows.schema)
-    return live.run_appended(live.live_segments(stream, first_seq=0), "live-segments")
+    return live.run_appended(live.live_segments(stream, first_seq=0), "live-segments").where(
+        "fault is null").select(*_SEGMENT)
 
 
-#: Longer than the events of the test tables are spread; the last row of all comes later still.
-WATERMARK_DAYS = 400
+#: Streams of the queries below come in this many steps of time; rows may be late by the watermark.
+STEPS = 6
+WATERMARK = "10 minutes"
 
 
-def live_commits(spark, sf):
-    """User events as capture rows; the last event of a session is its stop.
+def _steps(spark, name, time, *tables):
+    """Each table as a stream of files, one per step of time and read one per micro-batch.
 
-    A closing row of no session pushes the watermark over all others, as a heartbeat does.
+    A last row of no session (all other columns NULL or -1), beyond all times, is the heartbeat that
+    pushes the watermark over the rows before it.
+    """
+    held = [written(t, f"{name}-rows") for t in tables]
+    times = held[0].select(time)
+    for t in held[1:]:
+        times = times.unionByName(t.select(time))
+    cuts = sorted(set(times.where(f"{time} is not null").approxQuantile(time, [k / STEPS for k in range(1, STEPS)], 0.01)))
+    last = times.agg(F.max(time)).first()[0] or 0
+    streams = []
+    for t in held:
+        path = scratch_path(spark, name)
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            inside = F.lit(True) if low is None else F.col(time) >= low
+            if high is not None:
+                inside = inside & (F.col(time) < high)
+            t.where(inside).coalesce(1).write.mode("append").parquet(path)
+        beat = t.limit(1).select(*[
+            F.lit(last + 2 * live.IDLE_MS).alias(c) if c == time else F.lit(-1).cast("bigint").alias(c) if c == "session_id"
+            else F.lit(None).cast(kind).alias(c) for c, kind in t.dtypes])
+        beat.coalesce(1).write.mode("append").parquet(path)
+        streams.append(live.stream_folder(spark, path, t.schema, files_per_trigger=1))
+    return streams
+
+
+def live_losses(spark, sf):
+    """Segments of a transcript stream that loses some rows and repeats others, and what it lost.
+
+    A row has the time of its number, one second each; lost and repeated rows follow from session and number.
     """
+    rows = _closed_transcript(spark, sf).withColumn("at_ms", 1_700_000_000_000 + 1000 * F.col("seq"))
+    fate = F.when(F.col("kind") != "stop", F.expr("(session_id * 31 + seq * 17) % 20"))
+    copies = F.when(fate == 0, 0).when(fate == 1, 2).otherwise(1)
+    come = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies > 0).drop("copy")
+    stream, = _steps(spark, "lossy", "at_ms", come)
+    found = live.run_appended(live.live_segments(stream, first_seq=0, time="at_ms", watermark=WATERMARK), "losses")
+    return found.where("session_id >= 0").select(*_SEGMENT, "fault", "fault_from", "fault_to")
+
+
+def _commit_rows(spark, sf):
+    """User events as capture rows; the last event of a session is its stop."""
     rows = _event_rows(src.table(spark, sf, "events"))
     last = rows.groupBy("session_id").agg(F.max("at_ms").alias("at_ms"))
     stops = last.select("session_id", F.lit(1 << 40).alias("seq"), F.lit("stop").alias("route"),
                         F.lit(0).cast("bigint").alias("bytes"), F.col("at_ms"))
-    path = scratch_path(spark, "capture")
     cols = ["session_id", "seq", "route", "bytes", "at_ms"]
-    beyond = (2 * WATERMARK_DAYS) * 86_400_000
-    beat = last.agg((F.max("at_ms") + beyond).alias("at_ms")).select(
-        F.lit(-1).cast("bigint").alias("session_id"), F.lit(1).cast("bigint").alias("seq"),
-        F.lit("heartbeat").alias("route"), F.lit(0).cast("bigint").alias("bytes"), "at_ms")
-    rows.select(*cols).unionByName(stops.select(*cols)).unionByName(beat.select(*cols)).write.parquet(path)
-    stream = live.stream_folder(spark, path, rows.select(*cols).schema)
-    return live.run_appended(live.live_commits(stream, watermark=f"{WATERMARK_DAYS} days"), "commits")
+    return rows.select(*cols).unionByName(stops.select(*cols))
+
+
+def live_commits(spark, sf):
+    """Commit markers of the events as a stream in steps of time."""
+    stream, = _steps(spark, "capture", "at_ms", _commit_rows(spark, sf))
+    return live.run_appended(live.live_commits(stream, watermark=WATERMARK), "commits").where("session_id >= 0")
+
+
+def capture_totals(spark, sf):
+    """Totals of a capture with its commits and the bytes that were pending at its end."""
+    return dl.capture_totals(live_stats(spark, sf), live_commits(spark, sf))
 
 
 def live_alignment(spark, sf):
     segs = sg.assemble_segments(src.transcript_events(spark, sf))
-    left = tl.with_anchor(segs, src.sessions(spark, sf)).select("session_id", "segment_id", "mid_ms")
+    left = tl.with_anchor(segs, src.sessions(spark, sf)).select(
+        "session_id", "segment_id", F.col("mid_ms").alias("unix_ms"))
     right = src.ui_events(spark, sf).select("session_id", "seq", "event_id", "unix_ms")
-    paths = {}
-    for name, df in (("middles", left), ("events", right)):
-        paths[name] = scratch_path(spark, name)
-        df.write.parquet(paths[name])
+    middles, events = _steps(spark, "aligned", "unix_ms", left, right)
     return live.run_appended(live.live_alignment(
-        live.stream_folder(spark, paths["middles"], left.schema),
-        live.stream_folder(spark, paths["events"], right.schema), watermark=f"{WATERMARK_DAYS} days",
+        middles.withColumnRenamed("unix_ms", "mid_ms").where("session_id >= 0"),
+        events.where("session_id >= 0"), watermark=WATERMARK,
     ), "live-alignment")
 
 
 QUERIES = {f.__name__: f for f in (
     routed_events, live_stats, capture_stats, first_chunk_clock, within_capture, quota_breaches,
-    live_quota, event_quota, live_segments, live_commits, live_alignment,
+    live_quota, event_quota, live_segments, live_losses, live_commits, capture_totals, live_alignment,
 )}
 
 _ROUTE = """CASE event_type WHEN 'click' THEN 'audio' WHEN 'view' THEN 'delta' WHEN 'error' THEN 'error'
   WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'other' ELSE 'completed' END ELSE 'other' END"""
 _ROWS = {"r": f"""SELECT user_id AS session_id, event_id AS seq, {_ROUTE} AS route, event_id % 4000 + 1000 AS bytes,
   epoch_us(ts) // 1000 AS at_ms, props FROM events"""}
-_STATS = query("""SELECT session_id, count(*) FILTER (route = 'audio') AS audio_chunks,
+_STATS_BODY = """SELECT session_id, count(*) FILTER (route = 'audio') AS audio_chunks,
   coalesce(CAST(sum(bytes) FILTER (route = 'audio') AS BIGINT), 0) AS audio_bytes,
   count(*) FILTER (route <> 'audio') AS messages, count(*) FILTER (route = 'delta') AS deltas,
   count(*) FILTER (route = 'completed') AS completed, count(*) FILTER (route = 'error') AS errors
-FROM r GROUP BY session_id""", extra=_ROWS)
+FROM r GROUP BY session_id"""
+_STATS = query(_STATS_BODY, extra=_ROWS)
 
 
 def _quota(source: str, message: int, events: int, total: int) -> str:
@@ -194,7 +248,26 @@ _COMMITS = f"""SELECT * FROM (WITH RECURSIVE e AS (
   UNION ALL SELECT session_id, waits_until, 'unacknowledged', CAST(held AS BIGINT) FROM walk
   WHERE waits_until IS NOT NULL AND rn = (SELECT max(rn) FROM e WHERE e.session_id = walk.session_id))"""
 
+_FATE = "(session_id * 31 + seq * 17) % 20"
+_LOSSES = {"kept": f"SELECT * FROM timed WHERE {_FATE} <> 0", "lossy": CTES["segments"][1].replace("FROM timed", "FROM kept"),
+           # numbers that came, the stop among them; a stretch of lost ones lies between two of them
+           "came": """SELECT session_id, seq FROM kept UNION ALL SELECT session_id, max(seq) + 1 FROM timed GROUP BY session_id"""}
+
 SQL = {
+    "live_losses": query(
+        f"""SELECT *, NULL AS fault, CAST(NULL AS BIGINT) AS fault_from, CAST(NULL AS BIGINT) AS fault_to FROM lossy
+        UNION ALL SELECT session_id, NULL, NULL, NULL, NULL, NULL, NULL, 'repeated-or-late', seq, seq FROM kept WHERE {_FATE} = 1
+        UNION ALL SELECT session_id, NULL, NULL, NULL, NULL, NULL, NULL, 'missing', before + 1, seq - 1
+        FROM (SELECT *, coalesce(lag(seq) OVER (PARTITION BY session_id ORDER BY seq), -1) AS before FROM came) WHERE seq > before + 1""",
+        "timed", extra=_LOSSES),
+    "capture_totals": query(
+        """SELECT st.*, coalesce(audio_commits, 0) AS audio_commits, coalesce(pending, audio_bytes - coalesce(sent, 0)) AS pending_bytes,
+          coalesce(final_commit, 'open') AS final_commit
+        FROM stats st LEFT JOIN (SELECT session_id, count(*) FILTER (event = 'commit') AS audio_commits,
+            CAST(sum(bytes) FILTER (event = 'commit') AS BIGINT) AS sent,
+            arg_max(bytes, at_ms) FILTER (event IN ('not-needed', 'awaiting-acknowledgement')) AS pending,
+            coalesce(max(event) FILTER (event IN ('acknowledged', 'unacknowledged')), max(event) FILTER (event = 'not-needed')) AS final_commit
+          FROM commits GROUP BY session_id) USING (session_id)""", extra={**_ROWS, "stats": _STATS_BODY, "commits": _COMMITS}),
     "live_commits": query("SELECT * FROM commits", extra={**_ROWS, "commits": _COMMITS}),
     "routed_events": query(
         "SELECT session_id, seq, route, CASE WHEN route IN ('delta', 'completed') THEN props END AS text FROM r", extra=_ROWS),

@@ -26,9 +26,10 @@ COMPLETED_TYPE = "conversation.item.input_audio_transcription.completed"
 
 SEGMENT_SCHEMA = (
     "session_id bigint, segment_id bigint, start_ms bigint, end_ms bigint, "
-    "monotonic_offset_ms bigint, timing_source string, text string"
+    "monotonic_offset_ms bigint, timing_source string, text string, "
+    "fault string, fault_from bigint, fault_to bigint"
 )
-BREACH_SCHEMA = "session_id bigint, seq bigint, reason string"
+BREACH_SCHEMA = "session_id bigint, seq bigint, reason string, fault string, fault_from bigint, fault_to bigint"
 COMMIT_SCHEMA = "session_id bigint, at_ms bigint, event string, bytes bigint"
 
 
@@ -114,77 +115,210 @@ def quota_breaches(
     )
 
 
+#: How long an idle session is kept.
+IDLE_MS = 24 * 60 * 60 * 1000
+
+
 class InSequence(StatefulProcessor):
-    """Takes a session's rows by gapless ``seq``; rows that come early wait in list state."""
+    """Takes a session's rows by ``seq``; rows that come early wait in map state, one entry each.
+
+    A waiting row has a deadline: its own time where the stream has event times (the watermark has then
+    passed all that belongs before it), else the processing time of its arrival plus ``patience_ms``.
+    With neither it waits without an end, as there is no clock to go by.  When a deadline passes, the missing numbers are told as a ``missing`` row and the session goes on
+    behind them.  A number that came already or was given up is told as ``repeated-or-late``, a row
+    without number as ``unnumbered``; neither is used.  A closed session keeps one flag and uses no more
+    rows.  A session that has been idle for ``idle_ms`` leaves nothing; the next row would begin it anew.
+    """
 
-    #: Columns of a waiting row, ``seq`` among them.
-    ROW = "seq bigint"
-    first_seq = 1
+    #: Schema of a waiting row besides ``seq`` and its deadline, and of the output.
+    ROW = ""
+    OUT = ""
+
+    def __init__(self, first_seq: int, patience_ms: int | None, idle_ms: int, event_time: bool):
+        if idle_ms < (patience_ms or 0):
+            raise ValueError("an idle session must be kept for as long as missing rows are waited for")
+        self.first_seq, self.patience_ms, self.idle_ms, self.event_time = first_seq, patience_ms, idle_ms, event_time
+        self.timers = event_time or patience_ms is not None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.early = handle.getListState("early", self.ROW)
-        self.next_seq = handle.getValueState("next_seq", "seq bigint")
-
-    def ready(self, rows: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        names = [c.split()[0] for c in self.ROW.split(", ")]
-        known = [tuple(_plain(v) for v in row) for batch in rows for row in batch[names].itertuples(index=False, name=None)]
-        known += [tuple(row) for row in self.early.get()] if self.early.exists() else []
-        at = self.next_seq.get()[0] if self.next_seq.exists() else self.first_seq
-        place, waiting = names.index("seq"), []
-        for row in sorted(known, key=lambda r: r[place]):
-            if row[place] == at:
-                at += 1
-                yield dict(zip(names, row))
-            elif row[place] > at:
-                waiting.append(row)
-        self.next_seq.update((at,))
-        if waiting:
-            self.early.put(waiting)
-        elif self.early.exists():
+        self.handle = handle
+        self.names = [c.split()[0] for c in self.ROW.split(", ")]
+        self.columns = [c.split() for c in self.OUT.split(", ")]
+        self.early = handle.getMapState("early", "seq bigint", f"{self.ROW}, due bigint")
+        self.place = handle.getValueState(
+            "place", "next_seq bigint, waiting bigint, seen bigint, wakes bigint, closed boolean")
+
+    # a subclass says what a row does, and what it keeps besides
+    def load(self) -> None:
+        """Values of the session from state."""
+
+    def save(self) -> None:
+        """Values of the session to state."""
+
+    def forget(self) -> None:
+        """Values of the session out of state."""
+
+    def step(self, key, row: dict) -> Iterator[tuple]:
+        """Output rows (without fault columns) of one row in its turn; ``self.closed`` ends the session."""
+        raise NotImplementedError
+
+    def begin(self) -> None:
+        known = self.place.get() if self.place.exists() else (self.first_seq, 0, None, None, False)
+        self.at, self.waiting, self.seen, self.wakes, self.closed = known
+        self.out: list[tuple] = []
+        self.load()
+
+    def tell(self, key, fault: str, first: int | None, last: int | None) -> None:
+        self.out.append((key[0], *[None] * (len(self.columns) - 4), fault, first, last))
+
+    def go_on(self, key, new: dict[int, tuple]) -> None:
+        """Takes rows from the next number on, out of ``new`` or state, up to the first gap."""
+        while not self.closed:
+            if self.at in new:
+                row = new.pop(self.at)
+            elif self.waiting and self.early.containsKey((self.at,)):
+                row = self.early.getValue((self.at,))
+                self.early.removeKey((self.at,))
+                self.waiting -= 1
+            else:
+                return
+            for told in self.step(key, {"seq": self.at, **dict(zip(self.names, row))}):
+                self.out.append((*told, None, None, None))
+            self.at += 1
+
+    def end(self) -> pd.DataFrame:
+        """Keeps the session; the output."""
+        if self.closed:
             self.early.clear()
+            self.forget()
+            self.waiting = 0
+        else:
+            self.save()
+        self.place.update((self.at, self.waiting, self.seen, self.wakes, self.closed))
+        return self.told()
+
+    def told(self) -> pd.DataFrame:
+        frame = pd.DataFrame(self.out, columns=[name for name, _ in self.columns])
+        return frame.astype({name: "Int64" for name, kind in self.columns if kind == "bigint"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.begin()
+        now = timerValues.getCurrentProcessingTimeInMs() if self.timers and not self.event_time else 0
+        new, due = {}, {}
+        for batch in rows:
+            times = batch["at_ms"] if self.event_time else [now] * len(batch)
+            cells = batch[["seq", *self.names]].itertuples(index=False, name=None)
+            for time, (seq, *row) in zip(times, cells):
+                time, seq = int(time), _plain(seq)
+                self.seen = time if self.seen is None else max(self.seen, time)
+                if self.closed:
+                    continue
+                if seq is None:
+                    self.tell(key, "unnumbered", None, None)
+                elif seq < self.at or seq in new or (self.waiting and self.early.containsKey((seq,))):
+                    self.tell(key, "repeated-or-late", seq, seq)
+                else:
+                    new[seq], due[seq] = tuple(_plain(v) for v in row), time if self.event_time else now + (self.patience_ms or 0)
+        self.go_on(key, new)
+        if new and not self.closed:
+            for seq, row in new.items():
+                self.early.updateValue((seq,), (*row, due[seq]))
+            self.waiting += len(new)
+            if self.timers:
+                self.handle.registerTimer(min(due[seq] for seq in new))
+        if self.timers and self.wakes is None:
+            self.wakes = self.seen + self.idle_ms
+            self.handle.registerTimer(self.wakes)
+        yield self.end()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        if not self.place.exists():
+            return
+        self.begin()
+        held = sorted((number[0], row[-1]) for number, row in self.early.iterator()) if self.waiting else []
+        for seq, due in held:
+            if due <= reached and seq >= self.at and not self.closed:
+                if seq > self.at:
+                    self.tell(key, "missing", self.at, seq - 1)
+                self.at = seq
+                self.go_on(key, {})
+        rest = [due for seq, due in held if seq >= self.at]
+        if rest and not self.closed:
+            self.handle.registerTimer(min(rest))
+        if self.wakes <= reached:
+            self.wakes = self.seen + self.idle_ms
+            if self.wakes <= reached:  # all deadlines have passed as well
+                self.early.clear()
+                self.forget()
+                self.place.clear()
+                yield self.told()
+                return
+            self.handle.registerTimer(self.wakes)
+        yield self.end()
+
+    def close(self) -> None:
+        pass
+
+
+def in_sequence(
+    stream: DataFrame, columns: list[str | Column], processor, time: str | None, watermark: str
+) -> DataFrame:
+    """Rows of a session through ``processor``; ``time`` names the event time in ms, if there is one.
+
+    A row without event time counts as one of the earliest: it may come at any time.  Deadlines in
+    processing time are for streams that run on; a run over what is there would not end with them.
+    """
+    if time is None:
+        return stream.select("session_id", "seq", *columns).groupBy("session_id").transformWithStateInPandas(
+            processor, processor.OUT, "Append", "ProcessingTime" if processor.timers else "None")
+    at = F.coalesce(F.col(time), F.lit(0)).cast("bigint")
+    timed = stream.withColumn("at", F.timestamp_millis(time)).withWatermark("at", watermark)
+    return timed.select("session_id", "seq", at.alias("at_ms"), "at", *columns).groupBy(
+        "session_id").transformWithStateInPandas(processor, processor.OUT, "Append", "EventTime")
 
 
 def _plain(value):
-    """A pandas cell as a plain value for state, NULL as None."""
-    if value is None or (not isinstance(value, str) and pd.isna(value)):
-        return None
-    return value.item() if hasattr(value, "item") else value
+    """A pandas cell as a text or whole number for state (columns with NULLs come as floats), NULL as None."""
+    if value is None or isinstance(value, str):
+        return value
+    return None if pd.isna(value) else int(value)
 
 
 class QuotaProcessor(InSequence):
     """Running counters per session; one row when the first limit breaks, nothing after it."""
 
-    ROW = "seq bigint, bytes bigint"
+    ROW, OUT = "bytes bigint", BREACH_SCHEMA
 
-    def __init__(self, max_message: int, max_events: int, max_bytes: int, first_seq: int):
-        self.limits, self.first_seq = (max_message, max_events, max_bytes), first_seq
+    def __init__(self, limits: tuple[int, int, int], *settings):
+        super().__init__(*settings)
+        self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.used = handle.getValueState("used", "events bigint, total bigint, failed boolean")
+        self.used = handle.getValueState("used", "events bigint, total bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events, total, failed = self.used.get() if self.used.exists() else (0, 0, False)
-        max_message, max_events, max_bytes = self.limits
-        out = []
-        for row in self.ready(rows):
-            if failed:
-                continue
-            size = row["bytes"]
-            events, total = events + 1, total + size
-            reason = (
-                "message-bytes" if size > max_message
-                else "event-count" if events > max_events
-                else "total-bytes" if total > max_bytes else None
-            )
-            if reason:
-                failed = True
-                out.append((key[0], row["seq"], reason))
-        self.used.update((events, total, failed))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "reason"])
+    def load(self) -> None:
+        self.events, self.total = self.used.get() if self.used.exists() else (0, 0)
 
-    def close(self) -> None:
-        pass
+    def save(self) -> None:
+        self.used.update((self.events, self.total))
+
+    def forget(self) -> None:
+        self.used.clear()
+
+    def step(self, key, row: dict) -> Iterator[tuple]:
+        max_message, max_events, max_bytes = self.limits
+        size = row["bytes"] or 0
+        self.events, self.total = self.events + 1, self.total + size
+        reason = (
+            "message-bytes" if size > max_message
+            else "event-count" if self.events > max_events
+            else "total-bytes" if self.total > max_bytes else None
+        )
+        if reason:
+            self.closed = True
+            yield key[0], row["seq"], reason
 
 
 def live_quota(
@@ -193,11 +327,18 @@ def live_quota(
     max_events: int = fixed.STREAM_MAX_EVENTS,
     max_bytes: int = fixed.STREAM_MAX_BYTES,
     first_seq: int = 1,
+    time: str | None = None,
+    watermark: str = "10 minutes",
+    patience_ms: int | None = None,
+    idle_ms: int = IDLE_MS,
 ) -> DataFrame:
-    """Streaming twin of `quota_breaches`; ``seq`` numbers a session's rows from ``first_seq`` on."""
-    return stream.select("session_id", "seq", "bytes").groupBy("session_id").transformWithStateInPandas(
-        QuotaProcessor(max_message, max_events, max_bytes, first_seq), BREACH_SCHEMA, "Append", "None"
-    )
+    """Streaming twin of `quota_breaches`; ``seq`` numbers a session's rows from ``first_seq`` on.
+
+    Rows with ``fault`` tell numbers that are missing, repeated or NULL (`InSequence`).  A row without
+    size counts with zero bytes.
+    """
+    processor = QuotaProcessor((max_message, max_events, max_bytes), first_seq, patience_ms, idle_ms, time is not None)
+    return in_sequence(stream, ["bytes"], processor, time, watermark)
 
 
 # --- segments ---
@@ -205,10 +346,8 @@ def live_quota(
 class SegmentProcessor(InSequence):
     """Segments as completed rows arrive; a ``stop`` row emits the delta fallback if there is none."""
 
-    ROW = "seq bigint, kind string, monotonic_offset_ms bigint, offset_ms bigint, timing_source string, text string"
-
-    def __init__(self, first_seq: int):
-        self.first_seq = first_seq
+    ROW = "kind string, monotonic_offset_ms bigint, offset_ms bigint, timing_source string, text string"
+    OUT = SEGMENT_SCHEMA
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -217,52 +356,60 @@ class SegmentProcessor(InSequence):
             "segments bigint, reached bigint, deltas string, last_offset bigint, last_monotonic bigint",
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def load(self) -> None:
         known = self.state.get() if self.state.exists() else (0, 0, "", 0, None)
-        count, reached, deltas, last, last_mono = known
-        out, pieces = [], [deltas]
-        for row in self.ready(rows):
-            mono, offset = row["monotonic_offset_ms"], row["offset_ms"]
-            deltas = "".join(pieces) if row["kind"] == "stop" else ""
-            if row["kind"] == "completed" and row["text"]:
-                end = max(offset, reached)
-                count += 1
-                out.append((key[0], count, reached, end, mono, row["timing_source"], row["text"]))
-                reached, pieces = end, []
-            elif row["kind"] == "delta" and count == 0:
-                pieces.append(row["text"])  # they only matter until the first segment
-                last, last_mono = offset, mono
-            elif row["kind"] == "stop" and count == 0 and deltas.strip():
-                count += 1
-                source = fixed.WALL_CLOCK_SOURCE if last_mono is None else fixed.MONOTONIC_SOURCE
-                out.append((key[0], 1, 0, last, last_mono, source, deltas.strip()))
-        self.state.update((count, reached, "".join(pieces), last, last_mono))
-        yield pd.DataFrame(out, columns=[
-            "session_id", "segment_id", "start_ms", "end_ms", "monotonic_offset_ms",
-            "timing_source", "text",
-        ]).astype({"monotonic_offset_ms": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def live_segments(stream: DataFrame, first_seq: int = 1) -> DataFrame:
+        self.count, self.reached, deltas, self.last, self.last_mono = known
+        self.pieces = [deltas]
+
+    def save(self) -> None:
+        self.state.update((self.count, self.reached, "".join(self.pieces), self.last, self.last_mono))
+
+    def forget(self) -> None:
+        self.state.clear()
+
+    def step(self, key, row: dict) -> Iterator[tuple]:
+        mono, offset = row["monotonic_offset_ms"], row["offset_ms"]
+        if row["kind"] == "completed" and row["text"]:
+            end = max(offset, self.reached)
+            self.count += 1
+            yield key[0], self.count, self.reached, end, mono, row["timing_source"], row["text"]
+            self.reached, self.pieces = end, []
+        elif row["kind"] == "delta" and self.count == 0:
+            self.pieces.append(row["text"])  # they only matter until the first segment
+            self.last, self.last_mono = offset, mono
+        elif row["kind"] == "stop":
+            self.closed = True
+            deltas = "".join(self.pieces).strip()
+            if self.count == 0 and deltas:
+                source = fixed.WALL_CLOCK_SOURCE if self.last_mono is None else fixed.MONOTONIC_SOURCE
+                yield key[0], 1, 0, self.last, self.last_mono, source, deltas
+
+
+def live_segments(
+    stream: DataFrame,
+    first_seq: int = 1,
+    time: str | None = None,
+    watermark: str = "10 minutes",
+    patience_ms: int | None = None,
+    idle_ms: int = IDLE_MS,
+) -> DataFrame:
     """Streaming twin of segment assembly.
 
-    ``stream``: session_id, seq (gapless from ``first_seq`` on), kind (``completed``, ``delta``,
-    ``stop``), audio_offset_ms, monotonic_offset_ms, text.  Texts are trimmed before the state.
+    ``stream``: session_id, seq (from ``first_seq`` on), kind (``completed``, ``delta``, ``stop``),
+    audio_offset_ms, monotonic_offset_ms, text, and ``time`` where rows have an event time.  Texts are
+    trimmed before the state.  Rows with ``fault`` tell numbers that are missing, repeated or NULL
+    (`InSequence`); a ``stop`` row closes its session.
     """
     completed = F.col("kind") == "completed"
-    rows = stream.select(
-        "session_id", "seq", "kind", "monotonic_offset_ms",
+    columns = [
+        F.col("kind"), F.col("monotonic_offset_ms"),
         instants.effective_offset(F.col("monotonic_offset_ms"), F.col("audio_offset_ms")).alias("offset_ms"),
         instants.timing_source(F.col("monotonic_offset_ms")).alias("timing_source"),
         F.when(completed & tx.is_blank(F.col("text")), "").when(completed, tx.squeeze(F.col("text")))
         .otherwise(F.coalesce("text", F.lit(""))).alias("text"),
-    )
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        SegmentProcessor(first_seq), SEGMENT_SCHEMA, "Append", "None"
-    )
+    ]
+    processor = SegmentProcessor(first_seq, patience_ms, idle_ms, time is not None)
+    return in_sequence(stream, columns, processor, time, watermark)
 
 
 # --- commits and the closing acknowledgement ---
@@ -272,16 +419,17 @@ class CommitProcessor(StatefulProcessor):
 
     Input rows: ``audio`` (bytes), ``completed``, ``error``, ``stop``, ``send-error``.  After a stop
     with enough pending bytes the session waits for a completed row until the event-time timer ends.
-    Rows wait in list state until the watermark has passed them and are taken in order of time.
+    Rows wait in list state until the watermark has passed them and are taken in order of time.  The
+    state of a closed session goes ``idle_ms`` after its last row.
     """
 
-    def __init__(self, minimum: int, interval_ms: int, timeout_ms: int):
-        self.settings = (minimum, interval_ms, timeout_ms)
+    def __init__(self, minimum: int, interval_ms: int, timeout_ms: int, idle_ms: int = IDLE_MS):
+        self.settings, self.idle_ms = (minimum, interval_ms, timeout_ms), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState(
-            "state", "buffered bigint, last_commit bigint, waiting_until bigint, closed boolean"
+            "state", "buffered bigint, last_commit bigint, waiting_until bigint, closed boolean, ends bigint"
         )
         self.early = handle.getListState("early", "at_ms bigint, seq bigint, route string, bytes bigint")
 
@@ -302,9 +450,11 @@ class CommitProcessor(StatefulProcessor):
         elif waiting:
             self.early.clear()
         minimum, interval, timeout = self.settings
-        buffered, last, until, closed = (
-            self.state.get() if self.state.exists() else (0, None, None, False)
+        buffered, last, until, closed, ends = (
+            self.state.get() if self.state.exists() else (0, None, None, False, None)
         )
+        if rows:
+            ends = rows[-1][0] + self.idle_ms
         for at, _, route, size in rows:
             if until is not None:
                 if at > until or route == "error":
@@ -336,7 +486,12 @@ class CommitProcessor(StatefulProcessor):
             until = None
         elif until is not None:
             self.handle.registerTimer(until)
-        self.state.update((buffered, last, until, closed))
+        if closed and until is None and not rest:
+            if ends is None or ends <= reached:
+                self.state.clear()
+                return
+            self.handle.registerTimer(ends)
+        self.state.update((buffered, last, until, closed, ends))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = list(self.taken(key, timerValues.getCurrentWatermarkInMs()))

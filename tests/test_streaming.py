@@ -120,3 +120,71 @@ def test_live_alignment(spark, tmp_path):
                       [(1, 1, 1, 4000), (1, 2, 2, 3999)], [(1, 3, 3, 16_000), (2, 1, 1, 10_000), (1, 4, 4, None)])
     out = live.run_appended(live.live_alignment(left, right), "align-test")
     assert sorted((r.seq, r.delta_ms, r.confidence) for r in out.collect()) == [(1, -6000, "low"), (3, 6000, "low")]
+
+
+TIMED = TR + ", at_ms bigint"
+BASE = 10**12
+
+
+def ran(spark, tmp_path, name, schema, build, *parts):
+    """The output of ``build`` over files read one per micro-batch, stopped after each part and taken up again
+    from the checkpoint; rows dropped behind the watermark; state rows left."""
+    folder, out, dropped, left = str(tmp_path / name), str(tmp_path / f"{name}-out"), 0, 0
+    for batches in parts:
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-check")).trigger(
+            availableNow=True).start(out)
+        query.awaitTermination()
+        operators = [op for progress in query.recentProgress for op in progress["stateOperators"]]
+        dropped += sum(op["numRowsDroppedByWatermark"] for op in operators)
+        left = operators[-1]["numRowsTotal"]
+    return spark.read.schema(stream.schema).parquet(out).where("session_id >= 0"), dropped, left
+
+
+def spoken(s, n, at, text="t", kind="completed"):
+    return (s, n, kind, 10 * (n or 0), None, f"{text}{n}" if kind != "stop" else "", BASE + at)
+
+
+def test_lost_late_and_repeated_rows_over_a_restart(spark, tmp_path):
+    beat = [(-1, 1, "delta", None, None, None, BASE + 3 * live.IDLE_MS)]
+    first = [[spoken(1, 1, 0), spoken(1, 2, 1_000), spoken(2, 1, 0, "d", "delta")],
+             [spoken(1, 4, 60_000), spoken(1, 4, 60_500), spoken(2, 3, 60_000, "d", "delta")], [spoken(1, 5, 61_000)]]
+    second = [[spoken(1, 3, 2_000), spoken(1, None, 61_500)], [spoken(1, 6, 62_000, kind="stop"), spoken(2, 4, 62_000, kind="stop")], beat]
+    build = lambda stream: live.live_segments(stream, time="at_ms", watermark="10 seconds")
+    out, dropped, left = ran(spark, tmp_path, "late", TIMED, build, first, second)
+    kept = [r[:6] for batch in first for r in batch if r[6] != BASE + 60_500]
+    want = sg.assemble_segments(spark.createDataFrame(kept, TR))
+    columns = ["session_id", "segment_id", "start_ms", "end_ms", "text", "timing_source"]
+    rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert rows(out.where("fault is null")) == rows(want) and len(rows(want)) == 5
+    faults = sorted(out.where("fault is not null").select("session_id", "fault", "fault_from", "fault_to").collect(), key=str)
+    assert [tuple(r) for r in faults] == [(1, "missing", 3, 3), (1, "repeated-or-late", 4, 4), (1, "unnumbered", None, None), (2, "missing", 2, 2)]
+    assert dropped == 1
+    assert left == ran(spark, tmp_path, "beat", TIMED, build, [beat])[2]  # closed sessions leave no state
+
+
+def test_gaps_without_end_and_breaches_close(spark, tmp_path):
+    schema = "session_id bigint, seq bigint, bytes bigint, at_ms bigint"
+    rows = [(1, 1, 5, BASE), (1, 3, 5, BASE + 2), (1, 9, 90, BASE + 9), (1, 10, 1, BASE + 10), (2, 2, None, BASE + 1)]
+    beat = [(-1, 1, 0, BASE + 3 * live.IDLE_MS)]
+    for name, batches in (("q1", [rows, beat]), ("q2", [[r] for r in reversed(rows)] + [beat])):
+        out, dropped, left = ran(spark, tmp_path, name, schema, lambda s: live.live_quota(s, 60, 9, 99, time="at_ms", watermark="1 minute"), batches)
+        got = sorted((tuple(r) for r in out.select("session_id", "seq", "reason", "fault", "fault_from", "fault_to").collect()), key=str)
+        assert got == sorted([(1, 9, "message-bytes", None, None, None), (1, None, None, "missing", 2, 2),
+                              (1, None, None, "missing", 4, 8), (2, None, None, "missing", 1, 1)], key=str) and dropped == 0
+
+
+def test_late_commits_are_counted_and_the_rest_equals_one_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(s, n, rng.choice(["audio", "audio", "completed", "error"]), BASE + 7_000 * n, rng.randint(500, 4000)) for s in range(3) for n in range(1, 25)]
+    rows += [(s, 25, "stop", BASE + 7_000 * 25, 0) for s in range(3)]
+    beat = [(-1, 1, "heartbeat", BASE + 3 * live.IDLE_MS, 0)]
+    late = [r for r in rows if r[1] == 4]
+    steps = [[r for r in rows if r not in late and (r[1] - 1) // 6 == k] for k in range(5)]
+    build = lambda stream: live.live_commits(stream, watermark="20 seconds")
+    out, dropped, _ = ran(spark, tmp_path, "cl", CAP, build, steps[:2], [late, *steps[2:], beat])
+    one, none, _ = ran(spark, tmp_path, "co", CAP, build, [[r for r in rows if r not in late], beat])
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(out) == key(one) and len(key(one)) > 6 and (dropped, none) == (3, 0)
