@@ -268,6 +268,41 @@ def snapshot_fingerprint(files: DataFrame) -> DataFrame:
     )
 
 
+#: Leaves of one node of the tree below, about; a node above has at most sixteen children.
+TREE_CELL = 256
+TREE_LEVELS = 13
+
+
+def tree_fingerprint(files: DataFrame, cell: int = TREE_CELL) -> DataFrame:
+    """One digest per file set from a tree with as many levels as the set needs.
+
+    ``files``: session_id, path, fingerprint, in any order.  A file's leaf is the digest of ``path`` and
+    ``fingerprint`` (NULL as empty); equal leaves are one leaf with a count.  A set of n different leaves is
+    cut ``depth`` times by the next hex digit, the fewest times for which n <= cell * 16 ** depth, so no
+    cell grows with the set.  A lowest node hashes its sorted leaves, a higher one its children's digits
+    and digests.  An empty table has no sets.
+    """
+    leaf = F.sha2(F.concat_ws("\n", F.coalesce("path", F.lit("")), F.coalesce("fingerprint", F.lit(""))), 256)
+    counted = written(files.select("session_id", leaf.alias("leaf")).groupBy("session_id", "leaf").agg(
+        F.count("*").alias("n")), "leaves")
+    depth = sum((F.when(F.count("*") > cell * 16**k, 1).otherwise(0) for k in range(TREE_LEVELS)), F.lit(0))
+    sets = counted.groupBy("session_id").agg(F.sum("n").alias("files"), depth.cast("bigint").alias("depth"))
+    sets = written(sets, "sets")
+    digits = lambda c, k: F.substring(c, 1, k).alias("digits")
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256).alias("digest")
+    nodes = None
+    for level in range(sets.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        here = sets.where(F.col("depth") == level).select("session_id")
+        lowest = counted.join(here, counted["session_id"].eqNullSafe(here["session_id"]), "left_semi").groupBy("session_id", digits("leaf", level)).agg(
+            joined(F.concat_ws(":", "leaf", F.col("n").cast("string"))))
+        if nodes is not None:
+            lowest = lowest.unionByName(nodes.groupBy("session_id", digits("digits", level)).agg(
+                joined(F.concat_ws(":", "digits", "digest"))))
+        nodes = lowest
+    return sets.join(nodes, sets["session_id"].eqNullSafe(nodes["session_id"])).select(
+        sets["session_id"], "files", "depth", F.concat(F.lit("sha256:"), F.col("digest")).alias("fingerprint"))
+
+
 def lint_jsonl(lines: DataFrame) -> DataFrame:
     """Bad rows of JSONL text (session_id, seq, value): over-long or not JSON; blanks are fine."""
     value = F.col("value")

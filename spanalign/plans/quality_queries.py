@@ -13,7 +13,9 @@ from spanalign.operators import (
 )
 from spanalign.operators.fuzzy import similar_tokens
 from spanalign.operators.utterances import utterances
-from spanalign.plans.record_queries import _inventory, failed as _failed
+from spanalign.plans.record_queries import (
+    _FINDINGS, _LEAK, _inventory, approved_paths, artifacts, failed as _failed,
+)
 from spanalign.plans.sql import NON_WS, query, squeeze, tokens, words
 from spanalign.plans.timeline_queries import _BEST, _CONFLICTS, _FAR
 from spanalign.session import written
@@ -259,6 +261,40 @@ def review_scorecard(spark, sf):
              F.array_join("blockers", "|").alias("blockers"))
 
 
+# --- the same reviews over what the scans of the session's artifacts found ---
+
+def _found(spark, sf):
+    """Facts of the sessions with the leaks and raw categories of their artifacts in place of flags."""
+    full = written(artifacts(spark, sf), "artifacts")
+    marks = inv.scan_budget(full.select("session_id", "seq", "bytes"))
+    scanned = written(full.join(marks.select("session_id", "seq", "scanned"), ["session_id", "seq"]), "scanned")
+    leaks = inv.leak_status(inv.leak_findings(scanned, approved_paths(spark, sf)), full)
+    raw = inv.raw_sensitivity(scanned).where("sensitive").groupBy("session_id").agg(F.count("*").alias("raw_found"))
+    facts = _flagged(spark, sf).drop("leak_status", "leaks", "blocking_leaks", "raw_sensitive")
+    none = F.lit(0).cast("bigint")
+    return written(
+        facts.join(leaks, "session_id", "left").join(raw, "session_id", "left").select(
+            *facts.columns, F.coalesce("status", F.lit("no-obvious-sensitive-patterns-detected")).alias("leak_status"),
+            F.coalesce("findings", none).alias("leaks"), F.coalesce("blocking", none).alias("blocking_leaks"),
+            F.coalesce("raw_found", none).alias("raw_sensitive")), "found")
+
+
+def readiness_of_findings(spark, sf):
+    missing = inv.missing_digests(_inventory(spark, sf), src.sessions(spark, sf))
+    return sc.readiness_receipt(_found(spark, sf), missing).select(
+        "session_id", "status", F.array_join("failed_checks", ",").alias("failed_checks"),
+        F.array_join("blockers", "|").alias("blockers"))
+
+
+def scorecard_of_findings(spark, sf):
+    found = _found(spark, sf).withColumns(sc.quality_chain("batch", "cleanup", "final"))
+    card, inspected = sc.review_scorecard(found), sc.inspection_blockers(found, standing=())
+    return card.join(inspected.select(
+        "session_id", F.array_join("blockers", "|").alias("inspection")), "session_id").select(
+        "session_id", "status", F.array_join("actions", "|").alias("actions"),
+        F.array_join("blockers", "|").alias("blockers"), "inspection")
+
+
 def evidence_boundary(spark, sf):
     segs, evs, sess = src.shared_tables(spark, sf)
     counts = tl.session_counts(segs, evs, sess)
@@ -310,6 +346,17 @@ def compare_delay(spark, sf):
     )
 
 
+def _aligned(spark, sf, segments):
+    """Final segments of the alignment itself."""
+    return written(al.align_cleaned(segments, written(cleaned_text(segments), "cleaned")), "final")
+
+
+def delay_of_aligned(spark, sf):
+    """Latencies and alignment counts from the final segments that the alignment of the session made."""
+    segs, evs, sess = src.shared_tables(spark, sf)
+    return dl.evaluate_delay(sess, src.transcript_events(spark, sf), _aligned(spark, sf, segs), evs)
+
+
 # --- voice ---
 
 def voice_bindings(spark, sf):
@@ -338,7 +385,7 @@ QUERIES = {f.__name__: f for f in (
     document_utterances, similar_token_pairs, phrase_similarity, clamp_forward, label_search,
     validate_cleanup, select_authoritative, narration_quality, marker_recall, start_sync_check,
     usefulness_review, inspection_blockers, inspection_without_notes, readiness_receipt,
-    review_scorecard, evidence_boundary, session_summary, first_latencies, evaluate_delay,
+    review_scorecard, readiness_of_findings, scorecard_of_findings, delay_of_aligned, evidence_boundary, session_summary, first_latencies, evaluate_delay,
     compare_delay, voice_bindings, voice_cues,
 )}
 
@@ -434,8 +481,19 @@ _F = {**_COUNT_CTES, "far": _FAR, "q": _QUALITY,
            f"q.density_status, {_count('far')} AS out_of_window_events, "
            + ", ".join(f"{e.format(v='varchar').replace('session_id', 's.session_id')} AS {n}" for n, e in _FLAGS.items())
            + " FROM sessions s JOIN counts c USING (session_id) JOIN q USING (session_id)"}
+_FOUND = {"findings": _FINDINGS,
+          "raw": """SELECT a.session_id, count(*) AS n FROM art a JOIN cat USING (k) JOIN fold f ON f.session_id = a.session_id AND f.seq = a.seq
+            WHERE scanned = 0 OR categories <> '' GROUP BY 1""",
+          "fr": """SELECT f.* REPLACE (CASE WHEN l.blocking > 0 THEN 'blocked' WHEN l.findings > 0 THEN 'expected-local-references-only'
+              ELSE 'no-obvious-sensitive-patterns-detected' END AS leak_status, coalesce(l.findings, 0) AS leaks,
+            coalesce(l.blocking, 0) AS blocking_leaks, coalesce(raw.n, 0) AS raw_sensitive)
+          FROM f LEFT JOIN (SELECT session_id, count(*) AS findings, count(*) FILTER (blocks_share = 1) AS blocking FROM findings GROUP BY 1) l
+            ON l.session_id = f.session_id LEFT JOIN raw ON raw.session_id = f.session_id"""}
 _SPARSE_F = "density_status = 'too-sparse-for-non-toy-replay'"
 _DONE = "coalesce(batch_status = 'completed', false) AND cleanup_status = 'completed'"
+_CARD = f"""CASE WHEN NOT context_exists THEN 'blocked-missing-temporal-context'
+          WHEN leaks > 0 OR raw_sensitive > 0 OR NOT receipt_exists OR NOT plan_exists OR NOT plan_valid OR plan_speaks
+            OR {_SPARSE_F} OR NOT ({_DONE}) OR NOT proofs_valid THEN 'blocked' ELSE 'requires-operator-review' END"""
 _GATE = {
     "coordinated-start": "same_operation", "stopped": "state = 'stopped'", "segments": "segments > 0",
     "events": "events > 0", "audio-clock": "audio_clock_present", "drained": "drained_segments > 0",
@@ -609,13 +667,17 @@ SQL = {
         f"""SELECT session_id, 'blocked' AS status, {_failed(_GATE)} AS failed_checks, {reasons(_READY)} AS blockers
         FROM (SELECT *, {_NAMED} AS gaps FROM f)""", "pairs", extra=_F),
     "review_scorecard": query(
-        f"""SELECT session_id, CASE WHEN NOT context_exists THEN 'blocked-missing-temporal-context'
-          WHEN leaks > 0 OR raw_sensitive > 0 OR NOT receipt_exists OR NOT plan_exists OR NOT plan_valid OR plan_speaks
-            OR {_SPARSE_F} OR NOT ({_DONE}) OR NOT proofs_valid THEN 'blocked' ELSE 'requires-operator-review' END AS status,
+        f"""SELECT session_id, {_CARD} AS status,
           'batch=' || coalesce(batch_status, 'not-generated') || ' (' || coalesce(batch_reason, 'not-provided') || ') | cleanup='
             || cleanup_status || ' (' || coalesce(cleanup_reason, 'not-provided') || ') | final-receipt=completed (ok)' AS chain_label,
           CASE WHEN {reasons(_ACTIONS)} = '' THEN 'review' ELSE {reasons(_ACTIONS)} END AS actions,
           {reasons(_COHESION)} AS blockers FROM f""", "pairs", extra=_F),
+    "readiness_of_findings": query(
+        f"""SELECT session_id, 'blocked' AS status, {_failed(_GATE)} AS failed_checks, {reasons(_READY)} AS blockers
+        FROM (SELECT *, {_NAMED} AS gaps FROM fr)""", "pairs", extra={**_F, **_LEAK, **_FOUND}),
+    "scorecard_of_findings": query(
+        f"""SELECT session_id, {_CARD} AS status, CASE WHEN {reasons(_ACTIONS)} = '' THEN 'review' ELSE {reasons(_ACTIONS)} END AS actions,
+          {reasons(_COHESION)} AS blockers, {reasons(_INSPECT)} AS inspection FROM fr""", "pairs", extra={**_F, **_LEAK, **_FOUND}),
     "evidence_boundary": query(
         """SELECT c.*, CAST(s.audio_started_ms IS NOT NULL AS BIGINT) AS audio_clock_present,
           coalesce(provided_artifacts, 0) AS provided_artifacts, coalesce(exists_artifacts, 0) AS exists_artifacts,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanalign import fixed
 from spanalign.functions import checks
-from spanalign.operators import inventory as inv, ledger as lg
+from spanalign.operators import inventory as inv, ledger as lg, scoring as sc
 from spanalign.operators.prefix import BLOCK_MS, running
 from spanalign.plans import redaction_sql as rs
 from spanalign.plans.sql import NON_WS, query
@@ -134,6 +134,24 @@ def snapshot_fingerprint(spark, sf):
     return inv.snapshot_fingerprint(files)
 
 
+#: Small, so that the trees of the query have several levels.
+TREE_CELL = 4
+
+
+def tree_fingerprint(spark, sf):
+    files = src.table(spark, sf, "documents").select(
+        F.col("source").alias("session_id"), F.col("doc_id").cast("string").alias("path"),
+        checks.sha256(F.col("text")).alias("fingerprint"),
+    )
+    return inv.tree_fingerprint(files, TREE_CELL)
+
+
+def event_digest(spark, sf):
+    return sc.event_digest(src.table(spark, sf, "events").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")))
+
+
 def lint_jsonl(spark, sf):
     lines = src.table(spark, sf, "events").select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
@@ -376,7 +394,7 @@ def floor_failures(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     scan_budget, scan_budget_by_source, leak_findings, leak_status, session_categories,
-    raw_sensitivity, file_stats, union_inventories, missing_digests, snapshot_fingerprint, lint_jsonl,
+    raw_sensitivity, file_stats, union_inventories, missing_digests, snapshot_fingerprint, tree_fingerprint, event_digest, lint_jsonl,
     audio_chunk_spans, merge_chunk_texts, hash_chain, continuation, transition_failures,
     ledger_audit, claim_audit, claim_failures, backlog_violations, evidence_violations, ceiling_differences, duplicate_keys,
     floor_failures,
@@ -444,7 +462,27 @@ _DIG = r"coalesce(regexp_matches({0}, '\Asha256:[0-9a-fA-F]{{64}}\z'), false)"
 _SAME = 'list_sort(list_distinct("before")) = list_sort(list_distinct("after"))'
 _GROWS = f'len(list_filter("before", lambda b: NOT list_contains("after", b))) = 0 AND NOT ({_SAME})'
 
+def _tree(leaves: str, cell: int, levels: int = 6) -> dict[str, str]:
+    """Tree of digests over ``leaves(session_id, leaf)``, level by level; ``levels`` are enough for small tables."""
+    depth = " + ".join(f"CAST(count(*) > {cell * 16**k} AS BIGINT)" for k in range(levels))
+    parts = {"tl": f"SELECT session_id, leaf, count(*) AS n FROM ({leaves}) GROUP BY 1, 2",
+             "ts": f"SELECT session_id, CAST(sum(n) AS BIGINT) AS files, {depth} AS depth FROM tl GROUP BY 1"}
+    for k in range(levels, -1, -1):
+        above = "" if k == levels else f""" UNION ALL SELECT session_id, digits[:{k}],
+            sha256(string_agg(digits || ':' || digest, ',' ORDER BY digits)) FROM t{k + 1} GROUP BY 1, 2"""
+        parts[f"t{k}"] = f"""SELECT session_id, leaf[:{k}] AS digits, sha256(string_agg(leaf || ':' || n, ',' ORDER BY leaf)) AS digest
+            FROM tl JOIN ts USING (session_id) WHERE depth = {k} GROUP BY 1, 2{above}"""
+    return parts
+
+
+_ROOT = "SELECT session_id, files, depth, 'sha256:' || digest AS fingerprint FROM ts JOIN t0 USING (session_id)"
+
 SQL = {
+    "tree_fingerprint": query(_ROOT, extra=_tree(
+        "SELECT source AS session_id, sha256(doc_id || chr(10) || 'sha256:' || sha256(text)) AS leaf FROM documents", TREE_CELL)),
+    "event_digest": query(f"SELECT session_id, files AS events, depth, fingerprint AS digest FROM ({_ROOT})", extra=_tree(
+        """SELECT user_id AS session_id, sha256(event_id || chr(10) || 'sha256:' || sha256('{"at_ms":' || epoch_us(ts) // 1000
+            || ',"kind":"' || event_type || '","seq":' || event_id || '}')) AS leaf FROM events""", inv.TREE_CELL)),
     "scan_budget": query("SELECT session_id, seq, scanned FROM fold", extra={**_ART, "fold": _fold("art")}),
     "scan_budget_by_source": query("SELECT session_id, seq, scanned FROM fold", extra={
         "art": "SELECT source AS session_id, doc_id AS seq, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanalign import fixed
 from spanalign.functions import similarity
-from spanalign.operators import alignment as al, allocation, anchors
+from spanalign.operators import alignment as al, allocation, anchors, delay as dl
 from spanalign.operators.fuzzy import similar_tokens
 from spanalign.operators.utterances import utterances
 from tests import brute
@@ -250,3 +251,29 @@ def test_bounded_edit_distance(spark):
     df = spark.createDataFrame([("kitten", "sitten"), ("kitten", "sitting"), ("a", "abcd")], "l string, r string")
     got = [r[0] for r in df.select(similarity.bounded_edit_distance(F.col("l"), F.col("r"), 2)).collect()]
     assert got == [1, 3, 3]
+
+
+def test_delay_counts_follow_from_the_alignment(spark):
+    """What `delay_of_aligned` does: latencies and counts of the final segments that the alignment makes."""
+    cases = {1: (["alpha marker open the settings", "bravo marker save the file"], "Alpha marker. Open the settings. Bravo marker. Save the file."),
+             2: (["completely different", "nothing alike"], "Zebra quartz. Violet umbrella. Yes!"), 3: (["a b c", "d"], "a"),
+             4: (["hello there friend", "good morning"], "hello there my friend good morning")}
+    segs, cleaned, want = [], [], {}
+    for sid, (texts, text) in cases.items():
+        rows = [(k, 1000 * k, 1000 * k + 900, t) for k, t in enumerate(texts, 1)]
+        segs += [(sid, *r) for r in rows]
+        cleaned.append((sid, text))
+        final = brute.align(rows, text)
+        bad = sum(r[6] is not None for r in final)
+        said = " ".join(r[3] for r in final).lower()
+        want[sid] = (len(final), bad, "aligned" if bad == 0 else "aligned-with-review-warnings",
+                     sum(label in said for label in fixed.SCRIPTED_LABELS))
+    want[5] = (None, None, None, 0)  # a session without cleaned text
+    final = al.align_cleaned(spark.createDataFrame(segs, SEG), spark.createDataFrame(cleaned, "session_id bigint, cleaned_text string"))
+    sessions = spark.createDataFrame([(s, "low", 10, 5, 7) for s in want],
+                                     "session_id bigint, delay string, first_chunk_ms bigint, rec_started_ms bigint, audio_started_ms bigint")
+    heard = spark.createDataFrame([(1, 1, "delta", 90, 70, "a"), (1, 2, "completed", 200, None, "b")],
+                                  "session_id bigint, seq bigint, kind string, audio_offset_ms bigint, monotonic_offset_ms bigint, text string")
+    rows = dl.evaluate_delay(sessions, heard, final, heard.select("session_id")).collect()
+    assert {r.session_id: (r.utterances, r.mismatches, r.status, r.recall) for r in rows} == want
+    assert len({w[2] for w in want.values()}) == 3 and {r.session_id: r.first_delta_ms for r in rows}[1] == 70

@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 # results that SQL cannot express; each has a brute-force test of its own
-WITHOUT_SQL = {"align_cleaned", "align_fallback", "validate_cleanup"}
+WITHOUT_SQL = {"align_cleaned", "align_fallback", "validate_cleanup", "delay_of_aligned"}
 SAMPLE = ("assemble_segments", "aligned_segments", "align_events", "conflict_warnings", "redact_text",
           "sensitive_categories", "leak_findings", "utterance_spans", "hash_chain", "readiness_receipt",
           "compare_delay", "live_segments")

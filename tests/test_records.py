@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanalign import fixed
 from spanalign.functions import checks
-from spanalign.operators import inventory as inv, ledger as lg
+from spanalign.operators import delay as dl, inventory as inv, ledger as lg, scoring as sc
 from spanalign.operators.prefix import row_block  # noqa: F401
 
 
@@ -169,3 +169,54 @@ def test_metric_floors(spark):
                                f"uncovered bigint, owner string, reason string, debt_id string, exclusions {x}")
     got = {r.id: list(r.failures) for r in lg.floor_failures(df).collect()}
     assert got == {1: [], 2: ["complete"], 3: [], 4: ["ratchet", "exclusions"], 5: ["policy", "percent"]}
+
+
+def tree(files, cell):
+    """A set's tree by recursion over the digits of its leaves."""
+    leaves = {}
+    for path, fingerprint in files:
+        leaf = hashlib.sha256(f"{path or ''}\n{fingerprint or ''}".encode()).hexdigest()
+        leaves[leaf] = leaves.get(leaf, 0) + 1
+    depth = 0
+    while len(leaves) > cell * 16**depth:
+        depth += 1
+
+    def node(digits):
+        if len(digits) == depth:
+            parts = sorted(f"{leaf}:{n}" for leaf, n in leaves.items() if leaf.startswith(digits))
+        else:
+            parts = [f"{digits}{d}:{node(digits + d)}" for d in "0123456789abcdef" if any(leaf.startswith(digits + d) for leaf in leaves)]
+        return hashlib.sha256(",".join(parts).encode()).hexdigest()
+
+    return len(files), depth, "sha256:" + node("")
+
+
+def test_trees_of_any_depth(spark):
+    sets = {1: [("a", "x")], 2: [("a", "x")] * 40 + [("b", "x"), (None, None), ("", "")], 3: [(f"p{i}", "f") for i in range(600)],
+            4: [(f"p{i}", f"{i % 7}") for i in range(40)], None: [("n", "m")]}
+    rows = [(s, p, f) for s, files in sets.items() for p, f in files]
+    df = spark.createDataFrame(rows, "session_id bigint, path string, fingerprint string")
+    for cell in (2, 16, 256):
+        got = {r.session_id: (r.files, r.depth, r.fingerprint) for r in inv.tree_fingerprint(df.repartition(5), cell).collect()}
+        assert got == {s: tree(files, cell) for s, files in sets.items()}
+    assert inv.tree_fingerprint(df.limit(0)).count() == 0
+
+
+def test_event_digest_follows_rows_and_order(spark):
+    make = lambda rows: spark.createDataFrame(rows, "session_id bigint, seq bigint, kind string, unix_ms bigint")
+    rows = [(1, 1, "a", 5), (1, 2, "b", None), (1, 3, None, 7)]
+    of = lambda rs: sc.event_digest(make(rs)).first()
+    first = of(rows)
+    assert (first.events, first.depth) == (3, 0) and of(rows[::-1]).digest == first.digest
+    swapped = [(1, 1, "b", None), (1, 2, "a", 5), (1, 3, None, 7)]
+    assert len({of(r).digest for r in (rows, swapped, rows[:2], [*rows[:2], (1, 3, "", 7)])}) == 4
+
+
+def test_capture_totals(spark):
+    stats = spark.createDataFrame([(1, 900), (2, 700), (3, 50), (4, 80), (5, 10)], "session_id bigint, audio_bytes bigint")
+    events = spark.createDataFrame(
+        [(1, 1, "commit", 500), (1, 2, "commit", 300), (1, 3, "awaiting-acknowledgement", 100), (1, 4, "acknowledged", 100),
+         (2, 1, "commit", 600), (3, 1, "not-needed", 50), (4, 1, "awaiting-acknowledgement", 80), (4, 9, "unacknowledged", 80)],
+        "session_id bigint, at_ms bigint, event string, bytes bigint")
+    got = {r.session_id: (r.audio_commits, r.pending_bytes, r.final_commit) for r in dl.capture_totals(stats, events).collect()}
+    assert got == {1: (2, 100, "acknowledged"), 2: (1, 100, "open"), 3: (0, 50, "not-needed"), 4: (0, 80, "unacknowledged"), 5: (0, 10, "open")}
