@@ -553,9 +553,7 @@ def live_alignment(
 MAX_BYTES_PER_TRIGGER = 512 * 1024 * 1024
 
 
-def stream_folder(
-    spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_trigger: int | None = None
-) -> DataFrame:
+def stream_folder(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """Stream over the Parquet files of a folder.
 
     A micro-batch takes a bounded amount of input (or of files), so the rows of one session that meet
@@ -566,14 +564,13 @@ def stream_folder(
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     else:
         reader = reader.option("maxBytesPerTrigger", MAX_BYTES_PER_TRIGGER)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(folder)
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """Stream over one Parquet table file of a folder."""
-    return stream_folder(spark, folder, schema, f"{name}.parquet")
+    """Stream over one Parquet table of a folder, a file or a folder of part files."""
+    # a pattern that only the table matches: a stream takes a plain path for a folder, which a single file is not
+    return stream_folder(spark, f"{folder}/{name}.parque[t]", schema)
 
 
 def run_appended(stream: DataFrame, name: str) -> DataFrame:

@@ -188,3 +188,16 @@ def test_late_commits_are_counted_and_the_rest_equals_one_batch(spark, tmp_path)
     one, none, _ = ran(spark, tmp_path, "co", CAP, build, [[r for r in rows if r not in late], beat])
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(out) == key(one) and len(key(one)) > 6 and (dropped, none) == (3, 0)
+
+
+def test_a_table_may_be_one_file_or_a_folder_of_parts(spark, tmp_path):
+    rows = spark.range(20).selectExpr("id as conv_id", "id as turn")
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "conversations.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    part, = (tmp_path / "made").glob("*.parquet")
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "conversations.parquet").write_bytes(part.read_bytes())
+    rows.where("conv_id < 3").write.parquet(str(tmp_path / "parts" / "other.parquet"))
+    for folder in ("parts", "file"):
+        stream = live.stream_table(spark, str(tmp_path / folder), "conversations", rows.schema)
+        assert sorted(r.turn for r in live.run_appended(stream, f"table-{folder}").collect()) == list(range(20))
