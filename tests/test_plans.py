@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from spanalign.operators import inventory as inv, timeline as tl
+from spanalign.functions import text
+from spanalign.operators import inventory as inv, timeline as tl, utterances
 from spanalign.plans import record_queries
 from spanalign.sources import tables as src
 
@@ -32,3 +33,18 @@ def test_filters_and_columns_reach_the_scan(spark):
     rows = src.table(spark, FOLDER, "lineitem").where("l_orderkey = 5").select("l_orderkey", "l_quantity")
     text = rows._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_orderkey,5)" in text and "ReadSchema: struct<l_orderkey:bigint,l_quantity" in text
+
+
+def test_whole_texts_are_read_once_not_once_a_piece(spark):
+    docs = spark.createDataFrame([(1, "One. Two. Alpha marker three."), (2, "")], "session_id bigint, cleaned_text string")
+    above = plan_of(utterances._placed_pieces(docs)).split("Generate posexplode")[0]
+    assert "cleaned_text" not in above
+    # the pieces are cut once, not for each branch of the running values
+    assert "cleaned_text" not in plan_of(utterances.utterances(docs))
+
+
+def test_a_word_is_all_but_white_space(spark):
+    every = "".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
+    old, new = (F.regexp_replace("t", p, "") for p in (f"[^{text.WS_CHARS}]", text.NON_WS))
+    left = spark.createDataFrame([(every,)], "t string").select(old.alias("old"), new.alias("new")).first()
+    assert left.old == left.new and len(left.new) == 25
