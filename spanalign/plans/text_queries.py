@@ -185,7 +185,8 @@ def token_classes(spark, sf):
     texts = src.table(spark, sf, "documents").select("text").unionByName(
         src.table(spark, sf, "pages").select(F.col("html").alias("text"))
     )
-    toks = texts.select(F.explode(tx.split_words(F.col("text"))).alias("tok"))
+    # equal tokens are of one class: each is counted first and looked at once
+    toks = texts.select(F.explode(tx.split_words(F.col("text"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("times"))
     t = F.col("tok")
     flags = {
         "secret": sensitive.is_secret_token(t) | sensitive.is_cloud_access_key(t),
@@ -202,7 +203,7 @@ def token_classes(spark, sf):
     letter = sensitive.token_class(t)
     letter = F.when(letter.isin("n", "e"), F.upper(letter)).otherwise(letter)
     return toks.groupBy(letter.alias("class")).agg(
-        F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in flags.items()]
+        F.sum("times").alias("n"), *[F.sum(F.when(c, F.col("times")).otherwise(0)).alias(n) for n, c in flags.items()]
     )
 
 

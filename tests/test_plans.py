@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spanalign.functions import text
 from spanalign.operators import inventory as inv, timeline as tl, utterances
-from spanalign.plans import record_queries
+from spanalign.plans import record_queries, text_queries
 from spanalign.sources import tables as src
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,6 +43,15 @@ def test_whole_texts_are_read_once_not_once_a_piece(spark):
     assert "cleaned_text" not in plan_of(utterances.utterances(docs))
 
 
+def test_classes_are_found_for_distinct_tokens(spark, tmp_path):
+    spark.createDataFrame([("a is a@b.co a",)] * 3, "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a =",)], "html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = text_queries.token_classes(spark, str(tmp_path))
+    assert "Aggregate [tok#" in plan_of(found)
+    got = {r["class"]: (r.n, r.email, r.separator, r.connector) for r in found.collect()}
+    assert got == {"N": (10, 3, 0, 0), "C": (3, 0, 0, 3), "S": (1, 0, 1, 0)}
+
+
 def test_a_word_is_all_but_white_space(spark):
     every = "".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
     old, new = (F.regexp_replace("t", p, "") for p in (f"[^{text.WS_CHARS}]", text.NON_WS))
