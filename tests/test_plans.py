@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spanalign.functions import text
 from spanalign.operators import inventory as inv, timeline as tl, utterances
+from spanalign.operators.fuzzy import similar_tokens
 from spanalign.plans import record_queries, text_queries
 from spanalign.sources import tables as src
 
@@ -57,3 +58,12 @@ def test_a_word_is_all_but_white_space(spark):
     old, new = (F.regexp_replace("t", p, "") for p in (f"[^{text.WS_CHARS}]", text.NON_WS))
     left = spark.createDataFrame([(every,)], "t string").select(old.alias("old"), new.alias("new")).first()
     assert left.old == left.new and len(left.new) == 25
+
+
+def test_token_tables_are_not_broadcast(spark, tmp_path):
+    # a file of a few hundred bytes, from which Spark expects few tokens
+    spark.createDataFrame([(1, "whatever")], "session_id bigint, token string").write.parquet(str(tmp_path / "tokens"))
+    tokens = spark.read.parquet(str(tmp_path / "tokens"))
+    plan = similar_tokens(tokens, tokens)._jdf.queryExecution().sparkPlan().toString()
+    kinds = [line.split("Join")[0].split()[-1] for line in plan.splitlines() if "Join" in line]
+    assert kinds.count("BroadcastHash") <= 1 and kinds.count("SortMerge") >= 4  # the dictionary alone
