@@ -1,7 +1,9 @@
 """Readers for session folders: JSONL, nested JSON, single documents, bytes, streams.
 
-A session is a folder; its id is the folder name.  Strict readers fail on a malformed row, lenient
-ones split it off.  A missing input reads as an empty table.
+A session is a folder; its id is the folder name.  Where sessions are many and small, a file for each costs
+far more than its bytes, so with ``packed`` the same readers take the layouts of `sources.writers` that hold many
+sessions in a file.  Strict readers fail on a malformed row, lenient ones split it off.  A missing input reads as
+an empty table.
 """
 
 from __future__ import annotations
@@ -68,6 +70,32 @@ def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def _packed_line() -> list[Column]:
+    """Session and text of a line of `write_packed_lines`."""
+    session = F.substring_index("value", "\t", 1)
+    return [F.nullif(session, F.lit("")).alias("session_id"), F.expr("substring(value, locate('\t', value) + 1)").alias("value")]
+
+
+def read_packed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(session_id, seq, value) of `write_packed_lines`, numbered within the session in the order of the files."""
+    try:
+        lines = spark.read.option("lineSep", "\n").text(folder)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return spark.createDataFrame([], _LINES)
+        raise
+    placed = lines.select(
+        *_packed_line(), F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start")).alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    numbered = running(placed, ["session_id"], F.col("split"), ["split", "line"], sums={"before": F.lit(1)})
+    return numbered.select("session_id", (F.col("before") + 1).cast("bigint").alias("seq"), "value")
+
+
+def _lines_of(spark: SparkSession, root: str, file: str, packed: bool) -> DataFrame:
+    return read_packed_lines(spark, root) if packed else read_lines(spark, f"{root}/*/{file}")
+
+
 def _parsed(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, Column]:
     """Lines with their parsed ``row``, and the test for a line that is no object of the schema."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
@@ -110,10 +138,10 @@ def _named_transcript(rows: DataFrame) -> DataFrame:
 
 
 def read_transcript_events(
-    spark: SparkSession, root: str, file: str = "transcript.timeline.jsonl"
+    spark: SparkSession, root: str, file: str = "transcript.timeline.jsonl", packed: bool = False
 ) -> DataFrame:
     """Transcript rows of all sessions below ``root``; a malformed row fails with its number."""
-    lines = read_lines(spark, f"{root}/*/{file}")
+    lines = _lines_of(spark, root, file, packed)
     return _named_transcript(_strict_rows(lines, TRANSCRIPT_SCHEMA, "transcript artifact"))
 
 
@@ -149,9 +177,9 @@ def shape_ui_events(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_ui_events(spark: SparkSession, root: str, file: str = "events.jsonl") -> DataFrame:
+def read_ui_events(spark: SparkSession, root: str, file: str = "events.jsonl", packed: bool = False) -> DataFrame:
     """UI events of all sessions; an empty, malformed or non-object line fails with its number."""
-    lines = read_lines(spark, f"{root}/*/{file}")
+    lines = _lines_of(spark, root, file, packed)
     return shape_ui_events(_strict_rows(lines, UI_EVENT_SCHEMA, "recording event artifact"))
 
 
@@ -162,19 +190,26 @@ def read_ui_events_lenient(
     return shape_ui_events(good), bad
 
 
-def read_capture_stream(spark: SparkSession, folder: str) -> DataFrame:
+def read_capture_stream(spark: SparkSession, folder: str, packed: bool = False) -> DataFrame:
     """Streaming table of raw socket messages, one JSON text per line, with their session."""
+    if packed:
+        return spark.readStream.option("lineSep", "\n").text(folder).select(*_packed_line())
     return spark.readStream.option("recursiveFileLookup", True).text(folder).select(
         _session_of(F.col("_metadata.file_path")).alias("session_id"), "value"
     )
 
 
 def read_session_documents(
-    spark: SparkSession, root: str, file: str, schema: T.StructType | str, strict: bool = False
+    spark: SparkSession, root: str, file: str, schema: T.StructType | str, strict: bool = False, packed: bool = False
 ) -> DataFrame:
     """One JSON document per session; an unreadable one is NULL (or fails when ``strict``)."""
     try:
-        texts = spark.read.text(f"{root}/*/{file}", wholetext=True)
+        if packed:
+            texts = spark.read.parquet(root).where(F.col("name") == file).select(
+                "session_id", F.col("content").cast("string").alias("value"))
+        else:
+            texts = spark.read.text(f"{root}/*/{file}", wholetext=True).select(
+                _session_of(F.col("_metadata.file_path")).alias("session_id"), "value")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], "session_id string").withColumn(
@@ -184,15 +219,21 @@ def read_session_documents(
     document = F.from_json("value", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
     readable = F.try_parse_json("value").isNotNull()
     return texts.select(
-        _session_of(F.col("_metadata.file_path")).alias("session_id"),
+        "session_id",
         (document if strict else F.when(readable, document)).alias("document"),
     )
 
 
 def read_artifact_bytes(
-    spark: SparkSession, pattern: str, max_bytes: int = fixed.ARTIFACT_MAX_BYTES
+    spark: SparkSession, pattern: str, max_bytes: int = fixed.ARTIFACT_MAX_BYTES, packed: bool = False
 ) -> DataFrame:
     """(session_id, name, path, length, oversize, content); ``oversize`` flags files above the bound."""
+    if packed:
+        return spark.read.parquet(pattern).select(
+            "session_id", "name", F.concat_ws("/", "_metadata.file_path", "session_id", "name").alias("path"),
+            F.octet_length("content").cast("bigint").alias("length"),
+            (F.octet_length("content") > max_bytes).alias("oversize"), "content",
+        )
     files = spark.read.format("binaryFile").load(pattern)
     return files.select(
         _session_of(F.col("path")).alias("session_id"),
@@ -201,8 +242,8 @@ def read_artifact_bytes(
     )
 
 
-def read_audio_chunks(spark: SparkSession, root: str, file: str = "audio-chunks.jsonl") -> DataFrame:
-    rows = _strict_rows(read_lines(spark, f"{root}/*/{file}"), AUDIO_CHUNK_SCHEMA, "audio chunk manifest")
+def read_audio_chunks(spark: SparkSession, root: str, file: str = "audio-chunks.jsonl", packed: bool = False) -> DataFrame:
+    rows = _strict_rows(_lines_of(spark, root, file, packed), AUDIO_CHUNK_SCHEMA, "audio chunk manifest")
     return rows.select(
         "session_id", F.col("seq").alias("idx"),
         F.col("byteStart").alias("byte_start"), F.col("byteEnd").alias("byte_end"),

@@ -1,4 +1,4 @@
-"""Sinks: nested context documents, final timelines, notes, evidence reports."""
+"""Sinks: nested context documents, final timelines, notes, evidence reports, packed session files."""
 
 from __future__ import annotations
 
@@ -36,3 +36,22 @@ def write_timestamped_notes(lines: DataFrame, path: str) -> None:
 
 def write_evidence_report(report: DataFrame, path: str) -> None:
     report.write.mode("errorifexists").json(path)
+
+
+# --- packed session files: many sessions in a file, so that files grow with the bytes, not with the sessions ---
+
+def write_packed_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """``session_id, value`` as text, a line behind its session's name and a tab, in the order of the session.
+
+    A session's lines are in one file or in consecutive ones, however many it has.  ``value`` holds no line break.
+    """
+    by = ["session_id", *order]
+    placed = lines.repartitionByRange(*by).sortWithinPartitions(*by)
+    name, value = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("session_id", "value"))
+    placed.select(F.concat(name, F.lit("\t"), value).alias("value")).write.mode("errorifexists").text(path)
+
+
+def write_packed_files(files: DataFrame, path: str) -> None:
+    """``session_id, name, content``: small files of many sessions, a row each."""
+    files.select(F.col("session_id").cast("string"), "name", F.col("content").cast("binary")).write.mode(
+        "errorifexists").parquet(path)

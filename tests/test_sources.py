@@ -130,3 +130,56 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_files_grow_with_bytes_not_with_sessions(spark, tmp_path, monkeypatch):
+    from spanalign.plans import source_queries as sq
+    spark.range(600).selectExpr("id AS o_orderkey", "id % 300 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(300).selectExpr("id AS event_id", "id AS user_id", "timestamp '2024-01-01' AS ts", "'click' AS event_type",
+                                "'{}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    for query in (sq.read_chunks, sq.read_documents, sq.read_artifacts, sq.read_capture, sq.read_events):
+        made = tmp_path / query.__name__
+        monkeypatch.setattr(sq, "scratch_path", lambda _, name: str(made / name))
+        rows = query(spark, str(tmp_path)).count()
+        assert rows == {"read_chunks": 600}.get(query.__name__, 300)
+        assert len(list(made.rglob("part-*"))) < 50
+
+
+def test_packed_lines_keep_session_and_place(spark, tmp_path):
+    rows = [(f"s{k}", n, line(kind="delta", text=f"{n}\twith a tab")[:-1]) for k in range(3) for n in range(40 + k)] + [(None, 0, "{}")]
+    frame = spark.createDataFrame(rows, "session_id string, at int, value string")
+    want = sorted((s or "", n + 1, v) for s, n, v in rows)
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "5"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        wr.write_packed_lines(frame, str(tmp_path / "packed"), ["at"])
+        assert len(list((tmp_path / "packed").glob("part-*"))) > 2
+        found = rd.read_packed_lines(spark, str(tmp_path / "packed")).collect()
+        assert sorted((r.session_id or "", r.seq, r.value) for r in found) == want
+        assert [r.session_id for r in found if r.value == "{}"] == [None]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    wr.write_packed_lines(spark.createDataFrame([("s1", 1, "{}"), ("s1", 2, "{broken")], "session_id string, at int, value string"), str(tmp_path / "bad"), ["at"])
+    with pytest.raises(Exception, match="malformed JSONL at row 2 of session s1"):
+        rd.read_transcript_events(spark, str(tmp_path / "bad"), packed=True).collect()
+    assert rd.read_packed_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_packed_files_read_like_files(spark, tmp_path):
+    rows = [("s1", "clock.json", b'{"audioStartedAtUnixMs":\n 5}'), ("s2", "clock.json", b"{broken"), ("s1", "raw.bin", b"a\nb\xff")]
+    for session, name, text in rows:
+        put(tmp_path, session, name, text)
+    packed = str(tmp_path / "packed" / "files")
+    wr.write_packed_files(spark.createDataFrame([(s, n, bytearray(c)) for s, n, c in rows], "session_id string, name string, content binary"), packed)
+    for name in ("clock.json", "none.json"):
+        docs = [rd.read_session_documents(spark, str(root), name, "audioStartedAtUnixMs bigint", packed=p).collect()
+                for root, p in ((tmp_path, False), (packed, True))]
+        assert sorted(map(repr, docs[0])) == sorted(map(repr, docs[1]))
+    stats = [sorted((r.session_id, r.name, r.length, r.oversize, r.line_count, r.fingerprint) for r in inv.file_stats(files).collect())
+             for files in (rd.read_artifact_bytes(spark, str(tmp_path / "s*" / "*"), 4),
+                           rd.read_artifact_bytes(spark, packed, 4, packed=True))]
+    assert stats[0] == stats[1] and len(stats[0]) == 3
