@@ -277,3 +277,35 @@ def test_delay_counts_follow_from_the_alignment(spark):
     rows = dl.evaluate_delay(sessions, heard, final, heard.select("session_id")).collect()
     assert {r.session_id: (r.utterances, r.mismatches, r.status, r.recall) for r in rows} == want
     assert len({w[2] for w in want.values()}) == 3 and {r.session_id: r.first_delta_ms for r in rows}[1] == 70
+
+
+def test_best_take_compares_few_spellings(monkeypatch):
+    draw = random.Random(4)
+    parts = ["cleaned", "cleaning", "kilo", "keyhole", "session", "sesion", "window", "winter", "mike", "mic", "a", "pressed", "presses"]
+    pairs = set(allocation.fixed.CANONICAL_PAIRS)
+    asked = []
+    edits = allocation.within_edits
+    monkeypatch.setattr(allocation, "within_edits", lambda *x: asked.append(x) or edits(*x))
+
+    def alike(left, right):
+        return left == right or (left, right) in pairs or min(len(left), len(right)) > 5 and edits(left, right, 2)
+
+    for _ in range(300):
+        spoken = draw.choices(parts, k=draw.randint(1, 6))
+        words = [draw.choices(parts, k=draw.randint(0, 2)) for _ in range(draw.randint(1, 12))]
+        expected = draw.randint(1, 12)
+        score = [sum(any(alike(t, o) for own in words[:k] for o in own) for t in spoken) for k in range(len(words) + 1)]
+        best = [k for k in range(1, len(words) + 1) if score[k] == max(score)]
+        assert allocation.best_take(spoken, words, expected) == min(best, key=lambda k: (abs(k - expected), k))
+    asked.clear()
+    told = ["".join(draw.choices("abcdefghijklmnop", k=9)) for _ in range(200)]
+    assert allocation.best_take(told, [[t] for t in told], 200) == 200
+    assert len(asked) < 200  # and not one for each pair
+
+
+def test_phrase_similarity_reads_its_sides_once(spark):
+    from spanalign.functions import text as tx
+    rows = spark.createDataFrame([("the session ended sessoin", "session of the"), ("", ""), ("a", ""), ("", "a")], "a string, b string")
+    found = rows.select("a", similarity.phrase_similarity(tx.tokens_ascii(F.col("a")), tx.tokens_ascii(F.col("b"))).alias("s"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(b") == 1
+    assert [r.s for r in found.collect()] == [0.75, 1.0, 0.0, 0.0]
