@@ -130,7 +130,7 @@ def scan_budget(
 
 def private_paths(text: Column) -> Column:
     """Distinct private paths named in a text, without outer punctuation."""
-    words = F.filter(tx.split_words(text), sensitive.is_private_path)
+    words = F.filter(tx.extract_all(text, sensitive.PATH_TOKEN), sensitive.is_private_path)
     return F.array_distinct(F.transform(words, sensitive.private_path_core))
 
 
