@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -117,6 +119,8 @@ def quota_breaches(
 
 #: How long an idle session is kept.
 IDLE_MS = 24 * 60 * 60 * 1000
+#: Sessions are dealt to this many keys of state.
+BUCKETS = 1024
 
 
 class InSequence(StatefulProcessor):
@@ -414,6 +418,23 @@ def live_segments(
 
 # --- commits and the closing acknowledgement ---
 
+#: Columns of a row that waits for the watermark, and of an open session.
+_WAITING = pa.schema([("session_id", pa.int64()), ("at_ms", pa.int64()), ("seq", pa.int64()), ("route", pa.string()), ("bytes", pa.int64())])
+_OPEN = pa.schema([("session_id", pa.int64()), ("buffered", pa.int64()), ("last_commit", pa.int64()), ("waiting_until", pa.int64()),
+                   ("closed", pa.bool_()), ("ends", pa.int64())])
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(cell: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(cell)).read_all()
+
+
 class CommitProcessor(StatefulProcessor):
     """Commit markers by size and age, and what became of the last pending bytes.
 
@@ -421,6 +442,9 @@ class CommitProcessor(StatefulProcessor):
     with enough pending bytes the session waits for a completed row until the event-time timer ends.
     Rows wait in list state until the watermark has passed them and are taken in order of time.  The
     state of a closed session goes ``idle_ms`` after its last row.
+
+    The key is a bucket of sessions.  Calls to the state store cost far more than rows, so a micro-batch
+    adds its rows of a bucket as one cell, and the open sessions of a bucket are one cell.
     """
 
     def __init__(self, minimum: int, interval_ms: int, timeout_ms: int, idle_ms: int = IDLE_MS):
@@ -428,40 +452,29 @@ class CommitProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState(
-            "state", "buffered bigint, last_commit bigint, waiting_until bigint, closed boolean, ends bigint"
-        )
-        self.early = handle.getListState("early", "at_ms bigint, seq bigint, route string, bytes bigint")
+        self.open = handle.getValueState("open", "sessions binary")
+        self.early = handle.getListState("early", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ["at_ms", "seq", "route", "bytes"]
-        new = [tuple(_plain(v) for v in row) for batch in rows for row in batch[names].itertuples(index=False, name=None)]
-        self.early.appendList(new)
-        self.handle.registerTimer(min(row[0] for row in new))
-        yield pd.DataFrame([], columns=["session_id", "at_ms", "event", "bytes"])
-
-    def taken(self, key, reached: int) -> Iterator[tuple]:
-        """Events of the waiting rows up to ``reached``."""
-        waiting = sorted(tuple(row) for row in self.early.get()) if self.early.exists() else []
-        rows, rest = [r for r in waiting if r[0] <= reached], [r for r in waiting if r[0] > reached]
-        if rest:
-            self.early.put(rest)
-            self.handle.registerTimer(rest[0][0])
-        elif waiting:
-            self.early.clear()
+        new = pa.concat_tables(
+            pa.Table.from_pandas(batch[_WAITING.names], schema=_WAITING, preserve_index=False) for batch in rows)
+        self.early.appendValue((_packed(new),))
+        self.handle.registerTimer(pc.min(new["at_ms"]).as_py())
+        return iter(())
+
+    def walked(self, session: int, known: tuple, rows: list[tuple], reached: int, out: list[tuple]) -> tuple:
+        """State of a session after its rows up to ``reached``; their events go to ``out``."""
         minimum, interval, timeout = self.settings
-        buffered, last, until, closed, ends = (
-            self.state.get() if self.state.exists() else (0, None, None, False, None)
-        )
+        buffered, last, until, closed, ends = known
         if rows:
             ends = rows[-1][0] + self.idle_ms
-        for at, _, route, size in rows:
+        for at, route, size in rows:
             if until is not None:
                 if at > until or route == "error":
-                    yield key[0], min(at, until), "unacknowledged", buffered
+                    out.append((session, min(at, until), "unacknowledged", buffered))
                     until = None
                 elif route == "completed":
-                    yield key[0], at, "acknowledged", buffered
+                    out.append((session, at, "acknowledged", buffered))
                     until, buffered = None, 0
                 continue
             if closed:
@@ -470,32 +483,60 @@ class CommitProcessor(StatefulProcessor):
             if route == "audio":
                 buffered += size
                 if buffered >= minimum and at - last >= interval:
-                    yield key[0], at, "commit", buffered
+                    out.append((session, at, "commit", buffered))
                     buffered, last = 0, at
             elif route in ("stop", "send-error"):
                 closed = True
                 if buffered < minimum:
-                    yield key[0], at, "not-needed", buffered
+                    out.append((session, at, "not-needed", buffered))
                 elif route == "send-error":
-                    yield key[0], at, "send-failed", buffered
+                    out.append((session, at, "send-failed", buffered))
                 else:
-                    yield key[0], at, "awaiting-acknowledgement", buffered
+                    out.append((session, at, "awaiting-acknowledgement", buffered))
                     until = at + timeout
         if until is not None and until <= reached:
-            yield key[0], until, "unacknowledged", buffered
+            out.append((session, until, "unacknowledged", buffered))
             until = None
-        elif until is not None:
-            self.handle.registerTimer(until)
-        if closed and until is None and not rest:
-            if ends is None or ends <= reached:
-                self.state.clear()
-                return
-            self.handle.registerTimer(ends)
-        self.state.update((buffered, last, until, closed, ends))
+        return buffered, last, until, closed, ends
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = list(self.taken(key, timerValues.getCurrentWatermarkInMs()))
-        yield pd.DataFrame(out, columns=["session_id", "at_ms", "event", "bytes"])
+        reached = timerValues.getCurrentWatermarkInMs()
+        waiting = pa.concat_tables([
+            _WAITING.empty_table(), *(_unpacked(cell) for cell, in (self.early.get() if self.early.exists() else ()))])
+        passed = pc.less_equal(waiting["at_ms"], reached)
+        ready, rest = waiting.filter(passed), waiting.filter(pc.invert(passed))
+        if len(rest) and len(ready):
+            self.early.put([(_packed(rest),)])
+        elif len(ready):
+            self.early.clear()
+        rows: dict[int, list[tuple]] = {}
+        ready = ready.sort_by([(c, "ascending") for c in _WAITING.names]).to_pydict()
+        for session, at, route, size in zip(*(ready[c] for c in ("session_id", "at_ms", "route", "bytes"))):
+            rows.setdefault(session, []).append((at, route, size))
+        held = _unpacked(self.open.get()[0]) if self.open.exists() else _OPEN.empty_table()
+        known = {row[0]: row[1:] for row in zip(*(c.to_pylist() for c in held.columns))}
+        more = set(rest["session_id"].unique().to_pylist())
+        out, kept, wakes = [], [], [pc.min(rest["at_ms"]).as_py()] if len(rest) else []
+        for session in known | rows:
+            now = self.walked(
+                session, known.get(session, (0, None, None, False, None)), rows.get(session, []), reached, out)
+            _, _, until, closed, ends = now
+            if until is not None:
+                wakes.append(until)
+            elif closed and session not in more:
+                if ends is None or ends <= reached:
+                    continue
+                wakes.append(ends)
+            kept.append((session, *now))
+        if kept:
+            columns = [pa.array(c, kind.type) for c, kind in zip(zip(*kept), _OPEN)]
+            self.open.update((_packed(pa.Table.from_arrays(columns, schema=_OPEN)),))
+        elif self.open.exists():
+            self.open.clear()
+        if wakes:
+            self.handle.registerTimer(min(wakes))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "at_ms", "event", "bytes"])
 
     def close(self) -> None:
         pass
@@ -507,13 +548,16 @@ def live_commits(
     interval_ms: int = fixed.COMMIT_INTERVAL_MS,
     timeout_ms: int = fixed.DRAIN_TIMEOUT_MS,
     watermark: str = "10 seconds",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``stream``: session_id, seq, route, at_ms, bytes.
 
     ``watermark`` is how far rows may come out of order; events are told once it has passed them.
+    ``buckets`` of sessions keep their state together; a task holds the waiting rows of one bucket.
     """
     timed = stream.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", watermark)
-    return timed.groupBy("session_id").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
+    return timed.select(bucket, *_WAITING.names, "at").groupBy("bucket").transformWithStateInPandas(
         CommitProcessor(minimum, interval_ms, timeout_ms), COMMIT_SCHEMA, "Append", "EventTime"
     )
 

@@ -201,3 +201,19 @@ def test_a_table_may_be_one_file_or_a_folder_of_parts(spark, tmp_path):
     for folder in ("parts", "file"):
         stream = live.stream_table(spark, str(tmp_path / folder), "conversations", rows.schema)
         assert sorted(r.turn for r in live.run_appended(stream, f"table-{folder}").collect()) == list(range(20))
+
+
+def test_commits_of_many_sessions_share_state(spark, tmp_path):
+    """Keys of the state grow with the buckets, not with the sessions (a session had several of its own)."""
+    first, last = 1_000_000, 10**10
+    one = [(s, n, "audio", first + 4000 * n, 3000) for s in range(60) for n in range(3)]
+    two = [(s, 9, "stop", first + 20_000, 0) for s in range(60)]
+    stream = stream_of(spark, tmp_path, "many-sessions", CAP, one, two, [(-1, 1, "heartbeat", last, 0)])
+    asked = live.live_commits(stream, watermark="1 hour", buckets=3).writeStream.format("memory").queryName(
+        "shared_commits").outputMode("append").trigger(availableNow=True).start()
+    asked.awaitTermination()
+    keys = [op["numRowsTotal"] for p in asked.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(keys) < 60
+    got = sorted(tuple(r) for r in spark.table("shared_commits").collect())
+    assert got == sorted(row for s in range(60) for row in (
+        (s, first + 8000, "commit", 9000), (s, first + 20_000, "not-needed", 0)))
