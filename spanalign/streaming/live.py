@@ -123,6 +123,21 @@ IDLE_MS = 24 * 60 * 60 * 1000
 BUCKETS = 1024
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(cell: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(cell)).read_all()
+
+
+_PLACE = pa.schema([("session_id", pa.int64()), ("next_seq", pa.int64()), ("waiting", pa.int64()), ("seen", pa.int64()),
+                    ("wakes", pa.int64()), ("closed", pa.bool_()), ("known", pa.bool_())])
+
+
 class InSequence(StatefulProcessor):
     """Takes a session's rows by ``seq``; rows that come early wait in map state, one entry each.
 
@@ -132,11 +147,17 @@ class InSequence(StatefulProcessor):
     behind them.  A number that came already or was given up is told as ``repeated-or-late``, a row
     without number as ``unnumbered``; neither is used.  A closed session keeps one flag and uses no more
     rows.  A session that has been idle for ``idle_ms`` leaves nothing; the next row would begin it anew.
+
+    The key is a bucket of sessions, as calls to the state store cost far more than rows.  The places of
+    its sessions are one cell; what a session keeps besides is read and written when it takes a row.
     """
 
-    #: Schema of a waiting row besides ``seq`` and its deadline, and of the output.
+    #: Schema of a waiting row besides its number and its deadline, of the output, and of what a session keeps.
     ROW = ""
     OUT = ""
+    KEPT = ""
+    #: What a session keeps before its first row.
+    NEW: tuple = ()
 
     def __init__(self, first_seq: int, patience_ms: int | None, idle_ms: int, event_time: bool):
         if idle_ms < (patience_ms or 0):
@@ -148,138 +169,182 @@ class InSequence(StatefulProcessor):
         self.handle = handle
         self.names = [c.split()[0] for c in self.ROW.split(", ")]
         self.columns = [c.split() for c in self.OUT.split(", ")]
-        self.early = handle.getMapState("early", "seq bigint", f"{self.ROW}, due bigint")
-        self.place = handle.getValueState(
-            "place", "next_seq bigint, waiting bigint, seen bigint, wakes bigint, closed boolean")
+        self.early = handle.getMapState("early", "session_id bigint, seq bigint", f"{self.ROW}, due bigint")
+        self.kept = handle.getMapState("kept", "session_id bigint", self.KEPT)
+        # the places of all sessions of the bucket, and the earliest deadline among them
+        self.bucket = handle.getValueState("bucket", "places binary, alarm bigint")
 
     # a subclass says what a row does, and what it keeps besides
-    def load(self) -> None:
-        """Values of the session from state."""
+    def load(self, kept: tuple) -> None:
+        """Values of the session from what was kept."""
 
-    def save(self) -> None:
-        """Values of the session to state."""
+    def save(self) -> tuple:
+        """What is kept of the session."""
 
-    def forget(self) -> None:
-        """Values of the session out of state."""
-
-    def step(self, key, row: dict) -> Iterator[tuple]:
+    def step(self, session, row: dict) -> Iterator[tuple]:
         """Output rows (without fault columns) of one row in its turn; ``self.closed`` ends the session."""
         raise NotImplementedError
 
-    def begin(self) -> None:
-        known = self.place.get() if self.place.exists() else (self.first_seq, 0, None, None, False)
-        self.at, self.waiting, self.seen, self.wakes, self.closed = known
+    def open_bucket(self) -> None:
+        cell, self.alarm = self.bucket.get() if self.bucket.exists() else (None, None)
+        places = _unpacked(cell) if cell is not None else _PLACE.empty_table()
+        self.places = {row[0]: row[1:] for row in zip(*(c.to_pylist() for c in places.columns))}
         self.out: list[tuple] = []
-        self.load()
-
-    def tell(self, key, fault: str, first: int | None, last: int | None) -> None:
-        self.out.append((key[0], *[None] * (len(self.columns) - 4), fault, first, last))
-
-    def go_on(self, key, new: dict[int, tuple]) -> None:
+        self.left: set = set()  # sessions whose waiting rows are of no use any more
+
+    def close_bucket(self, alarms: list[int]) -> Iterator[pd.DataFrame]:
+        """Keeps the places, sets the earliest alarm; the output."""
+        if self.left:
+            for number in [number for number in self.early.keys() if number[0] in self.left]:
+                self.early.removeKey(tuple(number))
+        if alarms and (self.alarm is None or min(alarms) < self.alarm):
+            self.alarm = min(alarms)
+            self.handle.registerTimer(self.alarm)
+        if self.places:
+            rows = zip(*((session, *place) for session, place in self.places.items()))
+            columns = [pa.array(c, field.type) for c, field in zip(rows, _PLACE)]
+            self.bucket.update((_packed(pa.Table.from_arrays(columns, schema=_PLACE)), self.alarm))
+        elif self.bucket.exists():
+            self.bucket.clear()
+        if self.out:
+            frame = pd.DataFrame(self.out, columns=[name for name, _ in self.columns])
+            yield frame.astype({name: "Int64" for name, kind in self.columns if kind == "bigint"})
+
+    def begin(self, session) -> None:
+        place = self.places.get(session, (self.first_seq, 0, None, None, False, False))
+        self.at, self.waiting, self.seen, self.wakes, self.closed, self.known = place
+        self.loaded = False
+
+    def tell(self, session, fault: str, first: int | None, last: int | None) -> None:
+        self.out.append((session, *[None] * (len(self.columns) - 4), fault, first, last))
+
+    def go_on(self, session, new: dict[int, tuple]) -> None:
         """Takes rows from the next number on, out of ``new`` or state, up to the first gap."""
         while not self.closed:
             if self.at in new:
                 row = new.pop(self.at)
-            elif self.waiting and self.early.containsKey((self.at,)):
-                row = self.early.getValue((self.at,))
-                self.early.removeKey((self.at,))
+            elif self.waiting and self.early.containsKey((session, self.at)):
+                row = self.early.getValue((session, self.at))
+                self.early.removeKey((session, self.at))
                 self.waiting -= 1
             else:
                 return
-            for told in self.step(key, {"seq": self.at, **dict(zip(self.names, row))}):
+            if not self.loaded:
+                self.load(self.kept.getValue((session,)) if self.known else self.NEW)
+                self.loaded = True
+            for told in self.step(session, {"seq": self.at, **dict(zip(self.names, row))}):
                 self.out.append((*told, None, None, None))
             self.at += 1
 
-    def end(self) -> pd.DataFrame:
-        """Keeps the session; the output."""
+    def end(self, session) -> None:
+        """Keeps the session."""
         if self.closed:
-            self.early.clear()
-            self.forget()
+            self.forget(session)
             self.waiting = 0
-        else:
-            self.save()
-        self.place.update((self.at, self.waiting, self.seen, self.wakes, self.closed))
-        return self.told()
-
-    def told(self) -> pd.DataFrame:
-        frame = pd.DataFrame(self.out, columns=[name for name, _ in self.columns])
-        return frame.astype({name: "Int64" for name, kind in self.columns if kind == "bigint"})
+        elif self.loaded:
+            self.kept.updateValue((session,), self.save())
+            self.known = True
+        self.places[session] = (self.at, self.waiting, self.seen, self.wakes, self.closed, self.known)
+
+    def forget(self, session) -> None:
+        """Leaves nothing of the session but its place."""
+        if self.waiting:
+            self.left.add(session)
+        if self.known:
+            self.kept.removeKey((session,))
+            self.known = False
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self.begin()
+        self.open_bucket()
         now = timerValues.getCurrentProcessingTimeInMs() if self.timers and not self.event_time else 0
-        new, due = {}, {}
+        come: dict[int, list[tuple]] = {}
         for batch in rows:
             times = batch["at_ms"] if self.event_time else [now] * len(batch)
-            cells = batch[["seq", *self.names]].itertuples(index=False, name=None)
-            for time, (seq, *row) in zip(times, cells):
-                time, seq = int(time), _plain(seq)
+            cells = batch[["session_id", "seq", *self.names]].itertuples(index=False, name=None)
+            for time, (session, seq, *row) in zip(times, cells):
+                come.setdefault(_plain(session), []).append((int(time), _plain(seq), row))
+        alarms = []
+        for session, cells in come.items():
+            self.begin(session)
+            new, due = {}, {}
+            for time, seq, row in cells:
                 self.seen = time if self.seen is None else max(self.seen, time)
                 if self.closed:
                     continue
                 if seq is None:
-                    self.tell(key, "unnumbered", None, None)
-                elif seq < self.at or seq in new or (self.waiting and self.early.containsKey((seq,))):
-                    self.tell(key, "repeated-or-late", seq, seq)
+                    self.tell(session, "unnumbered", None, None)
+                elif seq < self.at or seq in new or (self.waiting and self.early.containsKey((session, seq))):
+                    self.tell(session, "repeated-or-late", seq, seq)
                 else:
                     new[seq], due[seq] = tuple(_plain(v) for v in row), time if self.event_time else now + (self.patience_ms or 0)
-        self.go_on(key, new)
-        if new and not self.closed:
-            for seq, row in new.items():
-                self.early.updateValue((seq,), (*row, due[seq]))
-            self.waiting += len(new)
-            if self.timers:
-                self.handle.registerTimer(min(due[seq] for seq in new))
-        if self.timers and self.wakes is None:
-            self.wakes = self.seen + self.idle_ms
-            self.handle.registerTimer(self.wakes)
-        yield self.end()
+            self.go_on(session, new)
+            if new and not self.closed:
+                for seq, row in new.items():
+                    self.early.updateValue((session, seq), (*row, due[seq]))
+                self.waiting += len(new)
+                if self.timers:
+                    alarms.append(min(due[seq] for seq in new))
+            if self.timers and self.wakes is None:
+                self.wakes = self.seen + self.idle_ms
+                alarms.append(self.wakes)
+            self.end(session)
+        yield from self.close_bucket(alarms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         reached = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        if not self.place.exists():
+        self.open_bucket()
+        if self.alarm is None or self.alarm > reached:  # an earlier alarm of this micro-batch has done the work
             return
-        self.begin()
-        held = sorted((number[0], row[-1]) for number, row in self.early.iterator()) if self.waiting else []
-        for seq, due in held:
-            if due <= reached and seq >= self.at and not self.closed:
-                if seq > self.at:
-                    self.tell(key, "missing", self.at, seq - 1)
-                self.at = seq
-                self.go_on(key, {})
-        rest = [due for seq, due in held if seq >= self.at]
-        if rest and not self.closed:
-            self.handle.registerTimer(min(rest))
-        if self.wakes <= reached:
-            self.wakes = self.seen + self.idle_ms
-            if self.wakes <= reached:  # all deadlines have passed as well
-                self.early.clear()
-                self.forget()
-                self.place.clear()
-                yield self.told()
-                return
-            self.handle.registerTimer(self.wakes)
-        yield self.end()
+        held: dict[int, list[tuple]] = {}
+        if any(place[1] for place in self.places.values()):
+            for (session, seq), row in self.early.iterator():
+                held.setdefault(session, []).append((seq, row[-1]))
+        alarms = []
+        for session, place in list(self.places.items()):
+            rows = sorted(held.get(session, ()))
+            if place[3] > reached and all(due > reached for _, due in rows):
+                alarms += [place[3], *(due for _, due in rows)]
+                continue
+            self.begin(session)
+            for seq, due in rows:
+                if due <= reached and seq >= self.at and not self.closed:
+                    if seq > self.at:
+                        self.tell(session, "missing", self.at, seq - 1)
+                    self.at = seq
+                    self.go_on(session, {})
+            if not self.closed:
+                alarms += [due for seq, due in rows if seq >= self.at]
+            if self.wakes <= reached:
+                self.wakes = self.seen + self.idle_ms
+                if self.wakes <= reached:  # all deadlines have passed as well
+                    self.forget(session)
+                    del self.places[session]
+                    continue
+            alarms.append(self.wakes)
+            self.end(session)
+        self.alarm = None
+        yield from self.close_bucket(alarms)
 
     def close(self) -> None:
         pass
 
 
 def in_sequence(
-    stream: DataFrame, columns: list[str | Column], processor, time: str | None, watermark: str
+    stream: DataFrame, columns: list[str | Column], processor, time: str | None, watermark: str, buckets: int = BUCKETS
 ) -> DataFrame:
     """Rows of a session through ``processor``; ``time`` names the event time in ms, if there is one.
 
     A row without event time counts as one of the earliest: it may come at any time.  Deadlines in
     processing time are for streams that run on; a run over what is there would not end with them.
     """
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
     if time is None:
-        return stream.select("session_id", "seq", *columns).groupBy("session_id").transformWithStateInPandas(
+        return stream.select(bucket, "session_id", "seq", *columns).groupBy("bucket").transformWithStateInPandas(
             processor, processor.OUT, "Append", "ProcessingTime" if processor.timers else "None")
     at = F.coalesce(F.col(time), F.lit(0)).cast("bigint")
     timed = stream.withColumn("at", F.timestamp_millis(time)).withWatermark("at", watermark)
-    return timed.select("session_id", "seq", at.alias("at_ms"), "at", *columns).groupBy(
-        "session_id").transformWithStateInPandas(processor, processor.OUT, "Append", "EventTime")
+    return timed.select(bucket, "session_id", "seq", at.alias("at_ms"), "at", *columns).groupBy(
+        "bucket").transformWithStateInPandas(processor, processor.OUT, "Append", "EventTime")
 
 
 def _plain(value):
@@ -293,25 +358,19 @@ class QuotaProcessor(InSequence):
     """Running counters per session; one row when the first limit breaks, nothing after it."""
 
     ROW, OUT = "bytes bigint", BREACH_SCHEMA
+    KEPT, NEW = "events bigint, total bigint", (0, 0)
 
     def __init__(self, limits: tuple[int, int, int], *settings):
         super().__init__(*settings)
         self.limits = limits
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.used = handle.getValueState("used", "events bigint, total bigint")
-
-    def load(self) -> None:
-        self.events, self.total = self.used.get() if self.used.exists() else (0, 0)
-
-    def save(self) -> None:
-        self.used.update((self.events, self.total))
+    def load(self, kept: tuple) -> None:
+        self.events, self.total = kept
 
-    def forget(self) -> None:
-        self.used.clear()
+    def save(self) -> tuple:
+        return self.events, self.total
 
-    def step(self, key, row: dict) -> Iterator[tuple]:
+    def step(self, session, row: dict) -> Iterator[tuple]:
         max_message, max_events, max_bytes = self.limits
         size = row["bytes"] or 0
         self.events, self.total = self.events + 1, self.total + size
@@ -322,7 +381,7 @@ class QuotaProcessor(InSequence):
         )
         if reason:
             self.closed = True
-            yield key[0], row["seq"], reason
+            yield session, row["seq"], reason
 
 
 def live_quota(
@@ -335,6 +394,7 @@ def live_quota(
     watermark: str = "10 minutes",
     patience_ms: int | None = None,
     idle_ms: int = IDLE_MS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming twin of `quota_breaches`; ``seq`` numbers a session's rows from ``first_seq`` on.
 
@@ -342,7 +402,7 @@ def live_quota(
     size counts with zero bytes.
     """
     processor = QuotaProcessor((max_message, max_events, max_bytes), first_seq, patience_ms, idle_ms, time is not None)
-    return in_sequence(stream, ["bytes"], processor, time, watermark)
+    return in_sequence(stream, ["bytes"], processor, time, watermark, buckets)
 
 
 # --- segments ---
@@ -353,30 +413,22 @@ class SegmentProcessor(InSequence):
     ROW = "kind string, monotonic_offset_ms bigint, offset_ms bigint, timing_source string, text string"
     OUT = SEGMENT_SCHEMA
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState(
-            "state",
-            "segments bigint, reached bigint, deltas string, last_offset bigint, last_monotonic bigint",
-        )
+    KEPT = "segments bigint, reached bigint, deltas string, last_offset bigint, last_monotonic bigint"
+    NEW = (0, 0, "", 0, None)
 
-    def load(self) -> None:
-        known = self.state.get() if self.state.exists() else (0, 0, "", 0, None)
-        self.count, self.reached, deltas, self.last, self.last_mono = known
+    def load(self, kept: tuple) -> None:
+        self.count, self.reached, deltas, self.last, self.last_mono = kept
         self.pieces = [deltas]
 
-    def save(self) -> None:
-        self.state.update((self.count, self.reached, "".join(self.pieces), self.last, self.last_mono))
-
-    def forget(self) -> None:
-        self.state.clear()
+    def save(self) -> tuple:
+        return self.count, self.reached, "".join(self.pieces), self.last, self.last_mono
 
-    def step(self, key, row: dict) -> Iterator[tuple]:
+    def step(self, session, row: dict) -> Iterator[tuple]:
         mono, offset = row["monotonic_offset_ms"], row["offset_ms"]
         if row["kind"] == "completed" and row["text"]:
             end = max(offset, self.reached)
             self.count += 1
-            yield key[0], self.count, self.reached, end, mono, row["timing_source"], row["text"]
+            yield session, self.count, self.reached, end, mono, row["timing_source"], row["text"]
             self.reached, self.pieces = end, []
         elif row["kind"] == "delta" and self.count == 0:
             self.pieces.append(row["text"])  # they only matter until the first segment
@@ -386,7 +438,7 @@ class SegmentProcessor(InSequence):
             deltas = "".join(self.pieces).strip()
             if self.count == 0 and deltas:
                 source = fixed.WALL_CLOCK_SOURCE if self.last_mono is None else fixed.MONOTONIC_SOURCE
-                yield key[0], 1, 0, self.last, self.last_mono, source, deltas
+                yield session, 1, 0, self.last, self.last_mono, source, deltas
 
 
 def live_segments(
@@ -396,6 +448,7 @@ def live_segments(
     watermark: str = "10 minutes",
     patience_ms: int | None = None,
     idle_ms: int = IDLE_MS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming twin of segment assembly.
 
@@ -413,7 +466,7 @@ def live_segments(
         .otherwise(F.coalesce("text", F.lit(""))).alias("text"),
     ]
     processor = SegmentProcessor(first_seq, patience_ms, idle_ms, time is not None)
-    return in_sequence(stream, columns, processor, time, watermark)
+    return in_sequence(stream, columns, processor, time, watermark, buckets)
 
 
 # --- commits and the closing acknowledgement ---
@@ -424,17 +477,6 @@ _OPEN = pa.schema([("session_id", pa.int64()), ("buffered", pa.int64()), ("last_
                    ("closed", pa.bool_()), ("ends", pa.int64())])
 
 
-def _packed(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(cell: bytes) -> pa.Table:
-    return pa.ipc.open_stream(bytes(cell)).read_all()
-
-
 class CommitProcessor(StatefulProcessor):
     """Commit markers by size and age, and what became of the last pending bytes.
 

@@ -217,3 +217,20 @@ def test_commits_of_many_sessions_share_state(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.table("shared_commits").collect())
     assert got == sorted(row for s in range(60) for row in (
         (s, first + 8000, "commit", 9000), (s, first + 20_000, "not-needed", 0)))
+
+
+def test_losses_of_many_sessions_share_state(spark, tmp_path):
+    """Clocks and places are kept per bucket; a session has one entry, or its waiting row."""
+    beat = [(-1, 1, "delta", None, None, None, BASE + 3 * live.IDLE_MS)]
+    batches = [[spoken(s, 1, 0) for s in range(60)], [spoken(s, 3 if s % 5 == 0 else 2, 60_000) for s in range(60)],
+               [spoken(s, 4 if s % 5 == 0 else 3, 120_000, kind="stop") for s in range(60)], beat]
+    stream = stream_of(spark, tmp_path, "many-lossy", TIMED, *batches)
+    asked = live.live_segments(stream, time="at_ms", watermark="10 seconds", buckets=3).writeStream.format("memory").queryName(
+        "shared_losses").outputMode("append").trigger(availableNow=True).start()
+    asked.awaitTermination()
+    keys = [op["numRowsTotal"] for p in asked.recentProgress for op in p["stateOperators"]]
+    assert 60 < max(keys) < 2 * 60
+    got = spark.table("shared_losses").where("session_id >= 0")
+    assert got.where("fault is null").count() == 120
+    assert sorted(tuple(r) for r in got.where("fault is not null").select("session_id", "fault", "fault_from", "fault_to").collect()) == [
+        (s, "missing", 2, 2) for s in range(0, 60, 5)]
