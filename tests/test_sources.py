@@ -2,9 +2,11 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import Window, functions as F
 
 from spanalign.operators import inventory as inv, segments as sg
-from spanalign.sources import readers as rd, writers as wr
+from spanalign.operators.prefix import running
+from spanalign.sources import readers as rd, tables, writers as wr
 
 
 def put(root, session, name, text):
@@ -183,3 +185,28 @@ def test_packed_files_read_like_files(spark, tmp_path):
              for files in (rd.read_artifact_bytes(spark, str(tmp_path / "s*" / "*"), 4),
                            rd.read_artifact_bytes(spark, packed, 4, packed=True))]
     assert stats[0] == stats[1] and len(stats[0]) == 3
+
+
+def test_sessions_of_few_events_are_one_block(spark, tmp_path, monkeypatch):
+    """Only a session of many rows is cut into hours; both are numbered in order of time."""
+    start = "timestamp'2024-01-01 00:00:00'"
+    rows = spark.range(tables.BLOCK_ROWS + 90).selectExpr(
+        "id as event_id", f"{start} + make_dt_interval(0, id % 700, id % 60, id % 7) as ts",
+        "CASE WHEN id < 90 THEN id % 3 ELSE 9 END as user_id", "'click' as event_type", "1.0 as value", "'{\"k\": 1}' as props",
+    ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    more = rows.where("user_id = 9").limit(1).withColumn("event_id", F.lit(10**6).cast("bigint"))
+    more.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    blocks = []
+
+    def watched(df, keys, block, order, **named):
+        blocks.append(df.select(*keys, block.alias("block")).distinct().groupBy(*keys).count().collect())
+        return running(df, keys, block, order, **named)
+
+    monkeypatch.setattr(tables, "running", watched)
+    got = tables.ui_events(spark, str(tmp_path)).select("session_id", "event_id", "seq").collect()
+    counts = {r[0]: r[1] for r in blocks[0]}
+    assert [counts[s] for s in range(3)] == [1, 1, 1] and counts[9] > 100
+    place = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    want = spark.read.parquet(str(tmp_path / "events.parquet")).select("user_id", "event_id", F.row_number().over(place)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == tables.BLOCK_ROWS + 91
