@@ -11,6 +11,15 @@ exact neighbours of ``SAMPLE`` queries are found by comparing them with all rows
 added until the hashes find the share ``RECALL`` of them, up to all buckets of a table, which is an exact
 search.  Probes are no cap on candidates: all rows of a probed bucket are compared.
 
+Most rows of a probed bucket are not near.  So a sketch travels with the bucket, ``SKETCH`` rotated coordinates of
+``BITS`` bits each, and a row and a query that meet are compared first by the dot product of their sketches.  Pairs go on
+to the exact comparison down to the dot product that the share ``SEEN`` of the sample's known neighbours reaches, and
+always with equal sketches; ``RECALL`` is measured behind this test, and an exact search has no such test.
+
+Near copies share the bucket of most tables.  So the buckets of the ``EARLIER`` tables before travel along too, and a pair
+that shared the query's own bucket in one of them was made there and is not made again: each pair is still made in
+the first table where it meets.
+
 Shape on a cluster: the index is a scan that gives a row per vector and table; it meets the probes of the
 stated query set in an equi-join on the bucket.  Equal vectors are hashed and compared once; of equal
 vectors only the ``neighbours + 1`` smallest ids can be in a result, so a vector that a third of all rows
@@ -26,10 +35,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanalign.session import written
 
@@ -37,6 +47,10 @@ TABLES, ROUNDS = 48, 3
 PROBED = 1.5
 #: Queries with known neighbours, the share of those to be found, and the step by which probes are added.
 SAMPLE, RECALL, WIDER = 200, 0.95, 1.25
+#: Coordinates and bits of a sketch, the width of a level (coordinates of variance 1), and the share of known neighbours it keeps.
+SKETCH, BITS, LEVEL, SEEN = 64, 3, 0.586, 0.995
+#: Tables before its own whose buckets go with a bucket.
+EARLIER = 2
 NEIGHBOURS, EVERY = 10, 100
 _SEED = 20240921
 
@@ -59,6 +73,24 @@ class CrossPolytope:
         self.dimension, self.parts, self.tables = dimension, parts, tables
         signs = np.random.Generator(np.random.PCG64(_SEED)).integers(0, 2, (ROUNDS, tables * parts, self.width))
         self.signs = (2 * signs - 1).astype(np.float32)
+        wide = max(dimension, SKETCH)
+        turn = np.linalg.qr(np.random.Generator(np.random.PCG64(_SEED)).normal(size=(wide, SKETCH)))[0]
+        self.turn = turn[:dimension] * math.sqrt(wide) / LEVEL
+
+    def levels(self, vectors: np.ndarray) -> np.ndarray:
+        """The sketch as numbers from 0 to 2 ** BITS - 1: (vector, coordinate)."""
+        turned = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ self.turn
+        return np.clip(np.floor(turned) + (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.uint8)
+
+    def sketches(self, vectors: np.ndarray) -> np.ndarray:
+        """The sketch as one word for each bit of its numbers, lowest first: (vector, bit)."""
+        levels = self.levels(vectors)
+        return np.concatenate([np.packbits(levels >> k & 1, axis=1).view(np.int64) for k in range(BITS)], axis=1)
+
+    def products(self, queries: np.ndarray, of: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Dot product of the sketches of ``queries[of]`` and ``near``, as `sketch_product` has it."""
+        a, b = (2 * self.levels(x).astype(np.int64) - (1 << BITS) + 1 for x in (queries, near))
+        return (a[of] * b).sum(axis=1)
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
         """Unit vectors after each pseudo-rotation: (vector, table, part, axis)."""
@@ -104,6 +136,16 @@ class CrossPolytope:
         return self._keys(codes)
 
 
+def _earlier(own: np.ndarray, name: str, none: int, repeat: int = 1) -> dict[str, np.ndarray]:
+    """The buckets of the tables before that of each row of ``own`` (vector, table), ``none`` where there is none."""
+    out = {}
+    for k in range(1, EARLIER + 1):
+        before = np.full_like(own, none)
+        before[:, k:] = own[:, :max(own.shape[1] - k, 0)]
+        out[f"{name}{k}"] = np.repeat(before.ravel(), repeat)
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -158,10 +200,19 @@ def found_share(hashing: CrossPolytope, queries: np.ndarray, of: np.ndarray, nea
     return found / len(near)
 
 
-def enough_probes(hashing: CrossPolytope, queries: np.ndarray, of: np.ndarray, near: np.ndarray, count: int) -> int:
-    """``count`` or the larger number of probes a table that finds the share ``RECALL`` of the neighbours."""
+def sketch_product(left: list[Column], right: list[Column]) -> Column:
+    """Dot product of two sketches, their numbers as odd ones around 0."""
+    ones = lambda *words: F.bit_count(reduce(Column.bitwiseAND, words))
+    top = (1 << BITS) - 1
+    product = sum((ones(a, b) * (4 << i + j) for i, a in enumerate(left) for j, b in enumerate(right)), F.lit(SKETCH * top * top))
+    return sum((ones(w) * (-2 * top << i) for words in (left, right) for i, w in enumerate(words)), product)
+
+
+def enough_probes(hashing: CrossPolytope, queries: np.ndarray, of: np.ndarray, near: np.ndarray, count: int,
+                  share: float = RECALL) -> int:
+    """``count`` or the larger number of probes a table that finds this share of the neighbours."""
     buckets = (2 * hashing.width) ** hashing.parts
-    while len(near) and count < buckets and found_share(hashing, queries, of, near, count) < RECALL:
+    while len(near) and count < buckets and found_share(hashing, queries, of, near, count) < share:
         count = min(math.ceil(WIDER * count), buckets)
     return count
 
@@ -186,31 +237,50 @@ def nearest(vectors: DataFrame, vector_id: str = "vec_id", vector: str = "embedd
     hashing = CrossPolytope(dimension, parts, tables)
     buckets = (2 * width) ** parts
     count = min(math.ceil(PROBED * n ** (1 / 3) * buckets / n), buckets)
+    least = None
     if count < buckets:
-        count = enough_probes(hashing, *known_neighbours(classes, queries, neighbours), count)
+        sample, of, near = known_neighbours(classes, queries, neighbours)
+        if len(near):
+            products = hashing.products(sample, of, near)
+            least = int(np.sort(products)[len(near) - math.ceil(SEEN * len(near))])
+            seen = products >= least
+            count = enough_probes(hashing, sample, of[seen], near[seen], count, RECALL / seen.mean())
     step = max(1, min(64, 2048 // count))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                found = hashing.buckets(_matrix(part.column(1)))
-                yield pa.record_batch({"bucket": found.ravel(), "class": np.repeat(part.column(0).to_numpy(), tables)})
+                v = _matrix(part.column(1))
+                found, words = hashing.buckets(v), hashing.sketches(v)
+                yield pa.record_batch({"bucket": found.ravel(), "class": np.repeat(part.column(0).to_numpy(), tables),
+                                       **{f"c{k}": np.repeat(words[:, k], tables) for k in range(BITS)}, **_earlier(found, "had", -1)})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, step):
                 part = batch.slice(low, step)
-                found = hashing.probes(_matrix(part.column(1)), count).reshape(part.num_rows, -1)
-                yield pa.record_batch({"bucket": found.ravel(), "query_id": np.repeat(part.column(0).to_numpy(), found.shape[1])})
+                v = _matrix(part.column(1))
+                found, words = hashing.probes(v, count), hashing.sketches(v)
+                own, each = found[:, :, 0], found.shape[2]
+                yield pa.record_batch({"bucket": found.ravel(), "query_id": np.repeat(part.column(0).to_numpy(), tables * each),
+                                       **{f"q{k}": np.repeat(words[:, k], tables * each) for k in range(BITS)}, **_earlier(own, "asked", -2, each)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.sqrt(((_matrix(batch.column(2)) - _matrix(batch.column(3))) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "class", "score"])
 
-    probes = queries.mapInArrow(probe, "bucket long, query_id long")
-    candidates = classes.mapInArrow(index, "bucket long, class long").join(probes, "bucket").select("query_id", "class").distinct()
+    words = lambda name, numbers: "".join(f", {name}{k} long" for k in numbers)
+    tables_before = range(1, EARLIER + 1)
+    probes = queries.mapInArrow(probe, "bucket long, query_id long" + words("q", range(BITS)) + words("asked", tables_before))
+    met = classes.mapInArrow(index, "bucket long, class long" + words("c", range(BITS)) + words("had", tables_before)).join(probes, "bucket")
+    met = met.where(reduce(Column.__and__, (F.col(f"had{k}") != F.col(f"asked{k}") for k in tables_before)))
+    if least is not None and count < buckets:
+        own, asked = ([F.col(f"{name}{k}") for k in range(BITS)] for name in "cq")
+        equal = reduce(Column.__and__, (a == b for a, b in zip(own, asked)))
+        met = met.where((sketch_product(own, asked) >= least) | equal)
+    candidates = met.select("query_id", "class").distinct()
     pairs = candidates.join(classes, "class").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     scores = pairs.select("query_id", "class", "v", "q").mapInArrow(compare, "query_id long, class long, score double")
     # a class may hold the query itself, so one class more than neighbours is kept

@@ -85,3 +85,40 @@ def test_probes_start_with_the_own_bucket():
     own = V.CrossPolytope(12, 2, 5)
     x = np.random.default_rng(1).normal(size=(30, 12))
     assert (own.probes(x, 20)[:, :, 0] == own.buckets(x)).all()
+
+
+def test_sketches_leave_few_pairs_to_compare(spark):
+    """Vectors without any structure: pairs that go on to the exact comparison grow about as the queries do."""
+    rng, queries, pairs = np.random.default_rng(7), 60, []
+    hashing = V.CrossPolytope(64, 2, 4)
+    for n in (4_000, 20_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        apart = -x[:queries] @ x.T
+        apart[np.arange(queries), np.arange(queries)] = 9
+        near, of = np.argpartition(apart, 10, axis=1)[:, :10].ravel(), np.repeat(np.arange(queries), 10)
+        least = np.sort(hashing.products(x[:queries], of, x[near]))[int(0.005 * len(near))]
+        everyone = np.tile(np.arange(n), queries)
+        pairs.append(int((hashing.products(x[:queries], np.repeat(np.arange(queries), n), x[everyone]) >= least).sum()))
+    assert pairs[1] < 0.02 * queries * 20_000 and pairs[1] < 2.4 * pairs[0]
+
+    words = [f"{side}{k}" for side in "cq" for k in range(V.BITS)]
+    rows = spark.createDataFrame([tuple(int(w) for w in np.r_[a, b]) for a, b in zip(hashing.sketches(x[:50]), hashing.sketches(x[50:100]))], words)
+    found = rows.select(V.sketch_product([F.col(c) for c in words[:V.BITS]], [F.col(c) for c in words[V.BITS:]]).alias("p")).collect()
+    assert [r.p for r in found] == hashing.products(x[:50], np.arange(50), x[50:100]).tolist()
+
+
+def test_pairs_are_made_in_the_first_table_they_meet():
+    """Of a group of near copies, pairs are made a few times, not in each table, and none is lost."""
+    rng, hashing, count = np.random.default_rng(8), V.CrossPolytope(64, 2, V.TABLES), 5
+    x = rng.normal(size=64) + 0.05 * rng.normal(size=(200, 64))
+    x = np.concatenate([x, x[:50] + 0.6 * rng.normal(size=(50, 64))])
+    buckets, probes = hashing.buckets(x), hashing.probes(x[:20], count)
+    had, asked = V._earlier(buckets, "b", -1), V._earlier(probes[:, :, 0], "b", -2, count)
+    meets = (probes[:, None] == buckets[None, :, :, None]).any(axis=3)  # query, vector, table
+    made = meets.copy()
+    for name in had:
+        made &= had[name].reshape(1, *buckets.shape) != asked[name].reshape(*probes.shape)[:, None, :, 0]
+    assert (made.any(axis=2) == meets.any(axis=2)).all() and meets.any(axis=2).sum() > 4_000
+    assert made[:, :200].sum() < 0.1 * meets[:, :200].sum()
+    assert all(len(v) == 2 * 1 for v in V._earlier(buckets[:2, :1], "b", -1).values())
