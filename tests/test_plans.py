@@ -60,6 +60,15 @@ def test_a_word_is_all_but_white_space(spark):
     assert left.old == left.new and len(left.new) == 25
 
 
+def test_white_space_is_what_no_word_holds(spark):
+    every = "".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
+    old, new = (F.regexp_replace("t", p, "") for p in (f"[{text.WS_CHARS}]", text.WS))
+    left = spark.createDataFrame([(every,)], "t string").select(old.alias("old"), new.alias("new")).first()
+    assert left.old == left.new and len(left.new) == len(every) - 25
+    # one table is asked for a character, not a list of ranges
+    assert not any(r in p for p in (text.WS, text.NON_WS) for r in "[-")
+
+
 def test_token_tables_are_not_broadcast(spark, tmp_path):
     # a file of a few hundred bytes, from which Spark expects few tokens
     spark.createDataFrame([(1, "whatever")], "session_id bigint, token string").write.parquet(str(tmp_path / "tokens"))
